@@ -267,3 +267,200 @@ def q_gran(spark, sf):
     # the orders dataset also reported by year: a mixed-granularity dataset
     yearly = orders.withColumn("observationDate", F.substring("observationDate", 1, 4))
     return W.date_granularity_mix(ev.unionByName(orders).unionByName(yearly))
+
+
+# ---------------------------------------------------------------------------
+# Q: CSV quality facts on CSV-shaped views
+# ---------------------------------------------------------------------------
+
+from statgate.operators import diff as D  # noqa: E402
+from statgate.operators import quality as Q  # noqa: E402
+
+LI_TRIM = ", ".join(f"coalesce(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')" for c in ["l_returnflag", "l_linestatus", "l_quantity"])
+LI_SUBSET = ["l_returnflag", "l_linestatus", "l_quantity"]
+
+
+@register(
+    "quality_first_dup_documents",
+    lambda: TV.duckdb_with("csv_documents")
+    + """SELECT __file AS file, min(__row) AS row FROM (
+  SELECT __file, __row, row_number() OVER (PARTITION BY __file, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ''),
+         coalesce(regexp_replace(lang, '^\\s+|\\s+$', '', 'g'), '') ORDER BY __row) AS rn FROM csv_documents) WHERE rn = 2 GROUP BY 1""",
+)
+def q_dup_docs(spark, sf):
+    return Q.first_duplicate_row(TV.csv_documents(spark, sf).drop("dataset_id"))
+
+
+@register(
+    "quality_first_dup_lineitem",
+    lambda: TV.duckdb_with("csv_lineitem")
+    + f"""SELECT __file AS file, min(__row) AS row FROM (
+  SELECT __file, __row, row_number() OVER (PARTITION BY __file, {LI_TRIM} ORDER BY __row) AS rn FROM csv_lineitem) WHERE rn = 2 GROUP BY 1""",
+)
+def q_dup_lineitem(spark, sf):
+    # a CSV holding three of lineitem's columns, in lineitem's file order
+    return Q.first_duplicate_row(TV.csv_lineitem(spark, sf).select("__file", "__row", *LI_SUBSET))
+
+
+@register(
+    "quality_empty_columns",
+    lambda: TV.duckdb_with("csv_lineitem")
+    + """SELECT file, "column", ord FROM (
+  SELECT __file AS file, unnest([{'ord': 1, 'column': 'l_orderkey', 'seen': max(CASE WHEN regexp_matches(l_orderkey, '\\S') THEN 1 ELSE 0 END)},
+                                 {'ord': 9, 'column': 'l_returnflag', 'seen': max(CASE WHEN regexp_matches(l_returnflag, '\\S') THEN 1 ELSE 0 END)},
+                                 {'ord': 12, 'column': 'no_value', 'seen': max(0)}], recursive := true) FROM csv_lineitem GROUP BY 1)
+WHERE seen = 0""",
+)
+def q_empty_cols(spark, sf):
+    # lineitem CSV with an extra column that is blank in every record
+    li = TV.csv_lineitem(spark, sf).withColumn("no_value", F.lit(" "))
+    return Q.empty_columns(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "no_value"]).where(
+        F.col("column").isin("l_orderkey", "l_returnflag", "no_value")
+    ).select("file", "column", F.when(F.col("column") == "l_orderkey", 1).when(F.col("column") == "l_returnflag", 9).otherwise(12).alias("ord"))
+
+
+@register(
+    "quality_non_numeric",
+    lambda: TV.duckdb_with("csv_lineitem")
+    + """SELECT __file AS file, __row AS row FROM csv_lineitem
+WHERE NOT (l_linestatus IS NULL OR NOT regexp_matches(l_linestatus, '\\S') OR regexp_matches(l_linestatus,
+ '^\\s*[+-]?((([0-9](_?[0-9])*)(\\.([0-9](_?[0-9])*)?)?|\\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\\s*$'))""",
+)
+def q_non_numeric(spark, sf):
+    return Q.non_numeric_rows(TV.csv_lineitem(spark, sf), "l_linestatus")
+
+
+def _verdict_sql() -> str:
+    return (
+        TV.duckdb_with("csv_lineitem")
+        + """, bad AS (SELECT __file AS file, __row AS row FROM csv_lineitem WHERE NOT regexp_matches(l_returnflag, '^\\s*[+-]?[0-9]+\\s*$')),
+s AS (SELECT file, list(row ORDER BY row)[1:5] AS sample, count(*) AS total FROM bad GROUP BY file)
+SELECT file, 'non_numeric_rows' AS "check",
+       'Non-numeric value(s) in column ''l_returnflag'' at row(s) [' || array_to_string(sample, ', ') || ']' ||
+       CASE WHEN total > 5 THEN ' (and ' || (total - 5) || ' more)' ELSE '' END AS message, true AS fatal
+FROM s"""
+    )
+
+
+@register("quality_verdict_lineitem", _verdict_sql)
+def q_verdict_lineitem(spark, sf):
+    li = TV.csv_lineitem(spark, sf)
+    header = TV.csv_header(li, "lineitem", "lineitem.csv", TV.LINEITEM_COLUMNS)
+    return Q.quality_verdict(li.drop("dataset_id"), header, value_column="l_returnflag", columns=TV.LINEITEM_COLUMNS)
+
+
+@register(
+    "shard_manifest_lineitem",
+    lambda: TV.duckdb_with("csv_lineitem")
+    + """, per AS (SELECT dataset_id, CAST(floor((__row - 2) / 10000) AS BIGINT) AS shard, count(*) AS rows FROM csv_lineitem GROUP BY ALL)
+SELECT dataset_id, 'done' AS status, list(shard ORDER BY shard) AS shards, list(CAST(rows AS BIGINT) ORDER BY shard) AS shard_rows, CAST(sum(rows) AS BIGINT) AS total_rows,
+       CAST(count(*) AS BIGINT) AS shard_count, CAST(10000 AS BIGINT) AS rows_per_shard, CAST(1000 AS BIGINT) AS threshold_rows
+FROM per GROUP BY dataset_id""",
+)
+def q_shards(spark, sf):
+    return Q.shard_manifest(TV.csv_lineitem(spark, sf), rows_per_shard=10000, threshold_rows=1000)
+
+
+# ---------------------------------------------------------------------------
+# D: diff of monthly order counts, current vs baseline snapshot
+# ---------------------------------------------------------------------------
+
+
+def _diff_frame(spark, sf):
+    return D.diff_observations(TV.obs_orders(spark, sf, "current"), TV.obs_orders(spark, sf, "baseline"))
+
+
+_DKEY = "dataset_id, StatVar, observationAbout, observationDate, observationPeriod, measurementMethod, unit, scalingFactor"
+
+
+def _diff_sql_body() -> str:
+    k = f"""dataset_id, {dvar('variableMeasured')} AS StatVar, coalesce(trim(observationAbout), '') AS observationAbout,
+       coalesce(trim(observationDate), '') AS observationDate, coalesce(trim(observationPeriod), '') AS observationPeriod,
+       coalesce(trim(measurementMethod), '') AS measurementMethod, coalesce(trim(unit), '') AS unit,
+       coalesce(trim(scalingFactor), '') AS scalingFactor"""
+    return (
+        TV.duckdb_with("obs_orders_current", "obs_orders_baseline")
+        + f""", u AS (SELECT {k}, 'cur' AS side, TRY_CAST(value AS DOUBLE) AS num FROM obs_orders_current
+          UNION ALL SELECT {k}, 'base' AS side, TRY_CAST(value AS DOUBLE) AS num FROM obs_orders_baseline),
+g AS (SELECT {_DKEY}, max(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS in_cur, max(CASE WHEN side = 'base' THEN 1 ELSE 0 END) AS in_base,
+             list_sort(list(DISTINCT num) FILTER (WHERE side = 'cur' AND num IS NOT NULL)) AS new_num,
+             list_sort(list(DISTINCT num) FILTER (WHERE side = 'base' AND num IS NOT NULL)) AS old_num
+      FROM u GROUP BY ALL),
+diff AS (SELECT {_DKEY}, CASE WHEN in_base = 0 THEN 'ADDED' WHEN in_cur = 0 THEN 'DELETED'
+                  WHEN coalesce(new_num, []) <> coalesce(old_num, []) THEN 'MODIFIED' ELSE 'SAME' END AS status FROM g),
+differ AS (SELECT dataset_id, StatVar, CAST(count(*) FILTER (WHERE status = 'DELETED') AS BIGINT) AS DELETED,
+                  CAST(count(*) FILTER (WHERE status = 'MODIFIED') AS BIGINT) AS MODIFIED,
+                  CAST(count(*) FILTER (WHERE status = 'ADDED') AS BIGINT) AS ADDED
+           FROM diff WHERE status <> 'SAME' GROUP BY ALL),
+sizes AS (SELECT dataset_id, CAST(count(*) FILTER (WHERE status <> 'ADDED') AS BIGINT) AS previous_obs_size,
+                 CAST(count(*) FILTER (WHERE status <> 'DELETED') AS BIGINT) AS current_obs_size,
+                 CAST(count(*) FILTER (WHERE status <> 'SAME') AS BIGINT) AS obs_diff_size, false AS first_run
+          FROM diff GROUP BY ALL)
+"""
+    )
+
+
+@register("diff_status_orders", lambda: _diff_sql_body() + f"SELECT {_DKEY}, status FROM diff")
+def q_diff_status(spark, sf):
+    return _diff_frame(spark, sf).select(*D.DIFF_KEY, "dataset_id", "status")
+
+
+@register("diff_summary_orders", lambda: _diff_sql_body() + "SELECT * FROM differ")
+def q_diff_summary(spark, sf):
+    return D.diff_summary(_diff_frame(spark, sf))
+
+
+@register("diff_sizes_orders", lambda: _diff_sql_body() + "SELECT * FROM sizes")
+def q_diff_sizes(spark, sf):
+    return D.diff_sizes(_diff_frame(spark, sf))
+
+
+@register(
+    "change_totals_orders",
+    lambda: _diff_sql_body()
+    + """SELECT d.dataset_id, CAST(sum(DELETED) AS BIGINT) AS deleted, CAST(sum(MODIFIED) AS BIGINT) AS modified,
+       CAST(sum(ADDED) AS BIGINT) AS added, CAST(count(DISTINCT StatVar) AS BIGINT) AS n_statvars,
+       CAST(CASE WHEN any_value(previous_obs_size) > 0 THEN round(CAST(sum(MODIFIED) AS DECIMAL(38,10)) * 100 / CAST(any_value(previous_obs_size) AS DECIMAL(38,10)), 1) END AS DECIMAL(10,1)) AS modified_pct
+FROM differ d LEFT JOIN sizes s USING (dataset_id) GROUP BY d.dataset_id""",
+)
+def q_change_totals(spark, sf):
+    d = _diff_frame(spark, sf)
+    return D.change_totals(D.diff_summary(d), D.diff_sizes(d))
+
+
+@register(
+    "top_changed_orders",
+    lambda: _diff_sql_body()
+    + """, t AS (SELECT dataset_id, regexp_replace(StatVar, '^dcid:', '') AS name, DELETED AS deleted, MODIFIED AS modified, ADDED AS added,
+                 CAST(DELETED + MODIFIED + ADDED AS BIGINT) AS total FROM differ)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY total DESC, name) AS rank FROM t WHERE total > 0) WHERE rank <= 10""",
+)
+def q_top_changed(spark, sf):
+    return D.top_changed(D.diff_summary(_diff_frame(spark, sf)))
+
+
+def orders_tables(spark, sf) -> dict[str, DataFrame]:
+    cur = TV.obs_orders(spark, sf, "current")
+    d = D.diff_observations(cur, TV.obs_orders(spark, sf, "baseline"))
+    return {"stats": A.variable_summary(cur), "differ": D.diff_summary(d), "sizes": D.diff_sizes(d)}
+
+
+DIFFER_RULES = [r for r in DEFAULT_RULES if r["scope"]["data_source"] == "differ"]
+
+
+@register(
+    "rules_differ_orders",
+    lambda: _diff_sql_body()
+    + """, t AS (SELECT d.dataset_id, sum(DELETED) AS deleted, count(DISTINCT MODIFIED) AS nm, count(DISTINCT ADDED) AS na,
+                 any_value(previous_obs_size) AS prev FROM differ d JOIN sizes USING (dataset_id) GROUP BY 1)
+SELECT dataset_id, 'check_deleted_records_count' AS validation_name, CASE WHEN deleted > 0 THEN 'FAILED' ELSE 'PASSED' END AS status,
+       'Deleted observations: ' || deleted || ' (threshold 0).' AS message FROM t
+UNION ALL SELECT dataset_id, 'check_deleted_records_percent', CASE WHEN deleted * 100.0 / prev > 5.0 THEN 'FAILED' ELSE 'PASSED' END,
+       'Deleted observations: ' || CAST(round(CAST(deleted * 100 AS DECIMAL(38,6)) / CAST(prev AS DECIMAL(38,6)), 2) AS VARCHAR) || '% of the baseline (threshold 5%).' FROM t
+UNION ALL SELECT dataset_id, 'check_modified_records_count', CASE WHEN nm > 1 THEN 'FAILED' ELSE 'PASSED' END,
+       CASE WHEN nm > 1 THEN nm || ' distinct MODIFIED counts across StatVars.' ELSE 'MODIFIED counts are consistent across StatVars.' END FROM t
+UNION ALL SELECT dataset_id, 'check_added_records_count', CASE WHEN na > 1 THEN 'FAILED' ELSE 'PASSED' END,
+       CASE WHEN na > 1 THEN na || ' distinct ADDED counts across StatVars.' ELSE 'ADDED counts are consistent across StatVars.' END FROM t""",
+)
+def q_rules_differ(spark, sf):
+    return R.run_rules(orders_tables(spark, sf), DIFFER_RULES).select("dataset_id", "validation_name", "status", "message")
