@@ -452,7 +452,35 @@ def first_run_results(datasets: DataFrame, rule: dict) -> DataFrame:
     )
 
 
-def run_rules(tables: dict[str, DataFrame], rules: list[dict], datasets: DataFrame | None = None, include=None, skip=None) -> DataFrame:
+SMALL_TABLES = ("stats", "lint", "differ", "sizes", "granularity")
+
+
+def materialize_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Compute the aggregated rule inputs once (one row per variable / counter).
+
+    Every rule reads them, so they are checkpointed to the shared folder named
+    by ``spark.checkpoint.dir``: computed once, lineage cut, and an executor
+    loss re-reads the files instead of recomputing the whole scan.
+    """
+    from statgate.session import checkpoint_dir
+
+    out = dict(tables)
+    for name in SMALL_TABLES:
+        df = out.get(name)
+        if df is not None:
+            checkpoint_dir(df.sparkSession)
+            out[name] = df.checkpoint(eager=True)
+    return out
+
+
+def run_rules(
+    tables: dict[str, DataFrame],
+    rules: list[dict],
+    datasets: DataFrame | None = None,
+    include=None,
+    skip=None,
+    materialize: bool = True,
+) -> DataFrame:
     """One result row per (dataset, selected rule).
 
     ``tables`` holds ``stats`` (A1), ``lint`` (counters), ``differ`` (D2),
@@ -460,6 +488,8 @@ def run_rules(tables: dict[str, DataFrame], rules: list[dict], datasets: DataFra
     A rule whose tables are absent produces no row (R2 then injects FAILED);
     an unknown validator yields a WARNING row.
     """
+    if materialize:
+        tables = materialize_tables(tables)
     if datasets is None:
         datasets = tables["stats"].select("dataset_id").distinct()
     datasets = datasets.select("dataset_id").distinct()

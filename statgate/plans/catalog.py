@@ -464,3 +464,285 @@ UNION ALL SELECT dataset_id, 'check_added_records_count', CASE WHEN na > 1 THEN
 )
 def q_rules_differ(spark, sf):
     return R.run_rules(orders_tables(spark, sf), DIFFER_RULES).select("dataset_id", "validation_name", "status", "message")
+
+
+# ---------------------------------------------------------------------------
+# Lint report tables, profile, verdict
+# ---------------------------------------------------------------------------
+
+from statgate.operators import samples as S  # noqa: E402
+
+_LINT = ("obs_events", "lint_entries", "lint_counters")
+
+
+@register(
+    "lint_totals",
+    lambda: TV.duckdb_with(*_LINT)
+    + "SELECT dataset_id, level, CAST(coalesce(sum(CASE WHEN regexp_matches(count, '^[0-9]+$') THEN CAST(count AS BIGINT) END), 0) AS BIGINT) AS total FROM lint_counters GROUP BY ALL",
+)
+def q_lint_totals(spark, sf):
+    return A.lint_totals(TV.lint_counters(spark, sf))
+
+
+@register(
+    "counter_breakdown",
+    lambda: TV.duckdb_with(*_LINT)
+    + """SELECT dataset_id, level, CAST(list_position(['LEVEL_FATAL', 'LEVEL_ERROR', 'LEVEL_WARNING', 'LEVEL_INFO'], level) AS INTEGER) AS level_rank,
+       CASE WHEN level <> 'LEVEL_ERROR' THEN 'all' WHEN starts_with(counterKey, 'Existence_FailedDcCall_') THEN 'resolution' ELSE 'structural' END AS grp,
+       counterKey, count, coalesce(CASE WHEN regexp_matches(count, '^[0-9]+$') THEN CAST(count AS BIGINT) END, 0) AS count_num
+FROM lint_counters WHERE level IN ('LEVEL_FATAL', 'LEVEL_ERROR', 'LEVEL_WARNING', 'LEVEL_INFO')""",
+)
+def q_counter_breakdown(spark, sf):
+    return A.counter_breakdown(TV.lint_counters(spark, sf))
+
+
+@register(
+    "structural_lint_count",
+    lambda: TV.duckdb_with(*_LINT)
+    + """SELECT dataset_id, CAST(coalesce(sum(TRY_CAST(count AS BIGINT)), 0) AS BIGINT) AS n FROM lint_counters
+WHERE level = 'LEVEL_ERROR' AND NOT starts_with(counterKey, 'Existence_FailedDcCall_') GROUP BY ALL""",
+)
+def q_structural(spark, sf):
+    return A.structural_lint_count(TV.lint_counters(spark, sf))
+
+
+@register(
+    "lint_warnings",
+    lambda: TV.duckdb_with(*_LINT)
+    + """SELECT dataset_id, counterKey AS key, CAST(count(*) AS BIGINT) AS count FROM lint_entries
+WHERE trim(level) IN ('LEVEL_WARNING', 'WARNING') AND counterKey IS NOT NULL AND counterKey <> '' AND NOT starts_with(counterKey, 'Existence_FailedDcCall_')
+GROUP BY ALL""",
+)
+def q_lint_warnings(spark, sf):
+    return A.lint_warnings(TV.lint_entries(spark, sf))
+
+
+@register(
+    "lint_errors",
+    lambda: TV.duckdb_with(*_LINT)
+    + """SELECT dataset_id, counterKey AS key, TRY_CAST(count AS BIGINT) AS count FROM lint_counters
+WHERE level = 'LEVEL_ERROR' AND NOT starts_with(counterKey, 'Existence_FailedDcCall_')""",
+)
+def q_lint_errors(spark, sf):
+    return A.lint_errors(TV.lint_counters(spark, sf))
+
+
+@register(
+    "counters_match",
+    lambda: TV.duckdb_with(*_LINT)
+    + f""", stats AS ({_stats_sql('obs_events')})
+SELECT dataset_id, true AS ok, 'SKIPPED' AS status, CAST(sum(NumObservations) AS BIGINT) AS actual, CAST(NULL AS BIGINT) AS expected
+FROM stats GROUP BY ALL""",
+)
+def q_counters_match(spark, sf):
+    return A.counters_match(A.variable_summary(TV.obs_events(spark, sf)), TV.lint_counters(spark, sf))
+
+
+@register(
+    "key_counters",
+    lambda: TV.duckdb_with(*_LINT)
+    + f""", stats AS ({_stats_sql('obs_events')})
+SELECT dataset_id, 'TotalObservations' AS name, CAST(sum(NumObservations) AS BIGINT) AS value FROM stats GROUP BY ALL""",
+)
+def q_key_counters(spark, sf):
+    return A.key_counters(A.variable_summary(TV.obs_events(spark, sf)), TV.lint_counters(spark, sf))
+
+
+@register(
+    "dataset_profile",
+    lambda: TV.duckdb_with("obs_events", "obs_orders")
+    + f""", stats AS ({_stats_sql('obs_events')} UNION ALL {_stats_sql('obs_orders')}),
+kw AS (SELECT dataset_id, list_sort(list(DISTINCT k)) AS ks FROM stats, unnest(['Amount', 'Count', 'Index', 'Mean', 'Median', 'Percent', 'Rate', 'Ratio']) t(k)
+       WHERE contains(lower(StatVar), lower(k)) GROUP BY ALL)
+SELECT s.dataset_id, CAST(count(DISTINCT StatVar) AS BIGINT) AS num_statvars, min(MinDate) AS min_date, max(MaxDate) AS max_date,
+       (max(MaxValue) > 1000 AND abs(min(MinValue)) < 1) AS mixed_scales,
+       '[' || array_to_string(coalesce(any_value(kw.ks), []::VARCHAR[]), ', ') || ']' AS concepts
+FROM stats s LEFT JOIN kw USING (dataset_id) GROUP BY s.dataset_id""",
+)
+def q_profile(spark, sf):
+    stats = A.variable_summary(TV.obs_events(spark, sf).unionByName(TV.obs_orders(spark, sf)))
+    return A.dataset_profile(stats)
+
+
+@register(
+    "artifact_profile",
+    lambda: TV.duckdb_with("obs_orders")
+    + f""", pts AS ({dpoints('obs_orders')})
+SELECT dataset_id, CAST(count(DISTINCT StatVar) AS BIGINT) AS num_variables, count(DISTINCT unit) > 1 AS mixed_units,
+       bool_or(date IS NOT NULL AND date <> '') AS dates_present FROM pts GROUP BY ALL""",
+)
+def q_artifact_profile(spark, sf):
+    pts = W.series_points(TV.obs_orders(spark, sf)).select("dataset_id", F.col("StatVar").alias("statVarDcid"), "unit", "date")
+    return A.artifact_profile(pts)
+
+
+def _year_rules(rules):
+    return [dict(r, params=dict(r["params"], year=this_year())) if r["validator"] == "MAX_DATE_LATEST" else r for r in rules]
+
+
+def events_results(spark, sf, extra_rules=()):
+    rules = _year_rules(DEFAULT_RULES) + list(extra_rules)
+    return R.inject_missing(R.run_rules(events_tables(spark, sf), rules), rules)
+
+
+def _verdict_sql() -> str:
+    return f"""{_rules_events_sql()}""".replace("\nFROM r", "\nFROM r") 
+
+
+def _events_results_sql() -> str:
+    # the rules_events oracle, as a CTE named res
+    body = _rules_events_sql()
+    head, _, tail = body.partition("\nSELECT dataset_id, validation_name,\n  CASE")
+    return head + ",\nres AS (SELECT dataset_id, validation_name,\n  CASE" + tail + ")\n"
+
+
+@register(
+    "verdict_events",
+    lambda: _events_results_sql()
+    + """SELECT dataset_id,
+       CASE WHEN blockers > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'PASS (with ' || warnings || CASE WHEN warnings = 1 THEN ' warning)' ELSE ' warnings)' END ELSE 'PASS' END AS overall,
+       blockers, warnings, passed
+FROM (SELECT dataset_id, CAST(count(*) FILTER (WHERE status = 'FAILED') AS BIGINT) AS blockers,
+             CAST(count(*) FILTER (WHERE status = 'WARNING') AS BIGINT) AS warnings,
+             CAST(count(*) FILTER (WHERE status = 'PASSED') AS BIGINT) AS passed FROM res GROUP BY ALL)""",
+)
+def q_verdict(spark, sf):
+    return A.verdict(events_results(spark, sf))
+
+
+WARN_ONLY_EVENTS = {" Events ": ["CHECK_MAX_DATE_LATEST ", "check_unit_consistency"]}
+
+
+@register(
+    "warn_only_events",
+    lambda: _events_results_sql()
+    + """SELECT dataset_id, validation_name,
+       CASE WHEN status = 'FAILED' AND validation_name IN ('check_max_date_latest', 'check_unit_consistency') THEN 'WARNING' ELSE status END AS status
+FROM res""",
+)
+def q_warn_only(spark, sf):
+    return R.apply_warn_only(events_results(spark, sf), WARN_ONLY_EVENTS).select("dataset_id", "validation_name", "status")
+
+
+@register(
+    "blocked_events",
+    lambda: _events_results_sql() + "SELECT dataset_id, bool_or(status IN ('FAILED', 'CONFIG_ERROR')) AS blocked FROM res GROUP BY ALL",
+)
+def q_blocked(spark, sf):
+    return R.is_blocked(events_results(spark, sf))
+
+
+CUSTOM_SQL_RULES = [
+    {
+        "rule_id": "check_events_volume",
+        "validator": "SQL_VALIDATOR",
+        "scope": {"data_source": "stats"},
+        "params": {"query": "SELECT StatVar, NumObservations FROM stats", "condition": "NumObservations < 2000"},
+    },
+    {
+        "rule_id": "check_bad_column",
+        "validator": "SQL_VALIDATOR",
+        "scope": {"data_source": "stats"},
+        "params": {"query": "SELECT StatVar, NoSuchColumn FROM stats", "condition": "NoSuchColumn > 0"},
+    },
+    {"rule_id": "check_goldens_absent", "validator": "GOLDENS_CHECK", "scope": {"data_source": "stats"}, "params": {}},
+]
+
+
+@register(
+    "custom_rules_events",
+    lambda: TV.duckdb_with("obs_events")
+    + f""", stats AS ({_stats_sql('obs_events')}),
+v AS (SELECT dataset_id, count(*) FILTER (WHERE NOT (NumObservations < 2000)) AS n FROM stats GROUP BY ALL)
+SELECT dataset_id, 'check_events_volume' AS validation_name, CASE WHEN n > 0 THEN 'FAILED' ELSE 'PASSED' END AS status,
+       CASE WHEN n > 0 THEN 'Rule failed for ' || n || CASE WHEN n = 1 THEN ' StatVar.' ELSE ' StatVars.' END ELSE 'SQL validation passed.' END AS message FROM v
+UNION ALL SELECT dataset_id, 'check_bad_column', 'CONFIG_ERROR', NULL FROM v
+UNION ALL SELECT dataset_id, 'check_goldens_absent', 'FAILED',
+       'Rule did not execute — DC runner exited before producing a result. Check runner stderr for details (e.g. import errors or crashes).' FROM v""",
+)
+def q_custom_rules(spark, sf):
+    rules = CUSTOM_SQL_RULES
+    res = R.inject_missing(R.run_rules(events_tables(spark, sf), rules), rules)
+    # the analyzer's error text is engine-specific: compare the status only for CONFIG_ERROR rows
+    return res.select(
+        "dataset_id", "validation_name", "status", F.when(F.col("status") != "CONFIG_ERROR", F.col("message")).alias("message")
+    )
+
+
+@register(
+    "config_errors_events",
+    lambda: TV.duckdb_with("obs_events") + "SELECT DISTINCT dataset_id, 'check_bad_column' AS rule_id FROM obs_events",
+)
+def q_config_errors(spark, sf):
+    res = R.run_rules(events_tables(spark, sf), CUSTOM_SQL_RULES[:2])
+    return R.config_errors(res).select("dataset_id", "rule_id")
+
+
+def _samples_sql() -> str:
+    year = this_year()
+    return (
+        TV.duckdb_with("obs_events", "lint_entries", "lint_counters")
+        + f""", stats AS ({_stats_sql('obs_events')}),
+firstrec AS (SELECT dataset_id, trim(variableMeasured) AS var, arg_min(struct_pack(row := __row, location := trim(observationAbout),
+                  date := trim(observationDate), file := __file), __row) AS rec FROM obs_events GROUP BY ALL),
+units AS (SELECT dataset_id, 'check_unit_consistency' AS rule, StatVar AS statVar, NULL AS location, NULL AS date,
+                 CASE WHEN Units = '[]' THEN '(missing)' ELSE array_to_string(list_filter(list_transform(string_split(regexp_replace(Units, '^\\[|\\]*$', '', 'g'), ','), lambda x: trim(x)), lambda x: x <> ''), ', ') END AS value,
+                 'consistent units (one unit per StatVar)' AS expected, NULL AS sourceRow
+          FROM stats WHERE (SELECT count(DISTINCT Units) FROM stats) > 1),
+latest AS (SELECT DISTINCT dataset_id, 'check_max_date_latest' AS rule, NULL AS statVar, NULL AS location, NULL AS date, NULL AS value, '' AS expected, NULL AS sourceRow
+           FROM stats WHERE (SELECT substr(max(MaxDate), 1, 4) FROM stats) <> '{year}'),
+refs AS (SELECT DISTINCT dataset_id, 'check_missing_refs_count', NULL, NULL, NULL, NULL, '', NULL FROM lint_counters
+         WHERE (SELECT sum(CAST(count AS BIGINT)) FROM lint_counters WHERE regexp_matches(counterKey, '(?i)missing.*ref')) > 0),
+lint AS (SELECT DISTINCT dataset_id, 'check_structural_lint_error_count', NULL, NULL, NULL, NULL, '0 structural lint errors', NULL FROM lint_counters
+         WHERE (SELECT sum(CAST(count AS BIGINT)) FROM lint_counters WHERE level = 'LEVEL_ERROR' AND NOT starts_with(counterKey, 'Existence_FailedDcCall_')) > 0),
+vol AS (SELECT s.dataset_id, 'check_events_volume', s.StatVar, f.rec.location, f.rec.date, 'NumObservations: ' || s.NumObservations,
+               'NumObservations < 2000', f.rec.file || ':' || f.rec.row
+        FROM stats s LEFT JOIN firstrec f ON f.dataset_id = s.dataset_id AND (f.var = s.StatVar OR ends_with(f.var, ':' || s.StatVar) OR ends_with(f.var, '/' || s.StatVar))
+        WHERE NOT (s.NumObservations < 2000))
+SELECT * FROM units UNION ALL SELECT * FROM latest UNION ALL SELECT * FROM refs UNION ALL SELECT * FROM lint UNION ALL SELECT * FROM vol"""
+    )
+
+
+@register("failure_samples_events", _samples_sql)
+def q_samples(spark, sf):
+    results = events_results(spark, sf, CUSTOM_SQL_RULES[:1])
+    stats = A.variable_summary(TV.obs_events(spark, sf))
+    s = S.failure_samples(results)
+    s = S.expand_units(S.enrich_samples(s, TV.obs_events(spark, sf)), stats)
+    return s.select("dataset_id", "rule", "statVar", "location", "date", "value", "expected", "sourceRow")
+
+
+@register(
+    "top_lint",
+    lambda: TV.duckdb_with(*_LINT)
+    + """, e AS (SELECT dataset_id, CASE level WHEN 'LEVEL_ERROR' THEN 0 WHEN 'LEVEL_WARNING' THEN 1 WHEN 'LEVEL_INFO' THEN 2 ELSE 3 END AS lvl,
+                 coalesce(file, '') AS file, coalesce(TRY_CAST(lineNumber AS BIGINT), 0) AS line, level, counterKey, userMessage,
+                 starts_with(coalesce(counterKey, ''), 'Existence_FailedDcCall_') AS resolution FROM lint_entries),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, resolution ORDER BY lvl, file, line, counterKey, userMessage) AS rank FROM e),
+s AS (SELECT * FROM r WHERE NOT resolution AND rank <= 5),
+ns AS (SELECT dataset_id, count(*) AS ns FROM s GROUP BY 1),
+x AS (SELECT *, 0 AS grp FROM s UNION ALL
+      SELECT r.*, 1 FROM r LEFT JOIN ns USING (dataset_id) WHERE resolution AND rank <= 10 - coalesce(ns, 0))
+SELECT dataset_id, CAST(grp * 100 + rank AS INTEGER) AS position, file, line, regexp_replace(level, '^LEVEL_', '') AS level, counterKey,
+       CASE WHEN length(coalesce(userMessage, '')) > 120 THEN substr(userMessage, 1, 117) || '...' ELSE coalesce(userMessage, '') END AS message
+FROM x""",
+)
+def q_top_lint(spark, sf):
+    return S.top_lint(TV.lint_entries(spark, sf))
+
+
+@register(
+    "goldens_check_orders",
+    lambda: TV.duckdb_with("obs_orders_current", "obs_orders_baseline")
+    + """, m AS (SELECT DISTINCT dataset_id, variableMeasured, observationAbout, observationDate FROM obs_orders_baseline
+           EXCEPT SELECT dataset_id, variableMeasured, observationAbout, observationDate FROM obs_orders_current)
+SELECT 'orders' AS dataset_id, 'check_goldens' AS validation_name, CASE WHEN count(*) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status,
+       CASE WHEN count(*) > 0 THEN 'Found ' || count(*) || CASE WHEN count(*) = 1 THEN ' missing golden record.' ELSE ' missing golden records.' END
+            ELSE 'All golden records found.' END AS message FROM m""",
+)
+def q_goldens(spark, sf):
+    cur = TV.obs_orders(spark, sf, "current")
+    goldens = TV.obs_orders(spark, sf, "baseline").select("dataset_id", "variableMeasured", "observationAbout", "observationDate").distinct()
+    rule = {"rule_id": "check_goldens", "validator": "GOLDENS_CHECK", "scope": {"data_source": "stats"}, "params": {}}
+    tables = {"stats": A.variable_summary(cur), "goldens": goldens, "obs": cur}
+    return R.run_rules(tables, [rule]).select("dataset_id", "validation_name", "status", "message")
