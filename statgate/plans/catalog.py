@@ -746,3 +746,170 @@ def q_goldens(spark, sf):
     rule = {"rule_id": "check_goldens", "validator": "GOLDENS_CHECK", "scope": {"data_source": "stats"}, "params": {}}
     tables = {"stats": A.variable_summary(cur), "goldens": goldens, "obs": cur}
     return R.run_rules(tables, [rule]).select("dataset_id", "validation_name", "status", "message")
+
+
+# ---------------------------------------------------------------------------
+# T: template / node review over part-derived node triples
+# ---------------------------------------------------------------------------
+
+from statgate.operators import review as T  # noqa: E402
+
+_HDR = "hdr AS (SELECT 'parts' AS dataset_id, * FROM (VALUES (1, 'p_partkey'), (2, 'p_name'), (3, 'p_brand'), (4, 'p_type'), (5, 'p_size'), (6, 'p_retailprice')) h(ord, name))"
+_NP = """np AS (SELECT dataset_id, file, node_line, node,
+       max(CASE WHEN prop = 'typeOf' THEN value END) AS typeOf, max(CASE WHEN prop = 'variableMeasured' THEN value END) AS variableMeasured,
+       max(CASE WHEN prop = 'observationAbout' THEN value END) AS observationAbout, max(CASE WHEN prop = 'observationDate' THEN value END) AS observationDate,
+       max(CASE WHEN prop = 'populationType' THEN value END) AS populationType, max(CASE WHEN prop = 'measuredProperty' THEN value END) AS measuredProperty,
+       max(CASE WHEN prop = 'unit' THEN value END) AS unit, max(CASE WHEN prop = 'statType' THEN value END) AS statType,
+       max(CASE WHEN prop = 'measurementDenominator' THEN value END) AS measurementDenominator
+     FROM nodes_parts GROUP BY ALL)"""
+
+
+def _parts_headers(spark, sf):
+    return TV.csv_header(TV.table(spark, sf, "part"), "parts", "parts.csv", TV.PART_COLUMNS)
+
+
+def _t1_t2_sql() -> str:
+    return f""", refs AS (SELECT dataset_id, trim(regexp_extract(value, 'C:[^>]+->(.+)$', 1)) AS ref, node_line FROM nodes_parts),
+r AS (SELECT dataset_id, ref, min(node_line) AS first_line FROM refs WHERE ref <> '' GROUP BY ALL),
+{_HDR},
+t1 AS (SELECT dataset_id, 'schema' AS type, 'Column reference ''' || ref || ''' does not exist in CSV header (case-sensitive).' AS message,
+              'blocker' AS severity, CAST(first_line AS BIGINT) AS ord FROM r WHERE ref NOT IN (SELECT name FROM hdr)),
+un AS (SELECT h.*, row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS rk, count(*) OVER (PARTITION BY dataset_id) AS n
+       FROM hdr h WHERE name NOT IN (SELECT ref FROM r)),
+t2 AS (SELECT dataset_id, 'unused_column' AS type, 'CSV column ''' || name || ''' is not referenced in the TMCF (unused column).' AS message,
+              'warning' AS severity, CAST(rk AS BIGINT) AS ord FROM un WHERE rk <= 10
+       UNION ALL SELECT dataset_id, 'unused_column', '… and ' || (n - 10) || ' more unused CSV columns.', 'warning', 11 FROM un WHERE rk = 1 AND n > 10)
+"""
+
+
+@register("review_column_refs", lambda: TV.duckdb_with("nodes_parts") + _t1_t2_sql() + "SELECT * FROM t1 UNION ALL SELECT * FROM t2")
+def q_review_refs(spark, sf):
+    nodes, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
+    out = T.column_refs_missing(nodes, hdr).unionByName(T.unused_columns(nodes, hdr))
+    return out.select("dataset_id", "type", "message", "severity", "ord")
+
+
+def _node_checks_sql() -> str:
+    return (
+        TV.duckdb_with("nodes_parts")
+        + f""", {_NP},
+obs AS (SELECT * FROM np WHERE contains(lower(coalesce(typeOf, '')), 'statvarobservation')),
+t3 AS (SELECT dataset_id, file, node_line AS line, 'missing_required_property' AS type, 'StatVarObservation node is missing ''variableMeasured''.' AS message, 'warning' AS severity FROM obs WHERE coalesce(trim(variableMeasured), '') = ''
+       UNION ALL SELECT dataset_id, file, node_line, 'missing_required_property', 'StatVarObservation node is missing ''observationAbout''.', 'warning' FROM obs WHERE coalesce(trim(observationAbout), '') = ''
+       UNION ALL SELECT dataset_id, file, node_line, 'missing_required_property', 'StatVarObservation node is missing ''observationDate''.', 'warning' FROM obs WHERE coalesce(trim(observationDate), '') = ''),
+t5 AS (SELECT dataset_id, file, node_line, 'format', 'observationDate literal ''' || trim(value) || ''' does not match ISO 8601 (use YYYY, YYYY-MM, or YYYY-MM-DD).', 'warning'
+       FROM nodes_parts WHERE lower(prop) = 'observationdate' AND NOT starts_with(trim(value), 'C:') AND NOT regexp_matches(trim(value), '^[0-9]{{4}}(-[0-9]{{2}}(-[0-9]{{2}})?)?$')),
+sv AS (SELECT * FROM np WHERE contains(lower(trim(coalesce(typeOf, ''))), 'statisticalvariable')),
+t8 AS (SELECT dataset_id, file, node_line, 'mcf_required', 'Missing or empty ''populationType'' for StatVar node.', 'warning' FROM sv WHERE coalesce(trim(populationType), '') = ''
+       UNION ALL SELECT dataset_id, file, node_line, 'mcf_required', 'Missing or empty ''measuredProperty'' for StatVar node.', 'warning' FROM sv WHERE coalesce(trim(measuredProperty), '') = ''),
+t9 AS (SELECT dataset_id, file, node_line, 'missing_measurement_denominator',
+              'Consider adding measurementDenominator for percent/rate StatVar ''' ||
+              CASE WHEN coalesce(node, '') <> '' THEN {dvar('node')} ELSE 'line ' || node_line END || ''' to improve semantic clarity.', 'warning'
+       FROM np WHERE (contains(lower(coalesce(unit, '')), 'percent') OR contains(lower(coalesce(statType, '')), 'rate') OR contains(lower(coalesce(measuredProperty, '')), 'rate'))
+         AND replace(lower({dvar("coalesce(statType, '')")}), '-', '_') NOT IN ('growthrate', 'growth_rate', 'changerate', 'change_rate', 'rateofchange', 'rate_of_change')
+         AND coalesce(trim(measurementDenominator), '') = '')
+SELECT * FROM t3 UNION ALL SELECT * FROM t5 UNION ALL SELECT * FROM t8 UNION ALL SELECT * FROM t9"""
+    )
+
+
+@register("review_node_checks", _node_checks_sql)
+def q_review_nodes(spark, sf):
+    n = TV.nodes_parts(spark, sf)
+    out = T.missing_observation_props(n).unionByName(T.bad_date_literals(n)).unionByName(T.missing_variable_props(n)).unionByName(T.missing_denominator(n))
+    return out.select("dataset_id", "file", "line", "type", "message", "severity")
+
+
+def _gen_vars_sql() -> str:
+    return (
+        TV.duckdb_with("nodes_parts")
+        + f""", vm AS (SELECT dataset_id, trim(value) AS v FROM nodes_parts WHERE prop = 'variableMeasured'),
+cols AS (SELECT DISTINCT dataset_id, regexp_extract(v, '->\\s*([^\\s#]+)', 1) AS col FROM vm WHERE starts_with(v, 'C:') AND contains(v, '->')),
+vals AS (SELECT 'parts' AS dataset_id, 'p_type' AS col, trim(p_type) AS val FROM part UNION ALL SELECT 'parts', 'p_name', trim(p_name) FROM part
+         UNION ALL SELECT 'parts', 'p_brand', trim(p_brand) FROM part),
+vars AS (SELECT DISTINCT dataset_id, variable FROM (
+           SELECT dataset_id, {dvar('v')} AS variable FROM vm WHERE NOT starts_with(v, 'C:')
+           UNION ALL SELECT dataset_id, {dvar('val')} FROM vals JOIN cols USING (dataset_id, col) WHERE val <> '') WHERE variable <> '')
+"""
+    )
+
+
+@register("review_generated_variables", lambda: _gen_vars_sql() + "SELECT * FROM vars")
+def q_gen_vars(spark, sf):
+    return T.generated_variables(TV.nodes_parts(spark, sf), TV.parts_csv(spark, sf))
+
+
+@register(
+    "review_bad_variable_ids",
+    lambda: _gen_vars_sql()
+    + """SELECT dataset_id, 'format' AS type, 'StatVar DCID ''' || variable || ''' does not match required format (UpperCamelCase segments separated by underscores; decimals like 1.38 allowed).' AS message
+FROM vars WHERE NOT regexp_matches(variable, '^[A-Z0-9]([A-Za-z0-9]|\\.[0-9]+)*(_[A-Z0-9]([A-Za-z0-9]|\\.[0-9]+)*)*$')""",
+)
+def q_bad_ids(spark, sf):
+    v = T.generated_variables(TV.nodes_parts(spark, sf), TV.parts_csv(spark, sf))
+    return T.bad_variable_ids(v).select("dataset_id", "type", "message")
+
+
+@register(
+    "review_undefined_variables",
+    lambda: _gen_vars_sql()
+    + f"""SELECT dataset_id, 'unknown_statvar' AS type, 'StatVar ''' || variable || ''' is not defined in the provided node files.' AS message
+FROM vars WHERE variable NOT IN (SELECT {dvar('node')} FROM nodes_parts)""",
+)
+def q_undefined(spark, sf):
+    n = TV.nodes_parts(spark, sf)
+    v = T.generated_variables(n, TV.parts_csv(spark, sf))
+    return T.undefined_variables(v, n).select("dataset_id", "type", "message")
+
+
+@register(
+    "review_structural",
+    lambda: TV.duckdb_with("nodes_parts")
+    + """, per AS (SELECT dataset_id, file, node_line, node, prop, count(*) AS n FROM nodes_parts GROUP BY ALL),
+ni AS (SELECT dataset_id, file, node_line, coalesce(sum(n) FILTER (WHERE prop = 'typeOf'), 0) AS n_type FROM per GROUP BY ALL),
+ty AS (SELECT dataset_id, file, node_line, bool_or(contains(lower(value), 'statvarobservation')) AS is_obs,
+              bool_or(regexp_matches(value, '^\\s*StatVarObservation\\s*$')) AS no_prefix FROM nodes_parts WHERE prop = 'typeOf' GROUP BY ALL)
+SELECT dataset_id, file, node_line AS line, 'duplicate' AS type, 'Property ''' || prop || ''' appears ' || n || ' times in node.' AS message FROM per WHERE n > 1 AND prop <> 'typeOf'
+UNION ALL SELECT dataset_id, file, node_line, 'schema', 'Node has no typeOf.' FROM ni WHERE n_type = 0
+UNION ALL SELECT dataset_id, file, node_line, 'schema', 'Node has more than one typeOf.' FROM ni WHERE n_type > 1
+UNION ALL SELECT n.dataset_id, n.file, n.node_line, 'naming', 'Non-standard property ''' || prop || ''' on StatVarObservation node.'
+  FROM nodes_parts n JOIN ty USING (dataset_id, file, node_line) WHERE is_obs AND prop NOT IN ('typeOf', 'variableMeasured', 'observationAbout',
+       'observationDate', 'value', 'unit', 'measurementMethod', 'observationPeriod', 'scalingFactor')
+UNION ALL SELECT dataset_id, file, node_line, 'namespace', 'typeOf StatVarObservation lacks the dcs: prefix.' FROM ty WHERE no_prefix""",
+)
+def q_structural_nodes(spark, sf):
+    return T.structural_node_lint(TV.nodes_parts(spark, sf)).select("dataset_id", "file", "line", "type", "message")
+
+
+@register(
+    "review_merged",
+    lambda: TV.duckdb_with("nodes_parts")
+    + _t1_t2_sql()
+    + f""", {_NP},
+obs AS (SELECT * FROM np WHERE contains(lower(coalesce(typeOf, '')), 'statvarobservation')),
+t3 AS (SELECT dataset_id, file, node_line AS line, 'missing_required_property' AS type, 'StatVarObservation node is missing ''variableMeasured''.' AS message, node_line * 10 AS ord FROM obs WHERE coalesce(trim(variableMeasured), '') = ''
+       UNION ALL SELECT dataset_id, file, node_line, 'missing_required_property', 'StatVarObservation node is missing ''observationAbout''.', node_line * 10 + 1 FROM obs WHERE coalesce(trim(observationAbout), '') = ''
+       UNION ALL SELECT dataset_id, file, node_line, 'missing_required_property', 'StatVarObservation node is missing ''observationDate''.', node_line * 10 + 2 FROM obs WHERE coalesce(trim(observationDate), '') = ''),
+p AS (SELECT dataset_id, NULL AS file, NULL AS line, type, message, ord, 0 AS grp FROM t1),
+np1 AS (SELECT dataset_id, count(*) AS np FROM p GROUP BY 1),
+s AS (SELECT t3.dataset_id, file, line, type, message, ord, 1 AS grp, row_number() OVER (PARTITION BY t3.dataset_id ORDER BY ord, file, message) AS rk, np
+      FROM t3 LEFT JOIN np1 USING (dataset_id)),
+b AS (SELECT * FROM p UNION ALL SELECT dataset_id, file, line, type, message, ord, grp FROM s WHERE rk <= greatest(0, 25 - coalesce(np, 0))),
+d AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, type, regexp_replace(trim(message), '\\s+', ' ', 'g'), coalesce(file, '') ORDER BY grp, ord, line) AS k FROM b)
+SELECT dataset_id, file, CAST(line AS BIGINT) AS line, type, message, CAST(ord AS BIGINT) AS ord, grp FROM d WHERE k = 1""",
+)
+def q_review_merged(spark, sf):
+    n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
+    m = T.merge_issues(T.column_refs_missing(n, hdr), T.missing_observation_props(n), cap=25)
+    return m.select("dataset_id", "file", "line", "type", "message", "ord", F.col("grp").cast("int").alias("grp"))
+
+
+@register(
+    "review_severity",
+    lambda: TV.duckdb_with("nodes_parts")
+    + _t1_t2_sql()
+    + "SELECT type, CASE WHEN type IN ('typo', 'schema', 'unknown_statvar', 'duplicate', 'required', 'namespace') THEN 'blocker' ELSE 'warning' END AS severity, message FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)",
+)
+def q_review_severity(spark, sf):
+    n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
+    issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr)).withColumn("severity", F.lit("info"))
+    return T.normalize_severity(issues).select("type", "severity", "message")

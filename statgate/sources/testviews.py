@@ -165,6 +165,74 @@ def lint_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PART_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+def nodes_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> node triples of a template (small parts) and a variable file (large parts).
+
+    Some properties are left out or malformed by rules on the part key, so
+    every review check has findings.
+    """
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    is_obs = F.col("p_size") <= 25
+
+    def t(prop, value):
+        return F.struct(F.lit(prop).alias("prop"), value.alias("value"))
+
+    obs_props = F.array(
+        t("typeOf", F.when(k % 29 == 0, F.lit("StatVarObservation")).otherwise(F.lit("dcs:StatVarObservation"))),
+        t(
+            "variableMeasured",
+            F.when(k % 7 == 0, F.lit(None))
+            .when(k % 3 == 0, F.lit("C:parts->p_type"))
+            .when(k % 9 == 1, F.concat(F.lit("dcs:count part "), F.lower("p_type")))
+            .otherwise(F.concat(F.lit("dcs:Count_Part_"), F.col("p_type"))),
+        ),
+        t("observationAbout", F.when(k % 11 == 0, F.lit(None)).when(k % 5 == 0, F.lit("C:parts->brand")).otherwise(F.lit("C:parts->p_brand"))),
+        t(
+            "observationDate",
+            F.when(k % 13 == 0, F.concat(F.lit("2024/"), F.col("p_size").cast("string")))
+            .when(k % 4 == 0, F.lit("2024"))
+            .otherwise(F.lit("C:parts->p_size")),
+        ),
+        t("value", F.when(k % 17 == 0, F.lit(None)).otherwise(F.lit("C:parts->p_retailprice"))),
+        t("observationPerod", F.when(k % 31 == 0, F.lit("P1Y"))),
+    )
+    var_props = F.array(
+        t("typeOf", F.when(k % 19 == 0, F.lit(None)).otherwise(F.lit("dcs:StatisticalVariable"))),
+        t("populationType", F.when(k % 7 == 0, F.lit(None)).otherwise(F.lit("dcs:Part"))),
+        t("populationType", F.when(k % 23 == 0, F.lit("dcs:Thing"))),
+        t("measuredProperty", F.when(k % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("dcs:"), F.lower(F.translate("p_brand", "#", ""))))),
+        t(
+            "statType",
+            F.when(F.col("p_type") == "PROMO", F.lit("dcs:growthRate"))
+            .when(F.col("p_type") == "SMALL", F.lit("dcs:incidenceRate"))
+            .otherwise(F.lit("dcs:measuredValue")),
+        ),
+        t("unit", F.when(F.col("p_type") == "LARGE", F.lit("dcs:Percent"))),
+        t("measurementDenominator", F.when(k % 2 == 0, F.lit("dcid:Count_Part"))),
+        t("name", F.col("p_name")),
+    )
+    rows = p.select(
+        F.lit("parts").alias("dataset_id"),
+        F.when(is_obs, F.lit("parts_output.tmcf")).otherwise(F.lit("parts_stat_vars.mcf")).alias("file"),
+        (k * 8 + 1).alias("node_line"),
+        F.when(is_obs, F.concat(F.lit("E:parts->E"), k.cast("string")))
+        .otherwise(F.concat(F.lit("dcid:Count_Part_"), F.col("p_type"), F.lit("_"), k.cast("string")))
+        .alias("node"),
+        F.explode(F.when(is_obs, obs_props).otherwise(var_props)).alias("t"),
+    )
+    return rows.where(F.col("t.value").isNotNull()).select("dataset_id", "file", "node_line", "node", "t.prop", "t.value")
+
+
+def parts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as the CSV the template maps (string cells)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.lit("parts").alias("dataset_id"), *[F.col(c).cast("string").alias(c) for c in PART_COLUMNS])
+
+
 # ---------------------------------------------------------------------------
 # DuckDB twins (used verbatim inside oracle SQL as CTEs).
 # ---------------------------------------------------------------------------
@@ -213,6 +281,29 @@ SELECT 'events' AS dataset_id,
        'Value ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ' at ' || props AS userMessage,
        'events.csv' AS file, CAST(event_id + 2 AS VARCHAR) AS lineNumber
 FROM events""",
+    "nodes_parts": """
+SELECT 'parts' AS dataset_id, CASE WHEN p_size <= 25 THEN 'parts_output.tmcf' ELSE 'parts_stat_vars.mcf' END AS file,
+       p_partkey * 8 + 1 AS node_line,
+       CASE WHEN p_size <= 25 THEN 'E:parts->E' || p_partkey ELSE 'dcid:Count_Part_' || p_type || '_' || p_partkey END AS node,
+       t.prop AS prop, t.value AS value
+FROM part, unnest(CASE WHEN p_size <= 25 THEN [
+    {'prop': 'typeOf', 'value': CASE WHEN p_partkey % 29 = 0 THEN 'StatVarObservation' ELSE 'dcs:StatVarObservation' END},
+    {'prop': 'variableMeasured', 'value': CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'C:parts->p_type'
+         WHEN p_partkey % 9 = 1 THEN 'dcs:count part ' || lower(p_type) ELSE 'dcs:Count_Part_' || p_type END},
+    {'prop': 'observationAbout', 'value': CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'C:parts->brand' ELSE 'C:parts->p_brand' END},
+    {'prop': 'observationDate', 'value': CASE WHEN p_partkey % 13 = 0 THEN '2024/' || p_size WHEN p_partkey % 4 = 0 THEN '2024' ELSE 'C:parts->p_size' END},
+    {'prop': 'value', 'value': CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE 'C:parts->p_retailprice' END},
+    {'prop': 'observationPerod', 'value': CASE WHEN p_partkey % 31 = 0 THEN 'P1Y' END}]
+  ELSE [
+    {'prop': 'typeOf', 'value': CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE 'dcs:StatisticalVariable' END},
+    {'prop': 'populationType', 'value': CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'dcs:Part' END},
+    {'prop': 'populationType', 'value': CASE WHEN p_partkey % 23 = 0 THEN 'dcs:Thing' END},
+    {'prop': 'measuredProperty', 'value': CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'dcs:' || lower(replace(p_brand, '#', '')) END},
+    {'prop': 'statType', 'value': CASE WHEN p_type = 'PROMO' THEN 'dcs:growthRate' WHEN p_type = 'SMALL' THEN 'dcs:incidenceRate' ELSE 'dcs:measuredValue' END},
+    {'prop': 'unit', 'value': CASE WHEN p_type = 'LARGE' THEN 'dcs:Percent' END},
+    {'prop': 'measurementDenominator', 'value': CASE WHEN p_partkey % 2 = 0 THEN 'dcid:Count_Part' END},
+    {'prop': 'name', 'value': p_name}] END) AS u(t)
+WHERE t.value IS NOT NULL""",
     "lint_counters": """
 SELECT dataset_id, level, counterKey, CAST(count(*) AS VARCHAR) AS count FROM lint_entries GROUP BY ALL""",
 }
