@@ -913,3 +913,106 @@ def q_review_severity(spark, sf):
     n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
     issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr)).withColumn("severity", F.lit("info"))
     return T.normalize_severity(issues).select("type", "severity", "message")
+
+
+# ---------------------------------------------------------------------------
+# B: bulk folder discovery over a page-derived object listing
+# ---------------------------------------------------------------------------
+
+from statgate.operators import bulk as B  # noqa: E402
+from statgate.streaming import run_events as P  # noqa: E402
+
+_CLASSIFY_SQL = """, f AS (SELECT substr(path, 6) AS rel, path, size FROM listing WHERE starts_with(path, 'root/')),
+d AS (SELECT split_part(rel, '/', 1) AS folder, substr(rel, strpos(rel, '/') + 1) AS base, path, size FROM f WHERE contains(rel, '/') AND NOT ends_with(rel, '/')),
+dd AS (SELECT folder, lower(base) AS b, max(path) AS path, max(size) AS size FROM d WHERE NOT contains(base, '/') GROUP BY ALL),
+k AS (SELECT *, CASE WHEN b = 'validation_config.json' THEN 'config'
+                     WHEN ends_with(b, '_stat_vars_schema.mcf') OR b = 'stat_vars_schema.mcf' THEN 'schema'
+                     WHEN ends_with(b, '_stat_vars.mcf') OR b = 'stat_vars.mcf' THEN 'statvars'
+                     WHEN ends_with(b, '_output.tmcf') THEN 'tmcf' WHEN ends_with(b, '_output.csv') THEN 'csv' END AS kind FROM dd),
+g AS (SELECT folder, coalesce(list_sort(list(b) FILTER (WHERE kind = 'tmcf')), []) AS tmcfs, coalesce(list_sort(list(b) FILTER (WHERE kind = 'csv')), []) AS csvs,
+             coalesce(list_sort(list(b) FILTER (WHERE kind = 'statvars')), []) AS statvars, coalesce(list_sort(list(b) FILTER (WHERE kind = 'schema')), []) AS schemas,
+             max(path) FILTER (WHERE kind = 'config') AS config, map_from_entries(list(struct_pack(k := b, v := path))) AS paths FROM k GROUP BY folder),
+c AS (SELECT *, tmcfs[1] AS tmcf, substr(tmcfs[1], 1, length(tmcfs[1]) - 5) || '.csv' AS expected_csv,
+             paths[substr(tmcfs[1], 1, length(tmcfs[1]) - 5) || '.csv'] AS csv_path FROM g),
+r AS (SELECT *, CASE WHEN len(statvars) > 1 THEN 'multiple *_stat_vars.mcf files (' || array_to_string(statvars, ', ') || ')'
+                     WHEN len(schemas) > 1 THEN 'multiple *_stat_vars_schema.mcf files (' || array_to_string(schemas, ', ') || ')'
+                     WHEN len(tmcfs) = 0 THEN 'missing *_output.tmcf (exactly one required)'
+                     WHEN len(tmcfs) > 1 THEN 'multiple *_output.tmcf files (' || array_to_string(tmcfs, ', ') || ')'
+                     WHEN len(csvs) > 1 THEN 'multiple *_output.csv files (' || array_to_string(csvs, ', ') || ')'
+                     WHEN csv_path IS NULL AND len(csvs) > 0 THEN 'no *_output.csv matching ' || tmcf || ' (found ' || csvs[1] || ' instead)'
+                     WHEN csv_path IS NULL THEN 'no matching *_output.csv for ' || tmcf END AS reason FROM c),
+slug AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(folder)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '', '') AS s0 FROM r),
+cls AS (SELECT folder,
+       CASE WHEN reason IS NULL THEN CASE WHEN length(regexp_replace(substr(s0, 1, 48), '-+$', '')) < 3 THEN 'ds-' || substr(sha256(trim(folder)), 1, 8)
+            ELSE regexp_replace(substr(s0, 1, 48), '-+$', '') END END AS dataset_id,
+       CASE WHEN reason IS NULL THEN csv_path END AS csv, CASE WHEN reason IS NULL THEN paths[tmcf] END AS tmcf,
+       CASE WHEN reason IS NULL THEN coalesce(paths[statvars[1]], '') END AS statvars, CASE WHEN reason IS NULL THEN coalesce(paths[schemas[1]], '') END AS schema,
+       CASE WHEN reason IS NULL THEN coalesce(config, '') END AS config, reason FROM slug)
+"""
+
+
+@register("bulk_classify", lambda: TV.duckdb_with("listing") + _CLASSIFY_SQL + "SELECT * FROM cls")
+def q_bulk_classify(spark, sf):
+    return B.classify_folders(TV.listing_pages(spark, sf), "root")
+
+
+@register(
+    "bulk_csv_bytes",
+    lambda: TV.duckdb_with("listing") + _CLASSIFY_SQL
+    + "SELECT folder, dataset_id, CAST(coalesce(sum(size), 0) AS BIGINT) AS csv_total_bytes FROM cls LEFT JOIN listing ON listing.path = cls.csv WHERE reason IS NULL GROUP BY ALL",
+)
+def q_bulk_bytes(spark, sf):
+    listing = TV.listing_pages(spark, sf)
+    return B.csv_bytes(listing, B.classify_folders(listing, "root"))
+
+
+@register(
+    "bulk_outcome",
+    lambda: TV.duckdb_with("listing") + _CLASSIFY_SQL
+    + """, dec AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY dataset_id, reason IS NULL ORDER BY folder) = 1 THEN 'submit' ELSE 'skipped' END AS action FROM cls),
+a AS (SELECT CAST(count(*) AS BIGINT) AS found, CAST(count(*) FILTER (WHERE action = 'submit') AS BIGINT) AS runnable, CAST(count(*) FILTER (WHERE action = 'skipped') AS BIGINT) AS skipped FROM dec)
+SELECT CASE WHEN found = 0 THEN 'empty_root' WHEN runnable > 0 THEN 'ok' ELSE 'no_runnable' END AS code,
+       CASE WHEN found = 0 THEN 'No dataset folders found under this path.' WHEN runnable > 0 THEN ''
+            ELSE 'No runnable dataset folders discovered. Every folder was skipped — see reasons below.' END AS message,
+       found, runnable AS submitted, skipped FROM a""",
+)
+def q_bulk_outcome(spark, sf):
+    return B.bulk_outcome(B.dedupe_datasets(B.classify_folders(TV.listing_pages(spark, sf), "root")))
+
+
+# ---------------------------------------------------------------------------
+# P: run-event parsing and status replay over event-derived run logs
+# ---------------------------------------------------------------------------
+
+
+@register(
+    "run_events_parse",
+    lambda: TV.duckdb_with("run_events_expected")
+    + "SELECT run_id, seq, kind, step_index, substep_id, failure_code, message, status, exit_code FROM run_events_expected",
+)
+def q_run_parse(spark, sf):
+    return P.parse_events(TV.run_lines(spark, sf)).select(
+        "run_id", "seq", "kind", "step_index", "substep_id", "failure_code", "message", "status", "exit_code"
+    )
+
+
+@register(
+    "run_status_replay",
+    lambda: TV.duckdb_with("run_events_expected")
+    + """, e AS (SELECT * FROM run_events_expected WHERE kind NOT IN ('rejected', 'ignored'))
+SELECT run_id,
+  coalesce(arg_max(status, seq) FILTER (WHERE kind = 'run_finished'),
+           CASE WHEN bool_or(kind IN ('progress', 'legacy_step', 'failure', 'legacy_failure')) THEN 'running' END, 'starting') AS status,
+  CAST(max(step_index) FILTER (WHERE kind IN ('progress', 'legacy_step')) AS INTEGER) AS step_index,
+  arg_max_null(substep_id, struct_pack(a := step_index, b := seq)) FILTER (WHERE kind IN ('progress', 'legacy_step')) AS substep_id,
+  arg_max(exit_code, seq) FILTER (WHERE kind = 'run_finished') AS exit_code,
+  arg_max(failure_code, seq) FILTER (WHERE kind IN ('failure', 'legacy_failure')) AS failure_code,
+  arg_max(message, seq) FILTER (WHERE kind IN ('failure', 'legacy_failure')) AS failure_message,
+  CAST(arg_max(step_index, seq) FILTER (WHERE kind IN ('failure', 'legacy_failure') AND step_index IS NOT NULL) AS INTEGER) AS failure_step_index,
+  max(seq) AS last_seq
+FROM e GROUP BY run_id""",
+)
+def q_run_replay(spark, sf):
+    return P.replay_status(P.parse_events(TV.run_lines(spark, sf))).select(
+        "run_id", "status", "step_index", "substep_id", "exit_code", "failure_code", "failure_message", "failure_step_index", "last_seq"
+    )

@@ -233,6 +233,67 @@ def parts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.lit("parts").alias("dataset_id"), *[F.col(c).cast("string").alias(c) for c in PART_COLUMNS])
 
 
+# Fixed listing names: file name of a page by page_id % 7.
+LISTING_NAMES = [
+    "data_output.tmcf", "data_output.csv", "data_stat_vars.mcf", "other_output.csv", "notes.csv", "sub/data.csv", "extra_output.tmcf",
+]
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages -> an object listing: folder = URL host, file by page_id % 7, size = html length."""
+    p = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "://([^/]+)", 1)
+    name = F.element_at(F.array(*[F.lit(n) for n in LISTING_NAMES]), (F.col("page_id") % 7 + 1).cast("int"))
+    return p.select(F.concat(F.lit("root/"), host, F.lit("/"), name).alias("path"), F.length("html").cast("bigint").alias("size"))
+
+
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> run-log envelopes (run_id, seq, line) covering every line kind."""
+    from statgate.streaming.run_events import STEPS
+
+    e = table(spark, sf_dir, "events")
+    s = (F.col("event_id") % 6).cast("int")
+    sid = F.element_at(F.array(*[F.lit(x[1]) for x in STEPS]), s + 1)
+    lab = F.element_at(F.array(*[F.lit(x[2]) for x in STEPS]), s + 1)
+    tok = F.element_at(F.array(*[F.lit(x[3]) for x in STEPS]), s + 1)
+    mark = F.element_at(F.array(*[F.lit(x[4]) for x in STEPS]), s + 1)
+    eid = F.col("event_id")
+    progress = F.to_json(
+        F.struct(
+            F.lit(1).alias("v"), F.lit("progress").alias("t"), sid.alias("step_id"), s.alias("step_index"), lab.alias("step_label"),
+            F.when(eid % 4 == 0, F.concat(F.lit("sub"), (eid % 3).cast("string"))).alias("substep_id"),
+        )
+    )
+
+    def failure(step_index):
+        return F.to_json(
+            F.struct(
+                F.lit(1).alias("v"), F.lit("failure").alias("t"), F.concat(F.lit("E"), (eid % 7).cast("string")).alias("failure_code"),
+                sid.alias("step_id"), step_index.alias("step_index"), lab.alias("step_label"),
+                F.concat(F.lit("failed at "), eid.cast("string")).alias("message"), (eid % 5).alias("limit"),
+            )
+        )
+
+    status = F.element_at(F.array(F.lit("succeeded"), F.lit("failed"), F.lit("cancelled")), (eid % 3 + 1).cast("int"))
+    finished = F.to_json(
+        F.struct(
+            F.lit(1).alias("v"), F.lit("run_finished").alias("t"), status.alias("status"), (eid % 3).alias("exit_code"),
+            F.when(eid % 8 == 0, F.lit(1)).alias("extra"),
+        )
+    )
+    code = F.when(eid % 4 == 0, F.lit("CSV_SPLIT_FAILED")).otherwise(F.concat(F.lit("LEGACY_"), (eid % 4).cast("string")))
+    legacy = F.to_json(F.struct(F.lit("failure").alias("t"), code.alias("code"), F.concat(F.lit("legacy "), eid.cast("string")).alias("message"), tok.alias("step")))
+    et = F.col("event_type")
+    line = (
+        F.when(et == "view", progress)
+        .when(et == "click", mark)
+        .when(et == "error", F.when(eid % 10 == 0, failure(s.cast("string"))).otherwise(failure(s)))
+        .when(et == "purchase", finished)
+        .otherwise(legacy)
+    )
+    return e.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), eid.alias("seq"), line.alias("line"))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB twins (used verbatim inside oracle SQL as CTEs).
 # ---------------------------------------------------------------------------
@@ -304,6 +365,24 @@ FROM part, unnest(CASE WHEN p_size <= 25 THEN [
     {'prop': 'measurementDenominator', 'value': CASE WHEN p_partkey % 2 = 0 THEN 'dcid:Count_Part' END},
     {'prop': 'name', 'value': p_name}] END) AS u(t)
 WHERE t.value IS NOT NULL""",
+    "listing": """
+SELECT 'root/' || regexp_extract(url, '://([^/]+)', 1) || '/' ||
+       ['data_output.tmcf', 'data_output.csv', 'data_stat_vars.mcf', 'other_output.csv', 'notes.csv', 'sub/data.csv', 'extra_output.tmcf'][page_id % 7 + 1] AS path,
+       CAST(length(html) AS BIGINT) AS size FROM pages""",
+    "run_events_expected": """
+SELECT 'run-' || user_id AS run_id, event_id AS seq,
+  CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'legacy_step'
+    WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'rejected' ELSE 'failure' END
+    WHEN 'purchase' THEN CASE WHEN event_id % 8 = 0 THEN 'rejected' ELSE 'run_finished' END ELSE 'legacy_failure' END AS kind,
+  CAST(CASE WHEN event_type IN ('view', 'click') THEN event_id % 6 WHEN event_type = 'error' AND event_id % 10 <> 0 THEN event_id % 6
+       WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 6 END END AS INTEGER) AS step_index,
+  CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'sub' || (event_id % 3) END AS substep_id,
+  CASE WHEN event_type = 'error' AND event_id % 10 <> 0 THEN 'E' || (event_id % 7)
+       WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'CSV_SPLIT_FAILED' ELSE 'LEGACY_' || (event_id % 4) END END AS failure_code,
+  CASE WHEN event_type = 'error' AND event_id % 10 <> 0 THEN 'failed at ' || event_id WHEN event_type = 'signup' THEN 'legacy ' || event_id END AS message,
+  CASE WHEN event_type = 'purchase' AND event_id % 8 <> 0 THEN ['succeeded', 'failed', 'cancelled'][event_id % 3 + 1] END AS status,
+  CASE WHEN event_type = 'purchase' AND event_id % 8 <> 0 THEN event_id % 3 END AS exit_code
+FROM events""",
     "lint_counters": """
 SELECT dataset_id, level, counterKey, CAST(count(*) AS VARCHAR) AS count FROM lint_entries GROUP BY ALL""",
 }
