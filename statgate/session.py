@@ -13,8 +13,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
     On a cluster the caller brings its own session; nothing here is required.
     """
+    pkg_parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Python workers (pandas state functions) import this package; locally they
+    # get it through PYTHONPATH, on a cluster ship it with --py-files.
+    os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (pkg_parent, os.environ.get("PYTHONPATH", "")) if p)
     spark = (
         SparkSession.builder.master(master)
+        .config("spark.executorEnv.PYTHONPATH", os.environ["PYTHONPATH"])
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
