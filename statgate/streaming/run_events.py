@@ -74,24 +74,27 @@ def parse_events(lines: DataFrame) -> DataFrame:
     # Each stage is a separate projection so the variant work is not repeated per use.
     text = strip_blanks(F.col("line"))
     is_json = text.startswith("{")
-    fields = [
-        "v", "t", "step_id", "step_index", "step_label", "substep_id", "substep_label", "failure_code", "message",
-        "limit", "details", "status", "exit_code", "code", "step",
-    ]
-    s1 = lines.select(
-        "run_id", "seq", text.alias("__text"), is_json.alias("__is_json"),
-        F.when(is_json, F.try_parse_json(text)).alias("__v"), F.when(is_json, F.json_object_keys(text)).alias("__keys"),
-    )
-    v = F.col("__v")
+    # One parse per line into map<key, variant>; the per-key JSON types and
+    # string values come from two lambdas over that map, so the generated code
+    # stays small whatever the number of fields checked.
+    obj = F.when(is_json, F.try_parse_json(text).try_cast("map<string,variant>"))
+    s1 = lines.select("run_id", "seq", text.alias("__text"), is_json.alias("__is_json"), obj.alias("__m"))
     s2 = s1.select(
-        "run_id", "seq", "__text", "__is_json", "__keys",
-        *[_vtype(v, f).alias(f"t_{f}") for f in fields],
-        *[F.try_variant_get(v, f"$.{f}", "string").alias(f"s_{f}") for f in fields if f != "details"],
-        F.try_variant_get(v, "$.step_index", "bigint").alias("i_step_index"),
-        F.try_variant_get(v, "$.exit_code", "bigint").alias("i_exit_code"),
-        F.try_variant_get(v, "$.v", "bigint").alias("i_v"),
-        F.try_variant_get(v, "$.limit", "double").alias("d_limit"),
-        F.to_json(F.try_variant_get(v, "$.details", "variant")).alias("j_details"),
+        "run_id",
+        "seq",
+        "__text",
+        "__is_json",
+        F.map_keys("__m").alias("__keys"),
+        F.transform_values("__m", lambda _, x: F.schema_of_variant(x)).alias("__types"),
+        F.transform_values("__m", lambda _, x: F.try_variant_get(x, "$", "string")).alias("__strs"),
+    )
+    s2 = s2.select(
+        "*",
+        F.col("__strs")["step_index"].try_cast("bigint").alias("i_step_index"),
+        F.col("__strs")["exit_code"].try_cast("bigint").alias("i_exit_code"),
+        F.col("__strs")["v"].try_cast("bigint").alias("i_v"),
+        F.col("__strs")["limit"].try_cast("double").alias("d_limit"),
+        F.col("__strs")["details"].alias("j_details"),
     )
     keys = F.col("__keys")
     intlike = ["BIGINT", "INT", "SMALLINT", "TINYINT"]
@@ -100,10 +103,10 @@ def parse_events(lines: DataFrame) -> DataFrame:
         return F.coalesce(F.array_contains(keys, k), F.lit(False))
 
     def typ(k):
-        return F.col(f"t_{k}")
+        return F.col("__types")[k]
 
     def get(k):
-        return F.col(f"s_{k}")
+        return F.col("__strs")[k]
 
     def nonempty_str(k):
         return (typ(k) == "STRING") & (strip_blanks(get(k)) != "")
@@ -141,7 +144,7 @@ def parse_events(lines: DataFrame) -> DataFrame:
     legacy_code = F.coalesce(F.when(nonempty_str("code"), get("code")), F.when(nonempty_str("failure_code"), get("failure_code")))
     legacy_failure = F.col("__is_json") & (t == "failure") & absent_or_null("v") & legacy_code.isNotNull() & (typ("message") == "STRING")
     marker_idx = F.create_map(*[x for s in STEPS for x in (F.lit(s[4]), F.lit(s[0]))])[F.col("__text")]
-    parsed = F.col("t_v").isNotNull() | F.col("t_t").isNotNull() | (F.size(F.coalesce(keys, F.array())) > 0)
+    parsed = F.col("__keys").isNotNull()
     kind = (
         F.when(~F.col("__is_json") & marker_idx.isNotNull(), F.lit("legacy_step"))
         .when(~F.col("__is_json") | ~parsed, F.lit("ignored"))
@@ -226,50 +229,79 @@ STATUS_COLUMNS = [
 
 
 def replay_status(events: DataFrame) -> DataFrame:
-    """P9 (+P8): final status of each run from all its events, as one grouped aggregate."""
-    e = accepted(events)
+    """P9 (+P8): final status of each run from all its events, as one grouped aggregate.
+
+    Every field is a ``max_by`` over the events that set it (ordered by seq), so
+    the aggregate is map-side combined: a run with a huge log is never sorted
+    in one task. A run_finished carrying a step takes it only when it precedes
+    every step event of the run.
+    """
+    # No row filter before the aggregate: a filter on ``kind`` would be pushed
+    # below the parse projection and repeat the parse; every aggregate below is
+    # already conditioned on the kind, and runs without accepted lines are
+    # dropped after the aggregate.
+    e = events.select(
+        "run_id", "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message",
+        "failure_limit", "failure_details", "status", "exit_code",
+    )
     k = F.col("kind")
+    ok = ~k.isin("rejected", "ignored")
     is_step = k.isin("progress", "legacy_step")
     fin = k == "run_finished"
     fail = k.isin("failure", "legacy_failure")
-    first_step_seq = e.where(is_step).groupBy("run_id").agg(F.min("seq").alias("__fs"))
-    e = e.join(first_step_seq, "run_id", "left")
-    # run_finished takes its step only when no step was seen before it
-    fin_step = fin & F.col("step_index").isNotNull() & (F.col("__fs").isNull() | (F.col("seq") < F.col("__fs")))
-    cand = is_step | fin_step
-    order = F.struct(F.col("step_index"), F.col("seq"))
+    seq = F.col("seq")
     sets_code = fail | (fin & F.col("failure_code").isNotNull())
     sets_msg = fail | (fin & F.col("message").isNotNull())
     sets_fstep = (fail | fin) & F.col("step_index").isNotNull()
     g = e.groupBy("run_id").agg(
-        F.max(F.when(cand, F.col("step_index"))).alias("step_index"),
-        F.max_by(F.when(cand, F.struct("substep_id", "substep_label")), F.when(cand, order)).alias("__sub"),
-        F.max_by(F.col("status"), F.when(fin, F.col("seq"))).alias("__fin_status"),
-        F.max_by(F.col("exit_code"), F.when(fin, F.col("seq"))).alias("exit_code"),
-        F.max_by(F.col("failure_code"), F.when(sets_code, F.col("seq"))).alias("failure_code"),
-        F.max_by(F.col("message"), F.when(sets_msg, F.col("seq"))).alias("failure_message"),
-        F.max_by(F.struct("failure_limit", "failure_details"), F.when(fail, F.col("seq"))).alias("__f"),
-        F.max_by(F.col("step_index"), F.when(sets_fstep, F.col("seq"))).alias("failure_step_index"),
-        F.bool_or(is_step | fail | fin_step).alias("__active"),
-        F.max("seq").alias("last_seq"),
-    )
-    status = F.coalesce(F.col("__fin_status"), F.when(F.col("__active"), F.lit("running")), F.lit("starting"))
-    return g.select(
+        F.min(F.when(is_step, seq)).alias("__fs"),
+        F.min_by(F.struct(seq.alias("seq"), F.col("step_index").alias("idx")), F.when(fin & F.col("step_index").isNotNull(), seq)).alias("__rf"),
+        F.max(F.when(is_step, F.col("step_index"))).alias("__max_step"),
+        # (step_index, seq) packed into one long: step indexes are < 64, seq < 2^56
+        F.max_by(F.struct("substep_id", "substep_label"), F.when(is_step, F.shiftleft(F.col("step_index").cast("long"), 56) + seq)).alias("__sub"),
+        F.max_by(F.struct("status", "exit_code"), F.when(fin, seq)).alias("__fin"),
+        F.max_by(F.col("failure_code"), F.when(sets_code, seq)).alias("failure_code"),
+        F.max_by(F.col("message"), F.when(sets_msg, seq)).alias("failure_message"),
+        F.max_by(F.struct("failure_limit", "failure_details"), F.when(fail, seq)).alias("__f"),
+        F.max_by(F.col("step_index"), F.when(sets_fstep, seq)).alias("failure_step_index"),
+        F.bool_or(is_step | fail).alias("__active"),
+        F.max(F.when(ok, seq)).alias("last_seq"),
+    ).where(F.col("last_seq").isNotNull())
+    rf_ok = F.col("__rf.seq").isNotNull() & (F.col("__fs").isNull() | (F.col("__rf.seq") < F.col("__fs")))
+    rf_wins = rf_ok & (F.col("__max_step").isNull() | (F.col("__rf.idx") > F.col("__max_step")))
+    step_index = F.when(rf_wins, F.col("__rf.idx")).otherwise(F.col("__max_step"))
+    fin_status = F.when(F.col("__fin").isNotNull(), F.col("__fin.status"))
+    status = F.coalesce(fin_status, F.when(F.col("__active") | rf_ok, F.lit("running")), F.lit("starting"))
+    s1 = g.select(
         "run_id",
         status.alias("status"),
+        step_index.cast("int").alias("step_index"),
+        F.when(rf_wins, F.lit(None)).otherwise(F.col("__sub.substep_id")).alias("substep_id"),
+        F.when(rf_wins, F.lit(None)).otherwise(F.col("__sub.substep_label")).alias("substep_label"),
+        F.col("__fin.exit_code").alias("exit_code"),
+        "failure_code",
+        "failure_message",
+        F.col("__f.failure_limit").alias("failure_limit"),
+        F.col("__f.failure_details").alias("failure_details"),
+        F.col("failure_step_index").cast("int").alias("failure_step_index"),
+        "last_seq",
+    )
+    return s1.select(
+        "run_id",
+        "status",
         _step_map(F.col("step_index"), 0, 1).alias("step_id"),
-        F.col("step_index").cast("int").alias("step_index"),
+        "step_index",
         _step_map(F.col("step_index"), 0, 2).alias("step_label"),
-        F.col("__sub.substep_id").alias("substep_id"),
-        F.col("__sub.substep_label").alias("substep_label"),
+        "substep_id",
+        "substep_label",
         _step_map(F.col("step_index"), 0, 3).alias("step"),
         "exit_code",
         "failure_code",
         "failure_message",
-        F.col("__f.failure_limit").alias("failure_limit"),
-        F.col("__f.failure_details").alias("failure_details"),
+        "failure_limit",
+        "failure_details",
         _step_map(F.col("failure_step_index"), 0, 1).alias("failure_step_id"),
-        F.col("failure_step_index").cast("int").alias("failure_step_index"),
+        "failure_step_index",
         "last_seq",
     )
 
