@@ -209,3 +209,43 @@ def shard_manifest(csv: DataFrame, rows_per_shard: int, threshold_rows: int = 0,
         F.lit(rows_per_shard).cast("bigint").alias("rows_per_shard"),
         F.lit(threshold_rows).cast("bigint").alias("threshold_rows"),
     )
+
+
+def quality_and_shards(
+    csv: DataFrame,
+    header: DataFrame,
+    rows_per_shard: int,
+    threshold_rows: int = 0,
+    value_column: str | None = "value",
+    allow_empty: bool = True,
+    out_dir: str | None = None,
+    columns=None,
+) -> tuple[DataFrame, DataFrame]:
+    """Q6: quality messages and the shard manifest in one plan over the same scan.
+
+    Shards are written (when ``out_dir`` is given) only if no fatal check
+    failed and the dataset reaches ``threshold_rows``; the manifest says
+    'skipped' otherwise. Returns (messages, manifest).
+    """
+    messages = quality_verdict(csv, header, value_column, allow_empty, columns)
+    failed_ds = messages.where("fatal").select(F.lit(True).alias("__failed")).limit(1)
+    m = shard_manifest(csv, rows_per_shard, threshold_rows)
+    m = m.crossJoin(F.broadcast(failed_ds.unionByName(m.sparkSession.createDataFrame([(False,)], "__failed boolean")).agg(F.max("__failed").alias("__failed"))))  # one row
+    skipped = F.col("__failed") | (F.col("status") == "skipped")
+    manifest = m.select(
+        "dataset_id",
+        F.when(skipped, F.lit("skipped")).otherwise(F.lit("done")).alias("status"),
+        F.when(skipped, F.array().cast("array<bigint>")).otherwise(F.col("shards")).alias("shards"),
+        F.when(skipped, F.array().cast("array<bigint>")).otherwise(F.col("shard_rows")).alias("shard_rows"),
+        "total_rows",
+        F.when(skipped, F.lit(0).cast("bigint")).otherwise(F.col("shard_count")).alias("shard_count"),
+        "rows_per_shard",
+        "threshold_rows",
+    )
+    if out_dir is not None:
+        go = manifest.where(F.col("status") == "done").limit(1).count() > 0  # one-row decision
+        if go:
+            from statgate.sources.writers import write_shards
+
+            write_shards(csv, out_dir, rows_per_shard, columns)
+    return messages, manifest

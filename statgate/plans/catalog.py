@@ -1016,3 +1016,127 @@ def q_run_replay(spark, sf):
     return P.replay_status(P.parse_events(TV.run_lines(spark, sf))).select(
         "run_id", "status", "step_index", "substep_id", "exit_code", "failure_code", "failure_message", "failure_step_index", "last_seq"
     )
+
+
+# ---------------------------------------------------------------------------
+# Remaining inventory: W5, F4, F8, P7, Q6, B7, S6, T4
+# ---------------------------------------------------------------------------
+
+from statgate.sources import readers as SR  # noqa: E402
+
+
+def _report_points(spark, sf):
+    """Lint-report-shaped problem points: every point of each series flagged by W1."""
+    obs = TV.obs_orders(spark, sf)
+    fl = W.fluctuations(obs)
+    pts = obs.select(
+        "dataset_id",
+        F.col("observationAbout").alias("placeDcid"),
+        A.normalize_variable("variableMeasured").alias("statVarDcid"),
+        F.col("observationPeriod"),
+        F.col("observationDate").alias("date"),
+        F.col("value"),
+    )
+    f = fl.select(
+        "dataset_id",
+        F.col("observationAbout").alias("placeDcid"),
+        F.col("StatVar").alias("statVarDcid"),
+        "observationPeriod",
+        F.col("counter_key").alias("counterKey"),
+        F.col("pct").alias("percentDifference"),
+    )
+    return f.join(pts, ["dataset_id", "placeDcid", "statVarDcid", "observationPeriod"]).select(
+        "dataset_id", F.lit(0).alias("item_ord"), "placeDcid", "statVarDcid", "observationPeriod", F.lit(0).alias("counter_ord"),
+        "counterKey", "percentDifference", "date", "value", F.lit(None).cast("string").alias("scalingFactor"), F.lit(None).cast("string").alias("unit"),
+    )
+
+
+def _report_points_sql() -> str:
+    return (
+        _fluct_sql().replace("\nSELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", ",\nfl AS (SELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", 1)
+        + f"""),
+rp AS (SELECT fl.dataset_id, fl.observationAbout AS placeDcid, fl.StatVar AS statVarDcid, fl.observationPeriod, fl.counter_key AS counterKey,
+              fl.pct AS percentDifference, o.observationDate AS date, o.value
+       FROM fl JOIN obs_orders o ON o.dataset_id = fl.dataset_id AND o.observationAbout = fl.observationAbout
+            AND {dvar('o.variableMeasured')} = fl.StatVar AND o.observationPeriod = fl.observationPeriod)
+"""
+    )
+
+
+@register(
+    "report_fluctuations_orders",
+    lambda: _report_points_sql()
+    + f""", g AS (SELECT dataset_id, statVarDcid AS statVar, placeDcid AS location, observationPeriod, counterKey,
+              list(struct_pack(date, value) ORDER BY date, value) AS pts, max(percentDifference) AS percentDifference, count(*) AS n
+       FROM rp GROUP BY ALL)
+SELECT dataset_id, statVar, location, observationPeriod, counterKey,
+       array_to_string(list_transform(pts, lambda p: p.date || '=' || p.value), ';') AS points, percentDifference,
+       CASE WHEN n >= 2 AND datediff('day', {dparse('pts[n-1].date')}, {dparse('pts[n].date')}) >= 0
+            THEN CAST(round(CAST(datediff('day', {dparse('pts[n-1].date')}, {dparse('pts[n].date')}) AS DECIMAL(20,6)) / CAST(365.25 AS DECIMAL(20,6)), 1) AS DECIMAL(10,1)) END AS period_gap_years,
+       CAST(n AS BIGINT) AS series_length,
+       CASE WHEN n >= 2 THEN {dpct('CAST(pts[n-1].value AS DOUBLE)', 'CAST(pts[n].value AS DOUBLE)')} END AS percent_change
+FROM g""",
+)
+def q_report_fluct(spark, sf):
+    r = W.report_fluctuations(_report_points(spark, sf))
+    return r.select(
+        "dataset_id", "statVar", "location", "observationPeriod", "counterKey",
+        F.array_join(F.transform("points", lambda p: F.concat(p["date"], F.lit("="), p["value"])), ";").alias("points"),
+        "percentDifference", "period_gap_years", "series_length", "percent_change",
+    )
+
+
+@register(
+    "stale_runs",
+    lambda: TV.duckdb_with("run_events_expected")
+    + """, e AS (SELECT r.*, ev.ts FROM run_events_expected r JOIN events ev ON ev.event_id = r.seq WHERE kind NOT IN ('rejected', 'ignored')),
+s AS (SELECT run_id, coalesce(arg_max(status, seq) FILTER (WHERE kind = 'run_finished'),
+                      CASE WHEN bool_or(kind IN ('progress', 'legacy_step', 'failure', 'legacy_failure')) THEN 'running' END, 'starting') AS status,
+             max(ts) AS updated_at FROM e GROUP BY run_id)
+SELECT run_id, CASE WHEN status = 'starting' THEN 'STARTUP_FAILED' ELSE 'BATCH_JOB_LOST' END AS failure_code FROM s
+WHERE status IN ('starting', 'running') AND epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(updated_at) > 300""",
+)
+def q_stale(spark, sf):
+    ev = P.parse_events(TV.run_lines(spark, sf))
+    st = P.replay_status(ev)
+    ts = TV.table(spark, sf, "events").select(F.col("event_id").alias("last_seq"), F.col("ts").cast("timestamp").alias("updated_at"))
+    # updated_at = time of the run's last accepted line
+    return P.stale_runs(st.join(ts, "last_seq"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+
+
+@register(
+    "quality_and_shards_documents",
+    lambda: TV.duckdb_with("csv_documents")
+    + """SELECT 'documents' AS dataset_id, 'skipped' AS status, []::BIGINT[] AS shards, []::BIGINT[] AS shard_rows, CAST(count(*) AS BIGINT) AS total_rows,
+       CAST(0 AS BIGINT) AS shard_count, CAST(100 AS BIGINT) AS rows_per_shard, CAST(10 AS BIGINT) AS threshold_rows FROM csv_documents""",
+)
+def q_quality_shards(spark, sf):
+    docs = TV.csv_documents(spark, sf)
+    header = TV.csv_header(docs, "documents", "documents.csv", ["text", "lang"])
+    _, manifest = Q.quality_and_shards(docs, header, rows_per_shard=100, threshold_rows=10, value_column=None, columns=["text", "lang"])
+    return manifest
+
+
+@register(
+    "observation_nodes",
+    lambda: TV.duckdb_with("nodes_parts")
+    + "SELECT dataset_id, CAST(count(DISTINCT (file, node_line)) AS BIGINT) AS observation_nodes FROM nodes_parts WHERE prop = 'typeOf' AND contains(value, 'StatVarObservation') GROUP BY ALL",
+)
+def q_obs_nodes(spark, sf):
+    return SR.count_observation_nodes(TV.nodes_parts(spark, sf))
+
+
+@register(
+    "review_value_not_mapped",
+    lambda: TV.duckdb_with("nodes_parts")
+    + """SELECT dataset_id, 'schema' AS type FROM nodes_parts GROUP BY dataset_id
+HAVING bool_or(prop = 'typeOf' AND trim(value) = 'dcs:StatVarObservation') AND NOT bool_or(prop = 'value' AND regexp_matches(value, '^C:[^>]+->'))
+UNION ALL SELECT dataset_id || '_novalue', 'schema' FROM nodes_parts WHERE prop <> 'value' GROUP BY dataset_id
+HAVING bool_or(prop = 'typeOf' AND trim(value) = 'dcs:StatVarObservation')""",
+)
+def q_value_not_mapped(spark, sf):
+    # the template without its value lines: every observation node lacks the mapping
+    n = TV.nodes_parts(spark, sf)
+    return T.value_not_mapped(n).select("dataset_id", "type").unionByName(
+        T.value_not_mapped(n.where(F.col("prop") != "value")).select(F.concat(F.col("dataset_id"), F.lit("_novalue")).alias("dataset_id"), "type")
+    )

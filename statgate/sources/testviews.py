@@ -285,10 +285,10 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     legacy = F.to_json(F.struct(F.lit("failure").alias("t"), code.alias("code"), F.concat(F.lit("legacy "), eid.cast("string")).alias("message"), tok.alias("step")))
     et = F.col("event_type")
     line = (
-        F.when(et == "view", progress)
+        F.when((et == "purchase") & (eid % 5 == 0), finished)
+        .when(et.isin("view", "purchase"), progress)
         .when(et == "click", mark)
         .when(et == "error", F.when(eid % 10 == 0, failure(s.cast("string"))).otherwise(failure(s)))
-        .when(et == "purchase", finished)
         .otherwise(legacy)
     )
     return e.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), eid.alias("seq"), line.alias("line"))
@@ -371,17 +371,18 @@ SELECT 'root/' || regexp_extract(url, '://([^/]+)', 1) || '/' ||
        CAST(length(html) AS BIGINT) AS size FROM pages""",
     "run_events_expected": """
 SELECT 'run-' || user_id AS run_id, event_id AS seq,
-  CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'legacy_step'
-    WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'rejected' ELSE 'failure' END
-    WHEN 'purchase' THEN CASE WHEN event_id % 8 = 0 THEN 'rejected' ELSE 'run_finished' END ELSE 'legacy_failure' END AS kind,
-  CAST(CASE WHEN event_type IN ('view', 'click') THEN event_id % 6 WHEN event_type = 'error' AND event_id % 10 <> 0 THEN event_id % 6
+  CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN CASE WHEN event_id % 8 = 0 THEN 'rejected' ELSE 'run_finished' END
+    WHEN event_type IN ('view', 'purchase') THEN 'progress' WHEN event_type = 'click' THEN 'legacy_step'
+    WHEN event_type = 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'rejected' ELSE 'failure' END ELSE 'legacy_failure' END AS kind,
+  CAST(CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN NULL
+       WHEN event_type IN ('view', 'purchase', 'click') THEN event_id % 6 WHEN event_type = 'error' AND event_id % 10 <> 0 THEN event_id % 6
        WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 6 END END AS INTEGER) AS step_index,
-  CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'sub' || (event_id % 3) END AS substep_id,
+  CASE WHEN (event_type = 'view' OR (event_type = 'purchase' AND event_id % 5 <> 0)) AND event_id % 4 = 0 THEN 'sub' || (event_id % 3) END AS substep_id,
   CASE WHEN event_type = 'error' AND event_id % 10 <> 0 THEN 'E' || (event_id % 7)
        WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'CSV_SPLIT_FAILED' ELSE 'LEGACY_' || (event_id % 4) END END AS failure_code,
   CASE WHEN event_type = 'error' AND event_id % 10 <> 0 THEN 'failed at ' || event_id WHEN event_type = 'signup' THEN 'legacy ' || event_id END AS message,
-  CASE WHEN event_type = 'purchase' AND event_id % 8 <> 0 THEN ['succeeded', 'failed', 'cancelled'][event_id % 3 + 1] END AS status,
-  CASE WHEN event_type = 'purchase' AND event_id % 8 <> 0 THEN event_id % 3 END AS exit_code
+  CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 AND event_id % 8 <> 0 THEN ['succeeded', 'failed', 'cancelled'][event_id % 3 + 1] END AS status,
+  CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 AND event_id % 8 <> 0 THEN event_id % 3 END AS exit_code
 FROM events""",
     "lint_counters": """
 SELECT dataset_id, level, counterKey, CAST(count(*) AS VARCHAR) AS count FROM lint_entries GROUP BY ALL""",
