@@ -157,6 +157,7 @@ def expand_units(samples: DataFrame, stats: DataFrame) -> DataFrame:
 def advisory_export(results: DataFrame, issues: DataFrame | None = None, fluct: DataFrame | None = None) -> DataFrame:
     """FAILED/WARNING results, review issues and fluctuations in one 19-column table."""
     n = F.lit(None).cast("string")
+    # all text except ``percent`` (a double: formatting is left to the sink)
     cols = {
         "dataset_id": None, "source": None, "severity": None, "rule_id": None, "status": None, "stat_var": None, "location": None,
         "date": None, "value": None, "expected": None, "message": None, "file": None, "line": None, "issue_type": None,
@@ -164,7 +165,9 @@ def advisory_export(results: DataFrame, issues: DataFrame | None = None, fluct:
     }
 
     def shape(df, mapping):
-        return df.select(*[(mapping.get(c, n)).alias(c) for c in cols])
+        return df.select(
+            *[(mapping.get(c, F.lit(None).cast("double") if c == "percent" else n)).alias(c) for c in cols]
+        )
 
     parts = [
         shape(
@@ -194,7 +197,7 @@ def advisory_export(results: DataFrame, issues: DataFrame | None = None, fluct:
                 {
                     "dataset_id": F.col("dataset_id"), "source": F.lit("fluctuation"), "severity": F.lit("advisory"),
                     "stat_var": F.col("StatVar"), "location": F.col("observationAbout"), "counter_key": F.col("counter_key"),
-                    "prev_date": F.col("prev_date"), "curr_date": F.col("curr_date"), "percent": F.col("pct").cast("string"),
+                    "prev_date": F.col("prev_date"), "curr_date": F.col("curr_date"), "percent": F.col("pct"),
                 },
             )
         )

@@ -770,12 +770,12 @@ def _parts_headers(spark, sf):
 
 def _t1_t2_sql() -> str:
     return f""", refs AS (SELECT dataset_id, trim(regexp_extract(value, 'C:[^>]+->(.+)$', 1)) AS ref, node_line FROM nodes_parts),
-r AS (SELECT dataset_id, ref, min(node_line) AS first_line FROM refs WHERE ref <> '' GROUP BY ALL),
+cref AS (SELECT dataset_id, ref, min(node_line) AS first_line FROM refs WHERE ref <> '' GROUP BY ALL),
 {_HDR},
 t1 AS (SELECT dataset_id, 'schema' AS type, 'Column reference ''' || ref || ''' does not exist in CSV header (case-sensitive).' AS message,
-              'blocker' AS severity, CAST(first_line AS BIGINT) AS ord FROM r WHERE ref NOT IN (SELECT name FROM hdr)),
+              'blocker' AS severity, CAST(first_line AS BIGINT) AS ord FROM cref WHERE ref NOT IN (SELECT name FROM hdr)),
 un AS (SELECT h.*, row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS rk, count(*) OVER (PARTITION BY dataset_id) AS n
-       FROM hdr h WHERE name NOT IN (SELECT ref FROM r)),
+       FROM hdr h WHERE name NOT IN (SELECT ref FROM cref)),
 t2 AS (SELECT dataset_id, 'unused_column' AS type, 'CSV column ''' || name || ''' is not referenced in the TMCF (unused column).' AS message,
               'warning' AS severity, CAST(rk AS BIGINT) AS ord FROM un WHERE rk <= 10
        UNION ALL SELECT dataset_id, 'unused_column', '… and ' || (n - 10) || ' more unused CSV columns.', 'warning', 11 FROM un WHERE rk = 1 AND n > 10)
@@ -1140,3 +1140,66 @@ def q_value_not_mapped(spark, sf):
     return T.value_not_mapped(n).select("dataset_id", "type").unionByName(
         T.value_not_mapped(n.where(F.col("prop") != "value")).select(F.concat(F.col("dataset_id"), F.lit("_novalue")).alias("dataset_id"), "type")
     )
+
+
+def _advisory_sql() -> str:
+    ev = _events_results_sql()  # WITH ... res AS (...)
+    fl = _fluct_sql().replace("\nSELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", ",\nfl AS (SELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", 1)
+    fl_ctes = fl[len("WITH "):]
+    # rename the fluctuation CTEs' obs view (already defined by name) and merge the WITH lists
+    t12 = TV.DUCKDB_VIEWS["nodes_parts"]
+    return (
+        ev.rstrip()
+        + ",\n"
+        + fl_ctes
+        + f"""),
+nodes_parts AS ({t12})
+{_t1_t2_sql()}
+SELECT dataset_id, 'validation' AS source, CASE WHEN status = 'FAILED' THEN 'blocker' ELSE 'warning' END AS severity, validation_name AS rule_id,
+       status, NULL AS stat_var, NULL AS location, NULL AS date, NULL AS value, NULL AS expected, message, NULL AS file, NULL AS line,
+       NULL AS issue_type, NULL AS suggestion, NULL AS counter_key, NULL AS prev_date, NULL AS curr_date, CAST(NULL AS DOUBLE) AS percent
+FROM res WHERE status IN ('FAILED', 'WARNING')
+UNION ALL
+SELECT dataset_id, 'deterministic', severity, NULL, NULL, NULL, NULL, NULL, NULL, NULL, message, NULL, NULL, type,
+       CASE WHEN type = 'schema' THEN 'Use a column ID from the header or fix the typo.'
+            WHEN ord = 11 THEN 'Ensure all CSV columns are mapped in the TMCF or remove unused columns.'
+            ELSE 'Remove the column from the CSV or add a mapping in the TMCF if it is needed.' END, NULL, NULL, NULL, NULL
+FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
+UNION ALL
+SELECT dataset_id, 'fluctuation', 'advisory', NULL, NULL, StatVar, observationAbout, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       counter_key, prev_date, curr_date, pct FROM fl"""
+    )
+
+
+@register("advisory_export", _advisory_sql)
+def q_advisory(spark, sf):
+    n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
+    issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr))
+    return S.advisory_export(events_results(spark, sf), issues, W.fluctuations(TV.obs_orders(spark, sf)))
+
+
+def _review_summary_sql() -> str:
+    body = _samples_sql()
+    head = body[: body.rindex("\nvol AS (")]
+    head = head.rstrip().rstrip(",")
+    res = _events_results_sql()
+    res_cte = res[res.index("r AS (") :].rstrip()
+    return (
+        head
+        + ",\nds AS (SELECT DISTINCT dataset_id FROM stats),\ngran AS (SELECT dataset_id, 0 AS n, NULL AS fmts FROM ds WHERE false),\n"
+        + res_cte.replace("gran AS (", "gran_unused AS (", 1)
+        + """,
+smp AS (SELECT dataset_id FROM units UNION ALL SELECT dataset_id FROM latest UNION ALL SELECT dataset_id FROM refs UNION ALL SELECT dataset_id FROM lint)
+SELECT dataset_id, CAST(count(*) FILTER (WHERE status = 'FAILED') AS BIGINT) AS blockers, CAST(count(*) FILTER (WHERE status = 'WARNING') AS BIGINT) AS warnings,
+       CAST(count(*) FILTER (WHERE status = 'PASSED') AS BIGINT) AS passed, CAST(0 AS BIGINT) AS review_issues, CAST(0 AS BIGINT) AS fluctuation_anomalies,
+       (SELECT CAST(count(*) AS BIGINT) FROM smp) AS rule_failures
+FROM res GROUP BY dataset_id"""
+    )
+
+
+@register("review_summary_events", _review_summary_sql)
+def q_review_summary(spark, sf):
+    results = events_results(spark, sf)
+    stats = A.variable_summary(TV.obs_events(spark, sf))
+    samples = S.expand_units(S.enrich_samples(S.failure_samples(results), TV.obs_events(spark, sf)), stats)
+    return S.review_summary(results, None, None, samples)
