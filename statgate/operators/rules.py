@@ -455,21 +455,41 @@ def first_run_results(datasets: DataFrame, rule: dict) -> DataFrame:
 SMALL_TABLES = ("stats", "lint", "differ", "sizes", "granularity")
 
 
-def materialize_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _uses(rule: dict) -> list[str]:
+    v = rule.get("validator")
+    return {
+        "MISSING_REFS_COUNT": ["lint"],
+        "STRUCTURAL_LINT_ERROR_COUNT": ["lint"],
+        "OBSERVATION_DATE_GRANULARITY": ["granularity"],
+        "DELETED_RECORDS_COUNT": ["differ", "sizes"],
+        "DELETED_RECORDS_PERCENT": ["differ", "sizes"],
+        "MODIFIED_RECORDS_COUNT": ["differ", "sizes"],
+        "ADDED_RECORDS_COUNT": ["differ", "sizes"],
+        "GOLDENS_CHECK": ["goldens", "obs"],
+    }.get(v, ["stats"])
+
+
+def materialize_tables(tables: dict[str, DataFrame], rules: list[dict] | None = None, min_uses: int = 3) -> dict[str, DataFrame]:
     """Compute the aggregated rule inputs once (one row per variable / counter).
 
-    Every rule reads them, so they are checkpointed to the shared folder named
-    by ``spark.checkpoint.dir``: computed once, lineage cut, and an executor
-    loss re-reads the files instead of recomputing the whole scan.
+    Every rule reads them, so each is written once as a Parquet table under
+    the shared folder named by ``spark.checkpoint.dir`` and read back: one job
+    per table, lineage cut, and an executor loss re-reads the files instead
+    of recomputing the scan (``checkpoint()`` would compute the plan twice).
     """
-    from statgate.session import checkpoint_dir
+    from statgate.session import materialize
 
     out = dict(tables)
+    uses = {n: 0 for n in SMALL_TABLES}
+    for r in rules if rules is not None else []:
+        for n in _uses(r):
+            if n in uses:
+                uses[n] += 1
     for name in SMALL_TABLES:
         df = out.get(name)
-        if df is not None:
-            checkpoint_dir(df.sparkSession)
-            out[name] = df.checkpoint(eager=True)
+        # a table read by fewer rules is cheaper to recompute than to write
+        if df is not None and (rules is None or uses[name] >= min_uses):
+            out[name] = materialize(df, name)
     return out
 
 
@@ -489,7 +509,7 @@ def run_rules(
     an unknown validator yields a WARNING row.
     """
     if materialize:
-        tables = materialize_tables(tables)
+        tables = materialize_tables(tables, select_rules(rules, include, skip))
     if datasets is None:
         datasets = tables["stats"].select("dataset_id").distinct()
     datasets = datasets.select("dataset_id").distinct()
@@ -520,6 +540,12 @@ def run_rules(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if materialize:
+        # one row per (dataset, rule): written once, then verdicts, overrides
+        # and samples read the small table instead of re-running every rule
+        from statgate.session import materialize as _write
+
+        out = _write(out, "results")
     return out
 
 

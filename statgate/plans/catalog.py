@@ -580,9 +580,9 @@ def _year_rules(rules):
     return [dict(r, params=dict(r["params"], year=this_year())) if r["validator"] == "MAX_DATE_LATEST" else r for r in rules]
 
 
-def events_results(spark, sf, extra_rules=()):
+def events_results(spark, sf, extra_rules=(), tables=None):
     rules = _year_rules(DEFAULT_RULES) + list(extra_rules)
-    return R.inject_missing(R.run_rules(events_tables(spark, sf), rules), rules)
+    return R.inject_missing(R.run_rules(tables or events_tables(spark, sf), rules), rules)
 
 
 def _verdict_sql() -> str:
@@ -705,8 +705,9 @@ SELECT * FROM units UNION ALL SELECT * FROM latest UNION ALL SELECT * FROM refs
 
 @register("failure_samples_events", _samples_sql)
 def q_samples(spark, sf):
-    results = events_results(spark, sf, CUSTOM_SQL_RULES[:1])
-    stats = A.variable_summary(TV.obs_events(spark, sf))
+    tables = R.materialize_tables(events_tables(spark, sf))
+    results = events_results(spark, sf, CUSTOM_SQL_RULES[:1], tables=tables)
+    stats = tables["stats"]
     s = S.failure_samples(results)
     s = S.expand_units(S.enrich_samples(s, TV.obs_events(spark, sf)), stats)
     return s.select("dataset_id", "rule", "statVar", "location", "date", "value", "expected", "sourceRow")
@@ -1199,7 +1200,53 @@ FROM res GROUP BY dataset_id"""
 
 @register("review_summary_events", _review_summary_sql)
 def q_review_summary(spark, sf):
-    results = events_results(spark, sf)
-    stats = A.variable_summary(TV.obs_events(spark, sf))
+    tables = R.materialize_tables(events_tables(spark, sf))
+    results = events_results(spark, sf, tables=tables)
+    stats = tables["stats"]
     samples = S.expand_units(S.enrich_samples(S.failure_samples(results), TV.obs_events(spark, sf)), stats)
     return S.review_summary(results, None, None, samples)
+
+
+def _validate_many_sql() -> str:
+    year = this_year()
+    ev = _events_results_sql()
+    d = _diff_sql_body()
+    d_ctes = d[len("WITH ") :].rstrip()
+    return (
+        ev.rstrip()
+        + ",\n"
+        + d_ctes
+        + f""",
+so AS ({_stats_sql('obs_orders_current')}),
+t AS (SELECT d.dataset_id, sum(DELETED) AS deleted, count(DISTINCT MODIFIED) AS nm, count(DISTINCT ADDED) AS na,
+             any_value(previous_obs_size) AS prev FROM differ d JOIN sizes USING (dataset_id) GROUP BY 1),
+o AS (
+  SELECT dataset_id, 'check_min_value' AS validation_name, CASE WHEN count(*) FILTER (WHERE MinValue < 0) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_num_observations', CASE WHEN count(*) FILTER (WHERE NumObservations < 1) > 0 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_unit_consistency', CASE WHEN count(DISTINCT Units) > 1 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_scaling_factor_consistency', CASE WHEN count(DISTINCT ScalingFactors) > 1 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_max_date_latest', CASE WHEN substr(max(MaxDate), 1, 4) = '{year}' THEN 'PASSED' ELSE 'FAILED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_max_date_consistent', CASE WHEN count(DISTINCT MaxDate) > 1 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_num_places_consistent', CASE WHEN count(DISTINCT NumPlaces) > 1 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_num_places_count', CASE WHEN count(*) FILTER (WHERE NumPlaces < 1) > 0 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT dataset_id, 'check_max_value_percent', CASE WHEN count(*) FILTER (WHERE MaxValue > 100 AND contains(StatVar, 'Percent')) > 0 THEN 'FAILED' ELSE 'PASSED' END FROM so GROUP BY 1
+  UNION ALL SELECT DISTINCT dataset_id, 'check_missing_refs_count', 'PASSED' FROM so
+  UNION ALL SELECT DISTINCT dataset_id, 'check_structural_lint_error_count', 'PASSED' FROM so
+  UNION ALL SELECT DISTINCT dataset_id, 'check_observation_date_granularity', 'PASSED' FROM so
+  UNION ALL SELECT dataset_id, 'check_deleted_records_count', CASE WHEN deleted > 0 THEN 'FAILED' ELSE 'PASSED' END FROM t
+  UNION ALL SELECT dataset_id, 'check_deleted_records_percent', CASE WHEN deleted * 100.0 / prev > 5.0 THEN 'FAILED' ELSE 'PASSED' END FROM t
+  UNION ALL SELECT dataset_id, 'check_modified_records_count', CASE WHEN nm > 1 THEN 'FAILED' ELSE 'PASSED' END FROM t
+  UNION ALL SELECT dataset_id, 'check_added_records_count', CASE WHEN na > 1 THEN 'FAILED' ELSE 'PASSED' END FROM t)
+SELECT dataset_id, validation_name, status FROM res UNION ALL SELECT * FROM o"""
+    )
+
+
+@register("validate_many", _validate_many_sql)
+def q_validate_many(spark, sf):
+    from statgate.plans.validate import validate_many
+
+    obs = TV.obs_events(spark, sf).unionByName(TV.obs_orders(spark, sf, "current"))
+    res = validate_many(
+        spark, obs, _year_rules(DEFAULT_RULES), lint=TV.lint_counters(spark, sf), baselines=TV.obs_orders(spark, sf, "baseline")
+    )
+    return res.select("dataset_id", "validation_name", "status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statgate.operators import rules as R
 from statgate.plans import catalog
@@ -14,3 +15,36 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = catalog.DEFAULT_RULES
     res = R.run_rules(tables, rules)
     return R.inject_missing(res, rules).select("dataset_id", "validation_name", "status", "message")
+
+
+def validate_many(
+    spark: SparkSession,
+    obs: DataFrame,
+    rules: list[dict],
+    lint: DataFrame | None = None,
+    baselines: DataFrame | None = None,
+    granularity_nodes: DataFrame | None = None,
+) -> DataFrame:
+    """One job validates many datasets; every operator is keyed by ``dataset_id``.
+
+    ``baselines`` holds the accepted observations of the datasets that have
+    one; the others take the first-run path (D8) of the differ rules.
+    """
+    from statgate.operators import diff as D
+    from statgate.operators import series as W
+    from statgate.operators import stats as A
+
+    datasets = obs.select("dataset_id").distinct()
+    tables = {"stats": A.variable_summary(obs), "granularity": W.date_granularity_mix(obs, granularity_nodes)}
+    if lint is not None:
+        tables["lint"] = lint
+    else:
+        tables["lint"] = spark.createDataFrame([], "dataset_id string, level string, counterKey string, count string")
+    if baselines is not None:
+        with_base = baselines.select("dataset_id").distinct()
+        cur = obs.join(F.broadcast(with_base), "dataset_id", "left_semi")  # one row per dataset
+        d = D.diff_observations(cur, baselines)
+        tables["differ"] = D.diff_summary(d)
+        tables["sizes"] = D.diff_sizes(d)
+    res = R.run_rules(tables, rules, datasets=datasets)
+    return R.inject_missing(res, rules, datasets)

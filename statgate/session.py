@@ -50,3 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
+
+    Used for small, reused intermediate tables (rule inputs); the folder is
+    the shared one the cluster names in ``spark.checkpoint.dir``.
+    """
+    import uuid
+
+    if getattr(df, "_statgate_materialized", False):
+        return df
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/statgate-{uuid.uuid4().hex}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    out._statgate_materialized = True
+    return out

@@ -37,7 +37,21 @@ LINEITEM_COLUMNS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the given tables, spread over the cluster when its scan is too coarse.
+
+    The test tables are single files with one row group, i.e. one scan task;
+    the row-level work (regexes, JSON, hashing) would then run serially. When
+    the scan has fewer than half the default parallelism in splits it is
+    round-robin repartitioned once; a large input with many splits is left
+    untouched, so this costs nothing at scale.
+    """
+    import os
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    target = spark.sparkContext.defaultParallelism
+    if os.environ.get("STATGATE_SPREAD_SCANS", "1") == "1" and df.rdd.getNumPartitions() * 2 <= target:
+        df = df.repartition(target)
+    return df
 
 
 def _cap_first(c):
