@@ -228,10 +228,10 @@ def quality_and_shards(
     'skipped' otherwise. Returns (messages, manifest).
     """
     messages = quality_verdict(csv, header, value_column, allow_empty, columns)
-    failed_ds = messages.where("fatal").select(F.lit(True).alias("__failed")).limit(1)
-    m = shard_manifest(csv, rows_per_shard, threshold_rows)
-    m = m.crossJoin(F.broadcast(failed_ds.unionByName(m.sparkSession.createDataFrame([(False,)], "__failed boolean")).agg(F.max("__failed").alias("__failed"))))  # one row
-    skipped = F.col("__failed") | (F.col("status") == "skipped")
+    files = csv.select("dataset_id", F.col("__file").alias("file")).distinct()  # one row per input file
+    failed = messages.where("fatal").join(files, "file").groupBy("dataset_id").agg(F.lit(True).alias("__failed"))
+    m = shard_manifest(csv, rows_per_shard, threshold_rows).join(failed, "dataset_id", "left")
+    skipped = F.coalesce(F.col("__failed"), F.lit(False)) | (F.col("status") == "skipped")
     manifest = m.select(
         "dataset_id",
         F.when(skipped, F.lit("skipped")).otherwise(F.lit("done")).alias("status"),

@@ -558,15 +558,23 @@ def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
 def inject_missing(results: DataFrame, rules: list[dict], datasets: DataFrame | None = None) -> DataFrame:
     """R2: every selected rule id without a result (per dataset) gets a synthetic FAILED row.
 
-    Matching is by id, so duplicate names in the results cannot hide a missing rule.
+    Matching is by id, so duplicate names in the results cannot hide a missing
+    rule. Per dataset the present ids form a set bounded by the rule count;
+    the missing ids are the configured list minus that set (no cross join).
     """
     spark = results.sparkSession
+    selected = select_rules(rules)
+    ids = [r.get("rule_id", "") for r in selected]
     rf = F.broadcast(rules_frame(spark, rules))  # the rule list: one row per configured rule
     ds = (datasets if datasets is not None else results).select("dataset_id").distinct()
-    expected = ds.crossJoin(rf)  # datasets x rules: both are configuration-sized
-    have = results.select("dataset_id", F.col("validation_name").alias("rule_id")).distinct()
-    missing = expected.join(have, ["dataset_id", "rule_id"], "left_anti")
-    injected = missing.select(
+    present = results.groupBy("dataset_id").agg(F.collect_set("validation_name").alias("__have"))
+    per_ds = ds.join(present, "dataset_id", "left").select(
+        "dataset_id",
+        F.explode(
+            F.array_except(F.array(*[F.lit(i) for i in ids]).cast("array<string>"), F.coalesce(F.col("__have"), F.array().cast("array<string>")))
+        ).alias("rule_id"),
+    )
+    injected = per_ds.join(rf, "rule_id").select(
         "dataset_id",
         F.col("rule_id").alias("validation_name"),
         F.lit(FAILED).alias("status"),

@@ -1114,7 +1114,7 @@ def q_stale(spark, sf):
 def q_quality_shards(spark, sf):
     docs = TV.csv_documents(spark, sf)
     header = TV.csv_header(docs, "documents", "documents.csv", ["text", "lang"])
-    _, manifest = Q.quality_and_shards(docs, header, rows_per_shard=100, threshold_rows=10, value_column=None, columns=["text", "lang"])
+    _, manifest = Q.quality_and_shards(docs, header.drop("dataset_id"), rows_per_shard=100, threshold_rows=10, value_column=None, columns=["text", "lang"])
     return manifest
 
 
