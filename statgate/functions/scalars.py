@@ -30,40 +30,66 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# ASCII whitespace, the set of Java's \s
+_WS = " \t\n\u000b\f\r"
+
+
 def strip_blanks(x) -> Column:
-    """Trim all ASCII whitespace (Spark's trim only removes spaces)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Trim all ASCII whitespace (plain ``trim`` only removes spaces)."""
+    return F.btrim(_c(x), F.lit(_WS))
 
 
 def is_blank(x) -> Column:
     """NULL or only whitespace."""
     c = _c(x)
-    return c.isNull() | ~c.rlike(r"\S")
+    return c.isNull() | (strip_blanks(c) == "")
+
+
+def _fast_double(t: Column) -> Column:
+    """Spark's cast where it agrees with Python float(): it also takes d/f suffixes
+    and hex floats, which Python rejects, so those are excluded here."""
+    d = t.try_cast("double")
+    low = F.lower(t)
+    java_suffix = F.substring(t, -1, 1).isin("d", "D", "f", "F") & ~low.endswith("inf")
+    return F.when(~java_suffix & ~low.contains("x"), d)
 
 
 def is_numeric(x) -> Column:
-    """Python float() grammar; blank counts as numeric."""
+    """Python float() grammar; blank counts as numeric.
+
+    The common case is decided by a cast; only strings the cast rejects and
+    that could still be Python floats (digit underscores, signed nan) go
+    through the full grammar regex.
+    """
     c = _c(x)
-    return is_blank(c) | c.rlike(NUMERIC_PATTERN)
+    t = strip_blanks(c)
+    rare = (t.contains("_") | F.lower(t).contains("nan")) & c.rlike(NUMERIC_PATTERN)
+    return is_blank(c) | _fast_double(t).isNotNull() | rare
 
 
 def to_double(x) -> Column:
     """Parse a cell accepted by X2 (underscores dropped); NULL for blank or non-numeric."""
     c = _c(x)
-    cleaned = F.regexp_replace(strip_blanks(c), "_", "")
-    return F.when(~is_blank(c) & c.rlike(NUMERIC_PATTERN), cleaned.try_cast("double"))
+    t = strip_blanks(c)
+    rare = F.when(
+        (t.contains("_") | F.lower(t).contains("nan")) & c.rlike(NUMERIC_PATTERN),
+        F.regexp_replace(F.regexp_replace(t, "_", ""), "^[+-](?=[nN])", "").try_cast("double"),
+    )
+    return F.coalesce(_fast_double(t), rare)
 
 
 def to_number(x) -> Column:
     """Number with thousands commas removed, NULL when it does not parse."""
-    c = _c(x)
-    no_commas = F.regexp_replace(strip_blanks(c), ",", "")
-    return F.when(no_commas.rlike(NUMERIC_PATTERN), F.regexp_replace(no_commas, "_", "").try_cast("double"))
+    return to_double(F.regexp_replace(strip_blanks(_c(x)), ",", ""))
 
 
 def normalize_variable(x) -> Column:
-    """Strip one dcid:/dcs: prefix (any case) and surrounding blanks."""
-    return strip_blanks(F.regexp_replace(strip_blanks(_c(x)), VARIABLE_PREFIX_PATTERN, ""))
+    """Strip one dcid:/dcs: prefix (any case) and surrounding blanks (no regex per row)."""
+    t = strip_blanks(_c(x))
+    low = F.lower(t)
+    return strip_blanks(
+        F.when(low.startswith("dcid:"), F.substring(t, 6, 1 << 30)).when(low.startswith("dcs:"), F.substring(t, 5, 1 << 30)).otherwise(t)
+    )
 
 
 def normalize_stat_type(x) -> Column:

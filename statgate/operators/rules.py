@@ -384,6 +384,107 @@ def sql_validator(datasets: DataFrame, tables, rule, spark: SparkSession | None
     return out
 
 
+# ---------------------------------------------------------------------------
+# Stats rules compiled into one aggregate
+# ---------------------------------------------------------------------------
+
+COMPILED_STATS_VALIDATORS = [
+    "MIN_VALUE_CHECK", "MAX_VALUE_CHECK", "NUM_OBSERVATIONS_CHECK", "NUM_PLACES_COUNT",
+    "UNIT_CONSISTENCY_CHECK", "MAX_DATE_CONSISTENT", "NUM_PLACES_CONSISTENT", "MAX_DATE_LATEST",
+]
+
+
+def _scope_cond(scope: dict | None, column: str = "StatVar") -> Column:
+    tokens = ((scope or {}).get("variables") or {}).get("contains_all") or []
+    cond = F.lit(True)
+    for t in tokens:
+        cond = cond & F.col(column).contains(str(t))
+    return cond
+
+
+def _compiled_parts(rule: dict, pre: str):
+    """(aggregates over stats, status, message, details) of one stats rule, columns prefixed."""
+    import datetime
+
+    v = rule.get("validator")
+    p = rule.get("params") or {}
+    cond = _scope_cond(rule.get("scope"))
+    bounds = {
+        "MIN_VALUE_CHECK": (lambda: F.col("MinValue") < F.lit(float(p.get("minimum", 0))), "MinValue", "actual_min_value",
+                            f"with MinValue below {_fmt(p.get('minimum', 0))}"),
+        "MAX_VALUE_CHECK": (lambda: F.col("MaxValue") > F.lit(float(p.get("maximum", 0))), "MaxValue", "actual_max_value",
+                            f"with MaxValue above {_fmt(p.get('maximum'))}"),
+        "NUM_OBSERVATIONS_CHECK": (lambda: F.col("NumObservations") < F.lit(p.get("minimum", 1)), "NumObservations",
+                                   "actual_num_observations", f"with fewer than {_fmt(p.get('minimum', 1))} observations"),
+        "NUM_PLACES_COUNT": (lambda: F.col("NumPlaces") < F.lit(p.get("minimum", 1)), "NumPlaces", "actual_num_places",
+                             f"with fewer than {_fmt(p.get('minimum', 1))} places"),
+    }
+    if v in bounds:
+        pred, col, key, what = bounds[v]
+        hit = cond & pred()
+        row = F.struct(F.col("StatVar").alias("stat_var"), F.col(col).alias(key))
+        aggs = [F.count_if(hit).alias(pre + "n"), F.array_sort(F.collect_list(F.when(hit, row))).alias(pre + "rows")]
+        n = F.coalesce(F.col(pre + "n"), F.lit(0))
+        label = F.when(n == 1, F.lit("StatVar")).otherwise(F.lit("StatVars"))
+        status = F.when(n > 0, F.lit(FAILED)).otherwise(F.lit(PASSED))
+        message = F.when(n > 0, F.concat(F.lit("Found "), n.cast("string"), F.lit(" "), label, F.lit(f" {what}."))).otherwise(
+            F.lit(f"No StatVar {what}.")
+        )
+        details = F.to_json(F.struct(F.coalesce(F.col(pre + "rows"), F.array()).alias("failed_rows")))
+        return aggs, status, message, details
+    distinct = {
+        "UNIT_CONSISTENCY_CHECK": ("Units", "Units", "units"),
+        "MAX_DATE_CONSISTENT": ("MaxDate", "MaxDate", "max_dates"),
+        "NUM_PLACES_CONSISTENT": ("NumPlaces", "NumPlaces", "num_places"),
+    }
+    if v in distinct:
+        col, what, list_name = distinct[v]
+        val = F.when(cond, F.col(col).cast("string"))
+        aggs = [F.countDistinct(val).alias(pre + "n"), F.array_sort(F.collect_set(val)).alias(pre + "vals")]
+        n = F.coalesce(F.col(pre + "n"), F.lit(0))
+        status = F.when(n > 1, F.lit(FAILED)).otherwise(F.lit(PASSED))
+        message = F.when(n > 1, F.concat(F.lit("Found "), n.cast("string"), F.lit(f" distinct {what} values across StatVars."))).otherwise(
+            F.lit(f"{what} is consistent across StatVars.")
+        )
+        details = F.to_json(F.struct(F.coalesce(F.col(pre + "vals"), F.array().cast("array<string>")).alias(list_name)))
+        return aggs, status, message, details
+    if v == "MAX_DATE_LATEST":
+        year = str(p.get("year") or datetime.date.today().year)
+        aggs = [F.max(F.when(cond, F.col("MaxDate"))).alias(pre + "latest")]
+        latest = F.col(pre + "latest")
+        ok = latest.isNull() | (F.substring(latest, 1, 4) == year)
+        status = F.when(ok, F.lit(PASSED)).otherwise(F.lit(FAILED))
+        message = F.when(ok, F.lit(f"Latest date is in {year}.")).otherwise(F.concat(F.lit("Latest date "), latest, F.lit(f" is not in {year}.")))
+        details = F.to_json(F.struct(latest.alias("max_date"), F.lit(year).alias("expected_year")))
+        return aggs, status, message, details
+    raise ValueError(v)
+
+
+def compiled_stats_rules(datasets: DataFrame, stats: DataFrame, rules: list[dict]) -> DataFrame:
+    """All stats-table rules as ONE grouped aggregate per dataset.
+
+    Each rule contributes conditional aggregates (its scope and bound become
+    ``count_if`` / ``collect_list(when(...))`` conditions); one row per
+    dataset is then unfolded into one result row per rule.
+    """
+    aggs, results = [], []
+    for i, rule in enumerate(rules):
+        a, status, message, details = _compiled_parts(rule, f"r{i}_")
+        aggs.extend(a)
+        results.append(
+            F.struct(
+                F.lit(rule.get("rule_id", "")).alias("validation_name"),
+                status.alias("status"),
+                message.alias("message"),
+                details.alias("details"),
+                _lit_json(rule.get("params") or {}).alias("validation_params"),
+            )
+        )
+    agg = stats.groupBy("dataset_id").agg(*aggs)
+    j = datasets.join(agg, "dataset_id", "left")
+    return j.select("dataset_id", F.explode(F.array(*results)).alias("r")).select("dataset_id", "r.*")
+
+
 VALIDATORS: dict[str, Callable] = {
     "MIN_VALUE_CHECK": min_value_check,
     "MAX_VALUE_CHECK": max_value_check,
@@ -405,6 +506,9 @@ VALIDATORS: dict[str, Callable] = {
 }
 
 
+_BUILTIN = dict(VALIDATORS)
+
+
 def register_validator(name: str, fn: Callable) -> None:
     """Extension point: ``fn(datasets, tables, rule) -> result rows``."""
     VALIDATORS[name] = fn
@@ -514,7 +618,16 @@ def run_rules(
         datasets = tables["stats"].select("dataset_id").distinct()
     datasets = datasets.select("dataset_id").distinct()
     parts = []
-    for rule in select_rules(rules, include, skip):
+    selected = select_rules(rules, include, skip)
+    compiled = [
+        r for r in selected
+        if r.get("validator") in COMPILED_STATS_VALIDATORS and VALIDATORS.get(r.get("validator")) is _BUILTIN.get(r.get("validator"))
+    ]
+    if compiled and tables.get("stats") is not None:
+        parts.append(compiled_stats_rules(datasets, tables["stats"], compiled).select(*RESULT_COLUMNS))
+    for rule in selected:
+        if rule in compiled and tables.get("stats") is not None:
+            continue
         fn = VALIDATORS.get(rule.get("validator"))
         if fn is None:
             parts.append(

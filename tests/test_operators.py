@@ -22,7 +22,10 @@ def _write(d, name, text):
 
 
 def test_is_numeric_matches_python_float(spark):
-    cases = ["1", " 2.5 ", "1_000", "1__0", "nan", "-inf", "Infinity", "1e5", ".5", "5.", "abc", "12d", "", "  ", "+-1", "0x10", "1,000"]
+    cases = [
+        "1", " 2.5 ", "1_000", "1__0", "nan", "-inf", "Infinity", "1e5", ".5", "5.", "abc", "12d", "", "  ", "+-1", "0x10", "1,000",
+        "-nan", "+NaN", "12D", "0x1p3", "1_000.5", "_1", "1_", "iNfInItY", "1e-5_0", "\t7\n", "1.5f", "e5", ".", "00012",
+    ]
 
     def py(s):
         if not s.strip():
@@ -33,9 +36,21 @@ def test_is_numeric_matches_python_float(spark):
         except ValueError:
             return False
 
+    def pyval(s):
+        try:
+            return float(s)
+        except ValueError:
+            return None
+
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = {r.s: r.ok for r in df.select("s", X.is_numeric("s").alias("ok")).collect()}
     assert got == {c: py(c) for c in cases}
+    import math
+
+    vals = {r.s: r.v for r in df.select("s", X.to_double("s").alias("v")).collect()}
+    for c in cases:
+        want = pyval(c) if c.strip() else None
+        assert (vals[c] is None and want is None) or (want is not None and vals[c] is not None and (vals[c] == want or (math.isnan(want) and math.isnan(vals[c])))), c
 
 
 def test_read_csv_row_numbers_and_quality(spark):
