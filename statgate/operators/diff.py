@@ -82,6 +82,31 @@ def diff_sizes(diff: DataFrame) -> DataFrame:
     )
 
 
+def diff_counts(diff: DataFrame) -> DataFrame:
+    """Per (dataset, variable): DELETED, MODIFIED, ADDED and SAME key counts, from one pass over D1.
+
+    Both the differ table (D2) and the sizes (D3) derive from this small table,
+    so the diff itself is computed once.
+    """
+    return diff.groupBy("dataset_id", "StatVar").agg(
+        *[F.count_if(F.col("status") == s).cast("bigint").alias(s) for s in ("DELETED", "MODIFIED", "ADDED", "SAME")]
+    )
+
+
+def differ_and_sizes(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(D2, D3) from ``diff_counts``."""
+    differ = counts.where(F.col("DELETED") + F.col("MODIFIED") + F.col("ADDED") > 0).select(
+        "dataset_id", "StatVar", "DELETED", "MODIFIED", "ADDED"
+    )
+    sizes = counts.groupBy("dataset_id").agg(
+        F.sum(F.col("DELETED") + F.col("MODIFIED") + F.col("SAME")).cast("bigint").alias("previous_obs_size"),
+        F.sum(F.col("ADDED") + F.col("MODIFIED") + F.col("SAME")).cast("bigint").alias("current_obs_size"),
+        F.sum(F.col("DELETED") + F.col("MODIFIED") + F.col("ADDED")).cast("bigint").alias("obs_diff_size"),
+        F.lit(False).alias("first_run"),
+    )
+    return differ, sizes
+
+
 def change_totals(differ: DataFrame, sizes: DataFrame) -> DataFrame:
     """Totals, number of changed variables and round(modified / previous * 100, 1)."""
     t = differ.groupBy("dataset_id").agg(
@@ -185,5 +210,6 @@ def diff_or_first_run(current: DataFrame, root: str, dataset_id: str) -> tuple[D
             F.lit(True).alias("first_run"),
         )
         return empty_differ(spark), sizes
-    d = diff_observations(current, base)
-    return diff_summary(d), diff_sizes(d)
+    from statgate.session import materialize
+
+    return differ_and_sizes(materialize(diff_counts(diff_observations(current, base)), "diff_counts"))

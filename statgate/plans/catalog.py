@@ -440,9 +440,12 @@ def q_top_changed(spark, sf):
 
 
 def orders_tables(spark, sf) -> dict[str, DataFrame]:
+    from statgate.session import materialize
+
     cur = TV.obs_orders(spark, sf, "current")
-    d = D.diff_observations(cur, TV.obs_orders(spark, sf, "baseline"))
-    return {"stats": A.variable_summary(cur), "differ": D.diff_summary(d), "sizes": D.diff_sizes(d)}
+    counts = materialize(D.diff_counts(D.diff_observations(cur, TV.obs_orders(spark, sf, "baseline"))), "diff_counts")
+    differ, sizes = D.differ_and_sizes(counts)
+    return {"stats": A.variable_summary(cur), "differ": differ, "sizes": sizes}
 
 
 DIFFER_RULES = [r for r in DEFAULT_RULES if r["scope"]["data_source"] == "differ"]

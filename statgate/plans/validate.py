@@ -43,8 +43,9 @@ def validate_many(
     if baselines is not None:
         with_base = baselines.select("dataset_id").distinct()
         cur = obs.join(F.broadcast(with_base), "dataset_id", "left_semi")  # one row per dataset
-        d = D.diff_observations(cur, baselines)
-        tables["differ"] = D.diff_summary(d)
-        tables["sizes"] = D.diff_sizes(d)
+        from statgate.session import materialize
+
+        counts = materialize(D.diff_counts(D.diff_observations(cur, baselines)), "diff_counts")
+        tables["differ"], tables["sizes"] = D.differ_and_sizes(counts)
     res = R.run_rules(tables, rules, datasets=datasets)
     return R.inject_missing(res, rules, datasets)
