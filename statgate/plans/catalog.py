@@ -1253,3 +1253,33 @@ def q_validate_many(spark, sf):
         spark, obs, _year_rules(DEFAULT_RULES), lint=TV.lint_counters(spark, sf), baselines=TV.obs_orders(spark, sf, "baseline")
     )
     return res.select("dataset_id", "validation_name", "status")
+
+
+@register(
+    "infer_step_events",
+    lambda: """SELECT 'run-' || user_id AS run_id, event_id AS seq,
+       CAST(CASE ['0', '1', '2', '2.4', '3', '4'][event_id % 6 + 1] WHEN '2.4' THEN 3 WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN '2' THEN 2
+            WHEN '3' THEN 4 WHEN '4' THEN 5 END AS INTEGER) AS inferred_step_index
+FROM events""",
+)
+def q_infer_step(spark, sf):
+    # free-text log lines ('Step <token>: <event>') derived from every event
+    e = TV.table(spark, sf, "events")
+    tok = F.element_at(F.array(*[F.lit(x[3]) for x in P.STEPS]), (F.col("event_id") % 6 + 1).cast("int"))
+    lines = e.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("Step "), tok, F.lit(": "), F.col("event_type")).alias("line"),
+    )
+    return P.infer_step(lines).select("run_id", "seq", F.col("inferred_step_index").cast("int").alias("inferred_step_index"))
+
+
+@register(
+    "bulk_dedupe",
+    lambda: TV.duckdb_with("listing") + _CLASSIFY_SQL
+    + """SELECT folder, dataset_id, CASE WHEN reason IS NOT NULL THEN reason WHEN rk > 1 THEN 'duplicate dataset id ''' || dataset_id || '''' END AS reason,
+       CASE WHEN reason IS NULL AND rk = 1 THEN 'submit' ELSE 'skipped' END AS action
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, reason IS NULL ORDER BY folder) AS rk FROM cls)""",
+)
+def q_bulk_dedupe(spark, sf):
+    return B.dedupe_datasets(B.classify_folders(TV.listing_pages(spark, sf), "root")).select("folder", "dataset_id", "reason", "action")
