@@ -34,8 +34,13 @@ def validate_many(
     from statgate.operators import series as W
     from statgate.operators import stats as A
 
-    datasets = obs.select("dataset_id").distinct()
-    tables = {"stats": A.variable_summary(obs), "granularity": W.date_granularity_mix(obs, granularity_nodes)}
+    from statgate.session import materialize
+
+    # the stats table (one row per variable) is written once; the dataset list
+    # comes from it, so no rule part re-scans the observations for dataset ids
+    stats = materialize(A.variable_summary(obs), "stats")
+    datasets = stats.select("dataset_id").distinct()
+    tables = {"stats": stats, "granularity": W.date_granularity_mix(obs, granularity_nodes)}
     if lint is not None:
         tables["lint"] = lint
     else:
@@ -43,8 +48,6 @@ def validate_many(
     if baselines is not None:
         with_base = baselines.select("dataset_id").distinct()
         cur = obs.join(F.broadcast(with_base), "dataset_id", "left_semi")  # one row per dataset
-        from statgate.session import materialize
-
         counts = materialize(D.diff_counts(D.diff_observations(cur, baselines)), "diff_counts")
         tables["differ"], tables["sizes"] = D.differ_and_sizes(counts)
     res = R.run_rules(tables, rules, datasets=datasets)

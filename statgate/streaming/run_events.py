@@ -343,6 +343,8 @@ def apply_events(state: dict, rows: pd.DataFrame) -> tuple[dict, bool]:
     seen_step = state.get("step_index") is not None
     for r in rows.sort_values("seq").itertuples(index=False):
         kind = r.kind
+        if kind in ("rejected", "ignored"):
+            continue
         idx = _none(r.step_index)
         if kind in ("progress", "legacy_step") or (kind == "run_finished" and idx is not None and not seen_step):
             cur = state.get("step_index")
@@ -392,7 +394,9 @@ def project_status_stream(events: DataFrame) -> DataFrame:
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    e = accepted(events).select(
+    # rejected and ignored lines are skipped inside the state function: a row
+    # filter on ``kind`` here would be pushed below the parse and repeat it
+    e = events.select(
         "run_id", "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message",
         "failure_limit", "failure_details", "status", "exit_code",
     )
@@ -401,6 +405,11 @@ def project_status_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def step_advances(status_updates: DataFrame) -> DataFrame:
+    """The updates of ``project_status_stream`` where a run's step index rose."""
+    return status_updates.where(F.col("advanced")).select("run_id", "step_index", "last_seq")
+
+
 def normalize_status(status: DataFrame) -> DataFrame:
     """Status rows with step id, label and legacy token from the registry."""
     return status.select(

@@ -151,6 +151,8 @@ def test_stream_projection_equals_batch_replay(spark):
     pd.DataFrame(rows[3:]).to_json(os.path.join(d, "part2.json"), orient="records", lines=True)
     q.processAllAvailable()
     q.stop()
+    adv = {(r.run_id, r.step_index) for r in P.step_advances(spark.table("run_status_t")).collect()}
+    assert ("a", 0) in adv and ("a", 5) in adv and ("b", 4) in adv
     latest = spark.table("run_status_t").groupBy("run_id").agg(F.max_by(F.struct("status", "step_index", "exit_code", "failure_code"), "last_seq").alias("s"))
     got = {r.run_id: tuple(r.s) for r in latest.collect()}
     batch = P.replay_status(P.parse_events(spark.createDataFrame(rows, P.ENVELOPE_SCHEMA)))
