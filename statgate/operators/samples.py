@@ -107,11 +107,14 @@ def enrich_samples(samples: DataFrame, obs: DataFrame, min_value_threshold: floa
         ).alias("rec"),
         to_double("value").alias("v"),
     )
-    first_any = o.groupBy("dataset_id", "var").agg(F.min_by("rec", F.col("rec.row")).alias("rec"))
-    first_low = o.where(F.col("v") < F.lit(float(min_value_threshold))).groupBy("dataset_id", "var").agg(
-        F.min_by("rec", F.col("rec.row")).alias("rec")
+    # one pass: first record of each variable, and first one below the threshold
+    firsts = o.groupBy("dataset_id", "var").agg(
+        F.min_by("rec", F.col("rec.row")).alias("rec"),
+        F.min_by("rec", F.when(F.col("v") < F.lit(float(min_value_threshold)), F.col("rec.row"))).alias("rec_low"),
     )
-    keys = first_any.select("dataset_id", "var", F.explode(variable_suffix_keys(F.col("var"))).alias("k"))
+    first_any = firsts.select("dataset_id", "var", "rec")
+    first_low = firsts.where(F.col("rec_low").isNotNull()).select("dataset_id", "var", F.col("rec_low").alias("rec"))
+    keys = firsts.select("dataset_id", "var", F.explode(variable_suffix_keys(F.col("var"))).alias("k"))
     pend = samples.where(F.col("statVar").isNotNull() & (F.col("statVar") != "") & ~F.col("rule").isin(*NO_CSV_RULES))
     pend = pend.select("dataset_id", "sample_id", "rule", strip_blanks(F.col("statVar")).alias("k"))
     m = pend.join(keys, ["dataset_id", "k"])

@@ -160,3 +160,26 @@ def test_stream_projection_equals_batch_replay(spark):
     assert got == want
     assert want["a"] == ("succeeded", 5, 0, "CSV_SPLIT_FAILED")
     assert want["b"] == ("failed", 4, 1, None)
+
+
+def test_enrich_samples_suffix_match_and_min_threshold(spark):
+    from statgate.operators import samples as SM
+
+    obs = spark.createDataFrame(
+        [
+            ("ds", "geo/1", "2020", "dcid:Count_X", "5", "/data/f.csv", 2),
+            ("ds", "geo/2", "2021", "dcid:Count_X", "-1", "/data/f.csv", 3),
+            ("ds", "geo/3", "2022", "Other", "-7", "/data/f.csv", 4),
+        ],
+        "dataset_id string, observationAbout string, observationDate string, variableMeasured string, value string, __file string, __row bigint",
+    )
+    samples = spark.createDataFrame(
+        [("ds", "m#0", "check_min_value", "Count_X"), ("ds", "s#0", "check_sql", "Count_X"), ("ds", "u#0", "check_sql", "Missing")],
+        "dataset_id string, sample_id string, rule string, statVar string",
+    ).select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("location", "date", "value", "expected", "sourceRow", "message")]
+    )
+    got = {r.sample_id: (r.location, r.date, r.sourceRow) for r in SM.enrich_samples(samples, obs, 0.0).collect()}
+    assert got["m#0"] == ("geo/2", "2021", "f.csv:3")  # first record below the minimum
+    assert got["s#0"] == ("geo/1", "2020", "f.csv:2")  # first record of the variable
+    assert got["u#0"] == (None, None, None)
