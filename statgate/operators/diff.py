@@ -41,25 +41,43 @@ def _keyed(obs: DataFrame, side: str) -> DataFrame:
 def diff_observations(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Status per observation key: ADDED, DELETED, MODIFIED or SAME.
 
-    Values compare as numbers when numeric (1 == 1.0), else as trimmed text.
+    Values compare as numbers when numeric (1 == 1.0), else as trimmed text;
+    a key is MODIFIED when its set of distinct values differs between sides.
+    Skew-safe and list-free: (key, side, value) is first made distinct (a
+    hash aggregate whose grouping includes the value, so a hot key spreads
+    over many tasks), then each key's two value sets are compared by their
+    size and two order-independent 64-bit set hashes (xor of xxhash64 and the
+    exact sum of murmur3 hashes), all fixed-width partial aggregates.
     """
     u = _keyed(current, "cur").unionByName(_keyed(baseline, "base"))
+    value = F.coalesce(F.concat(F.lit("n:"), F.col("num").cast("string")), F.concat(F.lit("t:"), F.col("txt")))
+    distinct_vals = u.groupBy("dataset_id", *DIFF_KEY, "side", value.alias("v")).agg(F.lit(1).alias("__one")).drop("__one")
     cur, base = F.col("side") == "cur", F.col("side") == "base"
-    g = u.groupBy("dataset_id", *DIFF_KEY).agg(
+    has_v = F.col("v").isNotNull()
+    h1 = F.xxhash64("v")
+    h2 = F.hash("v").cast("decimal(38,0)")
+    g = distinct_vals.groupBy("dataset_id", *DIFF_KEY).agg(
         F.max(cur.cast("int")).alias("in_cur"),
         F.max(base.cast("int")).alias("in_base"),
-        F.array_sort(F.collect_set(F.when(cur, F.col("num")))).alias("new_num"),
-        F.array_sort(F.collect_set(F.when(base, F.col("num")))).alias("old_num"),
-        F.array_sort(F.collect_set(F.when(cur, F.col("txt")))).alias("new_txt"),
-        F.array_sort(F.collect_set(F.when(base, F.col("txt")))).alias("old_txt"),
+        F.count_if(cur & has_v).alias("n_new"),
+        F.count_if(base & has_v).alias("n_old"),
+        F.bit_xor(F.when(cur & has_v, h1)).alias("x_new"),
+        F.bit_xor(F.when(base & has_v, h1)).alias("x_old"),
+        F.sum(F.when(cur & has_v, h2)).alias("s_new"),
+        F.sum(F.when(base & has_v, h2)).alias("s_old"),
+    )
+    same_set = (
+        (F.col("n_new") == F.col("n_old"))
+        & F.coalesce(F.col("x_new") == F.col("x_old"), F.col("x_new").isNull() & F.col("x_old").isNull())
+        & F.coalesce(F.col("s_new") == F.col("s_old"), F.col("s_new").isNull() & F.col("s_old").isNull())
     )
     status = (
         F.when(F.col("in_base") == 0, F.lit("ADDED"))
         .when(F.col("in_cur") == 0, F.lit("DELETED"))
-        .when((F.col("new_num") != F.col("old_num")) | (F.col("new_txt") != F.col("old_txt")), F.lit("MODIFIED"))
+        .when(~same_set, F.lit("MODIFIED"))
         .otherwise(F.lit("SAME"))
     )
-    return g.select("dataset_id", *DIFF_KEY, status.alias("status"), "old_num", "new_num", "old_txt", "new_txt")
+    return g.select("dataset_id", *DIFF_KEY, status.alias("status"), F.col("n_old").cast("bigint"), F.col("n_new").cast("bigint"))
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
