@@ -41,18 +41,26 @@ def classify_folders(listing: DataFrame, root: str) -> DataFrame:
         .when(b.endswith(OUTPUT_TMCF_SUFFIX), "tmcf")
         .when(b.endswith(OUTPUT_CSV_SUFFIX), "csv")
     )
-    k = direct.withColumn("kind", kind)
+    # only the files that take part in the classification are collected: a
+    # folder holding millions of unrelated objects adds nothing to any list
+    k = direct.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
     def names(kd):
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kd, b)))
 
-    g = k.groupBy("folder").agg(
+    folders = f.select("folder").distinct()
+    g = folders.join(k.groupBy("folder").agg(
         names("tmcf").alias("tmcfs"),
         names("csv").alias("csvs"),
         names("statvars").alias("statvars"),
         names("schema").alias("schemas"),
         F.max(F.when(F.col("kind") == "config", F.col("path"))).alias("config"),
         F.map_from_entries(F.collect_list(F.struct(b, F.col("path")))).alias("paths"),
+    ), "folder", "left").select(
+        "folder",
+        *[F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) for c in ("tmcfs", "csvs", "statvars", "schemas")],
+        "config",
+        F.coalesce(F.col("paths"), F.create_map().cast("map<string,string>")).alias("paths"),
     )
     tmcf = F.try_element_at("tmcfs", F.lit(1))
     expected_csv = F.concat(F.expr("substring(try_element_at(tmcfs, 1), 1, length(try_element_at(tmcfs, 1)) - 5)"), F.lit(".csv"))

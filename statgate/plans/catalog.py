@@ -933,9 +933,11 @@ k AS (SELECT *, CASE WHEN b = 'validation_config.json' THEN 'config'
                      WHEN ends_with(b, '_stat_vars_schema.mcf') OR b = 'stat_vars_schema.mcf' THEN 'schema'
                      WHEN ends_with(b, '_stat_vars.mcf') OR b = 'stat_vars.mcf' THEN 'statvars'
                      WHEN ends_with(b, '_output.tmcf') THEN 'tmcf' WHEN ends_with(b, '_output.csv') THEN 'csv' END AS kind FROM dd),
-g AS (SELECT folder, coalesce(list_sort(list(b) FILTER (WHERE kind = 'tmcf')), []) AS tmcfs, coalesce(list_sort(list(b) FILTER (WHERE kind = 'csv')), []) AS csvs,
+g AS (SELECT fo.folder, coalesce(list_sort(list(b) FILTER (WHERE kind = 'tmcf')), []) AS tmcfs, coalesce(list_sort(list(b) FILTER (WHERE kind = 'csv')), []) AS csvs,
              coalesce(list_sort(list(b) FILTER (WHERE kind = 'statvars')), []) AS statvars, coalesce(list_sort(list(b) FILTER (WHERE kind = 'schema')), []) AS schemas,
-             max(path) FILTER (WHERE kind = 'config') AS config, map_from_entries(list(struct_pack(k := b, v := path))) AS paths FROM k GROUP BY folder),
+             max(path) FILTER (WHERE kind = 'config') AS config,
+             coalesce(map_from_entries(list(struct_pack(k := b, v := path)) FILTER (WHERE b IS NOT NULL)), MAP {}) AS paths
+      FROM (SELECT DISTINCT folder FROM d) fo LEFT JOIN k ON k.folder = fo.folder GROUP BY fo.folder),
 c AS (SELECT *, tmcfs[1] AS tmcf, substr(tmcfs[1], 1, length(tmcfs[1]) - 5) || '.csv' AS expected_csv,
              paths[substr(tmcfs[1], 1, length(tmcfs[1]) - 5) || '.csv'] AS csv_path FROM g),
 r AS (SELECT *, CASE WHEN len(statvars) > 1 THEN 'multiple *_stat_vars.mcf files (' || array_to_string(statvars, ', ') || ')'
