@@ -154,7 +154,7 @@ def top_changed(differ: DataFrame, n: int = 10) -> DataFrame:
     ).where(F.col("total") > 0)
     # one row per variable; the rank window per dataset is over the changed variables only
     w = Window.partitionBy("dataset_id").orderBy(F.desc("total"), "name")
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return t.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
 
 
 # ---------------------------------------------------------------------------

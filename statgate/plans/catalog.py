@@ -1162,8 +1162,10 @@ def _advisory_sql() -> str:
 nodes_parts AS ({t12})
 {_t1_t2_sql()}
 SELECT dataset_id, 'validation' AS source, CASE WHEN status = 'FAILED' THEN 'blocker' ELSE 'warning' END AS severity, validation_name AS rule_id,
-       status, NULL AS stat_var, NULL AS location, NULL AS date, NULL AS value, NULL AS expected, message, NULL AS file, NULL AS line,
-       NULL AS issue_type, NULL AS suggestion, NULL AS counter_key, NULL AS prev_date, NULL AS curr_date, CAST(NULL AS DOUBLE) AS percent
+       status, CAST(NULL AS VARCHAR) AS stat_var, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS value,
+       CAST(NULL AS VARCHAR) AS expected, message, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS line,
+       CAST(NULL AS VARCHAR) AS issue_type, CAST(NULL AS VARCHAR) AS suggestion, CAST(NULL AS VARCHAR) AS counter_key,
+       CAST(NULL AS VARCHAR) AS prev_date, CAST(NULL AS VARCHAR) AS curr_date, CAST(NULL AS DOUBLE) AS percent
 FROM res WHERE status IN ('FAILED', 'WARNING')
 UNION ALL
 SELECT dataset_id, 'deterministic', severity, NULL, NULL, NULL, NULL, NULL, NULL, NULL, message, NULL, NULL, type,
