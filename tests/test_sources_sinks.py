@@ -116,3 +116,22 @@ def test_list_objects(spark):
         f.write("abc")
     got = [(os.path.basename(r.path), r.size) for r in S.list_objects(spark, d).collect()]
     assert got == [("x_output.csv", 3)]
+
+
+def test_advisories_sink_and_goldens_reader(spark):
+    from statgate.operators import samples as SM
+
+    d = tempfile.mkdtemp(prefix="statgate-test-")
+    res = spark.createDataFrame(
+        [("ds", "r1", "FAILED", "bad", "{}", "{}"), ("ds", "r2", "PASSED", "ok", "{}", "{}")],
+        ", ".join(f"{c} string" for c in R.RESULT_COLUMNS),
+    )
+    adv = SM.advisory_export(res)
+    SW.write_advisories(adv, os.path.join(d, "adv"))
+    back = spark.read.option("header", True).csv(os.path.join(d, "adv"))
+    assert back.columns == SW.ADVISORY_COLUMNS and back.count() == 1
+    g = os.path.join(d, "goldens.csv")
+    with open(g, "w") as f:
+        f.write("variableMeasured,observationAbout\n Count_X ,geo/1\n")
+    rows = S.read_goldens(spark, g).collect()
+    assert [(r.variableMeasured, r.observationAbout) for r in rows] == [("Count_X", "geo/1")]
