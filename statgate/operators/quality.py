@@ -115,11 +115,24 @@ def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None
             F.lit(True).alias("fatal"),
         )
     )
-    empty = empty_columns(csv, columns).select(
-        "file",
-        F.lit("empty_columns").alias("check"),
-        F.concat(F.lit("Column is entirely empty: "), _py_repr(F.col("column"))).alias("message"),
-        F.lit(not allow_empty).alias("fatal"),
+    # one per-file aggregate serves both the empty-column check and the
+    # non-numeric total, so the records are scanned once for the two
+    cols = _data_columns(csv, columns)
+    has_value = bool(value_column and value_column in csv.columns)
+    aggs = [F.max((~is_blank(F.col(f"`{c}`"))).cast("int")).alias(f"c{i}") for i, c in enumerate(cols)]
+    if has_value:
+        aggs.append(F.count_if(~is_numeric(F.col(f"`{value_column}`"))).alias("__bad"))
+    facts = csv.groupBy("__file").agg(*aggs)
+    pairs = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), F.col(f"c{i}").alias("seen")) for i, c in enumerate(cols)])
+    empty = (
+        facts.select(F.col("__file").alias("file"), F.explode(pairs).alias("p"))
+        .where(F.col("p.seen") == 0)
+        .select(
+            "file",
+            F.lit("empty_columns").alias("check"),
+            F.concat(F.lit("Column is entirely empty: "), _py_repr(F.col("p.column"))).alias("message"),
+            F.lit(not allow_empty).alias("fatal"),
+        )
     )
     dup_rows = first_duplicate_row(csv, columns).select(
         "file",
@@ -128,8 +141,10 @@ def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None
         F.lit(True).alias("fatal"),
     )
     parts = [dup_cols, empty, dup_rows]
-    if value_column and value_column in csv.columns:
-        s = non_numeric_summary(csv, value_column)
+    if has_value:
+        bad = non_numeric_rows(csv, value_column)
+        first = smallest_k(bad, ["file"], "row", 5).groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("sample"))
+        s = first.join(facts.select(F.col("__file").alias("file"), F.col("__bad").alias("total")), "file")
         more = F.when(F.col("total") > 5, F.concat(F.lit(" (and "), (F.col("total") - 5).cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
         parts.append(
             s.select(
