@@ -183,3 +183,15 @@ def test_enrich_samples_suffix_match_and_min_threshold(spark):
     assert got["m#0"] == ("geo/2", "2021", "f.csv:3")  # first record below the minimum
     assert got["s#0"] == ("geo/1", "2020", "f.csv:2")  # first record of the variable
     assert got["u#0"] == (None, None, None)
+
+
+def test_date_granularity_mix_with_template_literals(spark):
+    from statgate.operators import series as W
+
+    obs = spark.createDataFrame([("ds", "2020-01"), ("ds", "2020-02")], "dataset_id string, observationDate string")
+    nodes = spark.createDataFrame(
+        [("ds", "observationDate", "2020"), ("ds", "observationDate", "C:t->date"), ("ds", "observationDate", "2020/1")],
+        "dataset_id string, prop string, value string",
+    )
+    got = {r.source: (list(r.formats), r.status) for r in W.date_granularity_mix(obs, nodes).collect()}
+    assert got == {"column": (["YYYY-MM"], "PASSED"), "template": (["YYYY"], "PASSED"), "all": (["YYYY", "YYYY-MM"], "WARNING")}
