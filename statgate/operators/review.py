@@ -334,23 +334,32 @@ def merge_issues(primary: DataFrame, secondary: DataFrame, cap: int = 25) -> Dat
     """Primary issues whole; secondary cut so the total is at most ``cap``; then dedupe by
     (type, whitespace-collapsed message, file) keeping the first; order kept in ``ord``.
 
-    Ranking windows run per dataset over issue rows, which are bounded by the
-    node count of that dataset's review (not by observations).
+    Both steps are skew-safe: the cut keeps the first ``cap`` secondary issues
+    per dataset with ``smallest_k`` (bounded pre-selection per partition), and
+    the dedupe is a grouped ``min`` over (group, ord, line) — map-side
+    combined, so a message repeated for millions of nodes is never one task.
     """
+    from statgate.operators.quality import smallest_k
+
     p = primary.withColumn("grp", F.lit(0))
     n_primary = primary.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("np"))
-    ws = Window.partitionBy("dataset_id").orderBy("ord", "file", "message")
+    sec = secondary.withColumn("__o", F.struct(F.col("ord"), F.coalesce(F.col("file"), F.lit("")), F.col("message")))
     s = (
-        secondary.withColumn("rk", F.row_number().over(ws))
+        smallest_k(sec, ["dataset_id"], "__o", cap)
         .join(n_primary, "dataset_id", "left")
-        .where(F.col("rk") <= F.greatest(F.lit(0), F.lit(cap) - F.coalesce(F.col("np"), F.lit(0))))
-        .drop("rk", "np")
+        .where(F.col("rank") <= F.greatest(F.lit(0), F.lit(cap) - F.coalesce(F.col("np"), F.lit(0))))
+        .drop("rank", "np", "__o")
         .withColumn("grp", F.lit(1))
     )
     both = p.unionByName(s)
-    key = [F.col("type"), F.regexp_replace(strip_blanks(F.col("message")), r"\s+", " "), F.coalesce(F.col("file"), F.lit(""))]
-    wd = Window.partitionBy("dataset_id", *key).orderBy("grp", "ord", "line")
-    return both.withColumn("__k", F.row_number().over(wd)).where(F.col("__k") == 1).drop("__k")
+    cols = [c for c in both.columns if c not in ("grp", "ord", "line")]
+    first = both.groupBy(
+        "dataset_id",
+        F.col("type").alias("__t"),
+        F.regexp_replace(strip_blanks(F.col("message")), r"\s+", " ").alias("__m"),
+        F.coalesce(F.col("file"), F.lit("")).alias("__f"),
+    ).agg(F.min(F.struct("grp", "ord", "line", *[c for c in cols if c != "dataset_id"])).alias("__r"))
+    return first.select("dataset_id", *[F.col(f"__r.{c}").alias(c) for c in ["grp", "ord", "line"] + [c for c in cols if c != "dataset_id"]])
 
 
 def review_all(nodes: DataFrame, headers: DataFrame, csv: DataFrame | None = None) -> DataFrame:
