@@ -129,36 +129,43 @@ NODE_SEPARATOR = "\nNode:"
 def read_nodes(spark: SparkSession, paths, dataset_id: str = "") -> DataFrame:
     """Template / node files -> triples (dataset_id, file, node_line, node, prop, value).
 
-    One text record per node (records split at a line starting with 'Node:'),
-    so a large node file is parsed by many tasks. ``#`` starts a comment, a
-    ``key: value`` line splits at the first colon, surrounding quotes dropped.
-    A comment block before the first node has no node and is dropped.
+    Records are split at a line starting with 'Node:', so a large node file is
+    parsed by many tasks. Inside a record, a line whose stripped text starts
+    with 'Node:' (an indented header) opens a further node; lines before the
+    first header (a leading comment block) belong to no node and are dropped.
+    ``#`` starts a comment, a ``key: value`` line splits at the first colon,
+    surrounding quotes are dropped. The window that tracks the current header
+    runs inside one record, so it is bounded by a node's size.
     """
     recs = read_lines(spark, paths, line_sep=NODE_SEPARATOR)
-    # the first record of a file still carries its leading 'Node:'
-    body = F.regexp_replace(F.col("value"), r"^\s*Node:", "")
-    starts_with_node = F.col("value").rlike(r"^\s*Node:") | (F.col("__line") > 1)
-    lines = recs.where(starts_with_node).select(
-        "__file", "__line", F.posexplode(F.split(body, "\n")).alias("i", "text")
-    )
+    lines = recs.select("__file", "__line", F.posexplode(F.split(F.col("value"), "\n")).alias("i", "text"))
     clean = strip_blanks(F.regexp_replace(F.col("text"), "#.*$", ""))
-    parsed = lines.select(
+    # a record after the first one lost its 'Node:' to the separator: its line 0 is a header
+    cut_header = (F.col("i") == 0) & (F.col("__line") > 1)
+    text_header = clean.startswith("Node:")
+    is_hdr = cut_header | text_header
+    name = F.when(cut_header, clean).when(text_header, strip_blanks(F.expr("substring(text, instr(text, 'Node:') + 5)")))
+    w = Window.partitionBy("__file", "__line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = lines.select(
+        "__file", "__line", "i", "text", clean.alias("clean"), is_hdr.alias("hdr"),
+        strip_blanks(F.regexp_replace(name, "#.*$", "")).alias("name"),
+    ).withColumn("node_i", F.max(F.when(F.col("hdr"), F.col("i"))).over(w))
+    tagged = tagged.where(F.col("node_i").isNotNull())
+    unquote = lambda c: F.regexp_replace(c, r'^"(.*)"$', "$1")
+    nodes = tagged.where("hdr").select("__file", "__line", "node_i", unquote(F.col("name")).alias("node"))
+    props = tagged.where(~F.col("hdr") & (F.col("clean") != "") & F.col("clean").contains(":")).select(
         "__file",
         "__line",
-        "i",
-        F.when(F.col("i") == 0, F.lit("Node")).otherwise(strip_blanks(F.substring_index(clean, ":", 1))).alias("prop"),
-        F.when(F.col("i") == 0, clean).otherwise(
-            strip_blanks(F.expr("substring(regexp_replace(text, '#.*$', ''), instr(regexp_replace(text, '#.*$', ''), ':') + 1)"))
-        ).alias("raw_value"),
-        clean.alias("clean"),
-    ).where((F.col("clean") != "") & ((F.col("i") == 0) | F.col("clean").contains(":")))
-    value = F.regexp_replace(F.col("raw_value"), r'^"(.*)"$', "$1")
-    nodes = parsed.where(F.col("i") == 0).select("__file", "__line", value.alias("node"))
-    props = parsed.where(F.col("i") > 0).select("__file", "__line", "prop", value.alias("value"))
-    return props.join(nodes, ["__file", "__line"]).select(
+        "node_i",
+        strip_blanks(F.substring_index(F.col("clean"), ":", 1)).alias("prop"),
+        unquote(strip_blanks(F.expr("substring(regexp_replace(text, '#.*$', ''), instr(regexp_replace(text, '#.*$', ''), ':') + 1)"))).alias(
+            "value"
+        ),
+    )
+    return props.join(nodes, ["__file", "__line", "node_i"]).select(
         F.lit(dataset_id).alias("dataset_id"),
         F.col("__file").alias("file"),
-        F.col("__line").alias("node_line"),
+        (F.col("__line") + F.col("node_i")).alias("node_line"),
         "node",
         "prop",
         "value",

@@ -94,6 +94,17 @@ def test_read_nodes(spark):
     ]
 
 
+def test_read_nodes_indented_header_and_leading_comment(spark):
+    d = tempfile.mkdtemp(prefix="statgate-test-")
+    p = _write(d, "v.mcf", "# c\n  Node: dcid:A\ntypeOf: dcs:StatisticalVariable\nNode: dcid:B\npopulationType: dcs:Person\n   Node: dcid:C\nname: \"C\"\n")
+    got = sorted((r.node_line, r.node, r.prop, r.value) for r in S.read_nodes(spark, [p]).collect())
+    assert got == [
+        (2, "dcid:A", "typeOf", "dcs:StatisticalVariable"),
+        (4, "dcid:B", "populationType", "dcs:Person"),
+        (6, "dcid:C", "name", "C"),
+    ]
+
+
 def test_bulk_nested_and_unrelated_files_ignored(spark):
     listing = spark.createDataFrame(
         [
