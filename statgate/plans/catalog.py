@@ -1287,3 +1287,32 @@ FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, reason IS NULL ORDER
 )
 def q_bulk_dedupe(spark, sf):
     return B.dedupe_datasets(B.classify_folders(TV.listing_pages(spark, sf), "root")).select("folder", "dataset_id", "reason", "action")
+
+
+# S3: a fixed two-node template (configuration) applied to the whole lineitem CSV view
+LINEITEM_TEMPLATE = [
+    ("lineitem_output.tmcf", 1, "typeOf", "dcs:StatVarObservation"),
+    ("lineitem_output.tmcf", 1, "variableMeasured", "dcid:Quantity_LineItem"),
+    ("lineitem_output.tmcf", 1, "observationAbout", "C:lineitem->l_suppkey"),
+    ("lineitem_output.tmcf", 1, "observationDate", "C:lineitem->l_shipdate"),
+    ("lineitem_output.tmcf", 1, "value", "C:lineitem->l_quantity"),
+    ("lineitem_output.tmcf", 8, "typeOf", "dcs:StatVarObservation"),
+    ("lineitem_output.tmcf", 8, "variableMeasured", "dcid:Amount_LineItem_Price"),
+    ("lineitem_output.tmcf", 8, "observationAbout", "C:lineitem->l_partkey"),
+    ("lineitem_output.tmcf", 8, "observationDate", "C:lineitem->l_shipdate"),
+    ("lineitem_output.tmcf", 8, "value", "C:lineitem->l_extendedprice"),
+    ("lineitem_output.tmcf", 8, "unit", "dcs:USDollar"),
+]
+
+
+@register(
+    "observations_lineitem",
+    lambda: TV.duckdb_with("csv_lineitem")
+    + """SELECT 'lineitem' AS dataset_id, l_suppkey AS observationAbout, l_shipdate AS observationDate, 'dcid:Quantity_LineItem' AS variableMeasured,
+       l_quantity AS value, '' AS unit, '' AS measurementMethod, '' AS observationPeriod, '' AS scalingFactor, __file, __row FROM csv_lineitem
+UNION ALL
+SELECT 'lineitem', l_partkey, l_shipdate, 'dcid:Amount_LineItem_Price', l_extendedprice, 'dcs:USDollar', '', '', '', __file, __row FROM csv_lineitem""",
+)
+def q_observations(spark, sf):
+    template = spark.createDataFrame(LINEITEM_TEMPLATE, "file string, node_line bigint, prop string, value string")
+    return SR.observations(TV.csv_lineitem(spark, sf), template, dataset_id="lineitem")

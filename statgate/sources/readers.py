@@ -308,3 +308,52 @@ def list_objects(spark: SparkSession, root: str) -> DataFrame:
     """Every object under ``root`` as (path, size); file contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return df.select(F.col("path"), F.col("length").alias("size"))
+
+
+OBSERVATION_PROPS = [
+    "observationAbout", "observationDate", "variableMeasured", "value",
+    "unit", "measurementMethod", "observationPeriod", "scalingFactor",
+]
+_COLUMN_REF = r"^C:[^>]+->(.+)$"
+
+
+def observations(csv: DataFrame, template: DataFrame, dataset_id: str | None = None) -> DataFrame:
+    """S3: apply a template to a CSV: one ``select`` per observation node, ``unionByName``.
+
+    Each property is a column reference (``C:table->column``) or a literal.
+    The template is a handful of triples per dataset (configuration-sized),
+    so it is read on the driver to build the projections; the CSV itself is
+    only ever projected, never collected.
+    """
+    rows = (
+        template.where(F.col("prop").isin("typeOf", *OBSERVATION_PROPS))
+        .select("file", "node_line", "prop", "value")
+        .collect()  # template triples only (a few per node, a few nodes per template)
+    )
+    nodes: dict[tuple, dict[str, str]] = {}
+    for r in rows:
+        nodes.setdefault((r["file"], r["node_line"]), {})[r["prop"]] = r["value"]
+    import re
+
+    parts = []
+    for key in sorted(nodes):
+        props = nodes[key]
+        if "statvarobservation" not in (props.get("typeOf") or "").lower():
+            continue
+        cols = []
+        for p in OBSERVATION_PROPS:
+            v = (props.get(p) or "").strip()
+            m = re.match(_COLUMN_REF, v)
+            if m:
+                cols.append(F.col(f"`{m.group(1).strip()}`").cast("string").alias(p))
+            else:
+                cols.append(F.lit(v).alias(p))
+        ds = F.lit(dataset_id) if dataset_id is not None else F.col("dataset_id")
+        parts.append(csv.select(ds.alias("dataset_id"), *cols, F.col("__file"), F.col("__row")))
+    if not parts:
+        schema = ", ".join(f"{c} string" for c in ["dataset_id", *OBSERVATION_PROPS, "__file"]) + ", __row bigint"
+        return csv.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
