@@ -44,11 +44,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
+        try:
+            current = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext access (e.g. Connect)
+            current = None
     if not current:
+        # only when the cluster names none (local tests): a fresh scratch folder
         current = tempfile.mkdtemp(prefix="statgate-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    try:
+        spark.sparkContext.setCheckpointDir(current)
+    except Exception:
+        pass
     return current
 
 
