@@ -22,8 +22,12 @@ def with_row_index(df: DataFrame, order_by: list[str] | None = None, start: int
     partition (bounded by the partition count), broadcast, and added to the
     position inside the partition.
     """
+    from statgate.session import materialize
+
     base = df.orderBy(*[F.col(c).asc_nulls_first() for c in order_by]) if order_by else df
-    tagged = base.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    # Positions are written once: the offsets and the rows must come from the
+    # same evaluation (a re-run of a sort may place rows differently).
+    tagged = materialize(base.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id()), "indexed")
     parts = tagged.groupBy("__pid").agg(F.min("__mid").alias("__m0"), F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__pid", "__m0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))

@@ -47,7 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     import os
 
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    # the source table's name, taken from the scanned file: dataset and file
+    # keys derived from it are data, so joins on them stay equi-joins
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").withColumn(
+        "__src", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")
+    )
     try:
         target = spark.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()  # planning only, no job
@@ -66,7 +70,7 @@ def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> one observation per event (a raw, un-aggregated observation CSV)."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.lit("events").alias("dataset_id"),
+        F.col("__src").alias("dataset_id"),
         F.concat(F.lit("dcid:user/"), F.col("user_id").cast("string")).alias("observationAbout"),
         F.date_format("ts", "yyyy-MM-dd").alias("observationDate"),
         F.concat(F.lit("dcid:Value_Event_"), _cap_first(F.col("event_type"))).alias("variableMeasured"),
@@ -75,7 +79,7 @@ def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("measurementMethod"),
         F.lit("P1D").alias("observationPeriod"),
         F.lit("").alias("scalingFactor"),
-        F.lit("events.csv").alias("__file"),
+        F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),
         (F.col("event_id") + 2).alias("__row"),
     )
 
@@ -122,11 +126,11 @@ def csv_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     Row numbers come from a distributed range sort plus per-partition offsets
     (``with_row_index``), never from a single-partition window.
     """
-    li = table(spark, sf_dir, "lineitem").select(*LINEITEM_COLUMNS)
+    li = table(spark, sf_dir, "lineitem").select("__src", *LINEITEM_COLUMNS)
     ordered = with_row_index(li, order_by=LINEITEM_COLUMNS, start=2)
     return ordered.select(
-        F.lit("lineitem").alias("dataset_id"),
-        F.lit("lineitem.csv").alias("__file"),
+        F.col("__src").alias("dataset_id"),
+        F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),
         F.col("__row"),
         *[F.col(c).cast("string").alias(c) for c in LINEITEM_COLUMNS],
     )
@@ -136,8 +140,8 @@ def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a raw CSV of (text, lang); record number = doc_id + 2."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.lit("documents").alias("dataset_id"),
-        F.lit("documents.csv").alias("__file"),
+        F.col("__src").alias("dataset_id"),
+        F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),
         (F.col("doc_id") + 2).alias("__row"),
         F.col("text"),
         F.col("lang"),
@@ -165,7 +169,7 @@ def lint_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("CSV_"), _cap_first(F.col("event_type"))))
     )
     return e.select(
-        F.lit("events").alias("dataset_id"),
+        F.col("__src").alias("dataset_id"),
         level.alias("level"),
         key.alias("counterKey"),
         F.concat(F.lit("Value "), F.col("value").cast("decimal(18,2)").cast("string"), F.lit(" at "), F.col("props")).alias("userMessage"),
@@ -234,7 +238,7 @@ def nodes_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("name", F.col("p_name")),
     )
     rows = p.select(
-        F.lit("parts").alias("dataset_id"),
+        F.concat(F.col("__src"), F.lit("s")).alias("dataset_id"),
         F.when(is_obs, F.lit("parts_output.tmcf")).otherwise(F.lit("parts_stat_vars.mcf")).alias("file"),
         (k * 8 + 1).alias("node_line"),
         F.when(is_obs, F.concat(F.lit("E:parts->E"), k.cast("string")))
