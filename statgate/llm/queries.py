@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statgate.llm import bpe, dedup, packing, simhash
+from statgate.llm import bpe, dedup, packing, quality, simhash
 from statgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEQUENCE_TOKENS = 2048
+QUALITY_THRESHOLD = 0.7
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
 
 
@@ -22,6 +23,15 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, by a network fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, net).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), SEQUENCE_TOKENS)
@@ -54,6 +64,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
