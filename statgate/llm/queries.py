@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statgate.llm import bpe, dedup, packing, quality, simhash
+from statgate.llm import bpe, dedup, packing, quality, simhash, urls
 from statgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,35 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), SEQUENCE_TOKENS)
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, row_number() OVER () AS r FROM pages),
+q AS (SELECT page_id, r, CASE WHEN contains(u, '://') THEN substr(u, strpos(u, '://') + 3) END AS rest FROM p),
+h AS (SELECT page_id, r,
+             coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM q),
+rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                            ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+b AS (SELECT h.r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+      FROM h JOIN rules ON (h.host = rh OR ends_with(h.host, '.' || rh)) AND starts_with(h.path, rp) GROUP BY h.r)
+SELECT h.page_id, h.host, h.path, b.rule, coalesce(b.v, 'allow') AS verdict FROM h LEFT JOIN b ON h.r = b.r
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded ids of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
@@ -66,9 +95,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL}
