@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statgate.llm import bpe, dedup, packing, quality, simhash, urls
+from statgate.llm import bpe, dedup, packing, quality, shards, simhash, urls
 from statgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEQUENCE_TOKENS = 2048
 QUALITY_THRESHOLD = 0.7
+SHARDS = 40
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
 
 
@@ -86,6 +87,11 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, n = 1 AS kept,
 """
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, 40 shards of near equal bytes."""
+    return shards.shard(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links at 4 or fewer differing bits."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_kd_sharding": op6_kd_sharding,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
