@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statgate.llm import bpe, dedup, packing, quality, shards, simhash, urls
+from statgate.llm import bpe, dedup, html_text, packing, quality, shards, simhash, topk, urls
 from statgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,29 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with weights counted on pages that mark theirs."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors for every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP8_SQL = """
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+q AS (SELECT DISTINCT vec_id, x FROM e WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, q.x AS qx, e.vec_id, CAST(list_inner_product(q.x, e.x) AS BIGINT) AS score, e.r FROM q JOIN e ON e.vec_id <> q.vec_id),
+k AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, qx ORDER BY score DESC, vec_id, r) AS "rank" FROM s)
+SELECT query_id, CAST("rank" AS INTEGER) AS "rank", vec_id, score FROM k WHERE "rank" <= 5
+"""
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links at 4 or fewer differing bits."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
@@ -105,7 +128,9 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_exact_topk": op8_exact_topk,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL}
