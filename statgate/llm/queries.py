@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statgate.llm import bpe, dedup, html_text, packing, quality, shards, simhash, topk, urls
+from statgate.llm import bpe, dedup, html_text, licenses, packing, quality, shards, simhash, topk, urls
 from statgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,71 @@ SELECT query_id, CAST("rank" AS INTEGER) AS "rank", vec_id, score FROM k WHERE "
 """
 
 
+def _document_path() -> Column:
+    """source/lang, then the hundreds of the id below those of ten thousands, then the id."""
+    doc = F.coalesce(F.col("doc_id"), F.lit(0))
+    return F.concat_ws(
+        "/",
+        F.coalesce("source", F.lit("")),
+        F.coalesce("lang", F.lit("")),
+        F.when(doc >= 10_000, F.expr("doc_id div 10000").cast("string")),
+        F.when(doc >= 100, F.expr("doc_id div 100").cast("string")),
+        doc.cast("string"),
+    )
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, its own or inherited; documents lie in directories by source, language and id."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", _document_path())
+    return licenses.scan(docs, keep=("doc_id",))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS t,
+                  concat_ws('/', coalesce(source, ''), coalesce(lang, ''),
+                            CASE WHEN doc_id >= 10000 THEN CAST(doc_id // 10000 AS VARCHAR) END,
+                            CASE WHEN doc_id >= 100 THEN CAST(doc_id // 100 AS VARCHAR) END,
+                            CAST(coalesce(doc_id, 0) AS VARCHAR)) AS path FROM documents),
+templates(license, notice) AS (VALUES {templates}),
+tt AS (SELECT license, lower(w) AS w, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(notice, '[A-Za-z0-9]+')) AS w FROM templates) GROUP BY ALL),
+words AS (SELECT r, l, lower(unnest(regexp_extract_all(line, '[A-Za-z0-9]+'))) AS w
+          FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS l FROM d)),
+lw AS (SELECT r, l, w, count(*) AS n FROM words GROUP BY ALL),
+docs AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT v.w, ln((1 + any_value(docs.n)) / (1 + count(DISTINCT lw.r))) + 1 AS idf
+        FROM (SELECT DISTINCT w FROM tt) v CROSS JOIN docs LEFT JOIN lw ON lw.w = v.w GROUP BY v.w),
+tv AS (SELECT license, tt.w, tt.n * idf AS x FROM tt JOIN idf USING (w)),
+tn AS (SELECT license, sqrt(sum(x * x)) AS size FROM tv GROUP BY license),
+passages AS (SELECT r, l, w, n FROM lw UNION ALL SELECT r, 0, w, sum(n) FROM lw GROUP BY r, w),
+pv AS (SELECT r, l, w, n * coalesce(idf, (SELECT ln(1 + n) + 1 FROM docs)) AS x, n FROM passages LEFT JOIN idf USING (w)),
+pn AS (SELECT r, l, sqrt(sum(x * x)) AS size, sum(n) AS words FROM pv GROUP BY r, l),
+cosines AS (SELECT r, l, license, round(sum(pv.x * tv.x) / (any_value(pn.size) * any_value(tn.size)), 9) AS score
+            FROM pv JOIN tv USING (w) JOIN pn USING (r, l) JOIN tn USING (license) GROUP BY r, l, license),
+line_best AS (SELECT r, l, min(struct_pack(s := -score, license := license)) AS b FROM cosines GROUP BY r, l),
+notices AS (SELECT r, l, -b.s AS score, b.license AS license FROM line_best WHERE -b.s >= {threshold}),
+own_line AS (SELECT r, min(struct_pack(s := -score, license := license)) AS b, sum(words) AS words FROM notices JOIN pn USING (r, l) WHERE l > 0 GROUP BY r),
+own AS (SELECT n.r, coalesce(-o.b.s, n0.score) AS score, coalesce(o.b.license, n0.license) AS license,
+               CASE WHEN o.r IS NULL THEN 1.0 ELSE o.words / p.words END AS share
+        FROM (SELECT DISTINCT r FROM notices) n LEFT JOIN own_line o USING (r)
+        LEFT JOIN (SELECT r, score, license FROM notices WHERE l = 0) n0 USING (r) JOIN (SELECT r, words FROM pn WHERE l = 0) p USING (r)),
+f AS (SELECT d.r, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own.score, own.license, share FROM d LEFT JOIN own USING (r)),
+dirs AS (SELECT dir AS ancestor, min(struct_pack(s := -score, license := license)) AS b FROM f
+         WHERE share >= {share} OR (share IS NOT NULL AND lower(regexp_extract(path, '([^/.]*)[^/]*$', 1)) IN ({names})) GROUP BY dir),
+near AS (SELECT dir, max(struct_pack(n := length(ancestor), ancestor := ancestor)) AS m
+         FROM (SELECT DISTINCT dir FROM f) x JOIN dirs ON ancestor = '' OR dir = ancestor OR starts_with(dir, ancestor || '/') GROUP BY dir)
+SELECT doc_id, path, coalesce(f.license, dirs.b.license) AS license,
+       CASE WHEN f.license IS NOT NULL THEN 'own' WHEN dirs.b.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       CASE WHEN f.license IS NOT NULL THEN f.score ELSE -dirs.b.s END AS score,
+       CASE WHEN f.license IS NULL THEN dirs.ancestor END AS from_dir
+FROM f LEFT JOIN near ON near.dir = f.dir LEFT JOIN dirs ON dirs.ancestor = near.m.ancestor
+""".format(
+    templates=", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items()),
+    threshold=licenses.THRESHOLD,
+    share=licenses.FILE_SHARE,
+    names=", ".join(f"'{n}'" for n in licenses.FILE_NAMES),
+)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links at 4 or fewer differing bits."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
@@ -130,7 +195,8 @@ QUERIES: dict[str, Query] = {
     "op6_kd_sharding": op6_kd_sharding,
     "op7_html_extraction": op7_html_extraction,
     "op8_exact_topk": op8_exact_topk,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op9_license_scan": OP9_SQL}
