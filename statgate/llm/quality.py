@@ -28,6 +28,7 @@ BLOCK = 128  # bytes; a chunk is two blocks
 PIECE = 512 * BLOCK  # bytes of a document taken at a time
 DIM, FILTERS, HIDDEN = 8, 32, 16
 PAD = 256
+LEAST_STEPS = 400
 PLACES = BLOCK // STEP
 
 
@@ -73,20 +74,22 @@ def fresh(seed: int = 7) -> Net:
     )
 
 
-def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte numbers of all pieces, padded to whole blocks; blocks per piece; the document of each piece."""
-    parts, blocks, owner = [], [], []
+def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte numbers of all pieces, padded to whole blocks; blocks per piece; the document of each piece; whether it ends there."""
+    parts, blocks, owner, final = [], [], [], []
     for i, text in enumerate(texts):
         data = np.frombuffer(text, dtype=np.uint8)
         for start in range(0, max(1, data.size), PIECE):
-            piece = data[start : start + PIECE + BLOCK + WIDTH]
+            ends = data.size <= start + PIECE
+            piece = data[start : start + PIECE + (0 if ends else BLOCK + WIDTH)]
             n = max(2, -(-(piece.size + WIDTH) // BLOCK))
             padded = np.full(n * BLOCK, PAD, dtype=np.int64)
             padded[: piece.size] = piece
             parts.append(padded)
             blocks.append(n)
             owner.append(i)
-    return np.concatenate(parts), np.array(blocks), np.array(owner)
+            final.append(ends)
+    return np.concatenate(parts), np.array(blocks), np.array(owner), np.array(final)
 
 
 def _windows(net: Net, codes: np.ndarray) -> np.ndarray:
@@ -98,26 +101,34 @@ def _windows(net: Net, codes: np.ndarray) -> np.ndarray:
     )
 
 
-def _chunks(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First block of each chunk, and the piece it belongs to."""
+def _chunks(blocks: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each chunk, and the piece it belongs to. What follows a piece's shared block is the next piece's."""
     ends = np.cumsum(blocks)
     first = np.arange(ends[-1])
     piece = np.repeat(np.arange(blocks.size), blocks)
-    inside = first != ends[piece] - 1
+    inside = first < (ends - np.where(final, 1, 2))[piece]
     return first[inside], piece[inside]
 
 
+def _mask_crossing(found: np.ndarray, blocks: np.ndarray, start: int = 0) -> None:
+    """Filter places at the padded end of a piece that reach into the next one count for nothing."""
+    last = np.cumsum(blocks) - 1 - start
+    last = last[(last >= 0) & (last < found.shape[0])]
+    found[last, PLACES - (WIDTH // STEP - 1) :] = -np.inf
+
+
 def logits(net: Net, texts: list[bytes]) -> np.ndarray:
     """One logit per text, over its whole length."""
-    codes, blocks, owner = _layout(texts)
+    codes, blocks, owner, final = _layout(texts)
     pooled = np.empty((codes.size // BLOCK, FILTERS), dtype=np.float32)
     step = 256  # blocks at a time keep the windows in cache
     for at in range(0, pooled.shape[0], step):
         part = codes[at * BLOCK : (at + step) * BLOCK + WIDTH]
         n = min(step, pooled.shape[0] - at)
-        found = _windows(net, part)[: n * PLACES] @ net.filters
-        pooled[at : at + n] = found.reshape(n, PLACES, FILTERS).max(axis=1)
-    first, piece = _chunks(blocks)
+        found = (_windows(net, part)[: n * PLACES] @ net.filters).reshape(n, PLACES, FILTERS)
+        _mask_crossing(found, blocks, at)
+        pooled[at : at + n] = found.max(axis=1)
+    first, piece = _chunks(blocks, final)
     chunk = np.maximum(pooled[first], pooled[first + 1]) + net.filter_bias
     hidden = np.maximum(chunk, 0) @ net.dense + net.dense_bias
     document = owner[piece]
@@ -130,13 +141,14 @@ def probabilities(net: Net, texts: list[bytes]) -> np.ndarray:
 
 
 def _gradients(net: Net, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> tuple[list[np.ndarray], float]:
-    codes, blocks, owner = _layout(texts)
+    codes, blocks, owner, final = _layout(texts)
     windows = _windows(net, codes)
     found = (windows @ net.filters).reshape(-1, PLACES, FILTERS)
+    _mask_crossing(found, blocks)
     place = found.argmax(axis=1)
     pooled = np.take_along_axis(found, place[:, None], axis=1)[:, 0]
     place += np.arange(place.shape[0])[:, None] * PLACES
-    first, piece = _chunks(blocks)
+    first, piece = _chunks(blocks, final)
     later = pooled[first + 1] > pooled[first]
     chunk = np.where(later, pooled[first + 1], pooled[first]) + net.filter_bias
     place = np.where(later, place[first + 1], place[first])
@@ -180,7 +192,9 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], passes: int
         return net
     first = [np.zeros_like(a) for a in net.arrays()]
     second = [np.zeros_like(a) for a in net.arrays()]
-    step, steps = 0, passes * -(-len(texts) // batch)
+    batches = -(-len(texts) // batch)
+    passes = max(passes, -(-LEAST_STEPS // batches))  # few rows are gone over more often
+    step, steps = 0, passes * batches
     for _ in range(passes):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
