@@ -29,6 +29,7 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 }
+TEXT = {*INLINE, "p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt"}
 BOILERPLATE = {
     "head", "title", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "svg",
     "object", "canvas", "audio", "video", *RAW,
@@ -55,7 +56,7 @@ WORD, TAG = 0, 1
 Item = tuple[int, str, str, bool]  # kind, key, text of a run of words, whether it is boilerplate
 
 #: Weights of keys that no labelled page has.
-DEFAULT_WORD, DEFAULT_TAG, DEFAULT_INLINE = 1.0, -1.0, -0.1
+DEFAULT_WORD, DEFAULT_TAG, DEFAULT_TEXT_TAG = 1.0, -1.0, -0.1
 
 
 def _is_boilerplate(name: str, attributes: str) -> bool:
@@ -175,7 +176,7 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     scores = [
         (0.0 if boilerplate else len(text.split()) * weight.get(key, DEFAULT_WORD))
         if kind == WORD
-        else weight.get(f"<{key}", DEFAULT_INLINE if key.lstrip("/") in INLINE else DEFAULT_TAG)
+        else weight.get(f"<{key}", DEFAULT_TEXT_TAG if key.lstrip("/") in TEXT else DEFAULT_TAG)
         for kind, key, text, boilerplate in sequence
     ]
     start, end = best_region(scores)
