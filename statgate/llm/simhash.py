@@ -170,7 +170,9 @@ def near_groups(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc
     columns besides the id and the text are ignored.
     """
     marked = cut(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # A number of partitions that adaptive execution does not lower: every row becomes 64 below.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cut(marked.repartition(parts, "fp").groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(near_links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root"))
     least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("linked"))
     of_fp = roots.join(least, "root").select("fp", "linked")
