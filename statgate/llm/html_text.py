@@ -52,6 +52,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
+DRAWS = 1 << 30
 WORD, TAG = 0, 1
 Item = tuple[int, str, str, bool]  # kind, key, text of a run of words, whether it is boilerplate
 
@@ -134,11 +135,16 @@ def weights(inside: Counter, outside: Counter) -> dict[str, float]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most ``most`` pages that carry one <article>, by id hash; the defaults apply where there is none.
+    """Weights from about ``most`` pages that carry one <article>, drawn by a hash; the defaults apply where there is none.
 
-    Pages of over ``LABELLED_CHARS`` characters are not counted on.
+    Each page is drawn on its own, with probability ``most`` over the number
+    of such pages, so nothing is sorted or gathered. Pages of over
+    ``LABELLED_CHARS`` characters are not counted on.
     """
-    sample = pages.where((F.length(html_col) <= LABELLED_CHARS) & F.contains(F.lower(html_col), F.lit("<article"))).orderBy(F.xxhash64(id_col), id_col).limit(most)
+    labelled = pages.where((F.length(html_col) <= LABELLED_CHARS) & F.contains(F.lower(html_col), F.lit("<article")))
+    share = min(DRAWS, -(-most * DRAWS // max(1, labelled.count())))
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(DRAWS)) < share
+    sample = labelled.withColumn("_drawn", drawn).where("_drawn")
 
     def run(batches):
         inside, outside = Counter(), Counter()
