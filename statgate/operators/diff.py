@@ -8,8 +8,8 @@ Baselines are versioned Parquet directories with an append-only manifest.
 from __future__ import annotations
 
 import datetime
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,40 +41,29 @@ def _keyed(obs: DataFrame, side: str) -> DataFrame:
 def diff_observations(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Status per observation key: ADDED, DELETED, MODIFIED or SAME.
 
-    Values compare as numbers when numeric (1 == 1.0), else as trimmed text;
-    a key is MODIFIED when its set of distinct values differs between sides.
-    Skew-safe and list-free: (key, side, value) is first made distinct (a
-    hash aggregate whose grouping includes the value, so a hot key spreads
-    over many tasks), then each key's two value sets are compared by their
-    size and two order-independent 64-bit set hashes (xor of xxhash64 and the
-    exact sum of murmur3 hashes), all fixed-width partial aggregates.
+    Values compare as numbers when numeric (1 == 1.0, -0 == 0), else as trimmed
+    text; a key is MODIFIED when its set of distinct values differs between
+    the sides. Each (key, value) is first reduced to the sides it is on, by an
+    aggregate whose grouping includes the value, so a hot key spreads over
+    many tasks; a key differs if any of its values is on one side only.
     """
     u = _keyed(current, "cur").unionByName(_keyed(baseline, "base"))
-    value = F.coalesce(F.concat(F.lit("n:"), F.col("num").cast("string")), F.concat(F.lit("t:"), F.col("txt")))
-    distinct_vals = u.groupBy("dataset_id", *DIFF_KEY, "side", value.alias("v")).agg(F.lit(1).alias("__one")).drop("__one")
-    cur, base = F.col("side") == "cur", F.col("side") == "base"
-    has_v = F.col("v").isNotNull()
-    h1 = F.xxhash64("v")
-    h2 = F.hash("v").cast("decimal(38,0)")
-    g = distinct_vals.groupBy("dataset_id", *DIFF_KEY).agg(
-        F.max(cur.cast("int")).alias("in_cur"),
-        F.max(base.cast("int")).alias("in_base"),
-        F.count_if(cur & has_v).alias("n_new"),
-        F.count_if(base & has_v).alias("n_old"),
-        F.bit_xor(F.when(cur & has_v, h1)).alias("x_new"),
-        F.bit_xor(F.when(base & has_v, h1)).alias("x_old"),
-        F.sum(F.when(cur & has_v, h2)).alias("s_new"),
-        F.sum(F.when(base & has_v, h2)).alias("s_old"),
+    value = F.coalesce(F.concat(F.lit("n:"), (F.col("num") + F.lit(0.0)).cast("string")), F.concat(F.lit("t:"), F.col("txt")))
+    sides = u.groupBy("dataset_id", *DIFF_KEY, value.alias("v")).agg(
+        F.max((F.col("side") == "cur").cast("int")).alias("cur"), F.max((F.col("side") == "base").cast("int")).alias("base")
     )
-    same_set = (
-        (F.col("n_new") == F.col("n_old"))
-        & F.coalesce(F.col("x_new") == F.col("x_old"), F.col("x_new").isNull() & F.col("x_old").isNull())
-        & F.coalesce(F.col("s_new") == F.col("s_old"), F.col("s_new").isNull() & F.col("s_old").isNull())
+    has_v = F.col("v").isNotNull()
+    g = sides.groupBy("dataset_id", *DIFF_KEY).agg(
+        F.max("cur").alias("in_cur"),
+        F.max("base").alias("in_base"),
+        F.count_if((F.col("cur") == 1) & has_v).alias("n_new"),
+        F.count_if((F.col("base") == 1) & has_v).alias("n_old"),
+        F.bool_or(has_v & (F.col("cur") != F.col("base"))).alias("differs"),
     )
     status = (
         F.when(F.col("in_base") == 0, F.lit("ADDED"))
         .when(F.col("in_cur") == 0, F.lit("DELETED"))
-        .when(~same_set, F.lit("MODIFIED"))
+        .when(F.col("differs"), F.lit("MODIFIED"))
         .otherwise(F.lit("SAME"))
     )
     return g.select("dataset_id", *DIFF_KEY, status.alias("status"), F.col("n_old").cast("bigint"), F.col("n_new").cast("bigint"))
@@ -169,11 +158,13 @@ def _manifest_dir(root: str, dataset_id: str) -> str:
 
 
 def baseline_versions(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """Accepted versions, newest first by numeric version."""
+    """Accepted versions, newest first by numeric version. Only a missing manifest means that there are none."""
     path = _manifest_dir(root, dataset_id)
     try:
         m = spark.read.schema(MANIFEST_SCHEMA).json(path)
-    except Exception:  # no manifest yet: no versions
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MANIFEST_SCHEMA)
     return m.orderBy(F.substring("version", 2, 20).cast("int").desc())
 
@@ -190,7 +181,7 @@ def accept_baseline(obs: DataFrame, root: str, dataset_id: str, run_id: str, blo
     """D6 + D9: write the run's observations as the next version, then append the manifest.
 
     Refused (returns None) when the run is blocked or already the newest version.
-    The version directory is written first and the manifest row last, so a
+    An existing version is never written onto. The version directory is written first and the manifest row last, so a
     reader never sees a version whose data is incomplete.
     """
     if blocked:
@@ -203,7 +194,7 @@ def accept_baseline(obs: DataFrame, root: str, dataset_id: str, run_id: str, blo
     n = int(top[0]["version"][1:]) + 1 if top else 1
     version = f"v{n}"
     path = f"{root.rstrip('/')}/{dataset_id}/{version}"
-    obs.where(F.col("dataset_id") == dataset_id).write.mode("overwrite").parquet(path)
+    obs.where(F.col("dataset_id") == dataset_id).write.mode("errorifexists").parquet(path)
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     spark.createDataFrame([(dataset_id, version, run_id, now, path)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(
         _manifest_dir(root, dataset_id)
@@ -218,7 +209,8 @@ def empty_differ(spark: SparkSession) -> DataFrame:
 def diff_or_first_run(current: DataFrame, root: str, dataset_id: str) -> tuple[DataFrame, DataFrame]:
     """(differ, sizes); with no baseline an empty typed differ and ``first_run`` sizes."""
     spark = current.sparkSession
-    base = latest_baseline(spark, root, dataset_id) if os.path.exists(root) or "://" in root else None
+    current = current.where(F.col("dataset_id") == dataset_id)
+    base = latest_baseline(spark, root, dataset_id)
     if base is None:
         sizes = current.select("dataset_id").distinct().select(
             "dataset_id",
@@ -228,6 +220,4 @@ def diff_or_first_run(current: DataFrame, root: str, dataset_id: str) -> tuple[D
             F.lit(True).alias("first_run"),
         )
         return empty_differ(spark), sizes
-    from statgate.session import materialize
-
-    return differ_and_sizes(materialize(diff_counts(diff_observations(current, base)), "diff_counts"))
+    return differ_and_sizes(diff_counts(diff_observations(current, base)))

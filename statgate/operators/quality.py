@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from statgate.functions.scalars import is_blank, is_numeric, strip_blanks
 
-META = ("__file", "__row", "dataset_id")
+META = ("__file", "__row", "__malformed", "dataset_id")
 
 
 def _data_columns(csv: DataFrame, columns: list[str] | None) -> list[str]:
@@ -64,14 +64,15 @@ def row_key(cols: list[str]) -> Column:
 def first_duplicate_row(csv: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Q3: per file, the smallest record number whose trimmed cells equal an earlier record's.
 
-    That is the second-smallest record of each repeated row, minimised over
-    rows; found with ``smallest_k`` so a heavily repeated row is split across
-    tasks. Duplicates are per file, never across files.
+    Each row's first record and count come from one map-side combined
+    aggregate; only the repeated rows (few, or few distinct) are joined back
+    to find their second record. Duplicates are per file, never across files.
     """
     cols = _data_columns(csv, columns)
     keyed = csv.select("__file", "__row", row_key(cols).alias("__key"))
-    second = smallest_k(keyed, ["__file", "__key"], "__row", 2).where(F.col("rank") == 2)
-    return second.groupBy(F.col("__file").alias("file")).agg(F.min("__row").alias("row"))
+    repeated = keyed.groupBy("__file", "__key").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    later = keyed.join(repeated, ["__file", "__key"]).where(F.col("__row") > F.col("__first"))
+    return later.groupBy(F.col("__file").alias("file")).agg(F.min("__row").alias("row"))
 
 
 def non_numeric_rows(csv: DataFrame, value_column: str) -> DataFrame:
@@ -203,15 +204,16 @@ def shard_assign(csv: DataFrame, rows_per_shard: int) -> DataFrame:
 def shard_manifest(csv: DataFrame, rows_per_shard: int, threshold_rows: int = 0, failed: bool = False) -> DataFrame:
     """(status, shards, total_rows, shard_count, rows_per_shard, threshold) per dataset.
 
+    Shards are numbered per file and listed by file and number.
     Shards are skipped (status 'skipped') below the row threshold or when the
     quality checks failed.
     """
     s = shard_assign(csv, rows_per_shard)
-    per = s.groupBy("dataset_id", "shard").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    per = s.groupBy("dataset_id", F.col("__file").alias("file"), "shard").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
     m = per.groupBy("dataset_id").agg(
         F.sum("rows").cast("bigint").alias("total_rows"),
         F.count(F.lit(1)).cast("bigint").alias("shard_count"),
-        F.array_sort(F.collect_list(F.struct("shard", "rows"))).alias("__s"),
+        F.array_sort(F.collect_list(F.struct("file", "shard", "rows"))).alias("__s"),
     )
     done = (F.col("total_rows") >= F.lit(threshold_rows)) & F.lit(not failed)
     return m.select(
@@ -238,8 +240,8 @@ def quality_and_shards(
 ) -> tuple[DataFrame, DataFrame]:
     """Q6: quality messages and the shard manifest in one plan over the same scan.
 
-    Shards are written (when ``out_dir`` is given) only if no fatal check
-    failed and the dataset reaches ``threshold_rows``; the manifest says
+    Shards are written (when ``out_dir`` is given) for the datasets without a
+    failed fatal check that reach ``threshold_rows``; the manifest says
     'skipped' otherwise. Returns (messages, manifest).
     """
     messages = quality_verdict(csv, header, value_column, allow_empty, columns)
@@ -258,9 +260,8 @@ def quality_and_shards(
         "threshold_rows",
     )
     if out_dir is not None:
-        go = manifest.where(F.col("status") == "done").limit(1).count() > 0  # one-row decision
-        if go:
-            from statgate.sources.writers import write_shards
+        from statgate.sources.writers import write_shards
 
-            write_shards(csv, out_dir, rows_per_shard, columns)
+        done = manifest.where(F.col("status") == "done").select("dataset_id")
+        write_shards(csv.join(done, "dataset_id", "left_semi"), out_dir, rows_per_shard, columns)
     return messages, manifest

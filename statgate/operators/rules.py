@@ -11,6 +11,7 @@ rules on a first run, which warn).
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException, ParseException
@@ -225,8 +226,8 @@ def _differ_rule(datasets, tables, rule, agg: DataFrame, status: Column, message
     """Differ rules: a dataset without a baseline (first run) gets the first-run WARNING."""
     sizes = tables.get("sizes")
     out = _finish(datasets, agg, rule, status, message, details)
-    if sizes is None:
-        first = datasets.select("dataset_id", F.lit(True).alias("__first"))
+    if sizes is None:  # there is a differ table, so this is no first run
+        first = datasets.select("dataset_id", F.lit(False).alias("__first"))
     else:
         first = sizes.select("dataset_id", F.col("first_run").alias("__first"))
     j = out.join(first, "dataset_id", "left")
@@ -300,7 +301,7 @@ def goldens_check(datasets, tables, rule):
     goldens, obs = tables["goldens"], tables["obs"]
     cols = [c for c in goldens.columns if c != "dataset_id"]
     left = goldens.select("dataset_id", *[strip_blanks(F.col(c).cast("string")).alias(c) for c in cols])
-    right = obs.select("dataset_id", *[strip_blanks(F.col(c).cast("string")).alias(c) for c in cols]).distinct()
+    right = obs.select("dataset_id", *[strip_blanks(F.col(c).cast("string")).alias(c) for c in cols])
     missing = left.join(right, ["dataset_id", *cols], "left_anti")
     agg = missing.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*[F.col(c) for c in cols])).alias("rows")
@@ -319,23 +320,48 @@ def goldens_check(datasets, tables, rule):
 # ---------------------------------------------------------------------------
 
 
-def sql_violations(spark: SparkSession, query: str, condition: str) -> DataFrame:
-    """Rows of ``query`` where ``NOT (condition)``; analysis errors surface at once."""
-    return spark.sql(f"SELECT * FROM ({query}) AS _data WHERE NOT ({condition})")
+def violations_sql(query: str, condition: str) -> str:
+    """Rows of ``query`` where ``NOT (condition)``."""
+    return f"SELECT * FROM ({query}) AS _data WHERE NOT ({condition})"
 
 
-def _register(tables: dict[str, DataFrame], dataset_id: str | None):
+def bound_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """``sql`` analysed over the given tables, with NULL for a division by zero or a failed cast.
+
+    The tables are bound under names of their own and dropped at once, so the
+    caller's views are neither read, replaced nor left behind.
+    """
+    names = {name: f"__{name}_{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        if name in ("stats", "differ", "lint") and df is not None:
-            d = df.where(F.col("dataset_id") == dataset_id) if dataset_id is not None else df
-            d.drop("dataset_id").createOrReplaceTempView(name)
+        df.createOrReplaceTempView(names[name])
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        ctes = ", ".join(f"{name} AS (SELECT * FROM {own})" for name, own in names.items())
+        out = spark.sql(f"WITH {ctes} {sql}" if ctes else sql)
+        out.schema  # analysis happens here
+        return out
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        for own in names.values():
+            spark.catalog.dropTempView(own)
+
+
+def sql_tables(tables: dict[str, DataFrame], dataset_id: str) -> dict[str, DataFrame]:
+    """What an SQL rule sees: one dataset's stats, differ and lint, without the dataset key. A table that the run lacks is unknown."""
+    return {
+        name: df.where(F.col("dataset_id") == dataset_id).drop("dataset_id")
+        for name, df in tables.items()
+        if name in ("stats", "differ", "lint") and df is not None
+    }
 
 
 def sql_validator(datasets: DataFrame, tables, rule, spark: SparkSession | None = None):
     """V5: SQL rule; fails with one failing row per violating row; bad SQL -> CONFIG_ERROR.
 
     The query runs once per dataset over views filtered to it (the rule's SQL
-    refers to ``stats``/``differ``/``lint`` without a dataset key). The number
+    refers to ``stats``/``differ``/``lint`` without a dataset key). Division by
+    zero is NULL, which violates nothing; bad SQL costs its own row only. The number
     of datasets is the outer loop; each run is a distributed Spark query.
     """
     spark = spark or datasets.sparkSession
@@ -344,12 +370,10 @@ def sql_validator(datasets: DataFrame, tables, rule, spark: SparkSession | None
     ids = [r[0] for r in datasets.select("dataset_id").distinct().orderBy("dataset_id").collect()]
     parts = []
     for ds in ids:
-        _register(tables, ds)
         try:
-            bad = sql_violations(spark, query, condition)
-            bad.schema  # analysis happens here: the dry run
+            bad = bound_sql(spark, violations_sql(query, condition), sql_tables(tables, ds))
         except (AnalysisException, ParseException) as e:
-            msg = str(e).split("\n")[0][:500]
+            msg = str(e)
             parts.append(
                 spark.createDataFrame([(ds,)], "dataset_id string").select(
                     "dataset_id",
@@ -361,7 +385,7 @@ def sql_validator(datasets: DataFrame, tables, rule, spark: SparkSession | None
                 )
             )
             continue
-        rows = bad.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in bad.columns])).alias("j"))
+        rows = bad.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in bad.columns]), {"ignoreNullFields": "false"}).alias("j"))
         agg = rows.agg(F.count(F.lit(1)).alias("n"), F.collect_list("j").alias("rows")).select(
             F.lit(ds).alias("dataset_id"), "n", "rows"
         )
@@ -375,7 +399,16 @@ def sql_validator(datasets: DataFrame, tables, rule, spark: SparkSession | None
             F.array_join(F.coalesce(F.col("rows"), F.array().cast("array<string>")), ","),
             F.lit('],"sql_context":"Rules are evaluated per StatVar (aggregated across all CSV rows)"}'),
         )
-        parts.append(_finish(datasets.where(F.col("dataset_id") == ds), agg, rule, status, message, details))
+        parts.append(  # the aggregate without keys has exactly one row
+            agg.select(
+                "dataset_id",
+                F.lit(rule.get("rule_id", "")).alias("validation_name"),
+                status.alias("status"),
+                message.alias("message"),
+                details.alias("details"),
+                _lit_json(params).alias("validation_params"),
+            )
+        )
     if not parts:
         return datasets.limit(0).select("dataset_id", *[F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS[1:]])
     out = parts[0]
@@ -556,54 +589,12 @@ def first_run_results(datasets: DataFrame, rule: dict) -> DataFrame:
     )
 
 
-SMALL_TABLES = ("stats", "lint", "differ", "sizes", "granularity")
-
-
-def _uses(rule: dict) -> list[str]:
-    v = rule.get("validator")
-    return {
-        "MISSING_REFS_COUNT": ["lint"],
-        "STRUCTURAL_LINT_ERROR_COUNT": ["lint"],
-        "OBSERVATION_DATE_GRANULARITY": ["granularity"],
-        "DELETED_RECORDS_COUNT": ["differ", "sizes"],
-        "DELETED_RECORDS_PERCENT": ["differ", "sizes"],
-        "MODIFIED_RECORDS_COUNT": ["differ", "sizes"],
-        "ADDED_RECORDS_COUNT": ["differ", "sizes"],
-        "GOLDENS_CHECK": ["goldens", "obs"],
-    }.get(v, ["stats"])
-
-
-def materialize_tables(tables: dict[str, DataFrame], rules: list[dict] | None = None, min_uses: int = 3) -> dict[str, DataFrame]:
-    """Compute the aggregated rule inputs once (one row per variable / counter).
-
-    Every rule reads them, so each is written once as a Parquet table under
-    the shared folder named by ``spark.checkpoint.dir`` and read back: one job
-    per table, lineage cut, and an executor loss re-reads the files instead
-    of recomputing the scan (``checkpoint()`` would compute the plan twice).
-    """
-    from statgate.session import materialize
-
-    out = dict(tables)
-    uses = {n: 0 for n in SMALL_TABLES}
-    for r in rules if rules is not None else []:
-        for n in _uses(r):
-            if n in uses:
-                uses[n] += 1
-    for name in SMALL_TABLES:
-        df = out.get(name)
-        # a table read by fewer rules is cheaper to recompute than to write
-        if df is not None and (rules is None or uses[name] >= min_uses):
-            out[name] = materialize(df, name)
-    return out
-
-
 def run_rules(
     tables: dict[str, DataFrame],
     rules: list[dict],
     datasets: DataFrame | None = None,
     include=None,
     skip=None,
-    materialize: bool = True,
 ) -> DataFrame:
     """One result row per (dataset, selected rule).
 
@@ -612,8 +603,6 @@ def run_rules(
     A rule whose tables are absent produces no row (R2 then injects FAILED);
     an unknown validator yields a WARNING row.
     """
-    if materialize:
-        tables = materialize_tables(tables, select_rules(rules, include, skip))
     if datasets is None:
         datasets = tables["stats"].select("dataset_id").distinct()
     datasets = datasets.select("dataset_id").distinct()
@@ -653,12 +642,6 @@ def run_rules(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if materialize:
-        # one row per (dataset, rule): written once, then verdicts, overrides
-        # and samples read the small table instead of re-running every rule
-        from statgate.session import materialize as _write
-
-        out = _write(out, "results")
     return out
 
 
@@ -733,10 +716,9 @@ def config_errors(results: DataFrame) -> DataFrame:
 def preview_sql_rule(spark: SparkSession, query: str, condition: str, sample: int = 10) -> dict:
     """Pass flag, total violations and the first ``sample`` violating rows."""
     try:
-        bad = sql_violations(spark, query, condition)
-        bad.schema
+        bad = bound_sql(spark, violations_sql(query, condition), {})
     except (AnalysisException, ParseException) as e:
-        return {"valid": False, "error": str(e).split("\n")[0]}
+        return {"valid": False, "error": str(e)}
     total = bad.count()
     rows = [r.asDict() for r in bad.limit(sample).collect()]  # the preview is a bounded sample by design
     return {"valid": True, "passed": total == 0, "violations": total, "sample_rows": rows}

@@ -144,17 +144,17 @@ def lint_errors(counters: DataFrame) -> DataFrame:
 
 
 def counters_match(stats: DataFrame, counters: DataFrame) -> DataFrame:
-    """sum(NumObservations) == NumNodeSuccesses; missing counter -> skipped (ok)."""
+    """sum(NumObservations) == NumNodeSuccesses of LEVEL_INFO; missing counter -> skipped (ok), no number -> error."""
     actual = stats.groupBy("dataset_id").agg(F.sum("NumObservations").cast("bigint").alias("actual"))
     expected = (
-        counters.where(F.col("counterKey") == "NumNodeSuccesses")
+        counters.where((F.col("counterKey") == "NumNodeSuccesses") & (F.col("level") == "LEVEL_INFO"))
         .groupBy("dataset_id")
-        .agg(F.sum(F.col("count").try_cast("double")).alias("expected"))
+        .agg(F.max(F.col("count").try_cast("double")).alias("expected"), F.count(F.lit(1)).alias("n"))
     )
     j = actual.join(expected, "dataset_id", "left")
     status = (
-        F.when(F.col("expected").isNull(), F.lit("SKIPPED"))
-        .when(F.isnan("expected"), F.lit("ERROR"))
+        F.when(F.col("n").isNull(), F.lit("SKIPPED"))
+        .when(F.col("expected").isNull() | F.isnan("expected"), F.lit("ERROR"))
         .when(F.col("actual") == F.col("expected"), F.lit("OK"))
         .otherwise(F.lit("MISMATCH"))
     )

@@ -440,10 +440,10 @@ def q_top_changed(spark, sf):
 
 
 def orders_tables(spark, sf) -> dict[str, DataFrame]:
-    from statgate.session import materialize
+    from statgate.session import cut
 
     cur = TV.obs_orders(spark, sf, "current")
-    counts = materialize(D.diff_counts(D.diff_observations(cur, TV.obs_orders(spark, sf, "baseline"))), "diff_counts")
+    counts = cut(D.diff_counts(D.diff_observations(cur, TV.obs_orders(spark, sf, "baseline"))))
     differ, sizes = D.differ_and_sizes(counts)
     return {"stats": A.variable_summary(cur), "differ": differ, "sizes": sizes}
 
@@ -708,7 +708,7 @@ SELECT * FROM units UNION ALL SELECT * FROM latest UNION ALL SELECT * FROM refs
 
 @register("failure_samples_events", _samples_sql)
 def q_samples(spark, sf):
-    tables = R.materialize_tables(events_tables(spark, sf))
+    tables = events_tables(spark, sf)
     results = events_results(spark, sf, CUSTOM_SQL_RULES[:1], tables=tables)
     stats = tables["stats"]
     s = S.failure_samples(results)
@@ -1207,7 +1207,7 @@ FROM res GROUP BY dataset_id"""
 
 @register("review_summary_events", _review_summary_sql)
 def q_review_summary(spark, sf):
-    tables = R.materialize_tables(events_tables(spark, sf))
+    tables = events_tables(spark, sf)
     results = events_results(spark, sf, tables=tables)
     stats = tables["stats"]
     samples = S.expand_units(S.enrich_samples(S.failure_samples(results), TV.obs_events(spark, sf)), stats)

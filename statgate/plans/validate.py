@@ -34,11 +34,11 @@ def validate_many(
     from statgate.operators import series as W
     from statgate.operators import stats as A
 
-    from statgate.session import materialize
+    from statgate.session import cut
 
     # the stats table (one row per variable) is written once; the dataset list
     # comes from it, so no rule part re-scans the observations for dataset ids
-    stats = materialize(A.variable_summary(obs), "stats")
+    stats = cut(A.variable_summary(obs))
     datasets = stats.select("dataset_id").distinct()
     tables = {"stats": stats, "granularity": W.date_granularity_mix(obs, granularity_nodes)}
     if lint is not None:
@@ -47,8 +47,8 @@ def validate_many(
         tables["lint"] = spark.createDataFrame([], "dataset_id string, level string, counterKey string, count string")
     if baselines is not None:
         with_base = baselines.select("dataset_id").distinct()
-        cur = obs.join(F.broadcast(with_base), "dataset_id", "left_semi")  # one row per dataset
-        counts = materialize(D.diff_counts(D.diff_observations(cur, baselines)), "diff_counts")
+        cur = obs.join(with_base, "dataset_id", "left_semi")
+        counts = cut(D.diff_counts(D.diff_observations(cur, baselines)))
         tables["differ"], tables["sizes"] = D.differ_and_sizes(counts)
     res = R.run_rules(tables, rules, datasets=datasets)
     return R.inject_missing(res, rules, datasets)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "statgate") -> SparkSession:
@@ -29,6 +29,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("statgate.scanPartitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("STATGATE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -37,41 +38,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only fall back to a
-    fresh scratch folder when it is unset (local tests).
+    A local session without one gets a temporary folder; on a cluster a
+    missing setting is an error, for executors don't share their disks.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        try:
-            current = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no SparkContext access (e.g. Connect)
-            current = None
-    if not current:
-        # only when the cluster names none (local tests): a fresh scratch folder
-        current = tempfile.mkdtemp(prefix="statgate-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:
-        pass
-    return current
-
-
-def materialize(df, name: str = "table"):
-    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
-
-    Used for small, reused intermediate tables (rule inputs); the folder is
-    the shared one the cluster names in ``spark.checkpoint.dir``.
-    """
-    import uuid
-
-    if getattr(df, "_statgate_materialized", False):
-        return df
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/statgate-{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
-    out._statgate_materialized = True
-    return out
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="statgate-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, for small tables that several plans read."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

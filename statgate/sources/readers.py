@@ -8,6 +8,9 @@ each split its offset in the file, and a broadcast join applies it.
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,26 +18,25 @@ from pyspark.sql import types as T
 from statgate.functions.scalars import strip_blanks
 
 
-def with_row_index(df: DataFrame, order_by: list[str] | None = None, start: int = 1, name: str = "__row") -> DataFrame:
-    """Add a consecutive row number in the frame's order (optionally after a total sort).
+def with_row_index(df: DataFrame, order_by: list[str], bucket: Column, start: int = 1, name: str = "__row") -> DataFrame:
+    """Add the position of each row in the order of ``order_by``, lazily.
 
-    The sort is a distributed range sort. Offsets are computed from one row per
-    partition (bounded by the partition count), broadcast, and added to the
-    position inside the partition.
+    ``bucket`` is a number that does not fall along that order (a coarsened
+    leading key). Rows are numbered inside their bucket; the rows of earlier
+    buckets come from counts per bucket, summed in two levels, so no task sees
+    more than a bucket, or the counts of a few thousand.
     """
-    from statgate.session import materialize
-
-    base = df.orderBy(*[F.col(c).asc_nulls_first() for c in order_by]) if order_by else df
-    # Positions are written once: the offsets and the rows must come from the
-    # same evaluation (a re-run of a sort may place rows differently).
-    tagged = materialize(base.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id()), "indexed")
-    parts = tagged.groupBy("__pid").agg(F.min("__mid").alias("__m0"), F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("__pid", "__m0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), "__pid").withColumn(
-        name, F.col("__mid") - F.col("__m0") + F.col("__off") + F.lit(start)
-    )
-    return out.drop("__pid", "__mid", "__m0", "__off")
+    order = [F.col(c).asc_nulls_first() for c in order_by]
+    b = F.coalesce(bucket.cast("bigint"), F.lit(-(2**62)))
+    rows = df.withColumn("__b", b)
+    counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__hi", F.expr("__b div 4096"))
+    running = Window.orderBy("__hi").rowsBetween(Window.unboundedPreceding, -1)
+    high = counts.groupBy("__hi").agg(F.sum("__n").alias("__n")).select("__hi", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off_hi"))
+    within = Window.partitionBy("__hi").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(high, "__hi")
+    offsets = offsets.select("__b", (F.col("__off") + F.col("__off_hi")).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return rows.withColumn("__in", inside).join(offsets, "__b").withColumn(name, F.col("__in") + F.col("__off") + F.lit(start - 1)).drop("__b", "__in", "__off")
 
 
 def _file_offsets(tagged: DataFrame, count_col: Column | None = None) -> DataFrame:
@@ -45,34 +47,64 @@ def _file_offsets(tagged: DataFrame, count_col: Column | None = None) -> DataFra
     return splits.select("__file", "__block", "__m0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
 
 
+MALFORMED = "__malformed"
+
+
+def csv_headers(spark: SparkSession, paths) -> DataFrame:
+    """(file, header): the first line of each file, from the splits that start at 0 only."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")
+    )
+    return lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "i").alias("header"))
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header line as they are; repeated names get their position appended."""
+    names = next(csv.reader([header.lstrip("\ufeff")]), [])
+    return [n if names.count(n) == 1 else f"{n}{i}" for i, n in enumerate(names)]
+
+
 def read_csv(spark: SparkSession, paths, multi_line: bool = True, dataset_id: str | None = None) -> DataFrame:
     """Observation CSVs as strings + ``__file`` and 1-based ``__row`` (header is row 1).
 
+    RFC 4180: a doubled quote stands for one, a backslash for itself. Files
+    are read by groups of equal headers and united by column name, so another
+    column order or a missing column moves no cell. A record with more or
+    fewer cells than its header keeps its whole text in ``__malformed``.
+
     ``multi_line=True`` (default) keeps quoted newlines inside one record (one
     task per file); pass False for files known to have none so large files
     are split across tasks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .csv(paths)
-    )
-    data_cols = raw.columns
-    tagged = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__mid"),
-    )
-    offsets = _file_offsets(tagged)
-    out = tagged.join(F.broadcast(offsets), ["__file", "__block"]).select(
-        *[F.col(f"`{c}`") for c in data_cols],
-        F.col("__file"),
-        (F.col("__mid") - F.col("__m0") + F.col("__off") + F.lit(2)).alias("__row"),
-    )
+    groups: dict[str, list[str]] = {}
+    for r in csv_headers(spark, paths).collect():  # one line per file; Spark lists the files on the driver as well
+        groups.setdefault(r["header"], []).append(r["file"])
+    parts = []
+    for header, files in sorted(groups.items()):
+        names = header_names(header)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
+        reader = reader.option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+        tagged = reader.csv(files).select(
+            "*",
+            F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_block_start").alias("__block"),
+            F.monotonically_increasing_id().alias("__mid"),
+        )
+        offsets = _file_offsets(tagged)
+        parts.append(
+            tagged.join(offsets, ["__file", "__block"]).select(
+                *[F.col(f"`{c}`") for c in [*names, MALFORMED]],
+                F.col("__file"),
+                (F.col("__mid") - F.col("__m0") + F.col("__off") + F.lit(2)).alias("__row"),
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    tail = [MALFORMED, "__file", "__row"]
+    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c not in tail], *tail)
     if dataset_id is not None:
         out = out.withColumn("dataset_id", F.lit(dataset_id))
     return out
@@ -97,7 +129,7 @@ def read_lines(spark: SparkSession, paths, line_sep: str | None = None) -> DataF
     )
     if not line_sep:
         offsets = _file_offsets(tagged)
-        return tagged.join(F.broadcast(offsets), ["__file", "__block"]).select(
+        return tagged.join(offsets, ["__file", "__block"]).select(
             "value", "__file", (F.col("__mid") - F.col("__m0") + F.col("__off") + F.lit(1)).alias("__line")
         )
     # lines a record spans = newlines inside it + the separator's own newline
@@ -108,7 +140,7 @@ def read_lines(spark: SparkSession, paths, line_sep: str | None = None) -> DataF
     # running line count inside a split: bounded by the split size (maxPartitionBytes)
     within = Window.partitionBy("__file", "__block").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        tagged.join(F.broadcast(offsets), ["__file", "__block"])
+        tagged.join(offsets, ["__file", "__block"])
         .withColumn("__before", F.coalesce(F.sum("__nl").over(within), F.lit(0)))
         .select("value", "__file", (F.col("__off") + F.col("__before") + F.lit(1)).alias("__line"))
     )
@@ -120,11 +152,11 @@ def csv_header_table(spark: SparkSession, paths) -> DataFrame:
     Read from the header line as text, because the CSV reader renames
     duplicate names (a,b,a -> a0,b,a2).
     """
-    lines = read_lines(spark, paths).where(F.col("__line") == 1)
-    fields = F.split(F.col("value"), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    exploded = lines.select("__file", F.posexplode(fields).alias("pos", "raw"))
-    name = strip_blanks(F.regexp_replace(strip_blanks(F.col("raw")), r'^"|"$', ""))
-    return exploded.select(F.col("__file").alias("file"), (F.col("pos") + 1).alias("ord"), name.alias("name"))
+    fields = F.split(F.col("header"), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    exploded = csv_headers(spark, paths).select("file", F.posexplode(fields).alias("pos", "raw"))
+    bare = F.regexp_replace(strip_blanks(F.col("raw")), r'^"|"$', "")
+    name = strip_blanks(F.replace(bare, F.lit('""'), F.lit('"')))
+    return exploded.select("file", (F.col("pos") + 1).alias("ord"), name.alias("name"))
 
 
 NODE_SEPARATOR = "\nNode:"
@@ -308,10 +340,14 @@ def read_goldens(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
     return df.select(*[strip_blanks(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
 
 
-def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Every object under ``root`` as (path, size); file contents are not read."""
+def list_objects(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
+    """The objects directly under ``root`` (or, if ``recursive``, at any depth) as (path, size); contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select(F.col("path"), F.col("length").alias("size"))
+    found = df.select(F.col("path"), F.col("length").alias("size"))
+    if recursive:
+        return found
+    folder = root.rstrip("/").rpartition("/")[2]
+    return found.where(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1) == F.lit(folder))
 
 
 OBSERVATION_PROPS = [
@@ -337,8 +373,6 @@ def observations(csv: DataFrame, template: DataFrame, dataset_id: str | None = N
     nodes: dict[tuple, dict[str, str]] = {}
     for r in rows:
         nodes.setdefault((r["file"], r["node_line"]), {})[r["prop"]] = r["value"]
-    import re
-
     parts = []
     for key in sorted(nodes):
         props = nodes[key]

@@ -37,33 +37,23 @@ LINEITEM_COLUMNS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, spread over the cluster when its scan is too coarse.
+    """One of the given tables (a file or a folder of files), with its name as ``__src``.
 
-    The test tables are single files with one row group, i.e. one scan task;
-    the row-level work (regexes, JSON, hashing) would then run serially. When
-    the scan has fewer than half the default parallelism in splits it is
-    round-robin repartitioned once; a large input with many splits is left
-    untouched, so this costs nothing at scale.
+    The name is read off each row's file path, as dataset ids are in a listing
+    of many datasets, so joins on it are planned as they would be for many.
+    Where the caller sets ``statgate.scanPartitions`` the scan is dealt out to
+    so many tasks; the tests and the benchmark do, as a file of one row group
+    is one task. Without the setting the scan's own splits stay.
     """
-    import os
-
-    # the source table's name, taken from the scanned file: dataset and file
-    # keys derived from it are data, so joins on them stay equi-joins
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").withColumn(
-        "__src", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")
+        "__src", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.parquet(?:/.*)?$", 1)
     )
-    try:
-        target = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # e.g. a Connect session without RDDs: keep the scan as is
-        return df
-    if os.environ.get("STATGATE_SPREAD_SCANS", "1") == "1" and splits * 2 <= target:
-        df = df.repartition(target)
-    return df
+    tasks = spark.conf.get("statgate.scanPartitions", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _cap_first(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +80,7 @@ def obs_orders(spark: SparkSession, sf_dir: str, version: str | None = None) ->
     ``version`` selects the baseline ('baseline': keys with o_orderkey % 10 <> 1)
     or the current snapshot ('current': o_orderkey % 10 <> 0) used by the diff.
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = table(spark, sf_dir, "orders").select("__src", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     if version == "current":
         o = o.where(F.col("o_orderkey") % 10 != 0)
     elif version == "baseline":
@@ -101,12 +91,13 @@ def obs_orders(spark: SparkSession, sf_dir: str, version: str | None = None) ->
     # when their measured size is under the broadcast threshold.
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
     g = j.groupBy(
+        F.col("__src"),
         F.col("n_name"),
         F.col("o_orderpriority"),
         F.date_format("o_orderdate", "yyyy-MM").alias("observationDate"),
     ).agg(F.count(F.lit(1)).alias("n"))
     return g.select(
-        F.lit("orders").alias("dataset_id"),
+        F.col("__src").alias("dataset_id"),
         F.concat(F.lit("dcid:nation/"), F.col("n_name")).alias("observationAbout"),
         F.col("observationDate"),
         F.concat(F.lit("dcid:Count_Order_"), F.translate("o_orderpriority", "- ", "")).alias("variableMeasured"),
@@ -115,7 +106,7 @@ def obs_orders(spark: SparkSession, sf_dir: str, version: str | None = None) ->
         F.lit("").alias("measurementMethod"),
         F.lit("P1M").alias("observationPeriod"),
         F.lit("").alias("scalingFactor"),
-        F.lit("orders.csv").alias("__file"),
+        F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),
         F.lit(None).cast("bigint").alias("__row"),
     )
 
@@ -123,11 +114,11 @@ def obs_orders(spark: SparkSession, sf_dir: str, version: str | None = None) ->
 def csv_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a raw CSV: every cell a string, file order = sort by all columns.
 
-    Row numbers come from a distributed range sort plus per-partition offsets
-    (``with_row_index``), never from a single-partition window.
+    Row numbers come from counts per range of order keys and the position
+    inside a range (``with_row_index``), never from a single-partition window.
     """
     li = table(spark, sf_dir, "lineitem").select("__src", *LINEITEM_COLUMNS)
-    ordered = with_row_index(li, order_by=LINEITEM_COLUMNS, start=2)
+    ordered = with_row_index(li, LINEITEM_COLUMNS, F.floor(F.col("l_orderkey") / 1024), start=2)
     return ordered.select(
         F.col("__src").alias("dataset_id"),
         F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statgate.operators.quality import shard_assign
+from statgate.operators.quality import META, shard_assign
 
 
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -13,25 +13,28 @@ def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> Non
     results.write.mode(mode).partitionBy("dataset_id").json(path)
 
 
-def write_quality(details: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV-quality details (empty/duplicate columns, duplicate and non-numeric rows)."""
-    details.write.mode(mode).json(path)
+def write_quality(details: DataFrame, path: str, non_numeric: DataFrame | None = None, mode: str = "overwrite") -> None:
+    """CSV-quality details per file; the complete list of non-numeric records (``non_numeric_rows``) as a table beside them."""
+    details.write.mode(mode).json(f"{path}/files" if non_numeric is not None else path)
+    if non_numeric is not None:
+        non_numeric.write.mode(mode).json(f"{path}/non_numeric_rows")
 
 
 def write_shards(csv: DataFrame, out_dir: str, rows_per_shard: int, columns: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Size-bounded CSV shards, each with its header, one directory per shard number.
+    """Size-bounded CSV shards, each with its header, one directory per dataset, source file and shard number.
 
-    ``repartition('shard')`` sends each shard to one task (so one file per
-    shard); rows keep their record order inside the shard.
+    Each shard goes to one task (so one file per shard); rows keep their
+    record order inside the shard.
     """
-    cols = columns or [c for c in csv.columns if c not in ("__file", "__row", "dataset_id")]
-    s = shard_assign(csv, rows_per_shard)
+    cols = columns or [c for c in csv.columns if c not in META]
+    keys = ["dataset_id", "file", "shard"]
+    s = shard_assign(csv, rows_per_shard).withColumn("file", F.regexp_extract("__file", r"([^/]*)$", 1))
     (
-        s.repartition("shard")
-        .sortWithinPartitions("shard", "__row")
-        .select("shard", *[F.col(f"`{c}`") for c in cols])
+        s.repartition(*keys)
+        .sortWithinPartitions(*keys, "__row")
+        .select(*keys, *[F.col(f"`{c}`") for c in cols])
         .write.mode(mode)
-        .partitionBy("shard")
+        .partitionBy(*keys)
         .option("header", True)
         .csv(out_dir)
     )

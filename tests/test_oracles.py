@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from harness import compare, duck
+from statgate.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-ORACLES = E.oracle_sql()
+ORACLES = {name: make() for name, make in catalog.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
@@ -16,12 +17,12 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    r = compare(spark, name, E.queries()[name], ORACLES[name], SF, con)
+    r = compare(spark, name, catalog.QUERIES[name], ORACLES[name], SF, con)
     assert r["match"], r
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(ORACLES)
+    missing = set(catalog.QUERIES) - set(ORACLES)
     assert not missing, missing
 
 

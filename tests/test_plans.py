@@ -1,13 +1,13 @@
 """Plan guards: no cartesian products or nested-loop joins in any registered query."""
 
-import __spark_entry__ as E
+from statgate.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_no_cross_or_nested_loop_joins(spark):
     offenders = {}
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         bad = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan]
         if bad:

@@ -67,7 +67,7 @@ def test_shards_and_results_written(spark):
         F.lit("ds").alias("dataset_id"), F.lit("f.csv").alias("__file"), (F.col("id") + 2).alias("__row"), F.col("id").cast("string").alias("value")
     )
     SW.write_shards(csv, os.path.join(d, "shards"), rows_per_shard=10)
-    parts = sorted(glob.glob(os.path.join(d, "shards", "shard=*")))
+    parts = sorted(glob.glob(os.path.join(d, "shards", "dataset_id=ds", "file=f.csv", "shard=*")))
     assert [os.path.basename(x) for x in parts] == ["shard=0", "shard=1", "shard=2"]
     for x in parts:
         files = glob.glob(os.path.join(x, "*.csv"))
@@ -114,7 +114,7 @@ def test_list_objects(spark):
     os.makedirs(os.path.join(d, "a"))
     with open(os.path.join(d, "a", "x_output.csv"), "w") as f:
         f.write("abc")
-    got = [(os.path.basename(r.path), r.size) for r in S.list_objects(spark, d).collect()]
+    got = [(os.path.basename(r.path), r.size) for r in S.list_objects(spark, d, recursive=True).collect()]
     assert got == [("x_output.csv", 3)]
 
 
