@@ -112,9 +112,14 @@ def unused_columns(nodes: DataFrame, headers: DataFrame, cap: int = 10) -> DataF
 
 
 def node_props(nodes: DataFrame, props: list[str]) -> DataFrame:
-    """Pivot chosen properties to columns, one row per node (a repeated property keeps its greatest value)."""
+    """Pivot chosen properties to columns, one row per node.
+
+    A repeated property keeps its last value by ``prop_line``; triples without
+    positions (unordered tables) keep the greatest.
+    """
     n = nodes.where(F.col("prop").isin(*props))
-    aggs = [F.max(F.when(F.col("prop") == p, F.col("value"))).alias(p) for p in props]
+    at = F.col("prop_line") if "prop_line" in nodes.columns else F.col("value")
+    aggs = [F.max_by("value", F.when(F.col("prop") == p, at)).alias(p) for p in props]
     return (
         nodes.select("dataset_id", "file", "node_line", "node")
         .distinct()

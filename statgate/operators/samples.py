@@ -87,14 +87,15 @@ def failure_samples(results: DataFrame) -> DataFrame:
     )
 
 
-def enrich_samples(samples: DataFrame, obs: DataFrame, min_value_threshold: float = 0.0) -> DataFrame:
+def enrich_samples(samples: DataFrame, obs: DataFrame) -> DataFrame:
     """first record (lowest record number) whose variable matches each sample.
 
     Matching is equal, or ends with ':'+v or '/'+v. Observations are first
-    reduced to one first-record per (dataset, variable) — and per variable
-    among records below the min-value threshold — by grouped ``min_by``
+    reduced to one first-record per (dataset, variable) by grouped ``min_by``
     (partial aggregation, so a hot variable is never one task); the suffix
-    match then joins those small tables with the samples on exact keys.
+    match then joins that small table with the samples on exact keys. A
+    min-value sample takes the first record below the minimum of its own rule
+    (as its ``expected`` states it), found among its variables' records only.
     """
     o = obs.select(
         "dataset_id",
@@ -107,19 +108,23 @@ def enrich_samples(samples: DataFrame, obs: DataFrame, min_value_threshold: floa
         ).alias("rec"),
         to_double("value").alias("v"),
     )
-    # one pass: first record of each variable, and first one below the threshold
-    firsts = o.groupBy("dataset_id", "var").agg(
-        F.min_by("rec", F.col("rec.row")).alias("rec"),
-        F.min_by("rec", F.when(F.col("v") < F.lit(float(min_value_threshold)), F.col("rec.row"))).alias("rec_low"),
-    )
+    firsts = o.groupBy("dataset_id", "var").agg(F.min_by("rec", F.col("rec.row")).alias("rec"))
     first_any = firsts.select("dataset_id", "var", "rec")
-    first_low = firsts.where(F.col("rec_low").isNotNull()).select("dataset_id", "var", F.col("rec_low").alias("rec"))
     keys = firsts.select("dataset_id", "var", F.explode(variable_suffix_keys(F.col("var"))).alias("k"))
     pend = samples.where(F.col("statVar").isNotNull() & (F.col("statVar") != "") & ~F.col("rule").isin(*NO_CSV_RULES))
-    pend = pend.select("dataset_id", "sample_id", "rule", strip_blanks(F.col("statVar")).alias("k"))
+    minimum = F.coalesce(F.regexp_extract("expected", r">= (.*)$", 1).try_cast("double"), F.lit(0.0))
+    pend = pend.select("dataset_id", "sample_id", "rule", strip_blanks(F.col("statVar")).alias("k"), minimum.alias("minimum"))
     m = pend.join(keys, ["dataset_id", "k"])
     any_m = m.where(F.col("rule") != "check_min_value").join(first_any, ["dataset_id", "var"])
-    low_m = m.where(F.col("rule") == "check_min_value").join(first_low, ["dataset_id", "var"])
+    wanted = m.where(F.col("rule") == "check_min_value")
+    limits = wanted.select("dataset_id", "var", "minimum").distinct()
+    first_low = (
+        o.join(limits, ["dataset_id", "var"])
+        .where(F.col("v") < F.col("minimum"))
+        .groupBy("dataset_id", "var", "minimum")
+        .agg(F.min_by("rec", F.col("rec.row")).alias("rec"))
+    )
+    low_m = wanted.join(first_low, ["dataset_id", "var", "minimum"])
     best = any_m.unionByName(low_m).groupBy("dataset_id", "sample_id").agg(F.min_by("rec", F.col("rec.row")).alias("rec"))
     j = samples.join(best, ["dataset_id", "sample_id"], "left")
     found = F.col("rec").isNotNull()

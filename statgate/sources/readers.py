@@ -163,11 +163,11 @@ NODE_SEPARATOR = "\nNode:"
 
 
 def read_nodes(spark: SparkSession, paths, dataset_id: str = "") -> DataFrame:
-    """Template / node files -> triples (dataset_id, file, node_line, node, prop, value).
+    """Template / node files -> triples (dataset_id, file, node_line, node, prop, value, prop_line).
 
     Records are split at a line starting with 'Node:', so a large node file is
     parsed by many tasks. Inside a record, a line whose stripped text starts
-    with 'Node:' (an indented header) opens a further node; lines before the
+    with 'node:' in any case (say, an indented header) opens a further node; lines before the
     first header (a leading comment block) belong to no node and are dropped.
     ``#`` starts a comment, a ``key: value`` line splits at the first colon,
     surrounding quotes are dropped. The window that tracks the current header
@@ -178,21 +178,22 @@ def read_nodes(spark: SparkSession, paths, dataset_id: str = "") -> DataFrame:
     clean = strip_blanks(F.regexp_replace(F.col("text"), "#.*$", ""))
     # a record after the first one lost its 'Node:' to the separator: its line 0 is a header
     cut_header = (F.col("i") == 0) & (F.col("__line") > 1)
-    text_header = clean.startswith("Node:")
+    text_header = F.lower(clean).startswith("node:")
     is_hdr = cut_header | text_header
-    name = F.when(cut_header, clean).when(text_header, strip_blanks(F.expr("substring(text, instr(text, 'Node:') + 5)")))
+    name = F.when(cut_header, clean).when(text_header, strip_blanks(F.expr("substring(text, instr(lower(text), 'node:') + 5)")))
     w = Window.partitionBy("__file", "__line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     tagged = lines.select(
         "__file", "__line", "i", "text", clean.alias("clean"), is_hdr.alias("hdr"),
         strip_blanks(F.regexp_replace(name, "#.*$", "")).alias("name"),
     ).withColumn("node_i", F.max(F.when(F.col("hdr"), F.col("i"))).over(w))
     tagged = tagged.where(F.col("node_i").isNotNull())
-    unquote = lambda c: F.regexp_replace(c, r'^"(.*)"$', "$1")
+    unquote = lambda c: F.replace(F.regexp_replace(c, r'^"(.*)"$', "$1"), F.lit('\\"'), F.lit('"'))
     nodes = tagged.where("hdr").select("__file", "__line", "node_i", unquote(F.col("name")).alias("node"))
     props = tagged.where(~F.col("hdr") & (F.col("clean") != "") & F.col("clean").contains(":")).select(
         "__file",
         "__line",
         "node_i",
+        "i",
         strip_blanks(F.substring_index(F.col("clean"), ":", 1)).alias("prop"),
         unquote(strip_blanks(F.expr("substring(regexp_replace(text, '#.*$', ''), instr(regexp_replace(text, '#.*$', ''), ':') + 1)"))).alias(
             "value"
@@ -205,6 +206,7 @@ def read_nodes(spark: SparkSession, paths, dataset_id: str = "") -> DataFrame:
         "node",
         "prop",
         "value",
+        (F.col("__line") + F.col("i")).alias("prop_line"),
     )
 
 

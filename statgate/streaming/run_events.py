@@ -321,76 +321,139 @@ def stale_runs(status: DataFrame, now_col: Column, updated_col: str = "updated_a
 # Streaming projection with per-run state
 # ---------------------------------------------------------------------------
 
-STATE_FIELDS = [
+OUT_FIELDS = [
     ("status", T.StringType()), ("step_index", T.IntegerType()), ("substep_id", T.StringType()), ("substep_label", T.StringType()),
     ("exit_code", T.LongType()), ("failure_code", T.StringType()), ("failure_message", T.StringType()),
     ("failure_limit", T.LongType()), ("failure_details", T.StringType()), ("failure_step_index", T.IntegerType()),
     ("last_seq", T.LongType()),
 ]
+#: What the state keeps of a run: each value with the seq (or order) of the event that set it, so late events fall into place.
+STATE_FIELDS = [
+    ("first_step_seq", T.LongType()), ("max_step", T.IntegerType()), ("active", T.BooleanType()), ("last_seq", T.LongType()),
+    ("sub_order", T.LongType()), ("substep_id", T.StringType()), ("substep_label", T.StringType()),
+    ("rf_seq", T.LongType()), ("rf_step", T.IntegerType()),
+    ("fin_seq", T.LongType()), ("fin_status", T.StringType()), ("exit_code", T.LongType()),
+    ("code_seq", T.LongType()), ("failure_code", T.StringType()),
+    ("msg_seq", T.LongType()), ("failure_message", T.StringType()),
+    ("f_seq", T.LongType()), ("failure_limit", T.LongType()), ("failure_details", T.StringType()),
+    ("fstep_seq", T.LongType()), ("failure_step_index", T.IntegerType()),
+    ("lost", T.BooleanType()),
+]
 STATE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in STATE_FIELDS])
 STREAM_OUT_SCHEMA = T.StructType(
-    [T.StructField("run_id", T.StringType())] + [T.StructField(n, t) for n, t in STATE_FIELDS] + [T.StructField("advanced", T.BooleanType())]
+    [T.StructField("run_id", T.StringType())] + [T.StructField(n, t) for n, t in OUT_FIELDS] + [T.StructField("advanced", T.BooleanType())]
 )
+STALE_SECONDS, FINISHED_SECONDS = 300, 3600
 
 
 def _none(x):
-    return None if x is None or (isinstance(x, float) and pd.isna(x)) or x is pd.NA else x
-
-
-def apply_events(state: dict, rows: pd.DataFrame) -> tuple[dict, bool]:
-    """The per-run state machine over events sorted by seq. Returns (state, step advanced)."""
-    before = state.get("step_index")
-    seen_step = state.get("step_index") is not None
-    for r in rows.sort_values("seq").itertuples(index=False):
-        kind = r.kind
-        if kind in ("rejected", "ignored"):
-            continue
-        idx = _none(r.step_index)
-        if kind in ("progress", "legacy_step") or (kind == "run_finished" and idx is not None and not seen_step):
-            cur = state.get("step_index")
-            if cur is None or idx >= cur:
-                state["step_index"] = int(idx)
-                state["substep_id"] = _none(r.substep_id) if kind == "progress" else None
-                state["substep_label"] = _none(r.substep_label) if kind == "progress" else None
-                if state.get("status") == "starting":
-                    state["status"] = "running"
-                seen_step = True
-        if kind in ("failure", "legacy_failure"):
-            state["failure_code"] = _none(r.failure_code)
-            state["failure_message"] = _none(r.message)
-            state["failure_limit"] = _none(r.failure_limit)
-            state["failure_details"] = _none(r.failure_details)
-            if idx is not None:
-                state["failure_step_index"] = int(idx)
-            if state.get("status") in ("starting", "running"):
-                state["status"] = "running"
-        if kind == "run_finished":
-            state["status"] = r.status
-            state["exit_code"] = int(r.exit_code)
-            if _none(r.failure_code):
-                state["failure_code"] = r.failure_code
-            if _none(r.message) is not None:
-                state["failure_message"] = r.message
-            if idx is not None:
-                state["failure_step_index"] = int(idx)
-        state["last_seq"] = max(int(r.seq), state.get("last_seq") or 0)
-    after = state.get("step_index")
-    return state, after is not None and (before is None or after > before)
-
+    return None if x is None or x is pd.NA or (isinstance(x, float) and pd.isna(x)) else x
+
+
+def _latest(state: dict, rows: pd.DataFrame, order: pd.Series, seq_name: str, values: dict[str, str], first: bool = False) -> None:
+    """Take ``values`` (state name -> column) from the row of the highest (or lowest) order, unless the state's is beyond it."""
+    if rows.empty:
+        return
+    at = order.loc[rows.index].idxmin() if first else order.loc[rows.index].idxmax()
+    new, old = int(order.loc[at]), state.get(seq_name)
+    if old is None or (new < old if first else new > old):
+        state[seq_name] = new
+        for name, column in values.items():
+            state[name] = _none(rows.at[at, column])
+
+
+def apply_events(state: dict, rows: pd.DataFrame) -> dict:
+    """Merge events, in any order and any portions, into a run's state: one masked reduction per field."""
+    rows = rows[~rows["kind"].isin(["rejected", "ignored"])].reset_index(drop=True)
+    if rows.empty:
+        return state
+    kind, seq = rows["kind"], rows["seq"].astype("int64")
+    is_step, fin, fail = kind.isin(["progress", "legacy_step"]), kind == "run_finished", kind.isin(["failure", "legacy_failure"])
+    has_step = rows["step_index"].notna()
+    step = pd.to_numeric(rows["step_index"]).fillna(0).astype("int64")
+    _latest(state, rows[is_step], seq, "first_step_seq", {}, first=True)
+    if is_step.any():
+        state["max_step"] = max(int(step[is_step].max()), -1 if state.get("max_step") is None else state["max_step"])
+    _latest(state, rows[is_step], step * 2**56 + seq, "sub_order", {"substep_id": "substep_id", "substep_label": "substep_label"})
+    _latest(state, rows[fin & has_step], seq, "rf_seq", {"rf_step": "step_index"}, first=True)
+    _latest(state, rows[fin], seq, "fin_seq", {"fin_status": "status", "exit_code": "exit_code"})
+    _latest(state, rows[fail | (fin & rows["failure_code"].notna())], seq, "code_seq", {"failure_code": "failure_code"})
+    _latest(state, rows[fail | (fin & rows["message"].notna())], seq, "msg_seq", {"failure_message": "message"})
+    _latest(state, rows[fail], seq, "f_seq", {"failure_limit": "failure_limit", "failure_details": "failure_details"})
+    _latest(state, rows[(fail | fin) & has_step], seq, "fstep_seq", {"failure_step_index": "step_index"})
+    state["active"] = bool(state.get("active")) or bool((is_step | fail).any())
+    state["last_seq"] = max(int(seq.max()), -1 if state.get("last_seq") is None else state["last_seq"])
+    for name in ("rf_step", "failure_step_index", "exit_code", "failure_limit"):
+        if state.get(name) is not None:
+            state[name] = int(state[name])
+    return state
+
+
+def project_state(state: dict) -> dict:
+    """The status row of a state, by the same rules as ``replay_status``."""
+    rf_ok = state.get("rf_seq") is not None and (state.get("first_step_seq") is None or state["rf_seq"] < state["first_step_seq"])
+    rf_wins = rf_ok and (state.get("max_step") is None or state["rf_step"] > state["max_step"])
+    out = {name: state.get(name) for name, _ in OUT_FIELDS}
+    out["step_index"] = state["rf_step"] if rf_wins else state.get("max_step")
+    if rf_wins:
+        out["substep_id"] = out["substep_label"] = None
+    out["status"] = state.get("fin_status") or ("running" if state.get("active") or rf_ok else "starting")
+    if state.get("lost") and state.get("fin_status") is None:
+        out["failure_code"] = "STARTUP_FAILED" if out["status"] == "starting" else "BATCH_JOB_LOST"
+        out["status"] = "failed"
+    return out
 
-def _project(key, pdfs: Iterator[pd.DataFrame], state):
-    run_id = key[0]
-    st = dict(zip([n for n, _ in STATE_FIELDS], state.get)) if state.exists else {"status": "starting"}
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    st, advanced = apply_events(st, rows)
-    state.update(tuple(st.get(n) for n, _ in STATE_FIELDS))
-    yield pd.DataFrame([{"run_id": run_id, **{n: st.get(n) for n, _ in STATE_FIELDS}, "advanced": advanced}])
 
+def _row(run_id: str, state: dict, before: int | None) -> pd.DataFrame:
+    out = project_state(state)
+    after = out["step_index"]
+    advanced = after is not None and (before is None or after > before)
+    return pd.DataFrame([{"run_id": run_id, **out, "advanced": advanced}])
 
-def project_status_stream(events: DataFrame) -> DataFrame:
-    """P3 + P4: per-run state over a stream of parsed events (output mode 'update').
 
-    ``advanced`` is true when the step index rose in that micro-batch (P4).
+def _project(key, pdfs: Iterator[pd.DataFrame], state):
+    """P3 + P7: merge a micro-batch portion by portion; a silent run is reported lost, a finished one is let go."""
+    names = [n for n, _ in STATE_FIELDS]
+    held = dict(zip(names, state.get, strict=True)) if state.exists else {}
+    before = project_state(held)["step_index"] if held else None
+    if state.hasTimedOut:
+        if held.get("fin_status") is not None or held.get("lost"):
+            state.remove()
+            return
+        held["lost"] = True
+        state.update(tuple(held.get(n) for n in names))
+        state.setTimeoutDuration(FINISHED_SECONDS * 1000)
+        yield _row(key[0], held, before)
+        return
+    for rows in pdfs:
+        held = apply_events(held, rows)
+        held["lost"] = False  # it speaks again
+    state.update(tuple(held.get(n) for n in names))
+    state.setTimeoutDuration(1000 * (STALE_SECONDS if held.get("fin_status") is None else FINISHED_SECONDS))
+    yield _row(key[0], held, before)
+
+
+def _project_untimed(key, pdfs: Iterator[pd.DataFrame], state):
+    """``_project`` without timers."""
+    names = [n for n, _ in STATE_FIELDS]
+    held = dict(zip(names, state.get, strict=True)) if state.exists else {}
+    before = project_state(held)["step_index"] if held else None
+    for rows in pdfs:
+        held = apply_events(held, rows)
+    state.update(tuple(held.get(n) for n in names))
+    yield _row(key[0], held, before)
+
+
+def project_status_stream(events: DataFrame, timers: bool = True) -> DataFrame:
+    """P3 + P4 + P7: per-run state over a stream of parsed events (output mode 'update').
+
+    Late and repeated events give what the batch replay of all events gives.
+    ``advanced`` is true when the step index rose in that micro-batch (P4). A
+    run without news for ``STALE_SECONDS`` is reported failed, with
+    STARTUP_FAILED or BATCH_JOB_LOST; the state of finished and lost runs ends
+    after ``FINISHED_SECONDS``. With ``timers`` Spark keeps running batches
+    without data, so processAllAvailable() does not return; False leaves the
+    lost runs to ``stale_runs`` and keeps all state.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -401,7 +464,11 @@ def project_status_stream(events: DataFrame) -> DataFrame:
         "failure_limit", "failure_details", "status", "exit_code",
     )
     return e.groupBy("run_id").applyInPandasWithState(
-        _project, STREAM_OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+        _project if timers else _project_untimed,
+        STREAM_OUT_SCHEMA,
+        STATE_SCHEMA,
+        "update",
+        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout,
     )
 
 

@@ -156,7 +156,7 @@ def test_stream_projection_equals_batch_replay(spark):
         {"run_id": "a", "seq": 4, "line": '{"v":1,"t":"progress","step_id":"results","step_index":5,"step_label":"Results"}'},
     ]
     pd.DataFrame(rows[:3]).to_json(os.path.join(d, "part1.json"), orient="records", lines=True)
-    stream = P.project_status_stream(P.parse_events(P.read_run_events(spark, d)))
+    stream = P.project_status_stream(P.parse_events(P.read_run_events(spark, d)), timers=False)
     q = stream.writeStream.outputMode("update").format("memory").queryName("run_status_t").option("checkpointLocation", ck).start()
     q.processAllAvailable()
     pd.DataFrame(rows[3:]).to_json(os.path.join(d, "part2.json"), orient="records", lines=True)
@@ -190,7 +190,7 @@ def test_enrich_samples_suffix_match_and_min_threshold(spark):
     ).select(
         "*", *[F.lit(None).cast("string").alias(c) for c in ("location", "date", "value", "expected", "sourceRow", "message")]
     )
-    got = {r.sample_id: (r.location, r.date, r.sourceRow) for r in SM.enrich_samples(samples, obs, 0.0).collect()}
+    got = {r.sample_id: (r.location, r.date, r.sourceRow) for r in SM.enrich_samples(samples, obs).collect()}
     assert got["m#0"] == ("geo/2", "2021", "f.csv:3")  # first record below the minimum
     assert got["s#0"] == ("geo/1", "2020", "f.csv:2")  # first record of the variable
     assert got["u#0"] == (None, None, None)

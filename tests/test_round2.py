@@ -1,19 +1,25 @@
 """Inputs that once went wrong: CSV quoting and column order, baselines, SQL rules, folders of files."""
 
+import json
 import os
+import random
 import shutil
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from statgate.operators import diff as D
 from statgate.operators import quality as Q
+from statgate.operators import review as V
 from statgate.operators import rules as R
+from statgate.operators import samples as SM
 from statgate.operators import stats as A
 from statgate.plans import catalog
 from statgate.sources import readers as S
 from statgate.sources import writers as SW
+from statgate.streaming import run_events as P
 
 OBS = (
     "dataset_id string, observationAbout string, observationDate string, variableMeasured string, value string, unit string, "
@@ -177,3 +183,101 @@ def test_tables_may_be_folders_of_files(spark, name):
     a, b = (sorted(map(str, catalog.QUERIES[name](spark, x).collect())) for x in (source, d))
     assert a == b
     shutil.rmtree(d)
+
+
+def test_node_headers_in_any_case_and_escaped_quotes(spark):
+    p = write(os.path.join(folder(), "a.mcf"), 'Node: dcid:A\nname: "a \\"b\\" c"\nnode: dcid:B\ntypeOf: dcs:X\n\nNODE: "dcid:C"\nname: c\n')
+    rows = S.read_nodes(spark, p).orderBy("prop_line").collect()
+    assert [(r.node, r.prop, r.value) for r in rows] == [("dcid:A", "name", 'a "b" c'), ("dcid:B", "typeOf", "dcs:X"), ("dcid:C", "name", "c")]
+    assert [(r.node_line, r.prop_line) for r in rows] == [(1, 2), (3, 4), (6, 7)]
+
+
+def test_last_of_repeated_properties_counts(spark):
+    text = "Node: dcid:A\ntypeOf: dcs:StatisticalVariable\nstatType: dcs:zRate\nstatType: dcs:measuredValue\n"
+    nodes = S.read_nodes(spark, write(os.path.join(folder(), "a.mcf"), text))
+    assert V.missing_denominator(nodes).count() == 0
+
+
+def test_samples_take_the_minimum_of_their_rule(spark):
+    rows = [("ds", "A", "2020", "-1", "f.csv", 2), ("ds", "A", "2021", "-9", "f.csv", 3)]
+    table = spark.createDataFrame(rows, "dataset_id string, variableMeasured string, observationDate string, value string, __file string, __row bigint")
+    wanted = [("ds", f"m#{i}", "check_min_value", "A", f">= {m}") for i, m in enumerate(("0", "-5.0", "-20"))]
+    samples = spark.createDataFrame(wanted, "dataset_id string, sample_id string, rule string, statVar string, expected string").select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("location", "date", "value", "sourceRow", "message")]
+    )
+    found = SM.enrich_samples(samples, table.withColumn("observationAbout", F.lit("geo/1")))
+    assert {r.sample_id: r.date for r in found.collect()} == {"m#0": "2020", "m#1": "2021", "m#2": None}
+
+
+def run_lines(rng, n):
+    out = []
+    for seq in range(1, n + 1):
+        step = rng.randrange(6)
+        out.append(
+            rng.choice(
+                [
+                    {"v": 1, "t": "progress", "step_id": P.STEPS[step][1], "step_index": step, "step_label": P.STEPS[step][2], "substep_id": f"s{seq}"},
+                    {"v": 1, "t": "failure", "failure_code": f"E{seq}", "step_id": P.STEPS[step][1], "step_index": step, "step_label": "x", "message": f"m{seq}", "limit": seq},
+                    {"v": 1, "t": "run_finished", "status": rng.choice(["succeeded", "failed"]), "exit_code": seq % 3, "step_id": P.STEPS[step][1], "step_index": step},
+                    {"v": 1, "t": "run_finished", "status": "failed", "exit_code": 1, "failure_code": f"F{seq}", "message": f"f{seq}"},
+                    {"t": "failure", "code": f"L{seq}", "message": f"l{seq}"},
+                    {"v": 9},
+                ]
+            )
+        )
+    return [(seq + 1, json.dumps(x)) for seq, x in enumerate(out)]
+
+
+def test_state_of_late_events_equals_replay(spark):
+    rng = random.Random(11)
+    rows = [(f"run{r}", seq, line) for r in range(25) for seq, line in run_lines(rng, rng.randint(1, 9))]
+    events = P.parse_events(spark.createDataFrame(rows, "run_id string, seq bigint, line string")).cache()
+    frame = events.toPandas()
+    want = {r.run_id: r.asDict() for r in P.replay_status(events).collect()}
+    for run_id, own in frame.groupby("run_id"):
+        own = own.sample(frac=1, random_state=3).reset_index(drop=True)
+        state: dict = {}
+        for at in range(0, len(own), 2):
+            state = P.apply_events(state, own.iloc[at : at + 2])
+        if run_id not in want:
+            assert not state
+            continue
+        got = P.project_state(state)
+        assert got == {k: want[run_id][k] for k in got}, run_id
+
+
+class Held:
+    """A stand-in for Spark's group state."""
+
+    def __init__(self):
+        self.value, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.exists = value, True
+
+    def remove(self):
+        self.value, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_silent_runs_are_lost_and_finished_state_ends():
+    columns = ["run_id", "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message", "failure_limit", "failure_details", "status", "exit_code"]
+    step = pd.DataFrame([["a", 1, "progress", 2, None, None, None, None, None, None, None, None]], columns=columns)
+    end = pd.DataFrame([["a", 2, "run_finished", None, None, None, None, None, None, None, "succeeded", 0]], columns=columns)
+    held = Held()
+    (out,) = P._project(("a",), iter([step]), held)
+    assert (out.status[0], out.advanced[0], held.timeout) == ("running", True, 300_000)
+    held.hasTimedOut = True
+    (out,) = P._project(("a",), iter([]), held)
+    assert (out.status[0], out.failure_code[0]) == ("failed", "BATCH_JOB_LOST")
+    held.hasTimedOut = False
+    (out,) = P._project(("a",), iter([end]), held)
+    assert (out.status[0], out.failure_code[0], held.timeout) == ("succeeded", None, 3_600_000)
+    held.hasTimedOut = True
+    assert list(P._project(("a",), iter([]), held)) == [] and not held.exists
