@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statgate.llm.common import cut, text_of
+from statgate.llm.common import cut, free_name, text_of
 
 SALTS = 16
 
@@ -91,13 +91,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .groupBy(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    marked = docs.withColumns({"_digest": sha256_hex(text_of(text_col)), "_id": F.col(id_col)})
+    digest = free_name(docs, "_digest")
+    marked = docs.withColumn(digest, sha256_hex(text_of(text_col)))
 
     def rows_of(chosen: DataFrame) -> DataFrame:
-        chosen = chosen.select(F.col("_digest").alias("_d"), F.col("_id").alias("_i"))
-        return marked.join(chosen, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+        same = (marked[digest] == chosen["_digest"]) & marked[id_col].eqNullSafe(chosen["_id"])
+        return marked.join(chosen, same, "left_semi")
 
     out = rows_of(kept.where("_n = 1"))
     if not (repeated := kept.where("_n > 1")).isEmpty():
-        out = out.unionByName(rows_of(repeated).dropDuplicates(["_digest", "_id"]))
-    return out.drop("_digest", "_id")
+        out = out.unionByName(rows_of(repeated).dropDuplicates([digest, id_col]))
+    return out.drop(digest)

@@ -234,6 +234,9 @@ def test_dedup_keep_one(edge):
     rows = dedup.keep_one(edge).collect()
     assert sorted((r.doc_id, r.text, r.ids) for r in rows) == [(3, "", "a"), (5, "Das ist gut.", "a"), (7, LONG, "a"), (8, "\x00é中 ", "a")]
     assert dedup.keep_one(edge).columns == edge.columns
+    clashing = edge.withColumns({"_digest": F.lit(1), "_id": F.lit(2), "_kept": F.lit(3), "_row": F.lit(4)})
+    assert dedup.keep_one(clashing).columns == clashing.columns and dedup.keep_one(clashing).count() == 4
+    assert simhash.keep_one(clashing, 4, 4).columns == clashing.columns
 
 
 # ----- SimHash ------------------------------------------------------------------
