@@ -71,12 +71,13 @@ def _is_boilerplate(name: str, attributes: str) -> bool:
 
 def items(page: str) -> Iterator[Item]:
     """Words (in runs) and tags of a page, in order. Comments, scripts and styles are left out."""
-    stack: list[tuple[str, bool]] = []  # open elements; boilerplate, itself or by an ancestor
+    # Open elements; boilerplate, itself or by an ancestor; the nearest one that is not inline, itself or an ancestor.
+    stack: list[tuple[str, bool, str]] = []
+    opened: Counter = Counter()  # how many of each name are in the stack, so that no tag walks all of it in vain
     at = 0
 
     def words(text: str) -> Item:
-        key = next((name for name, _ in reversed(stack) if name not in INLINE), "")
-        return WORD, key, text, bool(stack) and stack[-1][1]
+        return (WORD, stack[-1][2], text, stack[-1][1]) if stack else (WORD, "", text, False)
 
     while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
@@ -87,14 +88,18 @@ def items(page: str) -> Iterator[Item]:
         closing, name, attributes = m[1] == "/", m[2].lower(), m[3]
         yield TAG, ("/" if closing else "") + name, "", False
         if closing:
-            if any(name == n for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    break
             continue
-        if name in CLOSES_P and any(n == "p" for n, _ in stack):
-            inner = max(i for i, (n, _) in enumerate(stack) if n == "p")
-            if all(n in INLINE for n, _ in stack[inner + 1 :]):
-                del stack[inner:]
+        if name in CLOSES_P and stack and stack[-1][2] == "p":  # nothing but inline elements since the paragraph
+            while opened["p"]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == "p":
+                    break
         if name in VOID or attributes.rstrip().endswith("/") and name in ("path", "use"):
             continue
         boilerplate = bool(stack) and stack[-1][1] or _is_boilerplate(name, attributes)
@@ -102,7 +107,8 @@ def items(page: str) -> Iterator[Item]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((name, boilerplate))
+        stack.append((name, boilerplate, name if name not in INLINE else stack[-1][2] if stack else ""))
+        opened[name] += 1
     if at < len(page):
         yield words(page[at:])
 

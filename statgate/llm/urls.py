@@ -2,8 +2,8 @@
 
 A list entry is a canonical URL prefix: a host, whose subdomains count as
 well, and a path prefix. An URL can only be hit by entries made of one of its
-host's suffixes and one of its path's prefixes of a length that occurs in the
-list. These keys are tested against the filter: a key sets one bit in each of
+host's suffixes and one of its path's prefixes, both of a length (in labels and
+in characters) that occurs in the list. These keys are tested against the filter: a key sets one bit in each of
 the eight 64-bit words of one block, so a test touches one cache line. URLs
 with a possible hit go to an equality join with the list, which removes the
 false positives; the others are decided without moving.
@@ -71,12 +71,10 @@ def maybe_listed(words: np.ndarray, keys: list[bytes]) -> np.ndarray:
     return ((block >> lanes) & np.uint64(1)).all(axis=1)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys of all entries that could fit an URL: host suffixes at dots with path prefixes of the given lengths."""
-    suffixes, at = [host], host.find(".")
-    while at >= 0:
-        suffixes.append(host[at + 1 :])
-        at = host.find(".", at + 1)
+def candidates(host: str, path: str, lengths: list[int], dots: list[int]) -> list[str]:
+    """Keys of all entries that could fit an URL: host suffixes of the given numbers of dots with path prefixes of the given lengths."""
+    labels = host.rsplit(".", max(dots, default=0) + 1)
+    suffixes = [".".join(labels[-n - 1 :]) for n in dots if n < len(labels)]
     prefixes = [path[:n] for n in lengths if n <= len(path)]
     return [f"{s}\t{p}" for s in suffixes if s for p in prefixes]
 
@@ -105,6 +103,8 @@ def judge(
         .agg(F.max("verdict").alias("rule_verdict"))
     )
     lengths = sorted(r[0] for r in listed.select(F.length(F.substring_index("key", "\t", -1))).distinct().collect())
+    listed_host = F.substring_index("key", "\t", 1)
+    dots = sorted(r[0] for r in listed.select(F.regexp_count(listed_host, F.lit("[.]"))).distinct().collect())
     words = urls.sparkSession.sparkContext.broadcast(build_filter(listed))
     host, path = parts(F.col(url_col))
     rows = urls.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
@@ -114,7 +114,7 @@ def judge(
     def run(batches):
         for batch in batches:
             found = [
-                candidates(h.as_py(), p.as_py(), lengths)
+                candidates(h.as_py(), p.as_py(), lengths, dots)
                 for h, p in zip(batch.column(len(keep)), batch.column(len(keep) + 1), strict=True)
             ]
             flat = [k for keys in found for k in keys]
