@@ -36,8 +36,8 @@ BOILERPLATE = {
 }
 #: Words of a class or id that mark boilerplate.
 BOILERPLATE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
-    "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
+    "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation",
     "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "related", "replies", "share", "sharing", "sidebar",
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
@@ -54,7 +54,7 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 DRAWS = 1 << 30
 WORD, TAG = 0, 1
-Item = tuple[int, str, str, bool]  # kind, key, text of a run of words, whether it is boilerplate
+Item = tuple[int, str, str, bool]  # kind, key, text of a run of words, whether it is or lies in boilerplate
 
 #: Weights of keys that no labelled page has.
 DEFAULT_WORD, DEFAULT_TAG, DEFAULT_TEXT_TAG = 1.0, -1.0, -0.1
@@ -86,8 +86,8 @@ def items(page: str) -> Iterator[Item]:
         if m[2] is None:
             continue
         closing, name, attributes = m[1] == "/", m[2].lower(), m[3]
-        yield TAG, ("/" if closing else "") + name, "", False
         if closing:
+            yield TAG, "/" + name, "", bool(stack) and stack[-1][1]
             while opened[name]:
                 last = stack.pop()[0]
                 opened[last] -= 1
@@ -100,9 +100,10 @@ def items(page: str) -> Iterator[Item]:
                 opened[last] -= 1
                 if last == "p":
                     break
+        boilerplate = bool(stack) and stack[-1][1] or _is_boilerplate(name, attributes)
+        yield TAG, name, "", boilerplate
         if name in VOID or attributes.rstrip().endswith("/") and name in ("path", "use"):
             continue
-        boilerplate = bool(stack) and stack[-1][1] or _is_boilerplate(name, attributes)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -114,7 +115,11 @@ def items(page: str) -> Iterator[Item]:
 
 
 def count(page: str, main: str = "article") -> tuple[Counter, Counter]:
-    """Keys inside and outside of the page's ``main`` element, which labels its main text; none if it hasn't exactly one."""
+    """Keys inside and outside of the page's ``main`` element, which labels its main text; none if it hasn't exactly one.
+
+    What is boilerplate by element or class is not counted: the links of a
+    menu say nothing about links in running text.
+    """
     inside, outside = Counter(), Counter()
     if len(re.findall(rf"<{main}\b", page, re.I)) != 1:
         return inside, outside
@@ -122,10 +127,8 @@ def count(page: str, main: str = "article") -> tuple[Counter, Counter]:
     for kind, key, text, boilerplate in items(page):
         if kind == TAG and key == f"/{main}":
             into = outside
-        if kind == TAG:
-            into[f"<{key}"] += 1
-        elif not boilerplate:
-            into[key] += len(text.split())
+        if not boilerplate:
+            into[f"<{key}" if kind == TAG else key] += 1 if kind == TAG else len(text.split())
         if kind == TAG and key == main:
             into = inside
     return inside, outside

@@ -121,6 +121,14 @@ def test_filter_has_no_false_negatives_and_few_positives(spark):
     assert urls.maybe_listed(words, [f"other{i}".encode() for i in range(3000)]).mean() < 0.02
 
 
+def test_url_candidates_are_bounded_by_the_list():
+    assert sorted(urls.candidates("a.b.example.com", "/en/x", [1, 4, 9], [0, 1])) == sorted(
+        f"{h}\t{p}" for h in ("com", "example.com") for p in ("/", "/en/")
+    )
+    assert urls.candidates("", "", [0], [0]) == urls.candidates("com", "/", [1], []) == []
+    assert len(urls.candidates("." * 1_000_000 + "com", "/" * 1_000_000, [1], [0, 1])) == 2
+
+
 def test_false_positives_are_removed_by_the_join(spark, monkeypatch):
     monkeypatch.setattr(urls, "build_filter", lambda keys: np.full((1, urls.WORDS), 2**64 - 1, dtype=np.uint64))
     monkeypatch.setattr(urls, "BROADCAST_KEYS", 0)  # a shuffled list gives the same

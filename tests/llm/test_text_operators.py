@@ -320,6 +320,22 @@ def test_extraction_of_marked_articles(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("mark", ["article", 'div id="content"'])
+def test_lists_links_and_sections_belong_to_the_text(spark, mark):
+    """Weights come from pages whose only links and lists stand in menus."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weight = html_text.fit(pages)
+    before, rest = pages.orderBy("page_id").first().html.split("<article>")
+    after = rest.split("</article>")[1]
+    body = "<div><p>By line.</p></div><p>We <a href='x'>link</a> <em>much</em>.</p><ul><li>one</li><li><a>two</a> three</li></ul><section><h2>End</h2><div><p>Last.</p></div></section>"
+    expected = "By line.\nWe link much.\none\ntwo three\nEnd\nLast."
+    assert html_text.main_text(f"{before}<{mark}>{body}</{mark.split()[0]}>{after}", weight) == expected
+
+
+def test_deep_nesting_takes_linear_time():
+    assert html_text.main_text("<div>" * 100_000 + "</q>" * 100_000 + "<b>x " * 100_000, {}) == " ".join(["x"] * 100_000)
+
+
 @pytest.mark.parametrize(
     "page, expected",
     [
