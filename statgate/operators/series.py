@@ -198,11 +198,12 @@ def report_fluctuations(points: DataFrame) -> DataFrame:
 
     One row per (series item, fluctuation counter) with the dated points sorted
     by date (a report-sized list), the reported percent difference and the
-    last-pair gap in years.
+    last-pair gap in years. Points carry their locations where the report has them.
     """
+    of_point = ["date", "value", "unit", "scalingFactor", *(["locations"] if "locations" in points.columns else [])]
     p = points.where(F.col("counterKey").isin(*FLUCTUATION_COUNTER_KEYS) & F.col("date").isNotNull() & (F.col("date") != ""))
     g = p.groupBy("dataset_id", "item_ord", "counter_ord", "placeDcid", "statVarDcid", "observationPeriod", "counterKey").agg(
-        F.array_sort(F.collect_list(F.struct("date", "value", "unit", "scalingFactor"))).alias("points"),
+        F.array_sort(F.collect_list(F.struct(*of_point))).alias("points"),
         F.max("percentDifference").alias("percentDifference"),
     )
     n = F.size("points")

@@ -123,12 +123,16 @@ def structural_lint_count(counters: DataFrame) -> DataFrame:
 
 
 def lint_warnings(entries: DataFrame) -> DataFrame:
-    """Warning entries by key (resolution keys dropped), count desc then key."""
+    """Warning entries by key (resolution keys dropped), count desc then key; ``counter`` stands in for an absent key."""
     level = strip_blanks(F.col("level"))
+    key = F.nullif(F.col("counterKey"), F.lit(""))
+    if "counter" in entries.columns:
+        key = F.coalesce(key, F.nullif(F.col("counter"), F.lit("")))
     return (
         entries.where(level.isin("LEVEL_WARNING", "WARNING"))
-        .where(F.col("counterKey").isNotNull() & (F.col("counterKey") != "") & ~F.col("counterKey").startswith(RESOLUTION_PREFIX))
-        .groupBy("dataset_id", F.col("counterKey").alias("key"))
+        .withColumn("key", key)
+        .where(F.col("key").isNotNull() & ~F.col("key").startswith(RESOLUTION_PREFIX))
+        .groupBy("dataset_id", "key")
         .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
         .orderBy("dataset_id", F.desc("count"), "key")
     )

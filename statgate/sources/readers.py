@@ -235,6 +235,8 @@ LINT_REPORT_SCHEMA = T.StructType(
                     [
                         T.StructField("level", T.StringType()),
                         T.StructField("counterKey", T.StringType()),
+                        T.StructField("counter", T.StringType()),
+                        T.StructField("levelSummary", T.StringType()),
                         T.StructField("userMessage", T.StringType()),
                         T.StructField("location", _LOCATION),
                     ]
@@ -247,6 +249,7 @@ LINT_REPORT_SCHEMA = T.StructType(
                 T.StructType(
                     [
                         T.StructField("placeDcid", T.StringType()),
+                        T.StructField("observationAbout", T.StringType()),
                         T.StructField("statVarDcid", T.StringType()),
                         T.StructField("observationPeriod", T.StringType()),
                         T.StructField("scalingFactor", T.StringType()),
@@ -291,8 +294,9 @@ def read_lint_report(spark: SparkSession, paths, dataset_id: str = "") -> dict[s
     )
     entries = rep.select("dataset_id", F.explode("entries").alias("e")).select(
         "dataset_id",
-        F.col("e.level").alias("level"),
+        F.coalesce(F.nullif(F.col("e.level"), F.lit("")), F.col("e.levelSummary")).alias("level"),
         F.col("e.counterKey").alias("counterKey"),
+        F.col("e.counter").alias("counter"),
         F.col("e.userMessage").alias("userMessage"),
         F.col("e.location.file").alias("file"),
         F.col("e.location.lineNumber").alias("lineNumber"),
@@ -301,7 +305,7 @@ def read_lint_report(spark: SparkSession, paths, dataset_id: str = "") -> dict[s
     counters_per_item = series.select(
         "dataset_id",
         "item_ord",
-        F.col("s.placeDcid").alias("placeDcid"),
+        F.coalesce(F.nullif(F.col("s.placeDcid"), F.lit("")), F.col("s.observationAbout"), F.lit("")).alias("placeDcid"),
         F.col("s.statVarDcid").alias("statVarDcid"),
         F.coalesce(F.col("s.observationPeriod"), F.lit("")).alias("observationPeriod"),
         F.posexplode_outer("s.validationCounters").alias("counter_ord", "vc"),
@@ -332,6 +336,7 @@ def read_lint_report(spark: SparkSession, paths, dataset_id: str = "") -> dict[s
         ).alias("value"),
         F.coalesce(F.get_json_object("pt", "$.values[0].scalingFactor"), F.get_json_object("pt", "$.scalingFactor")).alias("scalingFactor"),
         F.coalesce(F.get_json_object("pt", "$.values[0].unit"), F.get_json_object("pt", "$.unit")).alias("unit"),
+        F.from_json(F.get_json_object("pt", "$.values[0].locations"), "array<struct<file string, lineNumber string>>").alias("locations"),
     )
     return {"counters": counters, "entries": entries, "points": points, "report": rep}
 

@@ -58,6 +58,22 @@ def read_run_events(spark: SparkSession, path: str, stream: bool = True) -> Data
     return reader.schema(ENVELOPE_SCHEMA).json(path)
 
 
+def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Raw log lines, one file per run named by its id; ``seq`` rises with the line's place in the file.
+
+    A file may be read in several splits: ``seq`` is made of the split's first
+    byte and the line's number in its task. A task reads fewer lines than 1024
+    times the bytes between two splits, so later splits count higher. Batch
+    only: Spark numbers no lines in a stream, which reads envelopes.
+    """
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(
+        F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("run_id"),
+        (F.col("_metadata.file_block_start") * 1024 + number).alias("seq"),
+        F.col("value").alias("line"),
+    )
+
+
 def _vtype(v: Column, key: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 

@@ -15,6 +15,7 @@ from statgate.operators import quality as Q
 from statgate.operators import review as V
 from statgate.operators import rules as R
 from statgate.operators import samples as SM
+from statgate.operators import series as W
 from statgate.operators import stats as A
 from statgate.plans import catalog
 from statgate.sources import readers as S
@@ -281,3 +282,47 @@ def test_silent_runs_are_lost_and_finished_state_ends():
     assert (out.status[0], out.failure_code[0], held.timeout) == ("succeeded", None, 3_600_000)
     held.hasTimedOut = True
     assert list(P._project(("a",), iter([]), held)) == [] and not held.exists
+
+
+def test_lint_report_fallback_keys_and_locations(spark, tmp_path):
+    points = [{"date": "2021", "values": [{"value": 3, "locations": [{"file": "a.csv", "lineNumber": 7}]}]}, {"date": "2020", "values": [{"value": 1}]}]
+    report = {
+        "entries": [
+            {"level": "LEVEL_WARNING", "counterKey": "", "counter": "Other"},
+            {"levelSummary": "WARNING", "counter": "Other"},
+            {"level": "WARNING", "counterKey": "Own", "counter": "Other"},
+            {"level": "WARNING"},
+        ],
+        "statsCheckSummary": [
+            {
+                "placeDcid": "", "observationAbout": "geoId/2", "statVarDcid": "V",
+                "validationCounters": [{"counterKey": "StatsCheck_MaxPercentFluctuationGreaterThan500", "problemPoints": points}],
+            }
+        ],
+    }
+    (tmp_path / "r.json").write_text(json.dumps(report))
+    rep = S.read_lint_report(spark, str(tmp_path / "r.json"), "ds")
+    assert [(r.key, r["count"]) for r in A.lint_warnings(rep["entries"]).collect()] == [("Other", 2), ("Own", 1)]
+    (r,) = W.report_fluctuations(rep["points"]).collect()
+    assert r.location == "geoId/2"
+    assert [p.locations and [(x.file, x.lineNumber) for x in p.locations] for p in r.points] == [None, [("a.csv", "7")]]
+
+
+@pytest.mark.parametrize("split", ["64b", "128m"])
+def test_raw_run_logs_in_order_of_lines(spark, tmp_path, split):
+    lines = ["start", "::STEP::0:Pre-Import Checks", "", *[f"noise {i}" for i in range(200)], "::STEP::4:Results",
+             '{"v":1,"t":"run_finished","status":"succeeded","exit_code":0}']
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "run.1.log").write_text("\n".join(lines) + "\n")
+    (logs / "run2.log").write_text(lines[1])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        read = P.read_run_logs(spark, str(logs))
+        got = [r.line for r in read.where("run_id = 'run.1'").orderBy("seq").collect()]
+        status = {r.run_id: r.status for r in P.replay_status(P.parse_events(read)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == lines
+    assert status["run.1"] == "succeeded" and set(status) == {"run.1", "run2"}
