@@ -161,11 +161,13 @@ def near_links(distinct: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id.
+    """One row per row of ``docs``: doc_id, fp, component_id, root.
 
     Rows whose fingerprints differ in at most ``max_bits`` bits are linked;
     component_id is the smallest id reachable over links, itself included
     (null ids are smaller than none: a component of null ids only has null).
+    Null and repeated ids can name several components; root, a fingerprint of
+    the component, names one.
     Repeated rows are rows of their own; an empty table gives an empty result;
     columns besides the id and the text are ignored.
     """
@@ -175,9 +177,11 @@ def near_groups(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc
     distinct = cut(marked.repartition(parts, "fp").groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(near_links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root"))
     least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("linked"))
-    of_fp = roots.join(least, "root").select("fp", "linked")
-    component = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    of_fp = roots.join(least, "root").select("fp", "root", "linked")
+    component = distinct.join(of_fp, "fp", "left").select(
+        "fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    )
+    return marked.join(component, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_of(fp: str = "fp"):
@@ -210,7 +214,7 @@ def keep_one(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id
 
 def _one_of_repeated(docs, rows, shingle, id_col, text_col, groups) -> DataFrame:
     """Of rows that share an id, one for each group that keeps this id: the one of the least text digest."""
-    fp, comp, text = (free_name(docs, c) for c in ("_fp", "_component", "_digest"))
+    fp, comp, root, text = (free_name(docs, c) for c in ("_fp", "_component", "_root", "_digest"))
 
     def run(batches):
         for batch in batches:
@@ -218,9 +222,11 @@ def _one_of_repeated(docs, rows, shingle, id_col, text_col, groups) -> DataFrame
             yield batch.append_column(fp, pa.array(np.array(found, dtype=np.uint64).view(np.int64)))
 
     marked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(fp, T.LongType())]))
-    group = groups.groupBy(F.col("fp").alias(fp)).agg(F.min("component_id").alias(comp))
+    group = groups.groupBy(F.col("fp").alias(fp)).agg(F.min("component_id").alias(comp), F.min("root").alias(root))
     marked = marked.join(group, fp).where(F.col(id_col).eqNullSafe(F.col(comp)))
     marked = marked.withColumn(text, F.sha2(text_of(text_col).cast("binary"), 256))
-    least = marked.groupBy(F.col(comp).alias("_c")).agg(F.min(text).alias("_t"))
-    chosen = marked.join(least, F.col(comp).eqNullSafe(F.col("_c")) & (F.col(text) == F.col("_t")), "left_semi")
-    return chosen.dropDuplicates([comp]).select(*docs.columns)
+    # Not by component_id: null and repeated ids name several components.
+    of_root, least_text = free_name(marked, "_of_root"), free_name(marked, "_least")
+    least = marked.groupBy(F.col(root).alias(of_root)).agg(F.min(text).alias(least_text))
+    chosen = marked.join(least, (F.col(root) == F.col(of_root)) & (F.col(text) == F.col(least_text)), "left_semi")
+    return chosen.dropDuplicates([root]).select(*docs.columns)

@@ -308,6 +308,14 @@ def test_simhash_keep_one(spark, edge):
     assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(repeated, 4, 4).collect()) == [("3", "x y z w"), ("5", "a b c d"), ("None", "q r s t")]
 
 
+def test_simhash_keep_one_of_each_component_of_an_id(spark):
+    """Null ids, and an id that is repeated, name several components; each keeps a row."""
+    texts = ["a b c d", "x y z w", "q r s t", "e f g h"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[1])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4, 4).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("7", texts[3]), ("7", texts[2]), ("None", texts[0]), ("None", texts[1])]
+
+
 # ----- HTML ---------------------------------------------------------------------
 
 
