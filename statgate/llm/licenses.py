@@ -156,9 +156,11 @@ def scan(
     licence_files = marked.where(F.col("own").isNotNull() & ((F.col("share") >= file_share) | name.isin(*FILE_NAMES)))
     of_dir = licence_files.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "own")).alias("best"))
     of_dir = of_dir.select(F.col("dir").alias("ancestor"), F.col("best.own").alias("license"), (-F.col("best.s")).alias("dir_score"))
-    parts = F.filter(F.split("dir", "/"), lambda x: x != "")
-    depths = F.sequence(F.lit(0), F.size(parts))
-    ancestors = marked.select("dir").distinct().select("dir", F.explode(F.transform(depths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("ancestor"))
+    # The path up to each slash as it stands: empty segments are kept, as directories keep them.
+    parts = F.split("dir", "/")
+    depths = F.sequence(F.lit(1), F.size(parts))
+    above = F.transform(depths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    ancestors = marked.select("dir").distinct().select("dir", F.explode(F.array_union(F.array(F.lit("")), above)).alias("ancestor"))
     nearest = (
         ancestors.join(of_dir, "ancestor")
         .groupBy("dir")

@@ -5,11 +5,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statgate.llm import licenses, quality, shards, topk, urls
+from statgate.llm import licenses, quality, queries, shards, topk, urls
 
 # ----- quality -----------------------------------------------------------------
 
@@ -233,6 +234,28 @@ def test_license_scan(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licenses_are_inherited_along_empty_segments(spark):
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    rows = [
+        (1, "/src/LICENSE", mit), (2, "/src/a.py", "x"), (3, "/src/deep/b.py", "x"), (4, "src/c.py", "x"), (5, "src0//0/LICENSE", apache),
+        (6, "src0//0/5", "x"), (7, "src0//5", "x"), (8, "/", "x"), (9, "a/LICENSE", mit), (10, "a//b/c.py", "x"), (11, "a//c.py", "x"),
+    ]
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {r.id: (r.license, r.how, r.from_dir) for r in licenses.scan(files, keep=("id",)).collect()}
+    none, from_src, from_a = (None, "none", None), ("MIT", "inherited", "/src"), ("MIT", "inherited", "a")
+    assert [got[i] for i in (2, 3, 4, 6, 7, 8, 10, 11)] == [from_src, from_src, none, ("Apache-2.0", "inherited", "src0//0"), none, none, from_a, from_a]
+
+
+def test_documents_without_source_or_lang_match_the_oracle(spark, tmp_path):
+    rows = [(i, s, g, licenses.TEMPLATES["MIT"] if i in (101, 203) else "x") for i in (5, 101, 102, 203, 204) for s, g in ((None, "en"), ("src0", None), ("", ""), ("src0", "en"))]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(queries.OP9_SQL).fetchall()
+    got = [tuple(r) for r in queries.op9_license_scan(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and {"inherited", "own"} <= {r[3] for r in got}
+
+
 def test_cosine():
     m = licenses.Matcher({"A": "one two two", "B": "three"}, {"one": 3, "two": 0, "three": 1}, 9)
     idf = {t: math.log(10 / (1 + n)) + 1 for t, n in (("one", 3), ("two", 0), ("three", 1), ("new", 0))}
