@@ -4,8 +4,10 @@ Pieces stream past a packer that holds a fixed number of open bins in a bitset
 keyed by free space: one shift and one lowest-set-bit find the tightest bin
 that takes the next piece. When all bins are open and none fits, the fullest
 closes first. Tasks take equal random shares of the pieces, longest first, and
-pack them on their own; a share holds enough pieces for the loss at its end,
-a few partly filled bins, not to matter.
+pack them on their own. Longest first, all long pieces open bins before any
+short one comes, so a task may hold as many bins open as its share has pieces
+and none closes early; a share holds enough pieces for the loss at its end, a
+few partly filled bins, not to matter.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from statgate.llm import bpe
 from statgate.llm.common import cut, free_name
 
-OPEN_BINS = 4096
 SHARE = 32_768  # pieces a task packs
+OPEN_BINS = SHARE
 
 
 class Packer:

@@ -186,6 +186,14 @@ def test_pack_keeps_columns_and_few_sequences(spark):
     assert len({r.sequence_id for r in rows}) <= total / 100 * 1.06
 
 
+def test_long_pieces_leave_room_for_the_short_ones():
+    """Longest first, of more long pieces than 4096: none of their bins closes before the pieces that fill it come."""
+    packer = packing.Packer(2048)
+    for n in [1200] * 10_000 + [848] * 10_000:
+        packer.put(n)
+    assert packer.made == 10_000
+
+
 def test_sequences_join_the_ids(spark):
     docs = spark.createDataFrame([(1, "ein Haus"), (2, "zwei")], "doc_id long, text string")
     packed = packing.pack(packing.pieces(docs, PATH, 32, ids=True), 32)
