@@ -5,6 +5,8 @@ element they stand in, tags negative, with weights counted on labelled pages
 (how often an element's words, or a tag, occur inside and outside of the main
 text). One linear scan finds the contiguous region of the highest sum; its
 blocks, without what is boilerplate by element or class, are the main text.
+A class marks boilerplate only if the whole of it says so, and not where its
+element holds nearly all of the page's words.
 """
 
 from __future__ import annotations
@@ -41,6 +43,18 @@ BOILERPLATE_NAMES = {
     "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "related", "replies", "share", "sharing", "sidebar",
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words that say only where or in which form such an element stands.
+BOILERPLATE_PARTS = {
+    "area", "bar", "block", "bottom", "box", "buttons", "container", "content", "form", "global", "inner", "item", "items", "left", "links", "list", "main",
+    "page", "post", "posts", "primary", "right", "secondary", "section", "site", "top", "wrap", "wrapper",
+}
+#: Of these names, those that can outweigh a short text; they are believed unless they hold all words.
+LONG_NAMES = {
+    "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "disqus", "footer", "menu", "nav", "navbar", "navigation", "pagination", "replies",
+    "sidebar", "toolbar",
+}
+#: Of the words outside of boilerplate elements, an element marked by another name that holds this share is the page's wrapper.
+WRAPPER_SHARE = 0.9
 #: An element that starts here ends an open paragraph.
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -60,24 +74,82 @@ Item = tuple[int, str, str, bool]  # kind, key, text of a run of words, whether
 DEFAULT_WORD, DEFAULT_TAG, DEFAULT_TEXT_TAG = 1.0, -1.0, -0.1
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def _mark(token: str) -> float:
+    """The share of the page's words up to which a class, id or role marks boilerplate; 0 if not all its words say so.
+
+    'sidebar' and 'site-footer' do, 'no-sidebar' does not.
+    """
+    parts = {part.lower() for part in SPLIT.split(token) if part}
+    if parts.isdisjoint(BOILERPLATE_NAMES) or not parts <= BOILERPLATE_NAMES | BOILERPLATE_PARTS:
+        return 0.0
+    return WRAPPER_SHARE if parts.isdisjoint(LONG_NAMES) else 1.0
+
+
+def _marked(name: str, attributes: str) -> float:
     if name in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 0.0
     found = (next(filter(None, m), "") for m in NAMES.findall(attributes))
-    return any(part.lower() in BOILERPLATE_NAMES for value in found for part in SPLIT.split(value))
+    return max((_mark(token) for value in found for token in value.split()), default=0.0)
+
+
+class Elements:
+    """The elements of a page in order, parents first; number 0 is the page itself."""
+
+    def __init__(self):
+        self.parent, self.main, self.marked, self.words = [0], [False], [0.0], [0]
+        self.fixed = [False]  # boilerplate by element, its own or an ancestor's
+
+    def add(self, parent: int, name: str, attributes: str) -> int:
+        self.parent.append(parent)
+        self.fixed.append(self.fixed[parent] or name in BOILERPLATE)
+        self.main.append(name in ("article", "main"))
+        self.marked.append(_marked(name, attributes))
+        self.words.append(0)
+        return len(self.parent) - 1
+
+    def boilerplate(self) -> list[bool]:
+        """Per element, whether it is boilerplate, itself or by an ancestor.
+
+        A mark does not hold for an element with nearly all words of the page.
+        Where all <article> and <main> lie in marked elements, they end the mark.
+        """
+        if not any(self.marked):
+            return self.fixed
+        words = [0 if fixed else n for n, fixed in zip(self.words, self.fixed, strict=True)]
+        for i in range(len(words) - 1, 0, -1):
+            words[self.parent[i]] += words[i]
+        marked = [m > 0 and (n == 0 or n < m * words[0]) for m, n in zip(self.marked, words, strict=True)]
+
+        def spread(ended: bool) -> list[bool]:
+            out = [False]
+            for i in range(1, len(marked)):
+                out.append(self.fixed[i] or marked[i] or out[self.parent[i]] and not (ended and self.main[i]))
+            return out
+
+        out = spread(False)
+        found = [i for i, main in enumerate(self.main) if main]
+        return spread(True) if found and all(out[i] for i in found) else out
 
 
 def items(page: str) -> Iterator[Item]:
     """Words (in runs) and tags of a page, in order. Comments, scripts and styles are left out."""
-    # Open elements; boilerplate, itself or by an ancestor; the nearest one that is not inline, itself or an ancestor.
-    stack: list[tuple[str, bool, str]] = []
+    elements = Elements()
+    found = list(_items(page, elements))
+    boilerplate = elements.boilerplate()
+    return ((kind, key, text, boilerplate[number]) for kind, key, text, number in found)
+
+
+def _items(page: str, elements: Elements) -> Iterator[tuple[int, str, str, int]]:
+    """The items with the number of the element that each belongs to."""
+    # Open elements; their number; the nearest one that is not inline, itself or an ancestor.
+    stack: list[tuple[str, int, str]] = []
     opened: Counter = Counter()  # how many of each name are in the stack, so that no tag walks all of it in vain
     at = 0
 
-    def words(text: str) -> Item:
-        return (WORD, stack[-1][2], text, stack[-1][1]) if stack else (WORD, "", text, False)
+    def words(text: str) -> tuple[int, str, str, int]:
+        number, key = stack[-1][1:] if stack else (0, "")
+        elements.words[number] += len(text.split())
+        return WORD, key, text, number
 
     while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
@@ -87,7 +159,7 @@ def items(page: str) -> Iterator[Item]:
             continue
         closing, name, attributes = m[1] == "/", m[2].lower(), m[3]
         if closing:
-            yield TAG, "/" + name, "", bool(stack) and stack[-1][1]
+            yield TAG, "/" + name, "", stack[-1][1] if stack else 0
             while opened[name]:
                 last = stack.pop()[0]
                 opened[last] -= 1
@@ -100,15 +172,15 @@ def items(page: str) -> Iterator[Item]:
                 opened[last] -= 1
                 if last == "p":
                     break
-        boilerplate = bool(stack) and stack[-1][1] or _is_boilerplate(name, attributes)
-        yield TAG, name, "", boilerplate
+        number = elements.add(stack[-1][1] if stack else 0, name, attributes)
+        yield TAG, name, "", number
         if name in VOID or attributes.rstrip().endswith("/") and name in ("path", "use"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((name, boilerplate, name if name not in INLINE else stack[-1][2] if stack else ""))
+        stack.append((name, number, name if name not in INLINE else stack[-1][2] if stack else ""))
         opened[name] += 1
     if at < len(page):
         yield words(page[at:])

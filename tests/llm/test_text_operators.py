@@ -370,6 +370,26 @@ def test_main_text(page, expected):
     assert html_text.main_text(page, {}) == expected
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<div class="layout no-sidebar"><p>All of the text.</p></div>', "All of the text."),
+        ('<div id="page" class="has-sidebar"><p>One two.</p><div class="sidebar">x</div></div>', "One two."),
+        ('<section class="post share-enabled"><p>Three four.</p></section>', "Three four."),
+        ('<div class="entry related-posts-on"><p>Five six.</p><div class="related-posts">x</div></div>', "Five six."),
+        ('<div class="widget"><article><p>In a widget.</p></article><p>x</p></div>', "In a widget."),
+        ('<div class="widget"><p>' + "long text " * 60 + "</p></div><p>short</p>", "long text " * 60),
+        ('<article><p>The text.</p></article><div class="related"><article><p>Another page.</p></article></div>', "The text."),
+        ("<p>The short text.</p><div class='comments'><p>" + "much said " * 60 + "</p></div>", "The short text."),
+        ("<div class='sidebar'><p>All there is.</p></div>", "All there is."),
+        ('<nav><main>menu</main></nav><p>The text.</p>', "The text."),
+        ('<p>The text.</p><div class="site-footer"><p>x</p></div><div class="cookieNotice">x</div>', "The text."),
+    ],
+)
+def test_layout_classes_do_not_delete_text(page, expected):
+    assert html_text.main_text(page, {}) == expected.strip()
+
+
 def test_best_region_is_the_maximum_sum():
     rng = random.Random(6)
     for _ in range(300):
