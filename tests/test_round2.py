@@ -326,3 +326,13 @@ def test_raw_run_logs_in_order_of_lines(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == lines
     assert status["run.1"] == "succeeded" and set(status) == {"run.1", "run2"}
+
+
+def test_empty_columns_of_the_whole_table(spark, tmp_path):
+    from statgate.plans import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    kind = rows.schema["l_shipdate"].dataType
+    rows.withColumn("l_shipdate", F.lit(None).cast(kind)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["column"], r["ord"]) for r in catalog.QUERIES["quality_empty_columns"](spark, str(tmp_path)).collect()}
+    assert got == {("l_shipdate", 11), ("no_value", 12)}
