@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statgate.llm import bpe, dedup, html_text, licenses, packing, quality, shards, simhash, topk, urls
+from statgate.llm import bpe, centroids, dedup, html_text, licenses, merkle, packing, quality, quality_rules, shards, simhash, topk, urls
 from statgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,124 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, by rules in the order that a sample suggests."""
+    judged = quality_rules.apply(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.REPORTED, "base_failed", "kept")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS (SELECT r, doc_id, lines, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+             len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09\x0B-\x0D]*[-*•●▪‣]'))) AS n_bullet_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0B-\x0D]*$'))) AS n_ellipsis_lines,
+             len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters FROM w),
+one AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS place FROM w),
+top AS (SELECT r, max(n) AS top_word FROM (SELECT r, word, count(*) AS n FROM one GROUP BY ALL) GROUP BY r),
+windows AS (SELECT r, place, word AS a, lead(word, 1) OVER (PARTITION BY r ORDER BY place) AS b, lead(word, 2) OVER (PARTITION BY r ORDER BY place) AS c FROM one),
+often AS (SELECT r, place FROM (SELECT r, place, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT place + j) AS n_repeat_words FROM often, (VALUES (0), (1), (2)) x(j) GROUP BY r),
+f AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(top_word, 0) AS top_word,
+             n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN covered USING (r) LEFT JOIN top USING (r))
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > len(lines)
+            OR 10 * n_letter_words < 8 * n_words OR 4 * top_word > n_words OR 10 * n_bullet_lines > 9 * len(lines)
+            OR 10 * n_ellipsis_lines > 3 * len(lines) OR 2 * n_upper > n_letters) AS kept
+FROM f
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its present content still folds to the root."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+# crc32 has no function in DuckDB: eight shifts a byte over the reflected polynomial, which is a fixed value.
+OP12_SQL = """
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+         CASE WHEN "text" IS NULL THEN '-' ELSE strlen("text") || ':' || "text" END AS tail FROM documents),
+g AS (SELECT *, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS n0,
+             CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END AS n1,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+                 lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                     lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)), 4294967295::BIGINT) AS crc FROM f),
+h AS (SELECT r, doc_id, lang, sha256(head || n0 || tail) AS leaf, CASE WHEN crc % 7 = 0 THEN sha256(head || n1 || tail) END AS changed FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM h),
+up AS (
+  SELECT lang, 0 AS height, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, height + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM up WHERE len(nodes) > 1),
+sub AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM up WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS height, list(subroot ORDER BY pos) AS nodes FROM sub
+  UNION ALL
+  SELECT height + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM top WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.r, up.height AS k, p.pos // CAST(pow(2, up.height) AS BIGINT) AS place, nodes FROM p JOIN up ON p.lang IS NOT DISTINCT FROM up.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT p.r, 1000 + top.height, sub.pos // CAST(pow(2, top.height) AS BIGINT), nodes
+  FROM p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang, top WHERE len(nodes) > 1),
+sided AS (SELECT r, k, CASE WHEN place % 2 = 1 THEN 'L' || nodes[place] WHEN place + 1 < len(nodes) THEN 'R' || nodes[place + 2] ELSE 'S' END AS step FROM steps),
+paths AS (SELECT r, list(step ORDER BY k) AS path FROM sided GROUP BY r),
+w AS (SELECT p.*, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, coalesce(path, []) AS path
+      FROM p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN paths USING (r)),
+v AS (SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), path),
+             lambda acc, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || acc WHEN s[1] = 'R' THEN acc || s[2:] ELSE acc END)) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM v
+"""
+
+
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED = 40, 5, 2
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector of 64 finite components, after five rounds from hashed seeds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=CLUSTERS, dims=64, scale=256, rounds=CLUSTER_ROUNDS, seed=CLUSTER_SEED)
+
+
+def _op13_sql() -> str:
+    rounds = "".join(
+        f"""
+a{n} AS MATERIALIZED (SELECT r, c, d FROM (
+    SELECT r, c, xx - 2 * list_inner_product(e.x, k.x) + list_inner_product(k.x, k.x) AS d,
+           row_number() OVER (PARTITION BY r ORDER BY xx - 2 * list_inner_product(e.x, k.x) + list_inner_product(k.x, k.x), c) AS n
+    FROM e CROSS JOIN c{n} k) WHERE n = 1),
+m{n} AS (SELECT c, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+         FROM (SELECT a.c, unnest(e.x) AS v, unnest(range(64)) AS i FROM a{n} a JOIN e USING (r)) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (SELECT k.c, coalesce(z.x, k.x) AS x FROM c{n} k LEFT JOIN
+    (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS x FROM m{n} GROUP BY c) z USING (c)),"""
+        for n in range(CLUSTER_ROUNDS)
+    )
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+e AS MATERIALIZED (SELECT r, vec_id, x, list_inner_product(x, x) AS xx FROM
+  (SELECT r, vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM v
+   WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)),
+c0 AS MATERIALIZED (SELECT n - 1 AS c, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id) NULLS LAST, x) AS n FROM e)
+                    WHERE n <= {CLUSTERS}),{rounds}
+a AS (SELECT r, c, d FROM (
+    SELECT r, c, xx - 2 * list_inner_product(e.x, k.x) + list_inner_product(k.x, k.x) AS d,
+           row_number() OVER (PARTITION BY r ORDER BY xx - 2 * list_inner_product(e.x, k.x) + list_inner_product(k.x, k.x), c) AS n
+    FROM e CROSS JOIN c{CLUSTER_ROUNDS} k) WHERE n = 1)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(k.x, lambda t: CAST(CAST(t AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a JOIN e USING (r) JOIN c{CLUSTER_ROUNDS} k ON k.c = a.c
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -197,6 +315,17 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op9_license_scan": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op5_exact_dedup": OP5_SQL,
+    "op8_exact_topk": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
+    "op11_quality_rules": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_centroid_clustering": OP13_SQL,
+}
