@@ -34,7 +34,7 @@ def smallest_k(df: DataFrame, group_cols: list[str], order_col: str, k: int) ->
 
 def duplicate_columns(header: DataFrame) -> DataFrame:
     """Q1: trimmed header names occurring more than once in a file, in first-seen order."""
-    h = header.select("file", "ord", strip_blanks(F.coalesce(F.col("name"), F.lit(""))).alias("name"))
+    h = header.where(F.col("ord").isNotNull()).select("file", "ord", strip_blanks(F.coalesce(F.col("name"), F.lit(""))).alias("name"))
     return (
         h.groupBy("file", "name")
         .agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
@@ -116,6 +116,9 @@ def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None
             F.lit(True).alias("fatal"),
         )
     )
+    no_header = header.where(F.col("ord").isNull()).select(
+        "file", F.lit("header").alias("check"), F.lit("CSV has no header row").alias("message"), F.lit(True).alias("fatal")
+    )
     # one per-file aggregate serves both the empty-column check and the
     # non-numeric total, so the records are scanned once for the two
     cols = _data_columns(csv, columns)
@@ -141,7 +144,7 @@ def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None
         F.concat(F.lit("Duplicate row at 1-based row "), F.col("row").cast("string"), F.lit(" (header is row 1)")).alias("message"),
         F.lit(True).alias("fatal"),
     )
-    parts = [dup_cols, empty, dup_rows]
+    parts = [no_header, dup_cols, empty, dup_rows]
     if has_value:
         bad = non_numeric_rows(csv, value_column)
         first = smallest_k(bad, ["file"], "row", 5).groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("sample"))

@@ -1,4 +1,4 @@
-"""Sources (S1, S2, S4, S5, S6, S12): files -> DataFrames.
+"""Sources (S2, S4, S5, S6, S12; S1 is in ``csv_files``): files -> DataFrames.
 
 Record numbers are computed without a single-partition window: every file
 split is read in order by one task, so ``monotonically_increasing_id`` is
@@ -8,7 +8,6 @@ each split its offset in the file, and a broadcast join applies it.
 
 from __future__ import annotations
 
-import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statgate.functions.scalars import strip_blanks
+from statgate.sources.csv_files import MALFORMED, csv_header_table, csv_headers, read_csv  # noqa: F401
 
 
 def with_row_index(df: DataFrame, order_by: list[str], bucket: Column, start: int = 1, name: str = "__row") -> DataFrame:
@@ -47,69 +47,6 @@ def _file_offsets(tagged: DataFrame, count_col: Column | None = None) -> DataFra
     return splits.select("__file", "__block", "__m0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
 
 
-MALFORMED = "__malformed"
-
-
-def csv_headers(spark: SparkSession, paths) -> DataFrame:
-    """(file, header): the first line of each file, from the splits that start at 0 only."""
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")
-    )
-    return lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "i").alias("header"))
-
-
-def header_names(header: str) -> list[str]:
-    """Column names of a header line as they are; repeated names get their position appended."""
-    names = next(csv.reader([header.lstrip("\ufeff")]), [])
-    return [n if names.count(n) == 1 else f"{n}{i}" for i, n in enumerate(names)]
-
-
-def read_csv(spark: SparkSession, paths, multi_line: bool = True, dataset_id: str | None = None) -> DataFrame:
-    """Observation CSVs as strings + ``__file`` and 1-based ``__row`` (header is row 1).
-
-    RFC 4180: a doubled quote stands for one, a backslash for itself. Files
-    are read by groups of equal headers and united by column name, so another
-    column order or a missing column moves no cell. A record with more or
-    fewer cells than its header keeps its whole text in ``__malformed``.
-
-    ``multi_line=True`` (default) keeps quoted newlines inside one record (one
-    task per file); pass False for files known to have none so large files
-    are split across tasks.
-    """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    groups: dict[str, list[str]] = {}
-    for r in csv_headers(spark, paths).collect():  # one line per file; Spark lists the files on the driver as well
-        groups.setdefault(r["header"], []).append(r["file"])
-    parts = []
-    for header, files in sorted(groups.items()):
-        names = header_names(header)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
-        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
-        reader = reader.option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
-        tagged = reader.csv(files).select(
-            "*",
-            F.col("_metadata.file_path").alias("__file"),
-            F.col("_metadata.file_block_start").alias("__block"),
-            F.monotonically_increasing_id().alias("__mid"),
-        )
-        offsets = _file_offsets(tagged)
-        parts.append(
-            tagged.join(offsets, ["__file", "__block"]).select(
-                *[F.col(f"`{c}`") for c in [*names, MALFORMED]],
-                F.col("__file"),
-                (F.col("__mid") - F.col("__m0") + F.col("__off") + F.lit(2)).alias("__row"),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    tail = [MALFORMED, "__file", "__row"]
-    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c not in tail], *tail)
-    if dataset_id is not None:
-        out = out.withColumn("dataset_id", F.lit(dataset_id))
-    return out
-
-
 def read_lines(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
     """Text records with ``__file`` and their 1-based line number in the file.
 
@@ -146,19 +83,6 @@ def read_lines(spark: SparkSession, paths, line_sep: str | None = None) -> DataF
     )
 
 
-def csv_header_table(spark: SparkSession, paths) -> DataFrame:
-    """Header names of each CSV file: (file, ord, name), names trimmed, duplicates kept.
-
-    Read from the header line as text, because the CSV reader renames
-    duplicate names (a,b,a -> a0,b,a2).
-    """
-    fields = F.split(F.col("header"), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    exploded = csv_headers(spark, paths).select("file", F.posexplode(fields).alias("pos", "raw"))
-    bare = F.regexp_replace(strip_blanks(F.col("raw")), r'^"|"$', "")
-    name = strip_blanks(F.replace(bare, F.lit('""'), F.lit('"')))
-    return exploded.select("file", (F.col("pos") + 1).alias("ord"), name.alias("name"))
-
-
 NODE_SEPARATOR = "\nNode:"
 
 
@@ -348,13 +272,22 @@ def read_goldens(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
 
 
 def list_objects(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """The objects directly under ``root`` (or, if ``recursive``, at any depth) as (path, size); contents are not read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    found = df.select(F.col("path"), F.col("length").alias("size"))
+    """The objects directly under ``root`` (or, if ``recursive``, at any depth) as (path, size); contents are not read.
+
+    Without ``recursive`` one listing of the root's own folder is asked for, so
+    folders below it cost nothing, whatever their names.
+    """
     if recursive:
-        return found
-    folder = root.rstrip("/").rpartition("/")[2]
-    return found.where(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1) == F.lit(folder))
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        return found.select("path", F.col("length").alias("size"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    children = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(folder)
+    rows = []
+    while children.hasNext():
+        child = children.next()
+        if child.isFile():
+            rows.append((child.getPath().toString(), child.getLen()))
+    return spark.createDataFrame(rows, "path string, size long")
 
 
 OBSERVATION_PROPS = [
