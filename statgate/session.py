@@ -29,6 +29,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("statgate.scanPartitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("STATGATE_DRIVER_MEMORY", "8g"))
         .getOrCreate()

@@ -45,14 +45,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def open_file(path: str):
-    """A binary stream of a file named as Spark names it."""
+    """A binary file, named as Spark names it, from any place on."""
     url = urlparse(path)
     if url.scheme in ("", "file"):
         return open(unquote(url.path), "rb")
     import pyarrow.fs
 
     system, inside = pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    return system.open_input_stream(inside)
+    return system.open_input_file(inside)
 
 
 def first_record(stream, chunk: int = CHUNK) -> str:

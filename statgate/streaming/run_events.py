@@ -7,8 +7,8 @@ lines of a run.
 
 * ``parse_events`` (P1, P2, P5) is a stateless projection, usable on batch
   and streaming frames alike.
-* ``project_status_stream`` (P3, P4) keeps one small state row per run with
-  ``applyInPandasWithState``; each micro-batch is sorted by ``seq``.
+* ``project_status_stream`` (P3, P4, P7) keeps a map of fields per run with
+  ``transformWithState`` and ends lost and finished runs by event timers.
 * ``replay_status`` (P9) computes the same final state as a grouped
   aggregate (``max_by`` per field), so a run with a huge log is still
   pre-aggregated on the map side.
@@ -16,14 +16,17 @@ lines of a run.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from statgate.functions.scalars import strip_blanks
+from statgate.streaming.run_logs import read_run_logs  # noqa: F401
 
 # The step registry (index, id, label, legacy token, legacy marker line).
 STEPS = [
@@ -58,28 +61,12 @@ def read_run_events(spark: SparkSession, path: str, stream: bool = True) -> Data
     return reader.schema(ENVELOPE_SCHEMA).json(path)
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Raw log lines, one file per run named by its id; ``seq`` rises with the line's place in the file.
-
-    A file may be read in several splits: ``seq`` is made of the split's first
-    byte and the line's number in its task. A task reads fewer lines than 1024
-    times the bytes between two splits, so later splits count higher. Batch
-    only: Spark numbers no lines in a stream, which reads envelopes.
-    """
-    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return spark.read.text(path).select(
-        F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("run_id"),
-        (F.col("_metadata.file_block_start") * 1024 + number).alias("seq"),
-        F.col("value").alias("line"),
-    )
-
-
 def _vtype(v: Column, key: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
-    """P1 + P2 + P5: classify each line; output one row per line with ``kind``.
+def parse_events(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """P1 + P2 + P5: classify each line; output one row per line with ``kind`` and the columns named in ``carry``.
 
     kind: progress / failure / run_finished (valid v1), legacy_step (marker),
     legacy_failure, rejected (v1 JSON that fails validation) or ignored.
@@ -94,10 +81,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
     # string values come from two lambdas over that map, so the generated code
     # stays small whatever the number of fields checked.
     obj = F.when(is_json, F.try_parse_json(text).try_cast("map<string,variant>"))
-    s1 = lines.select("run_id", "seq", text.alias("__text"), is_json.alias("__is_json"), obj.alias("__m"))
+    s1 = lines.select("run_id", "seq", *carry, text.alias("__text"), is_json.alias("__is_json"), obj.alias("__m"))
     s2 = s1.select(
         "run_id",
         "seq",
+        *carry,
         "__text",
         "__is_json",
         F.map_keys("__m").alias("__keys"),
@@ -191,6 +179,7 @@ def parse_events(lines: DataFrame) -> DataFrame:
     out = s3.select(
         "run_id",
         "seq",
+        *carry,
         k.alias("kind"),
         step_idx.cast("int").alias("step_index"),
         _step_map(step_idx, 0, 1).alias("step_id"),
@@ -360,6 +349,7 @@ STREAM_OUT_SCHEMA = T.StructType(
     [T.StructField("run_id", T.StringType())] + [T.StructField(n, t) for n, t in OUT_FIELDS] + [T.StructField("advanced", T.BooleanType())]
 )
 STALE_SECONDS, FINISHED_SECONDS = 300, 3600
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _none(x):
@@ -427,64 +417,87 @@ def _row(run_id: str, state: dict, before: int | None) -> pd.DataFrame:
     return pd.DataFrame([{"run_id": run_id, **out, "advanced": advanced}])
 
 
-def _project(key, pdfs: Iterator[pd.DataFrame], state):
-    """P3 + P7: merge a micro-batch portion by portion; a silent run is reported lost, a finished one is let go."""
-    names = [n for n, _ in STATE_FIELDS]
-    held = dict(zip(names, state.get, strict=True)) if state.exists else {}
-    before = project_state(held)["step_index"] if held else None
-    if state.hasTimedOut:
-        if held.get("fin_status") is not None or held.get("lost"):
-            state.remove()
-            return
-        held["lost"] = True
-        state.update(tuple(held.get(n) for n in names))
-        state.setTimeoutDuration(FINISHED_SECONDS * 1000)
-        yield _row(key[0], held, before)
-        return
-    for rows in pdfs:
-        held = apply_events(held, rows)
-        held["lost"] = False  # it speaks again
-    state.update(tuple(held.get(n) for n in names))
-    state.setTimeoutDuration(1000 * (STALE_SECONDS if held.get("fin_status") is None else FINISHED_SECONDS))
-    yield _row(key[0], held, before)
+class RunStatus(StatefulProcessor):
+    """P3 + P7: one map entry per field of a run, and one event timer per run.
 
+    Only the fields that an event sets are written. The timer of a run that has
+    not finished stands ``STALE_SECONDS`` after its last news and reports it
+    lost; that of a finished or lost run ends its state ``FINISHED_SECONDS``
+    after.
+    """
 
-def _project_untimed(key, pdfs: Iterator[pd.DataFrame], state):
-    """``_project`` without timers."""
-    names = [n for n, _ in STATE_FIELDS]
-    held = dict(zip(names, state.get, strict=True)) if state.exists else {}
-    before = project_state(held)["step_index"] if held else None
-    for rows in pdfs:
-        held = apply_events(held, rows)
-    state.update(tuple(held.get(n) for n in names))
-    yield _row(key[0], held, before)
+    def __init__(self, timers: bool):
+        self.timers = timers
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.fields = handle.getMapState("fields", "name string", "value string")
+
+    def _held(self) -> dict:
+        return {k[0]: json.loads(v[0]) for k, v in self.fields.iterator()}
+
+    def _write(self, held: dict, new: dict) -> None:
+        for name, value in new.items():
+            if value is not None and (name not in held or held[name] != value):
+                self.fields.updateValue((name,), (json.dumps(value),))
+
+    def _arm(self, at_ms: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        new = dict(held)
+        before = project_state(held)["step_index"] if held else None
+        last = new.get("at_ms") or 0
+        for part in rows:
+            new = apply_events(new, part)
+            if self.timers:
+                last = max(last, int(part["at"].max().timestamp() * 1000))
+        if self.timers:
+            new["at_ms"], new["lost"] = last, False  # it speaks again
+            self._arm(last + 1000 * (STALE_SECONDS if new.get("fin_status") is None else FINISHED_SECONDS))
+        self._write(held, new)
+        yield _row(key[0], new, before)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if held.get("fin_status") is not None or held.get("lost"):
+            self.fields.clear()
+            return
+        self._write(held, {"lost": True})
+        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + FINISHED_SECONDS * 1000)
+        yield _row(key[0], {**held, "lost": True}, project_state(held)["step_index"])
 
 
 def project_status_stream(events: DataFrame, timers: bool = True) -> DataFrame:
     """P3 + P4 + P7: per-run state over a stream of parsed events (output mode 'update').
 
     Late and repeated events give what the batch replay of all events gives.
-    ``advanced`` is true when the step index rose in that micro-batch (P4). A
-    run without news for ``STALE_SECONDS`` is reported failed, with
+    ``advanced`` is true when the step index rose in that micro-batch (P4).
+
+    With ``timers`` the events carry ``at`` (``parse_events(lines, ("at",))``),
+    a timestamp with a watermark, such as the time they were read. A run
+    without news for ``STALE_SECONDS`` of that time is reported failed, with
     STARTUP_FAILED or BATCH_JOB_LOST; the state of finished and lost runs ends
-    after ``FINISHED_SECONDS``. With ``timers`` Spark keeps running batches
-    without data, so processAllAvailable() does not return; False leaves the
-    lost runs to ``stale_runs`` and keeps all state.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    ``FINISHED_SECONDS`` later. Timers fire as the watermark passes them, so
+    Spark runs a batch without data only when the watermark moved. Without
+    ``timers`` lost runs are left to ``stale_runs`` and all state is kept.
 
+    State lives in RocksDB, which keeps map entries apart: set
+    ``spark.sql.streaming.stateStore.providerClass`` to ``STATE_STORE``.
+    """
+    if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
     # rejected and ignored lines are skipped inside the state function: a row
     # filter on ``kind`` here would be pushed below the parse and repeat it
     e = events.select(
         "run_id", "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message",
-        "failure_limit", "failure_details", "status", "exit_code",
+        "failure_limit", "failure_details", "status", "exit_code", *(["at"] if timers else []),
     )
-    return e.groupBy("run_id").applyInPandasWithState(
-        _project if timers else _project_untimed,
-        STREAM_OUT_SCHEMA,
-        STATE_SCHEMA,
-        "update",
-        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout,
+    return e.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=RunStatus(timers), outputStructType=STREAM_OUT_SCHEMA, outputMode="Update", timeMode="EventTime" if timers else "None"
     )
 
 

@@ -247,43 +247,6 @@ def test_state_of_late_events_equals_replay(spark):
         assert got == {k: want[run_id][k] for k in got}, run_id
 
 
-class Held:
-    """A stand-in for Spark's group state."""
-
-    def __init__(self):
-        self.value, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value, self.exists = value, True
-
-    def remove(self):
-        self.value, self.exists = None, False
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def test_silent_runs_are_lost_and_finished_state_ends():
-    columns = ["run_id", "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message", "failure_limit", "failure_details", "status", "exit_code"]
-    step = pd.DataFrame([["a", 1, "progress", 2, None, None, None, None, None, None, None, None]], columns=columns)
-    end = pd.DataFrame([["a", 2, "run_finished", None, None, None, None, None, None, None, "succeeded", 0]], columns=columns)
-    held = Held()
-    (out,) = P._project(("a",), iter([step]), held)
-    assert (out.status[0], out.advanced[0], held.timeout) == ("running", True, 300_000)
-    held.hasTimedOut = True
-    (out,) = P._project(("a",), iter([]), held)
-    assert (out.status[0], out.failure_code[0]) == ("failed", "BATCH_JOB_LOST")
-    held.hasTimedOut = False
-    (out,) = P._project(("a",), iter([end]), held)
-    assert (out.status[0], out.failure_code[0], held.timeout) == ("succeeded", None, 3_600_000)
-    held.hasTimedOut = True
-    assert list(P._project(("a",), iter([]), held)) == [] and not held.exists
-
-
 def test_lint_report_fallback_keys_and_locations(spark, tmp_path):
     points = [{"date": "2021", "values": [{"value": 3, "locations": [{"file": "a.csv", "lineNumber": 7}]}]}, {"date": "2020", "values": [{"value": 1}]}]
     report = {
@@ -308,7 +271,7 @@ def test_lint_report_fallback_keys_and_locations(spark, tmp_path):
     assert [p.locations and [(x.file, x.lineNumber) for x in p.locations] for p in r.points] == [None, [("a.csv", "7")]]
 
 
-@pytest.mark.parametrize("split", ["64b", "128m"])
+@pytest.mark.parametrize("split", [1, 64, 1 << 27])
 def test_raw_run_logs_in_order_of_lines(spark, tmp_path, split):
     lines = ["start", "::STEP::0:Pre-Import Checks", "", *[f"noise {i}" for i in range(200)], "::STEP::4:Results",
              '{"v":1,"t":"run_finished","status":"succeeded","exit_code":0}']
@@ -316,14 +279,9 @@ def test_raw_run_logs_in_order_of_lines(spark, tmp_path, split):
     logs.mkdir()
     (logs / "run.1.log").write_text("\n".join(lines) + "\n")
     (logs / "run2.log").write_text(lines[1])
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-    try:
-        read = P.read_run_logs(spark, str(logs))
-        got = [r.line for r in read.where("run_id = 'run.1'").orderBy("seq").collect()]
-        status = {r.run_id: r.status for r in P.replay_status(P.parse_events(read)).collect()}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    read = P.read_run_logs(spark, str(logs), range_bytes=split)
+    got = [r.line for r in read.where("run_id = 'run.1'").orderBy("seq").collect()]
+    status = {r.run_id: r.status for r in P.replay_status(P.parse_events(read)).collect()}
     assert got == lines
     assert status["run.1"] == "succeeded" and set(status) == {"run.1", "run2"}
 
