@@ -1,17 +1,20 @@
 """Validation rules (V1-V18) and rule-set operators.
 
-Every validator returns one row per dataset:
+A rule yields one row per dataset:
 ``(dataset_id, validation_name, status, message, details, validation_params)``
-with ``details`` and ``validation_params`` as JSON text. Failing rows are
-found with a filter and aggregated per dataset; a dataset with no rows in the
-table gets a PASSED row (rules on an empty table pass, except the differ
-rules on a first run, which warn).
+with ``details`` and ``validation_params`` as JSON text. Rules over the same
+source table are compiled into one aggregate per dataset; rules that name the
+rows that violate them (bounds, SQL, goldens) get their counts from the
+violations table (``operators.violations``), which holds those rows. A dataset
+with no rows in the source gets a PASSED row (rules on an empty table pass,
+except the differ rules on a first run, which warn).
 """
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException, ParseException
@@ -19,7 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statgate.functions.scalars import strip_blanks
+from statgate.operators import violations as V
 from statgate.operators.stats import RESOLUTION_PREFIX
+from statgate.operators.violations import number_text, scope_condition
+from statgate.session import cut
 
 RESULT_COLUMNS = ["dataset_id", "validation_name", "status", "message", "details", "validation_params"]
 
@@ -42,509 +48,256 @@ def _lit_json(obj) -> Column:
     return F.lit(json.dumps(obj, sort_keys=True))
 
 
-def _fmt(x) -> str:
-    """Number as the config wrote it (int stays int)."""
-    if isinstance(x, float) and x.is_integer():
-        return str(int(x)) if abs(x) < 1e15 else str(x)
-    return str(x)
-
-
 def scope_filter(df: DataFrame, scope: dict | None, column: str = "StatVar") -> DataFrame:
     """Keep variables whose name contains every ``variables.contains_all`` token."""
-    tokens = ((scope or {}).get("variables") or {}).get("contains_all") or []
-    cond = F.lit(True)
-    for t in tokens:
-        cond = cond & F.col(column).contains(str(t))
-    return df.where(cond) if tokens else df
-
-
-def _finish(datasets: DataFrame, agg: DataFrame, rule: dict, status: Column, message: Column, details: Column) -> DataFrame:
-    """Left-join one aggregated row per dataset onto all datasets; no row -> aggregate of nothing."""
-    j = datasets.join(agg, "dataset_id", "left")
-    return j.select(
-        "dataset_id",
-        F.lit(rule.get("rule_id", "")).alias("validation_name"),
-        status.alias("status"),
-        message.alias("message"),
-        details.alias("details"),
-        _lit_json(rule.get("params") or {}).alias("validation_params"),
-    )
-
-
-def _failing_rows_rule(datasets, table, rule, predicate: Column, row: Column, what: str):
-    """Common shape of V1, V2, V3, V9: rows violating a bound, listed in details.failed_rows."""
-    bad = scope_filter(table, rule.get("scope")).where(predicate)
-    agg = bad.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("n_failed"),
-        F.array_sort(F.collect_list(row)).alias("rows"),  # ordered by the struct's first field, the variable
-    )
-    n = F.coalesce(F.col("n_failed"), F.lit(0))
-    label = F.when(n == 1, F.lit("StatVar")).otherwise(F.lit("StatVars"))
-    status = F.when(n > 0, F.lit(FAILED)).otherwise(F.lit(PASSED))
-    message = F.when(n > 0, F.concat(F.lit("Found "), n.cast("string"), F.lit(" "), label, F.lit(f" {what}."))).otherwise(
-        F.lit(f"No StatVar {what}.")
-    )
-    details = F.to_json(F.struct(F.coalesce(F.col("rows"), F.array()).alias("failed_rows")))
-    return _finish(datasets, agg, rule, status, message, details)
-
+    return df.where(scope_condition(scope, column))
 
-def min_value_check(datasets, tables, rule):
-    """V1: MinValue < minimum."""
-    minimum = float((rule.get("params") or {}).get("minimum", 0))
-    row = F.struct(F.col("StatVar").alias("stat_var"), F.col("MinValue").alias("actual_min_value"))
-    return _failing_rows_rule(
-        datasets, tables["stats"], rule, F.col("MinValue") < F.lit(minimum), row,
-        f"with MinValue below {_fmt((rule.get('params') or {}).get('minimum', 0))}",
-    )
-
-
-def max_value_check(datasets, tables, rule):
-    """V2: MaxValue > maximum (usually scoped by name)."""
-    maximum = float((rule.get("params") or {}).get("maximum"))
-    row = F.struct(F.col("StatVar").alias("stat_var"), F.col("MaxValue").alias("actual_max_value"))
-    return _failing_rows_rule(
-        datasets, tables["stats"], rule, F.col("MaxValue") > F.lit(maximum), row,
-        f"with MaxValue above {_fmt((rule.get('params') or {}).get('maximum'))}",
-    )
 
+# ---------------------------------------------------------------------------
+# rules compiled into one aggregate per source table
+# ---------------------------------------------------------------------------
 
-def num_observations_check(datasets, tables, rule):
-    """V3: NumObservations < minimum."""
-    minimum = (rule.get("params") or {}).get("minimum", 1)
-    row = F.struct(F.col("StatVar").alias("stat_var"), F.col("NumObservations").alias("actual_num_observations"))
-    return _failing_rows_rule(
-        datasets, tables["stats"], rule, F.col("NumObservations") < F.lit(minimum), row,
-        f"with fewer than {_fmt(minimum)} observations",
-    )
 
+@dataclasses.dataclass
+class Compiled:
+    """What a rule adds to the aggregate of its source (columns named with its prefix) and what it says of the outcome."""
 
-def num_places_count(datasets, tables, rule):
-    """V9: NumPlaces < minimum."""
-    minimum = (rule.get("params") or {}).get("minimum", 1)
-    row = F.struct(F.col("StatVar").alias("stat_var"), F.col("NumPlaces").alias("actual_num_places"))
-    return _failing_rows_rule(
-        datasets, tables["stats"], rule, F.col("NumPlaces") < F.lit(minimum), row,
-        f"with fewer than {_fmt(minimum)} places",
-    )
+    aggregates: list[Column]
+    status: Column
+    message: Column
+    details: Column
 
 
-def _distinct_rule(datasets, table, rule, column: str, what: str, list_name: str, fail_status: str = FAILED):
+def _distinct(rule: dict, pre: str, column: str, list_name: str, counted: str | None = None) -> Compiled:
     """More than one distinct value of a column across variables."""
-    t = scope_filter(table, rule.get("scope"))
-    agg = t.groupBy("dataset_id").agg(
-        F.countDistinct(column).alias("n_distinct"),
-        F.array_sort(F.collect_set(F.col(column).cast("string"))).alias("vals"),
+    value = F.when(scope_condition(rule.get("scope")), F.col(column))
+    n, vals = F.coalesce(F.col(pre + "n"), F.lit(0)), F.col(pre + "vals")
+    several = n > 1
+    if counted is None:
+        value = value.cast("string")
+        message = F.when(several, F.concat(F.lit("Found "), n.cast("string"), F.lit(f" distinct {column} values across StatVars."))).otherwise(
+            F.lit(f"{column} is consistent across StatVars.")
+        )
+        none = F.array().cast("array<string>")
+    else:
+        message = F.when(several, F.concat(n.cast("string"), F.lit(f" distinct {column} counts across StatVars."))).otherwise(
+            F.lit(f"{column} counts are consistent across StatVars.")
+        )
+        none = F.array().cast("array<bigint>")
+    return Compiled(
+        [F.count_distinct(value).alias(pre + "n"), F.array_sort(F.collect_set(value)).alias(pre + "vals")],
+        F.when(several, F.lit(FAILED)).otherwise(F.lit(PASSED)),
+        message,
+        F.to_json(F.struct(F.coalesce(vals, none).alias(list_name))),
     )
-    n = F.coalesce(F.col("n_distinct"), F.lit(0))
-    status = F.when(n > 1, F.lit(fail_status)).otherwise(F.lit(PASSED))
-    message = F.when(
-        n > 1, F.concat(F.lit("Found "), n.cast("string"), F.lit(f" distinct {what} values across StatVars."))
-    ).otherwise(F.lit(f"{what} is consistent across StatVars."))
-    details = F.to_json(F.struct(F.coalesce(F.col("vals"), F.array().cast("array<string>")).alias(list_name)))
-    return _finish(datasets, agg, rule, status, message, details)
-
-
-def unit_consistency_check(datasets, tables, rule):
-    """V4: more than one distinct Units text; details.units lists them."""
-    return _distinct_rule(datasets, tables["stats"], rule, "Units", "Units", "units")
-
-
-def max_date_consistent(datasets, tables, rule):
-    """V7: more than one distinct MaxDate."""
-    return _distinct_rule(datasets, tables["stats"], rule, "MaxDate", "MaxDate", "max_dates")
 
 
-def num_places_consistent(datasets, tables, rule):
-    """V8: more than one distinct NumPlaces."""
-    return _distinct_rule(datasets, tables["stats"], rule, "NumPlaces", "NumPlaces", "num_places")
-
-
-def max_date_latest(datasets, tables, rule):
+def _max_date_latest(rule: dict, pre: str) -> Compiled:
     """V6: the latest MaxDate is not in the given year (``params.year``, default: this year)."""
-    import datetime
-
     year = str((rule.get("params") or {}).get("year") or datetime.date.today().year)
-    t = scope_filter(tables["stats"], rule.get("scope"))
-    agg = t.groupBy("dataset_id").agg(F.max("MaxDate").alias("latest"))
-    latest_year = F.substring(F.col("latest"), 1, 4)
-    status = F.when(F.col("latest").isNull() | (latest_year == year), F.lit(PASSED)).otherwise(F.lit(FAILED))
-    message = F.when(
-        F.col("latest").isNull() | (latest_year == year), F.lit(f"Latest date is in {year}.")
-    ).otherwise(F.concat(F.lit("Latest date "), F.col("latest"), F.lit(f" is not in {year}.")))
-    details = F.to_json(F.struct(F.col("latest").alias("max_date"), F.lit(year).alias("expected_year")))
-    return _finish(datasets, agg, rule, status, message, details)
-
-
-def _threshold_rule(datasets, agg: DataFrame, rule, value_col: str, what: str, fail_status: str = FAILED):
+    latest = F.col(pre + "latest")
+    fine = latest.isNull() | (F.substring(latest, 1, 4) == year)
+    return Compiled(
+        [F.max(F.when(scope_condition(rule.get("scope")), F.col("MaxDate"))).alias(pre + "latest")],
+        F.when(fine, F.lit(PASSED)).otherwise(F.lit(FAILED)),
+        F.when(fine, F.lit(f"Latest date is in {year}.")).otherwise(F.concat(F.lit("Latest date "), latest, F.lit(f" is not in {year}."))),
+        F.to_json(F.struct(latest.alias("max_date"), F.lit(year).alias("expected_year"))),
+    )
+
+
+def _threshold(rule: dict, pre: str, counted: Column, what: str, name: str = "count") -> Compiled:
+    """A sum above a threshold."""
     threshold = (rule.get("params") or {}).get("threshold", 0)
-    v = F.coalesce(F.col(value_col), F.lit(0))
-    status = F.when(v > F.lit(threshold), F.lit(fail_status)).otherwise(F.lit(PASSED))
-    message = F.concat(F.lit(f"{what}: "), v.cast("string"), F.lit(f" (threshold {_fmt(threshold)})."))
-    details = F.to_json(F.struct(v.alias("count"), F.lit(threshold).alias("threshold")))
-    return _finish(datasets, agg, rule, status, message, details)
+    v = F.coalesce(F.col(pre + "n"), F.lit(0))
+    return Compiled(
+        [F.sum(counted).alias(pre + "n")],
+        F.when(v > F.lit(threshold), F.lit(FAILED)).otherwise(F.lit(PASSED)),
+        F.concat(F.lit(f"{what}: "), v.cast("string"), F.lit(f" (threshold {number_text(threshold)}).")),
+        F.to_json(F.struct(v.alias(name), F.lit(threshold).alias("threshold"))),
+    )
 
 
-def missing_refs_count(datasets, tables, rule):
+def _missing_refs(rule: dict, pre: str) -> Compiled:
     """Counters whose key matches ``params.key_pattern`` summed over all levels > threshold."""
     pattern = (rule.get("params") or {}).get("key_pattern", "(?i)missing.*ref")
-    c = tables["lint"]
-    agg = (
-        c.where(F.col("counterKey").rlike(pattern))
-        .groupBy("dataset_id")
-        .agg(F.sum(F.when(F.col("count").rlike("^[0-9]+$"), F.col("count").cast("bigint"))).alias("n"))
-    )
-    return _threshold_rule(datasets, agg, rule, "n", "Missing reference count")
+    counted = F.when(F.col("counterKey").rlike(pattern) & F.col("count").rlike("^[0-9]+$"), F.col("count").try_cast("bigint"))
+    return _threshold(rule, pre, counted, "Missing reference count")
 
 
-def structural_lint_error_count(datasets, tables, rule):
+def _structural(rule: dict, pre: str) -> Compiled:
     """LEVEL_ERROR counters outside the resolution prefix > threshold."""
-    c = tables["lint"]
-    agg = (
-        c.where((F.col("level") == "LEVEL_ERROR") & ~F.col("counterKey").startswith(RESOLUTION_PREFIX))
-        .groupBy("dataset_id")
-        .agg(F.sum(F.col("count").try_cast("bigint")).alias("n"))
-    )
-    return _threshold_rule(datasets, agg, rule, "n", "Structural lint errors")
+    own = (F.col("level") == "LEVEL_ERROR") & ~F.col("counterKey").startswith(RESOLUTION_PREFIX)
+    return _threshold(rule, pre, F.when(own, F.col("count").try_cast("bigint")), "Structural lint errors")
 
 
-def observation_date_granularity(datasets, tables, rule):
+def _granularity(rule: dict, pre: str) -> Compiled:
     """More than one date granularity (W7 output) -> WARNING only."""
-    g = tables["granularity"]
-    agg = g.where(F.col("source") == "all").groupBy("dataset_id").agg(
-        F.max(F.size("formats")).alias("n"), F.max(F.array_join("formats", ", ")).alias("fmts")
-    )
-    n = F.coalesce(F.col("n"), F.lit(0))
-    status = F.when(n > 1, F.lit(WARNING)).otherwise(F.lit(PASSED))
-    message = F.when(n > 1, F.concat(F.lit("observationDate mixes granularities: "), F.col("fmts"), F.lit("."))).otherwise(
-        F.lit("observationDate uses a single granularity.")
-    )
-    details = F.to_json(F.struct(F.coalesce(F.col("fmts"), F.lit("")).alias("granularities")))
-    return _finish(datasets, agg, rule, status, message, details)
-
-
-def _differ_rule(datasets, tables, rule, agg: DataFrame, status: Column, message: Column, details: Column):
-    """Differ rules: a dataset without a baseline (first run) gets the first-run WARNING."""
-    sizes = tables.get("sizes")
-    out = _finish(datasets, agg, rule, status, message, details)
-    if sizes is None:  # there is a differ table, so this is no first run
-        first = datasets.select("dataset_id", F.lit(False).alias("__first"))
-    else:
-        first = sizes.select("dataset_id", F.col("first_run").alias("__first"))
-    j = out.join(first, "dataset_id", "left")
-    is_first = F.coalesce(F.col("__first"), F.lit(True))
-    return j.select(
-        "dataset_id",
-        "validation_name",
-        F.when(is_first, F.lit(WARNING)).otherwise(F.col("status")).alias("status"),
-        F.when(is_first, F.lit(FIRST_RUN_MESSAGE)).otherwise(F.col("message")).alias("message"),
-        F.when(is_first, F.to_json(F.struct(F.lit(True).alias("first_run")))).otherwise(F.col("details")).alias("details"),
-        "validation_params",
+    whole = F.col("source") == "all"
+    n, names = F.coalesce(F.col(pre + "n"), F.lit(0)), F.col(pre + "names")
+    return Compiled(
+        [F.max(F.when(whole, F.size("formats"))).alias(pre + "n"), F.max(F.when(whole, F.array_join("formats", ", "))).alias(pre + "names")],
+        F.when(n > 1, F.lit(WARNING)).otherwise(F.lit(PASSED)),
+        F.when(n > 1, F.concat(F.lit("observationDate mixes granularities: "), names, F.lit("."))).otherwise(
+            F.lit("observationDate uses a single granularity.")
+        ),
+        F.to_json(F.struct(F.coalesce(names, F.lit("")).alias("granularities"))),
     )
 
 
-def deleted_records_count(datasets, tables, rule):
-    """sum(DELETED) > threshold."""
-    threshold = (rule.get("params") or {}).get("threshold", 0)
-    agg = tables["differ"].groupBy("dataset_id").agg(F.sum("DELETED").alias("n"))
-    v = F.coalesce(F.col("n"), F.lit(0))
-    status = F.when(v > F.lit(threshold), F.lit(FAILED)).otherwise(F.lit(PASSED))
-    message = F.concat(F.lit("Deleted observations: "), v.cast("string"), F.lit(f" (threshold {_fmt(threshold)})."))
-    details = F.to_json(F.struct(v.alias("deleted"), F.lit(threshold).alias("threshold")))
-    return _differ_rule(datasets, tables, rule, agg, status, message, details)
-
-
-def deleted_records_percent(datasets, tables, rule):
+def _deleted_percent(rule: dict, pre: str) -> Compiled:
     """100 * deleted / previous_obs_size > threshold; unknown size -> DATA_ERROR."""
     threshold = float((rule.get("params") or {}).get("threshold", 0))
-    deleted = tables["differ"].groupBy("dataset_id").agg(F.sum("DELETED").alias("deleted"))
-    agg = deleted.join(tables["sizes"].select("dataset_id", "previous_obs_size"), "dataset_id", "full")
-    d = F.coalesce(F.col("deleted"), F.lit(0))
-    prev = F.col("previous_obs_size")
+    d, prev = F.coalesce(F.col(pre + "n"), F.lit(0)), F.col("previous_obs_size")
     pct = F.round((d * F.lit(100)).cast("decimal(38,6)") / prev.cast("decimal(38,6)"), 2)
-    status = (
-        F.when(prev.isNull() | (prev <= 0), F.lit(DATA_ERROR))
-        .when(d * 100.0 / prev > F.lit(threshold), F.lit(FAILED))
-        .otherwise(F.lit(PASSED))
-    )
-    message = F.when(prev.isNull() | (prev <= 0), F.lit("Differ summary is missing required field: 'previous_obs_size'.")).otherwise(
-        F.concat(F.lit("Deleted observations: "), pct.cast("string"), F.lit(f"% of the baseline (threshold {_fmt(threshold)}%)."))
+    unknown = prev.isNull() | (prev <= 0)
+    return Compiled(
+        [F.sum("DELETED").alias(pre + "n")],
+        F.when(unknown, F.lit(DATA_ERROR)).when(d * 100.0 / prev > F.lit(threshold), F.lit(FAILED)).otherwise(F.lit(PASSED)),
+        F.when(unknown, F.lit("Differ summary is missing required field: 'previous_obs_size'.")).otherwise(
+            F.concat(F.lit("Deleted observations: "), pct.cast("string"), F.lit(f"% of the baseline (threshold {number_text(threshold)}%)."))
+        ),
+        F.to_json(F.struct(d.alias("deleted"), prev.alias("previous_obs_size"), pct.cast("double").alias("percent"))),
     )
-    details = F.to_json(F.struct(d.alias("deleted"), prev.alias("previous_obs_size"), pct.cast("double").alias("percent")))
-    return _differ_rule(datasets, tables, rule, agg, status, message, details)
 
 
-def modified_records_count(datasets, tables, rule):
-    """MODIFIED differs across variables."""
-    return _differ_rule(datasets, tables, rule, *_distinct_parts(tables["differ"], rule, "MODIFIED", "modified_counts"))
-
+#: validator -> (source table, how it compiles)
+COMPILERS: dict[str, tuple[str, Callable[[dict, str], Compiled]]] = {
+    "UNIT_CONSISTENCY_CHECK": ("stats", lambda r, p: _distinct(r, p, "Units", "units")),
+    "MAX_DATE_CONSISTENT": ("stats", lambda r, p: _distinct(r, p, "MaxDate", "max_dates")),
+    "NUM_PLACES_CONSISTENT": ("stats", lambda r, p: _distinct(r, p, "NumPlaces", "num_places")),
+    "MAX_DATE_LATEST": ("stats", _max_date_latest),
+    "MISSING_REFS_COUNT": ("lint", _missing_refs),
+    "STRUCTURAL_LINT_ERROR_COUNT": ("lint", _structural),
+    "OBSERVATION_DATE_GRANULARITY": ("granularity", _granularity),
+    "DELETED_RECORDS_COUNT": ("differ", lambda r, p: _threshold(r, p, F.col("DELETED"), "Deleted observations", "deleted")),
+    "DELETED_RECORDS_PERCENT": ("differ", _deleted_percent),
+    "MODIFIED_RECORDS_COUNT": ("differ", lambda r, p: _distinct(dict(r, scope=None), p, "MODIFIED", "modified_counts", "MODIFIED")),
+    "ADDED_RECORDS_COUNT": ("differ", lambda r, p: _distinct(dict(r, scope=None), p, "ADDED", "added_counts", "ADDED")),
+}
+DIFFER_VALIDATORS = [name for name, (source, _) in COMPILERS.items() if source == "differ"]
 
-def added_records_count(datasets, tables, rule):
-    """ADDED differs across variables."""
-    return _differ_rule(datasets, tables, rule, *_distinct_parts(tables["differ"], rule, "ADDED", "added_counts"))
 
+def compiled_rules(datasets: DataFrame, source: str, table: DataFrame, rules: list[dict], sizes: DataFrame | None = None) -> DataFrame:
+    """All rules of one source as ONE grouped aggregate per dataset, unfolded into a row per rule.
 
-def _distinct_parts(table, rule, column, list_name):
-    agg = table.groupBy("dataset_id").agg(
-        F.countDistinct(column).alias("n_distinct"), F.array_sort(F.collect_set(F.col(column))).alias("vals")
-    )
-    n = F.coalesce(F.col("n_distinct"), F.lit(0))
-    status = F.when(n > 1, F.lit(FAILED)).otherwise(F.lit(PASSED))
-    message = F.when(n > 1, F.concat(n.cast("string"), F.lit(f" distinct {column} counts across StatVars."))).otherwise(
-        F.lit(f"{column} counts are consistent across StatVars.")
-    )
-    details = F.to_json(F.struct(F.coalesce(F.col("vals"), F.array().cast("array<bigint>")).alias(list_name)))
-    return agg, status, message, details
-
-
-def goldens_check(datasets, tables, rule):
-    """Golden records absent from the output, compared on the golden file's own columns."""
-    goldens, obs = tables["goldens"], tables["obs"]
-    cols = [c for c in goldens.columns if c != "dataset_id"]
-    left = goldens.select("dataset_id", *[strip_blanks(F.col(c).cast("string")).alias(c) for c in cols])
-    right = obs.select("dataset_id", *[strip_blanks(F.col(c).cast("string")).alias(c) for c in cols])
-    missing = left.join(right, ["dataset_id", *cols], "left_anti")
-    agg = missing.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*[F.col(c) for c in cols])).alias("rows")
-    )
-    n = F.coalesce(F.col("n"), F.lit(0))
-    status = F.when(n > 0, F.lit(FAILED)).otherwise(F.lit(PASSED))
-    message = F.when(n > 0, F.concat(F.lit("Found "), n.cast("string"), F.when(n == 1, F.lit(" missing golden record.")).otherwise(F.lit(" missing golden records.")))).otherwise(
-        F.lit("All golden records found.")
-    )
-    details = F.to_json(F.struct(F.coalesce(F.col("rows"), F.array()).alias("missing_goldens")))
-    return _finish(datasets, agg, rule, status, message, details)
+    Differ rules see the dataset's sizes (D3) beside the aggregate; a dataset
+    that is on its first run there gets the first-run WARNING.
+    """
+    parts = [COMPILERS[rule["validator"]][1](rule, f"r{i}_") for i, rule in enumerate(rules)]
+    agg = table.groupBy("dataset_id").agg(*[a for part in parts for a in part.aggregates])
+    j = datasets.join(agg, "dataset_id", "left")
+    first = F.lit(False)
+    if source == "differ":
+        if sizes is None:  # there is a differ table, so this is no first run
+            j = j.withColumn("previous_obs_size", F.lit(None).cast("bigint"))
+        else:
+            j = j.join(sizes.select("dataset_id", "previous_obs_size", "first_run"), "dataset_id", "left")
+            first = F.coalesce(F.col("first_run"), F.lit(True))
+    told = [
+        F.struct(
+            F.lit(rule.get("rule_id", "")).alias("validation_name"),
+            F.when(first, F.lit(WARNING)).otherwise(part.status).alias("status"),
+            F.when(first, F.lit(FIRST_RUN_MESSAGE)).otherwise(part.message).alias("message"),
+            F.when(first, F.to_json(F.struct(F.lit(True).alias("first_run")))).otherwise(part.details).alias("details"),
+            _lit_json(rule.get("params") or {}).alias("validation_params"),
+        )
+        for rule, part in zip(rules, parts, strict=True)
+    ]
+    return j.select("dataset_id", F.explode(F.array(*told)).alias("r")).select("dataset_id", "r.*")
 
 
 # ---------------------------------------------------------------------------
-# V5: SQL rules
+# rules that name the rows that violate them
 # ---------------------------------------------------------------------------
 
+SQL_CONTEXT = "Rules are evaluated per StatVar (aggregated across all CSV rows)"
 
-def violations_sql(query: str, condition: str) -> str:
-    """Rows of ``query`` where ``NOT (condition)``."""
-    return f"SELECT * FROM ({query}) AS _data WHERE NOT ({condition})"
 
+def _words(rule: dict) -> tuple[str, str, str, str]:
+    """(message if none, words before the number, after one, after several)."""
+    if rule["validator"] == "SQL_VALIDATOR":
+        return "SQL validation passed.", "Rule failed for ", " StatVar.", " StatVars."
+    if rule["validator"] == "GOLDENS_CHECK":
+        return "All golden records found.", "Found ", " missing golden record.", " missing golden records."
+    what = V.bound_words(rule)
+    return f"No StatVar {what}.", "Found ", f" StatVar {what}.", f" StatVars {what}."
 
-def bound_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """``sql`` analysed over the given tables, with NULL for a division by zero or a failed cast.
 
-    The tables are bound under names of their own and dropped at once, so the
-    caller's views are neither read, replaced nor left behind.
-    """
-    names = {name: f"__{name}_{uuid.uuid4().hex}" for name in tables}
-    for name, df in tables.items():
-        df.createOrReplaceTempView(names[name])
-    ansi = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        ctes = ", ".join(f"{name} AS (SELECT * FROM {own})" for name, own in names.items())
-        out = spark.sql(f"WITH {ctes} {sql}" if ctes else sql)
-        out.schema  # analysis happens here
-        return out
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", ansi)
-        for own in names.values():
-            spark.catalog.dropTempView(own)
-
-
-def sql_tables(tables: dict[str, DataFrame], dataset_id: str) -> dict[str, DataFrame]:
-    """What an SQL rule sees: one dataset's stats, differ and lint, without the dataset key. A table that the run lacks is unknown."""
-    return {
-        name: df.where(F.col("dataset_id") == dataset_id).drop("dataset_id")
-        for name, df in tables.items()
-        if name in ("stats", "differ", "lint") and df is not None
-    }
-
-
-def sql_validator(datasets: DataFrame, tables, rule, spark: SparkSession | None = None):
-    """V5: SQL rule; fails with one failing row per violating row; bad SQL -> CONFIG_ERROR.
-
-    The query runs once per dataset over views filtered to it (the rule's SQL
-    refers to ``stats``/``differ``/``lint`` without a dataset key). Division by
-    zero is NULL, which violates nothing; bad SQL costs its own row only. The number
-    of datasets is the outer loop; each run is a distributed Spark query.
-    """
-    spark = spark or datasets.sparkSession
-    params = rule.get("params") or {}
-    query, condition = params.get("query", ""), params.get("condition", "")
-    ids = [r[0] for r in datasets.select("dataset_id").distinct().orderBy("dataset_id").collect()]
-    parts = []
-    for ds in ids:
-        try:
-            bad = bound_sql(spark, violations_sql(query, condition), sql_tables(tables, ds))
-        except (AnalysisException, ParseException) as e:
-            msg = str(e)
-            parts.append(
-                spark.createDataFrame([(ds,)], "dataset_id string").select(
-                    "dataset_id",
-                    F.lit(rule.get("rule_id", "")).alias("validation_name"),
-                    F.lit(CONFIG_ERROR).alias("status"),
-                    F.lit(f"Invalid SQL rule: {msg}").alias("message"),
-                    F.to_json(F.struct(F.lit(msg).alias("error"))).alias("details"),
-                    _lit_json(params).alias("validation_params"),
-                )
-            )
-            continue
-        rows = bad.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in bad.columns]), {"ignoreNullFields": "false"}).alias("j"))
-        agg = rows.agg(F.count(F.lit(1)).alias("n"), F.collect_list("j").alias("rows")).select(
-            F.lit(ds).alias("dataset_id"), "n", "rows"
-        )
-        n = F.coalesce(F.col("n"), F.lit(0))
-        status = F.when(n > 0, F.lit(FAILED)).otherwise(F.lit(PASSED))
-        message = F.when(
-            n > 0, F.concat(F.lit("Rule failed for "), n.cast("string"), F.when(n == 1, F.lit(" StatVar.")).otherwise(F.lit(" StatVars.")))
-        ).otherwise(F.lit("SQL validation passed."))
-        details = F.concat(
-            F.lit('{"failing_rows":['),
-            F.array_join(F.coalesce(F.col("rows"), F.array().cast("array<string>")), ","),
-            F.lit('],"sql_context":"Rules are evaluated per StatVar (aggregated across all CSV rows)"}'),
-        )
-        parts.append(  # the aggregate without keys has exactly one row
-            agg.select(
-                "dataset_id",
-                F.lit(rule.get("rule_id", "")).alias("validation_name"),
-                status.alias("status"),
-                message.alias("message"),
-                details.alias("details"),
-                _lit_json(params).alias("validation_params"),
-            )
+def counted_rules(datasets: DataFrame, counts: DataFrame, rules: list[dict]) -> DataFrame:
+    """Result rows of the rules whose violations are stored; ``details`` holds their number and where to find them."""
+    listed = [
+        F.struct(
+            *[F.lit(x).alias(n) for n, x in zip(("none", "before", "one", "several"), _words(rule), strict=True)],
+            F.lit(rule.get("rule_id", "")).alias("rule_id"),
+            _lit_json(rule.get("params") or {}).alias("params"),
+            F.lit(SQL_CONTEXT if rule["validator"] == "SQL_VALIDATOR" else None).cast("string").alias("sql_context"),
         )
-    if not parts:
-        return datasets.limit(0).select("dataset_id", *[F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS[1:]])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for rule in rules
+    ]
+    each = datasets.select("dataset_id", F.explode(F.array(*listed)).alias("r")).select("dataset_id", "r.*")
+    j = each.join(counts, ["dataset_id", "rule_id"], "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return j.select(
+        "dataset_id",
+        F.col("rule_id").alias("validation_name"),
+        F.when(n > 0, F.lit(FAILED)).otherwise(F.lit(PASSED)).alias("status"),
+        F.when(n > 0, F.concat("before", n.cast("string"), F.when(n == 1, F.col("one")).otherwise(F.col("several")))).otherwise(F.col("none")).alias("message"),
+        F.to_json(F.struct(n.alias("violations"), F.col("rule_id").alias("violations_of"), F.col("sql_context"))).alias("details"),
+        F.col("params").alias("validation_params"),
+    )
+
+
+def _told_alike(datasets: DataFrame, rule: dict, status: str, message: str, details: dict) -> DataFrame:
+    """The same result of a rule for every dataset."""
+    return datasets.select(
+        "dataset_id",
+        F.lit(rule.get("rule_id", "")).alias("validation_name"),
+        F.lit(status).alias("status"),
+        F.lit(message).alias("message"),
+        _lit_json(details).alias("details"),
+        _lit_json(rule.get("params") or {}).alias("validation_params"),
+    )
 
 
 # ---------------------------------------------------------------------------
-# Stats rules compiled into one aggregate
+# user rules
 # ---------------------------------------------------------------------------
 
-COMPILED_STATS_VALIDATORS = [
-    "MIN_VALUE_CHECK", "MAX_VALUE_CHECK", "NUM_OBSERVATIONS_CHECK", "NUM_PLACES_COUNT",
-    "UNIT_CONSISTENCY_CHECK", "MAX_DATE_CONSISTENT", "NUM_PLACES_CONSISTENT", "MAX_DATE_LATEST",
-]
+BUILTIN = {*COMPILERS, *V.BOUNDS, "SQL_VALIDATOR", "GOLDENS_CHECK"}
+VALIDATORS: dict[str, Callable] = {}
 
 
-def _scope_cond(scope: dict | None, column: str = "StatVar") -> Column:
-    tokens = ((scope or {}).get("variables") or {}).get("contains_all") or []
-    cond = F.lit(True)
-    for t in tokens:
-        cond = cond & F.col(column).contains(str(t))
-    return cond
+def register_validator(name: str, fn: Callable) -> None:
+    """Extension point: ``fn(datasets, tables, rule) -> result rows``; a built-in of that name gives way."""
+    VALIDATORS[name] = fn
 
 
-def _compiled_parts(rule: dict, pre: str):
-    """(aggregates over stats, status, message, details) of one stats rule, columns prefixed."""
-    import datetime
+def is_table_function(spark: SparkSession, name: str) -> bool:
+    """Whether the session knows a table function ``name``."""
+    return bool(name) and name.isidentifier() and spark.catalog.functionExists(name)
 
-    v = rule.get("validator")
-    p = rule.get("params") or {}
-    cond = _scope_cond(rule.get("scope"))
-    bounds = {
-        "MIN_VALUE_CHECK": (lambda: F.col("MinValue") < F.lit(float(p.get("minimum", 0))), "MinValue", "actual_min_value",
-                            f"with MinValue below {_fmt(p.get('minimum', 0))}"),
-        "MAX_VALUE_CHECK": (lambda: F.col("MaxValue") > F.lit(float(p.get("maximum", 0))), "MaxValue", "actual_max_value",
-                            f"with MaxValue above {_fmt(p.get('maximum'))}"),
-        "NUM_OBSERVATIONS_CHECK": (lambda: F.col("NumObservations") < F.lit(p.get("minimum", 1)), "NumObservations",
-                                   "actual_num_observations", f"with fewer than {_fmt(p.get('minimum', 1))} observations"),
-        "NUM_PLACES_COUNT": (lambda: F.col("NumPlaces") < F.lit(p.get("minimum", 1)), "NumPlaces", "actual_num_places",
-                             f"with fewer than {_fmt(p.get('minimum', 1))} places"),
-    }
-    if v in bounds:
-        pred, col, key, what = bounds[v]
-        hit = cond & pred()
-        row = F.struct(F.col("StatVar").alias("stat_var"), F.col(col).alias(key))
-        aggs = [F.count_if(hit).alias(pre + "n"), F.array_sort(F.collect_list(F.when(hit, row))).alias(pre + "rows")]
-        n = F.coalesce(F.col(pre + "n"), F.lit(0))
-        label = F.when(n == 1, F.lit("StatVar")).otherwise(F.lit("StatVars"))
-        status = F.when(n > 0, F.lit(FAILED)).otherwise(F.lit(PASSED))
-        message = F.when(n > 0, F.concat(F.lit("Found "), n.cast("string"), F.lit(" "), label, F.lit(f" {what}."))).otherwise(
-            F.lit(f"No StatVar {what}.")
-        )
-        details = F.to_json(F.struct(F.coalesce(F.col(pre + "rows"), F.array()).alias("failed_rows")))
-        return aggs, status, message, details
-    distinct = {
-        "UNIT_CONSISTENCY_CHECK": ("Units", "Units", "units"),
-        "MAX_DATE_CONSISTENT": ("MaxDate", "MaxDate", "max_dates"),
-        "NUM_PLACES_CONSISTENT": ("NumPlaces", "NumPlaces", "num_places"),
-    }
-    if v in distinct:
-        col, what, list_name = distinct[v]
-        val = F.when(cond, F.col(col).cast("string"))
-        aggs = [F.countDistinct(val).alias(pre + "n"), F.array_sort(F.collect_set(val)).alias(pre + "vals")]
-        n = F.coalesce(F.col(pre + "n"), F.lit(0))
-        status = F.when(n > 1, F.lit(FAILED)).otherwise(F.lit(PASSED))
-        message = F.when(n > 1, F.concat(F.lit("Found "), n.cast("string"), F.lit(f" distinct {what} values across StatVars."))).otherwise(
-            F.lit(f"{what} is consistent across StatVars.")
-        )
-        details = F.to_json(F.struct(F.coalesce(F.col(pre + "vals"), F.array().cast("array<string>")).alias(list_name)))
-        return aggs, status, message, details
-    if v == "MAX_DATE_LATEST":
-        year = str(p.get("year") or datetime.date.today().year)
-        aggs = [F.max(F.when(cond, F.col("MaxDate"))).alias(pre + "latest")]
-        latest = F.col(pre + "latest")
-        ok = latest.isNull() | (F.substring(latest, 1, 4) == year)
-        status = F.when(ok, F.lit(PASSED)).otherwise(F.lit(FAILED))
-        message = F.when(ok, F.lit(f"Latest date is in {year}.")).otherwise(F.concat(F.lit("Latest date "), latest, F.lit(f" is not in {year}.")))
-        details = F.to_json(F.struct(latest.alias("max_date"), F.lit(year).alias("expected_year")))
-        return aggs, status, message, details
-    raise ValueError(v)
-
-
-def compiled_stats_rules(datasets: DataFrame, stats: DataFrame, rules: list[dict]) -> DataFrame:
-    """All stats-table rules as ONE grouped aggregate per dataset.
-
-    Each rule contributes conditional aggregates (its scope and bound become
-    ``count_if`` / ``collect_list(when(...))`` conditions); one row per
-    dataset is then unfolded into one result row per rule.
-    """
-    aggs, results = [], []
-    for i, rule in enumerate(rules):
-        a, status, message, details = _compiled_parts(rule, f"r{i}_")
-        aggs.extend(a)
-        results.append(
-            F.struct(
-                F.lit(rule.get("rule_id", "")).alias("validation_name"),
-                status.alias("status"),
-                message.alias("message"),
-                details.alias("details"),
-                _lit_json(rule.get("params") or {}).alias("validation_params"),
-            )
-        )
-    agg = stats.groupBy("dataset_id").agg(*aggs)
-    j = datasets.join(agg, "dataset_id", "left")
-    return j.select("dataset_id", F.explode(F.array(*results)).alias("r")).select("dataset_id", "r.*")
-
-
-VALIDATORS: dict[str, Callable] = {
-    "MIN_VALUE_CHECK": min_value_check,
-    "MAX_VALUE_CHECK": max_value_check,
-    "NUM_OBSERVATIONS_CHECK": num_observations_check,
-    "UNIT_CONSISTENCY_CHECK": unit_consistency_check,
-    "SQL_VALIDATOR": sql_validator,
-    "MAX_DATE_LATEST": max_date_latest,
-    "MAX_DATE_CONSISTENT": max_date_consistent,
-    "NUM_PLACES_CONSISTENT": num_places_consistent,
-    "NUM_PLACES_COUNT": num_places_count,
-    "MISSING_REFS_COUNT": missing_refs_count,
-    "STRUCTURAL_LINT_ERROR_COUNT": structural_lint_error_count,
-    "OBSERVATION_DATE_GRANULARITY": observation_date_granularity,
-    "DELETED_RECORDS_COUNT": deleted_records_count,
-    "DELETED_RECORDS_PERCENT": deleted_records_percent,
-    "MODIFIED_RECORDS_COUNT": modified_records_count,
-    "ADDED_RECORDS_COUNT": added_records_count,
-    "GOLDENS_CHECK": goldens_check,
-}
 
+def table_function_rule(tables: dict[str, DataFrame], rule: dict) -> DataFrame:
+    """A user rule written as a Python UDTF of the session, called by its name.
 
-_BUILTIN = dict(VALIDATORS)
+    It gets the stats rows of one dataset after another
+    (``TABLE(stats) PARTITION BY dataset_id``), so it runs beside the data and
+    holds what it keeps itself, and the rule's parameters as JSON text; it
+    yields (dataset_id, status, message, details). Whatever further columns
+    ``stats`` has reach it, so one function serves any summary.
+    """
+    spark = tables["stats"].sparkSession
+    params = json.dumps(rule.get("params") or {}, sort_keys=True)
 
+    def make(names: dict[str, str]) -> str:
+        text = params.replace("\\", "\\\\").replace("'", "\\'")
+        return f"SELECT * FROM {rule['validator']}(TABLE(SELECT * FROM {names['stats']}) PARTITION BY (dataset_id), '{text}')"
 
-def register_validator(name: str, fn: Callable) -> None:
-    """Extension point: ``fn(datasets, tables, rule) -> result rows``."""
-    VALIDATORS[name] = fn
+    told = V.bound_sql(spark, make, {"stats": tables["stats"]})
+    return told.select(
+        "dataset_id", F.lit(rule.get("rule_id", "")).alias("validation_name"), "status", "message",
+        F.coalesce("details", F.lit("{}")).alias("details"), F.lit(params).alias("validation_params"),
+    )
 
 
 def select_rules(rules: list[dict], include=None, skip=None) -> list[dict]:
@@ -559,90 +312,96 @@ def select_rules(rules: list[dict], include=None, skip=None) -> list[dict]:
     return out
 
 
-def _needed(rule: dict, tables: dict) -> bool:
+def _sources(rule: dict) -> list[str]:
+    """The tables without which a rule says nothing (R2 then injects FAILED)."""
     v = rule.get("validator")
-    need = {
-        "MISSING_REFS_COUNT": ["lint"],
-        "STRUCTURAL_LINT_ERROR_COUNT": ["lint"],
-        "OBSERVATION_DATE_GRANULARITY": ["granularity"],
-        "DELETED_RECORDS_COUNT": ["differ"],
-        "DELETED_RECORDS_PERCENT": ["differ", "sizes"],
-        "MODIFIED_RECORDS_COUNT": ["differ"],
-        "ADDED_RECORDS_COUNT": ["differ"],
-        "GOLDENS_CHECK": ["goldens", "obs"],
-    }.get(v, ["stats"] if v != "SQL_VALIDATOR" else [])
-    return all(tables.get(t) is not None for t in need)
-
+    if v in COMPILERS:
+        return [COMPILERS[v][0], *(["sizes"] if v == "DELETED_RECORDS_PERCENT" else [])]
+    return {"SQL_VALIDATOR": [], "GOLDENS_CHECK": ["goldens", "obs"]}.get(v, ["stats"])
 
-DIFFER_VALIDATORS = ["DELETED_RECORDS_COUNT", "DELETED_RECORDS_PERCENT", "MODIFIED_RECORDS_COUNT", "ADDED_RECORDS_COUNT"]
 
+@dataclasses.dataclass
+class Outcome:
+    """R1's result rows, and the rows that violate rules (``operators.violations``)."""
 
-def first_run_results(datasets: DataFrame, rule: dict) -> DataFrame:
-    """Differ rules without a baseline warn, never fail."""
-    return datasets.select(
-        "dataset_id",
-        F.lit(rule.get("rule_id", "")).alias("validation_name"),
-        F.lit(WARNING).alias("status"),
-        F.lit(FIRST_RUN_MESSAGE).alias("message"),
-        F.to_json(F.struct(F.lit(True).alias("first_run"))).alias("details"),
-        _lit_json(rule.get("params") or {}).alias("validation_params"),
-    )
+    results: DataFrame
+    violations: DataFrame
 
 
-def run_rules(
+def evaluate(
     tables: dict[str, DataFrame],
     rules: list[dict],
     datasets: DataFrame | None = None,
     include=None,
     skip=None,
-) -> DataFrame:
-    """One result row per (dataset, selected rule).
+) -> Outcome:
+    """One result row per (dataset, selected rule), with the violating rows beside them.
 
     ``tables`` holds ``stats`` (A1), ``lint`` (counters), ``differ`` (D2),
     ``sizes`` (D3), ``granularity`` (W7), ``goldens`` and ``obs`` as available.
     A rule whose tables are absent produces no row (R2 then injects FAILED);
-    an unknown validator yields a WARNING row.
+    a validator that is neither built in, registered, nor a table function of
+    the session yields a WARNING row. Violations and results are computed once
+    and kept: a row per violating row, and a row per dataset and rule.
     """
     if datasets is None:
-        datasets = tables["stats"].select("dataset_id").distinct()
+        datasets = tables["stats"].select("dataset_id")
     datasets = datasets.select("dataset_id").distinct()
-    parts = []
-    selected = select_rules(rules, include, skip)
-    compiled = [
-        r for r in selected
-        if r.get("validator") in COMPILED_STATS_VALIDATORS and VALIDATORS.get(r.get("validator")) is _BUILTIN.get(r.get("validator"))
-    ]
-    if compiled and tables.get("stats") is not None:
-        parts.append(compiled_stats_rules(datasets, tables["stats"], compiled).select(*RESULT_COLUMNS))
-    for rule in selected:
-        if rule in compiled and tables.get("stats") is not None:
-            continue
-        fn = VALIDATORS.get(rule.get("validator"))
-        if fn is None:
-            parts.append(
-                datasets.select(
-                    "dataset_id",
-                    F.lit(rule.get("rule_id", "")).alias("validation_name"),
-                    F.lit(WARNING).alias("status"),
-                    F.lit(f"Unknown custom validator: {rule.get('validator')}").alias("message"),
-                    _lit_json({"validator": rule.get("validator")}).alias("details"),
-                    _lit_json(rule.get("params") or {}).alias("validation_params"),
-                )
-            )
-            continue
-        if rule.get("validator") in DIFFER_VALIDATORS and tables.get("differ") is None:
+    spark = datasets.sparkSession
+    parts: list[DataFrame] = []
+    found: list[DataFrame] = []
+    by_source: dict[str, list[dict]] = {}
+    bounds: list[dict] = []
+    counted: list[dict] = []
+    for rule in select_rules(rules, include, skip):
+        v = rule.get("validator")
+        known = v in BUILTIN and v not in VALIDATORS
+        if v in DIFFER_VALIDATORS and known and tables.get("differ") is None:
             parts.append(first_run_results(datasets, rule))  # D8: no baseline yet
+        elif v not in VALIDATORS and not known:
+            if is_table_function(spark, v) and tables.get("stats") is not None:
+                parts.append(table_function_rule(tables, rule))
+            else:
+                parts.append(_told_alike(datasets, rule, WARNING, f"Unknown custom validator: {v}", {"validator": v}))
+        elif any(tables.get(t) is None for t in _sources(rule)):
             continue
-        if not _needed(rule, tables):
-            continue
-        parts.append(fn(datasets, tables, rule).select(*RESULT_COLUMNS))
+        elif v in VALIDATORS:
+            parts.append(VALIDATORS[v](datasets, tables, rule).select(*RESULT_COLUMNS))
+        elif v in COMPILERS:
+            by_source.setdefault(COMPILERS[v][0], []).append(rule)
+        elif v in V.BOUNDS:
+            bounds.append(rule)
+        elif v == "GOLDENS_CHECK":
+            found.append(V.golden_violations(tables["goldens"], tables["obs"], rule))
+            counted.append(rule)
+        else:
+            try:
+                found.append(V.sql_violations(rule, tables, datasets))
+                counted.append(rule)
+            except V.SQL_ERRORS as e:
+                parts.append(_told_alike(datasets, rule, CONFIG_ERROR, f"Invalid SQL rule: {e}", {"error": str(e)}))
+    if bounds:
+        found.append(V.bound_violations(tables["stats"], bounds))
+    violations, counts = V.store(found, spark)
+    parts += [compiled_rules(datasets, source, tables[source], group, tables.get("sizes")) for source, group in by_source.items()]
+    if bounds or counted:
+        parts.append(counted_rules(datasets, counts, bounds + counted))
     if not parts:
-        spark = datasets.sparkSession
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS))
-    out = parts[0]
+        return Outcome(spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS)), violations)
+    out = parts[0].select(*RESULT_COLUMNS)
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(p.select(*RESULT_COLUMNS))
+    return Outcome(cut(out), violations)
+
+
+def first_run_results(datasets: DataFrame, rule: dict) -> DataFrame:
+    """Differ rules without a baseline warn, never fail."""
+    return _told_alike(datasets, rule, WARNING, FIRST_RUN_MESSAGE, {"first_run": True})
+
+
+def run_rules(tables: dict[str, DataFrame], rules: list[dict], datasets: DataFrame | None = None, include=None, skip=None) -> DataFrame:
+    """The result rows of ``evaluate``."""
+    return evaluate(tables, rules, datasets, include, skip).results
 
 
 def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -713,10 +472,14 @@ def config_errors(results: DataFrame) -> DataFrame:
     )
 
 
-def preview_sql_rule(spark: SparkSession, query: str, condition: str, sample: int = 10) -> dict:
-    """Pass flag, total violations and the first ``sample`` violating rows."""
+def preview_sql_rule(spark: SparkSession, query: str, condition: str, tables: dict[str, DataFrame] | None = None, sample: int = 10) -> dict:
+    """Pass flag, total violations and the first ``sample`` violating rows, over the run's own ``tables``.
+
+    Where several datasets are among them, the query sees all their rows, with
+    ``dataset_id`` as a column, as the caller gave them.
+    """
     try:
-        bad = bound_sql(spark, violations_sql(query, condition), {})
+        bad = V.run_sql(V.violations_sql(query, condition), tables or {}, spark)
     except (AnalysisException, ParseException) as e:
         return {"valid": False, "error": str(e)}
     total = bad.count()

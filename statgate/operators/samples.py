@@ -10,23 +10,18 @@ from statgate.functions.scalars import row_display, strip_blanks, to_double, uni
 from statgate.operators.quality import smallest_k
 from statgate.operators.stats import RESOLUTION_PREFIX
 
-_ROWS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
-DETAILS_SCHEMA = T.StructType(
-    [
-        T.StructField("failed_rows", _ROWS),
-        T.StructField("failing_rows", _ROWS),
-        T.StructField("missing_goldens", _ROWS),
-        T.StructField("units", T.ArrayType(T.StringType())),
-    ]
-)
+DETAILS_SCHEMA = T.StructType([T.StructField("units", T.ArrayType(T.StringType()))])
 PARAMS_SCHEMA = T.StructType([T.StructField("minimum", T.StringType()), T.StructField("condition", T.StringType())])
 SAMPLE_COLUMNS = ["dataset_id", "sample_id", "rule", "statVar", "location", "date", "value", "expected", "sourceRow", "message"]
 NO_CSV_RULES = ["check_unit_consistency", "check_structural_lint_error_count"]
 _SV_KEYS = ["StatVar", "stat_var", "statVar"]
 
 
-def failure_samples(results: DataFrame) -> DataFrame:
-    """one sample per failed row / missing golden / failing SQL row, else one summary sample."""
+def failure_samples(results: DataFrame, violations: DataFrame) -> DataFrame:
+    """one sample per violating row of a failed rule, else one summary sample.
+
+    A failed minimum or golden rule has no summary: its rows are its samples.
+    """
     failed = results.where(F.col("status") == "FAILED").select(
         "dataset_id",
         F.col("validation_name").alias("rule"),
@@ -35,23 +30,16 @@ def failure_samples(results: DataFrame) -> DataFrame:
         F.from_json("validation_params", PARAMS_SCHEMA).alias("p"),
     )
     rule = F.col("rule")
-    is_min = rule == "check_min_value"
-    is_unit = rule == "check_unit_consistency"
-    has_goldens = F.col("d.missing_goldens").isNotNull()
-    has_failing = F.size(F.coalesce(F.col("d.failing_rows"), F.array())) > 0
-    rows = (
-        F.when(is_min, F.col("d.failed_rows"))
-        .when(is_unit, F.lit(None).cast(_ROWS))
-        .when(has_goldens, F.col("d.missing_goldens"))
-        .when(has_failing, F.col("d.failing_rows"))
-    )
     kind = (
-        F.when(is_min, F.lit("min")).when(is_unit, F.lit("unit")).when(has_goldens, F.lit("golden")).when(has_failing, F.lit("sql"))
-        .when(rule == "check_structural_lint_error_count", F.lit("lint")).otherwise(F.lit("other"))
+        F.when(rule == "check_min_value", F.lit("min")).when(rule == "check_unit_consistency", F.lit("unit"))
+        .when(F.col("p.condition").isNotNull(), F.lit("sql")).when(rule == "check_structural_lint_error_count", F.lit("lint"))
     )
-    ex = failed.select("*", kind.alias("kind"), F.posexplode_outer(rows).alias("i", "r"))
-    # min-value and golden lists may be empty: those rules still get no row (as in the reference)
-    ex = ex.where(~(F.col("kind").isin("min", "golden") & F.col("r").isNull()))
+    rows = violations.select("dataset_id", F.col("rule_id").alias("rule"), F.col("ordinal").alias("i"), F.col("row").alias("r"))
+    ex = failed.withColumn("kind", kind).join(rows, ["dataset_id", "rule"], "left")
+    # what violates a bound other than the minimum has one summary; rows of any other rule are missing goldens
+    bound = F.exists(F.map_keys("r"), lambda k: k.isin("actual_min_value", "actual_max_value", "actual_num_observations", "actual_num_places"))
+    kind = F.coalesce(F.col("kind"), F.when(F.col("r").isNotNull() & ~bound, F.lit("golden")), F.lit("other"))
+    ex = ex.withColumn("kind", kind).where(~((F.col("kind") == "other") & (F.coalesce("i", F.lit(0)) > 0)))
     r = F.col("r")
     sv = F.coalesce(r["stat_var"], r["StatVar"], r["statVar"], F.when(F.col("kind") == "golden", r["variableMeasured"]))
     golden_extra = F.map_filter(r, lambda k, v: ~k.isin("StatVar", "stat_var", "variableMeasured") & v.isNotNull() & (v != ""))

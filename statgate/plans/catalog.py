@@ -16,6 +16,7 @@ from statgate.operators import rules as R
 from statgate.operators import series as W
 from statgate.operators import stats as A
 from statgate.plans.default_rules import DEFAULT_RULES
+from statgate.session import cut
 from statgate.plans.sqlbits import SERIES, dlist, dpairs, dparse, dpct, dperiod_days, dpoints, dvar
 from statgate.sources import testviews as TV
 
@@ -93,7 +94,7 @@ def q_stats_year_only(spark, sf):
 def events_tables(spark, sf) -> dict[str, DataFrame]:
     obs = TV.obs_events(spark, sf)
     return {
-        "stats": A.variable_summary(obs),
+        "stats": cut(A.variable_summary(obs)),  # a row per variable, which every rule reads
         "lint": TV.lint_counters(spark, sf),
         "granularity": W.date_granularity_mix(obs),
     }
@@ -581,9 +582,14 @@ def _year_rules(rules):
     return [dict(r, params=dict(r["params"], year=this_year())) if r["validator"] == "MAX_DATE_LATEST" else r for r in rules]
 
 
-def events_results(spark, sf, extra_rules=(), tables=None):
+def events_outcome(spark, sf, extra_rules=(), tables=None) -> R.Outcome:
     rules = _year_rules(DEFAULT_RULES) + list(extra_rules)
-    return R.inject_missing(R.run_rules(tables or events_tables(spark, sf), rules), rules)
+    made = R.evaluate(tables or events_tables(spark, sf), rules)
+    return R.Outcome(R.inject_missing(made.results, rules), made.violations)
+
+
+def events_results(spark, sf, extra_rules=(), tables=None):
+    return events_outcome(spark, sf, extra_rules, tables).results
 
 
 def _verdict_sql() -> str:
@@ -707,9 +713,9 @@ SELECT * FROM units UNION ALL SELECT * FROM latest UNION ALL SELECT * FROM refs
 @register("failure_samples_events", _samples_sql)
 def q_samples(spark, sf):
     tables = events_tables(spark, sf)
-    results = events_results(spark, sf, CUSTOM_SQL_RULES[:1], tables=tables)
+    made = events_outcome(spark, sf, CUSTOM_SQL_RULES[:1], tables=tables)
     stats = tables["stats"]
-    s = S.failure_samples(results)
+    s = cut(S.failure_samples(made.results, made.violations))
     s = S.expand_units(S.enrich_samples(s, TV.obs_events(spark, sf)), stats)
     return s.select("dataset_id", "rule", "statVar", "location", "date", "value", "expected", "sourceRow")
 
@@ -1206,10 +1212,9 @@ FROM res GROUP BY dataset_id"""
 @register("review_summary_events", _review_summary_sql)
 def q_review_summary(spark, sf):
     tables = events_tables(spark, sf)
-    results = events_results(spark, sf, tables=tables)
-    stats = tables["stats"]
-    samples = S.expand_units(S.enrich_samples(S.failure_samples(results), TV.obs_events(spark, sf)), stats)
-    return S.review_summary(results, None, None, samples)
+    made = events_outcome(spark, sf, tables=tables)
+    samples = S.expand_units(S.failure_samples(made.results, made.violations), tables["stats"])  # F2 fills samples, it adds none
+    return S.review_summary(made.results, None, None, samples)
 
 
 def _validate_many_sql() -> str:

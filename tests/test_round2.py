@@ -130,9 +130,11 @@ def test_sql_rules_are_isolated(spark):
         sql_rule("SELECT nope FROM stats", "nope > 0", "bad"),
         sql_rule("SELECT StatVar, Units, MinValue FROM stats", "MinValue >= 2", "low"),
     ]
-    got = {r.validation_name: r for r in R.run_rules({"stats": stats(spark)}, rules).collect()}
+    made = R.evaluate({"stats": stats(spark)}, rules)
+    got = {r.validation_name: r for r in made.results.collect()}
     assert {k: r.status for k, r in got.items()} == {"zero": "PASSED", "bad": "CONFIG_ERROR", "low": "FAILED"}
-    assert '"Units":null' in got["low"].details
+    assert [(r.rule_id, r.ordinal, r.row) for r in made.violations.orderBy("ordinal").collect()] == [
+        ("low", 0, {"StatVar": "A", "Units": None, "MinValue": "1.0"}), ("low", 1, {"StatVar": "B", "Units": "[kg]", "MinValue": "-4.0"})]
     assert spark.table("differ").count() == 3  # the caller's view is as it was
     assert {t.name for t in spark.catalog.listTables() if t.name.startswith("__stats")} == set()
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
