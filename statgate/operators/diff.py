@@ -8,7 +8,11 @@ Baselines are versioned Parquet directories with an append-only manifest.
 from __future__ import annotations
 
 import datetime
+import json
+import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -177,29 +181,63 @@ def latest_baseline(spark: SparkSession, root: str, dataset_id: str) -> DataFram
     return spark.read.parquet(rows[0]["path"])
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write ``path`` unless it is there already; False if it is. Of writers at one time only one succeeds."""
+    folder, _, name = path.rpartition("/")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    if fs.getScheme() == "file":  # Hadoop's local file system looks first and writes then; the kernel does both at once
+        try:
+            descriptor = os.open(f"{place.toUri().getPath()}/{name}", os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            return False
+        with os.fdopen(descriptor, "w", encoding="utf-8") as f:
+            f.write(text)
+        return True
+    try:
+        stream = fs.create(jvm.org.apache.hadoop.fs.Path(path), False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    try:
+        stream.write(text.encode("utf-8"))
+    finally:
+        stream.close()
+    return True
+
+
 def accept_baseline(obs: DataFrame, root: str, dataset_id: str, run_id: str, blocked: bool) -> str | None:
-    """D6 + D9: write the run's observations as the next version, then append the manifest.
+    """D6 + D9: write the run's observations, then add them to the manifest as the next version.
 
-    Refused (returns None) when the run is blocked or already the newest version.
-    An existing version is never written onto. The version directory is written first and the manifest row last, so a
-    reader never sees a version whose data is incomplete.
+    Refused (returns None) when the run is blocked or already the newest
+    version. Observations go to a folder of their own, and a version is an
+    entry of the manifest that is only made if there is none of its number, so
+    a reader never sees incomplete data and two runs accepted at one time
+    become two versions, the later one on top of the other.
     """
     if blocked:
         return None
     spark = obs.sparkSession
-    versions = baseline_versions(spark, root, dataset_id)
-    top = versions.limit(1).collect()
-    if top and top[0]["run_id"] == run_id:
+
+    def newest() -> tuple[int, str | None]:
+        top = baseline_versions(spark, root, dataset_id).limit(1).collect()
+        return (int(top[0]["version"][1:]), top[0]["run_id"]) if top else (0, None)
+
+    if newest()[1] == run_id:
         return None
-    n = int(top[0]["version"][1:]) + 1 if top else 1
-    version = f"v{n}"
-    path = f"{root.rstrip('/')}/{dataset_id}/{version}"
+    path = f"{root.rstrip('/')}/{dataset_id}/data-{uuid.uuid4().hex}"
     obs.where(F.col("dataset_id") == dataset_id).write.mode("errorifexists").parquet(path)
-    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    spark.createDataFrame([(dataset_id, version, run_id, now, path)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(
-        _manifest_dir(root, dataset_id)
-    )
-    return version
+    while True:
+        n, run = newest()
+        if run == run_id:  # the same run was accepted meanwhile
+            return None
+        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        entry = {"dataset_id": dataset_id, "version": f"v{n + 1}", "run_id": run_id, "updated_at": now, "path": path}
+        if put_if_absent(spark, f"{_manifest_dir(root, dataset_id)}/{n + 1:09d}.json", json.dumps(entry) + "\n"):
+            return f"v{n + 1}"
 
 
 def empty_differ(spark: SparkSession) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statgate.functions.scalars import is_blank, is_numeric, strip_blanks
+from statgate.session import cut
 
-META = ("__file", "__row", "__malformed", "dataset_id")
+META = ("__file", "__row", "__malformed", "__order", "dataset_id")
 
 
 def _data_columns(csv: DataFrame, columns: list[str] | None) -> list[str]:
@@ -20,16 +21,36 @@ def _data_columns(csv: DataFrame, columns: list[str] | None) -> list[str]:
 
 
 def smallest_k(df: DataFrame, group_cols: list[str], order_col: str, k: int) -> DataFrame:
-    """The k smallest rows by ``order_col`` per group, skew-safe.
+    """The k smallest rows by ``order_col`` per group; Spark keeps k per group of each partition before it shuffles."""
+    first = Window.partitionBy(*group_cols).orderBy(order_col)
+    return df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
-    First keep k per (group, input partition) — a hot group is spread over
-    every input partition — then rank the at most k x partitions survivors.
+
+PICKS_BROADCAST = 10_000
+
+
+def numbers_of(csv: DataFrame, picked: DataFrame, order: str) -> DataFrame:
+    """``picked`` (file, at, later, ...) with ``row``, the record number of the record at ``at`` in its file's order.
+
+    For tables whose order is known but whose records are not numbered: the
+    records before each picked one are counted, in one pass without a sort.
+    ``later`` is how many records equal in order come before it. Few picks
+    (their number is looked at) are sent to the records, others are joined.
     """
-    pre = df.withColumn("__p", F.spark_partition_id())
-    w1 = Window.partitionBy(*group_cols, "__p").orderBy(order_col)
-    local = pre.withColumn("__rk", F.row_number().over(w1)).where(F.col("__rk") <= k).drop("__rk", "__p")
-    w2 = Window.partitionBy(*group_cols).orderBy(order_col)
-    return local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    picked = cut(picked)
+    spots = picked.select(F.col("file").alias("__pf"), F.col("at").alias("__pa")).distinct()
+    spots = F.broadcast(spots) if picked.count() <= PICKS_BROADCAST else spots
+    before = csv.join(spots, (F.col("__file") == F.col("__pf")) & (F.col(order) < F.col("__pa")))
+    counts = before.groupBy("__pf", "__pa").agg(F.count(F.lit(1)).alias("__n"))
+    j = picked.join(counts, (F.col("file") == F.col("__pf")) & (F.col("at") == F.col("__pa")), "left")
+    return j.withColumn("row", F.coalesce("__n", F.lit(0)) + F.col("later") + 2).drop("__pf", "__pa", "__n", "at", "later")
+
+
+def _numbered(csv: DataFrame, picked: DataFrame, order: str | None) -> DataFrame:
+    """``picked`` with ``row`` in place of ``at`` and ``later``; records without an ``order`` carry their number."""
+    if order is None:
+        return picked.withColumn("row", F.col("at")).drop("at", "later")
+    return numbers_of(csv, picked, order)
 
 
 def duplicate_columns(header: DataFrame) -> DataFrame:
@@ -56,23 +77,36 @@ def empty_columns(csv: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def row_key(cols: list[str]) -> Column:
-    """128-bit digest of the trimmed cells (missing cell = empty) in an unambiguous JSON encoding."""
-    cells = F.array(*[F.coalesce(strip_blanks(F.col(f"`{c}`")), F.lit("")) for c in cols])
-    return F.md5(F.to_json(cells))
+    """128-bit digest of the trimmed cells (missing cell = empty) in an unambiguous encoding, 16 bytes."""
+    cells = [F.coalesce(strip_blanks(F.col(f"`{c}`")), F.lit("")) for c in cols]
+    sized = [x for c in cells for x in (F.char_length(c).cast("string"), c)]  # each cell after its length
+    return F.unhex(F.md5(F.concat_ws(":", *sized)))
+
+
+def _first_duplicate(csv: DataFrame, columns: list[str] | None, order: str | None) -> DataFrame:
+    """(file, at, later) of the first record of each file that equals an earlier one.
+
+    Keys are counted in one map-side combined aggregate; only records of
+    repeated keys are looked at again, and of each key two are kept per task
+    before they are shuffled.
+    """
+    cols = [c for c in _data_columns(csv, columns) if c != order]
+    keyed = csv.select("__file", row_key(cols).alias("__key"), F.col(order or "__row").alias("at"))
+    repeated = keyed.groupBy("__file", "__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    two = smallest_k(keyed.join(repeated, ["__file", "__key"], "left_semi"), ["__file", "__key"], "at", 2)
+    seconds = two.groupBy("__file", "__key").agg(F.max("at").alias("at"), (F.max("at") == F.min("at")).cast("int").alias("later"))
+    first = seconds.groupBy(F.col("__file").alias("file")).agg(F.min(F.struct("at", "later")).alias("s"))
+    return first.select("file", "s.at", "s.later")
 
 
-def first_duplicate_row(csv: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def first_duplicate_row(csv: DataFrame, columns: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Q3: per file, the smallest record number whose trimmed cells equal an earlier record's.
 
-    Each row's first record and count come from one map-side combined
-    aggregate; only the repeated rows (few, or few distinct) are joined back
-    to find their second record. Duplicates are per file, never across files.
+    ``order`` names a column that orders the records of a file which have no
+    ``__row``; then only the records found are numbered. Duplicates are per
+    file, never across files.
     """
-    cols = _data_columns(csv, columns)
-    keyed = csv.select("__file", "__row", row_key(cols).alias("__key"))
-    repeated = keyed.groupBy("__file", "__key").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    later = keyed.join(repeated, ["__file", "__key"]).where(F.col("__row") > F.col("__first"))
-    return later.groupBy(F.col("__file").alias("file")).agg(F.min("__row").alias("row"))
+    return _numbered(csv, _first_duplicate(csv, columns, order), order)
 
 
 def non_numeric_rows(csv: DataFrame, value_column: str) -> DataFrame:
@@ -99,11 +133,15 @@ def _py_repr(c: Column) -> Column:
     )
 
 
-def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None = "value", allow_empty: bool = True, columns=None) -> DataFrame:
+def quality_verdict(
+    csv: DataFrame, header: DataFrame, value_column: str | None = "value", allow_empty: bool = True, columns=None, order: str | None = None
+) -> DataFrame:
     """Q5: one message row per failed check and file: (file, check, message, fatal).
 
     Duplicate rows are checked per file; a file without data rows reports
-    neither empty columns nor duplicates.
+    neither empty columns nor duplicates. ``order`` as in
+    ``first_duplicate_row``: the records that are reported are numbered, in
+    one pass for all checks.
     """
     dup_cols = (
         duplicate_columns(header)
@@ -138,7 +176,15 @@ def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None
             F.lit(not allow_empty).alias("fatal"),
         )
     )
-    dup_rows = first_duplicate_row(csv, columns).select(
+    picked = _first_duplicate(csv, columns, order).withColumn("bad", F.lit(False))
+    if has_value:
+        bad = csv.where(~is_numeric(F.col(f"`{value_column}`"))).select(F.col("__file").alias("file"), F.col(order or "__row").alias("at"))
+        first = smallest_k(bad, ["file"], "at", 5)
+        # records of equal order stand behind one another
+        equal = F.row_number().over(Window.partitionBy("file", "at").orderBy("rank")) - 1
+        picked = picked.unionByName(first.select("file", "at", equal.alias("later"), F.lit(True).alias("bad")))
+    rows = _numbered(csv, picked, order)
+    dup_rows = rows.where(~F.col("bad")).select(
         "file",
         F.lit("duplicate_rows").alias("check"),
         F.concat(F.lit("Duplicate row at 1-based row "), F.col("row").cast("string"), F.lit(" (header is row 1)")).alias("message"),
@@ -146,8 +192,7 @@ def quality_verdict(csv: DataFrame, header: DataFrame, value_column: str | None
     )
     parts = [no_header, dup_cols, empty, dup_rows]
     if has_value:
-        bad = non_numeric_rows(csv, value_column)
-        first = smallest_k(bad, ["file"], "row", 5).groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("sample"))
+        first = rows.where("bad").groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("sample"))  # five at most
         s = first.join(facts.select(F.col("__file").alias("file"), F.col("__bad").alias("total")), "file")
         more = F.when(F.col("total") > 5, F.concat(F.lit(" (and "), (F.col("total") - 5).cast("string"), F.lit(" more)"))).otherwise(F.lit(""))
         parts.append(
@@ -204,29 +249,49 @@ def shard_assign(csv: DataFrame, rows_per_shard: int) -> DataFrame:
     return csv.withColumn("shard", F.floor((F.col("__row") - 2) / F.lit(rows_per_shard)).cast("bigint"))
 
 
-def shard_manifest(csv: DataFrame, rows_per_shard: int, threshold_rows: int = 0, failed: bool = False) -> DataFrame:
-    """(status, shards, total_rows, shard_count, rows_per_shard, threshold) per dataset.
+def source_key(file: Column, root: str = "") -> Column:
+    """A file's path below ``root`` as one folder name: what is no letter, digit, dot, dash or plus becomes ``_`` and two hex digits.
 
-    Shards are numbered per file and listed by file and number.
-    Shards are skipped (status 'skipped') below the row threshold or when the
-    quality checks failed.
+    Different paths get different names; a file that is not below ``root``
+    keeps its whole path.
     """
-    s = shard_assign(csv, rows_per_shard)
-    per = s.groupBy("dataset_id", F.col("__file").alias("file"), "shard").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
-    m = per.groupBy("dataset_id").agg(
-        F.sum("rows").cast("bigint").alias("total_rows"),
-        F.count(F.lit(1)).cast("bigint").alias("shard_count"),
-        F.array_sort(F.collect_list(F.struct("file", "shard", "rows"))).alias("__s"),
+    base = root.rstrip("/") + "/" if root else ""
+    below = F.when(file.startswith(base), F.substr(file, F.lit(len(base) + 1))).otherwise(file) if base else file
+    safe = F.replace(F.replace(F.url_encode(below), F.lit("_"), F.lit("%5F")), F.lit("*"), F.lit("%2A"))
+    return F.replace(safe, F.lit("%"), F.lit("_"))
+
+
+def shard_path(out_dir: str, root: str = "", dataset: str = "dataset_id", file: str = "file", shard: str = "shard") -> Column:
+    """Where ``write_shards`` puts a shard."""
+    return F.concat(
+        F.lit(f"{out_dir.rstrip('/')}/dataset_id="), source_key(F.col(dataset)), F.lit("/file="), source_key(F.col(file), root), F.lit("/shard="), F.col(shard).cast("string")
     )
+
+
+def shard_manifest(csv: DataFrame, rows_per_shard: int, threshold_rows: int = 0, failed: bool = False, out_dir: str = "", root: str = "") -> DataFrame:
+    """One row per source file: (dataset_id, original_csv, status, shard_paths, shard_rows, total_rows, shard_count, rows_per_shard, threshold_rows).
+
+    Shards are skipped (status 'skipped', no paths) below the row threshold of
+    a file or when the quality checks failed. Paths are those of
+    ``write_shards`` below ``out_dir``; they follow from the row count, so no
+    shard is looked at.
+    """
+    per = csv.groupBy("dataset_id", F.col("__file").alias("file")).agg(F.count(F.lit(1)).cast("bigint").alias("total_rows"))
+    size = F.lit(rows_per_shard).cast("bigint")
     done = (F.col("total_rows") >= F.lit(threshold_rows)) & F.lit(not failed)
-    return m.select(
+    n = F.when(done, F.ceil(F.col("total_rows") / size)).otherwise(F.lit(0)).cast("bigint")
+    per = per.withColumn("shard_count", n)
+    numbers = F.when(F.col("shard_count") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("shard_count") - 1)).otherwise(F.array().cast("array<bigint>"))
+    folder = F.concat(F.lit(f"{out_dir.rstrip('/')}/dataset_id="), source_key(F.col("dataset_id")), F.lit("/file="), source_key(F.col("file"), root), F.lit("/shard="))
+    return per.withColumn("folder", folder).select(
         "dataset_id",
+        F.col("file").alias("original_csv"),
         F.when(done, F.lit("done")).otherwise(F.lit("skipped")).alias("status"),
-        F.when(done, F.transform("__s", lambda x: x["shard"])).otherwise(F.array().cast("array<bigint>")).alias("shards"),
-        F.when(done, F.transform("__s", lambda x: x["rows"])).otherwise(F.array().cast("array<bigint>")).alias("shard_rows"),
+        F.transform(numbers, lambda k: F.concat(F.col("folder"), k.cast("string"))).alias("shard_paths"),
+        F.transform(numbers, lambda k: F.least(size, F.col("total_rows") - k * size)).alias("shard_rows"),
         "total_rows",
-        F.when(done, F.col("shard_count")).otherwise(F.lit(0)).cast("bigint").alias("shard_count"),
-        F.lit(rows_per_shard).cast("bigint").alias("rows_per_shard"),
+        "shard_count",
+        size.alias("rows_per_shard"),
         F.lit(threshold_rows).cast("bigint").alias("threshold_rows"),
     )
 
@@ -240,22 +305,26 @@ def quality_and_shards(
     allow_empty: bool = True,
     out_dir: str | None = None,
     columns=None,
+    root: str = "",
+    order: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Q6: quality messages and the shard manifest in one plan over the same scan.
 
-    Shards are written (when ``out_dir`` is given) for the datasets without a
-    failed fatal check that reach ``threshold_rows``; the manifest says
-    'skipped' otherwise. Returns (messages, manifest).
+    Shards are written (when ``out_dir`` is given) for the files of datasets
+    without a failed fatal check that reach ``threshold_rows``; the manifest
+    says 'skipped' otherwise. Returns (messages, manifest).
     """
-    messages = quality_verdict(csv, header, value_column, allow_empty, columns)
-    files = csv.select("dataset_id", F.col("__file").alias("file")).distinct()  # one row per input file
-    failed = messages.where("fatal").join(files, "file").groupBy("dataset_id").agg(F.lit(True).alias("__failed"))
-    m = shard_manifest(csv, rows_per_shard, threshold_rows).join(failed, "dataset_id", "left")
+    messages = quality_verdict(csv, header, value_column, allow_empty, columns, order)
+    m = shard_manifest(csv, rows_per_shard, threshold_rows, out_dir=out_dir or "", root=root)
+    failed = messages.where("fatal").select("file").distinct().join(m.select("dataset_id", F.col("original_csv").alias("file")), "file")
+    failed = failed.select("dataset_id").distinct().withColumn("__failed", F.lit(True))
+    m = m.join(failed, "dataset_id", "left")
     skipped = F.coalesce(F.col("__failed"), F.lit(False)) | (F.col("status") == "skipped")
     manifest = m.select(
         "dataset_id",
+        "original_csv",
         F.when(skipped, F.lit("skipped")).otherwise(F.lit("done")).alias("status"),
-        F.when(skipped, F.array().cast("array<bigint>")).otherwise(F.col("shards")).alias("shards"),
+        F.when(skipped, F.array().cast("array<string>")).otherwise(F.col("shard_paths")).alias("shard_paths"),
         F.when(skipped, F.array().cast("array<bigint>")).otherwise(F.col("shard_rows")).alias("shard_rows"),
         "total_rows",
         F.when(skipped, F.lit(0).cast("bigint")).otherwise(F.col("shard_count")).alias("shard_count"),
@@ -265,6 +334,6 @@ def quality_and_shards(
     if out_dir is not None:
         from statgate.sources.writers import write_shards
 
-        done = manifest.where(F.col("status") == "done").select("dataset_id")
-        write_shards(csv.join(done, "dataset_id", "left_semi"), out_dir, rows_per_shard, columns)
+        done = cut(manifest).where(F.col("status") == "done").select("dataset_id", F.col("original_csv").alias("__file"))
+        write_shards(csv.join(done, ["dataset_id", "__file"], "left_semi"), out_dir, rows_per_shard, columns, root=root)
     return messages, manifest

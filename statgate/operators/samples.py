@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statgate.functions.scalars import row_display, strip_blanks, to_double, unit_display, variable_suffix_keys
+from statgate.functions.scalars import row_display, strip_blanks, to_double, to_number, unit_display, variable_suffix_keys
 from statgate.operators.quality import smallest_k
 from statgate.operators.stats import RESOLUTION_PREFIX
 
@@ -150,51 +150,67 @@ def expand_units(samples: DataFrame, stats: DataFrame) -> DataFrame:
     return rest.unionByName(per_var)
 
 
-def advisory_export(results: DataFrame, issues: DataFrame | None = None, fluct: DataFrame | None = None) -> DataFrame:
-    """FAILED/WARNING results, review issues and fluctuations in one 19-column table."""
-    n = F.lit(None).cast("string")
-    # all text except ``percent`` (a double: formatting is left to the sink)
-    cols = {
-        "dataset_id": None, "source": None, "severity": None, "rule_id": None, "status": None, "stat_var": None, "location": None,
-        "date": None, "value": None, "expected": None, "message": None, "file": None, "line": None, "issue_type": None,
-        "suggestion": None, "counter_key": None, "prev_date": None, "curr_date": None, "percent": None,
-    }
+# Kinds of advisory rows, the longest details, and the words of a fluctuation.
+VALIDATION_ROW, REVIEW_ROW, FLUCTUATION_ROW = "validation_warning", "ai_advisory", "statistical_fluctuation"
+DETAILS_CHARS = 500
+FLUCTUATION_MESSAGE = "Large fluctuation (>100%) between consecutive points"
+PERIOD_ARROW = " → "
 
-    def shape(df, mapping):
-        return df.select(
-            *[(mapping.get(c, F.lit(None).cast("double") if c == "percent" else n)).alias(c) for c in cols]
-        )
 
+def advisory_export(
+    results: DataFrame,
+    issues: DataFrame | None = None,
+    fluctuations: DataFrame | None = None,
+    violations: DataFrame | None = None,
+    source_file: str = "",
+    run_id: str = "",
+) -> DataFrame:
+    """FAILED/WARNING results, review issues and fluctuations in the export's 19 columns, all text.
+
+    ``violations`` gives a result the place of its first violating row, where
+    that row names one. ``fluctuations`` are those of the lint report (W5). A
+    column that a kind of row does not have is empty text.
+    """
+    from statgate.sources.writers import ADVISORY_COLUMNS
+
+    def shape(df: DataFrame, **known: Column) -> DataFrame:
+        run = {"source_file": F.lit(source_file), "dataset": F.col("dataset_id"), "run_id": F.lit(run_id), **known}
+        return df.select(*[F.coalesce(run.get(c, F.lit("")).cast("string"), F.lit("")).alias(c) for c in ADVISORY_COLUMNS])
+
+    told = results.where(F.col("status").isin("FAILED", "WARNING"))
+    if violations is None:
+        told = told.withColumn("__place", F.lit(""))
+    else:
+        first = violations.where("ordinal = 0").select(
+            "dataset_id", F.col("rule_id").alias("validation_name"), F.coalesce(F.col("row")["place_dcid"], F.col("row")["location"]).alias("__place")
+        )
+        told = told.join(first, ["dataset_id", "validation_name"], "left")
     parts = [
         shape(
-            results.where(F.col("status").isin("FAILED", "WARNING")),
-            {
-                "dataset_id": F.col("dataset_id"), "source": F.lit("validation"),
-                "severity": F.when(F.col("status") == "FAILED", F.lit("blocker")).otherwise(F.lit("warning")),
-                "rule_id": F.col("validation_name"), "status": F.col("status"), "message": F.col("message"),
-            },
+            told, type=F.lit(VALIDATION_ROW), severity=F.lower(strip_blanks(F.col("status"))), rule_id=F.col("validation_name"),
+            message=strip_blanks(F.col("message")), details=F.substring("details", 1, DETAILS_CHARS), place_id=F.col("__place"),
         )
     ]
     if issues is not None:
+        suggestion = strip_blanks(F.coalesce("suggestion", F.lit("")))
         parts.append(
             shape(
-                issues,
-                {
-                    "dataset_id": F.col("dataset_id"), "source": F.col("source"), "severity": F.col("severity"),
-                    "message": F.col("message"), "file": F.col("file"), "line": F.col("line").cast("string"),
-                    "issue_type": F.col("type"), "suggestion": F.col("suggestion"),
-                },
+                issues, type=F.lit(REVIEW_ROW), severity=F.lower(strip_blanks(F.coalesce("severity", F.lit("advisory")))),
+                file=strip_blanks(F.col("file")), line=F.col("line"), message=strip_blanks(F.col("message")),
+                details=F.when(suggestion != "", F.concat(F.lit("Suggestion: "), suggestion)),
             )
         )
-    if fluct is not None:
+    if fluctuations is not None:
+        n = F.size("points")
+        last, before = F.element_at("points", F.when(n >= 1, -1)), F.element_at("points", F.when(n >= 2, -2))
+        two = n >= 2
         parts.append(
             shape(
-                fluct,
-                {
-                    "dataset_id": F.col("dataset_id"), "source": F.lit("fluctuation"), "severity": F.lit("advisory"),
-                    "stat_var": F.col("StatVar"), "location": F.col("observationAbout"), "counter_key": F.col("counter_key"),
-                    "prev_date": F.col("prev_date"), "curr_date": F.col("curr_date"), "percent": F.col("pct"),
-                },
+                fluctuations, type=F.lit(FLUCTUATION_ROW), severity=F.lit("advisory"), statvar=strip_blanks(F.col("statVar")),
+                place_id=strip_blanks(F.col("location")), file=F.lit(source_file.rsplit("/", 1)[-1]), message=F.lit(FLUCTUATION_MESSAGE),
+                period=F.when(two, F.concat(before["date"], F.lit(PERIOD_ARROW), last["date"])),
+                previous_value=F.when(two, to_number(before["value"])), current_value=F.when(two, to_number(last["value"])),
+                percent_change=F.when(F.col("percentDifference").try_cast("double").isNotNull(), F.format_string("%.2f", F.col("percentDifference").try_cast("double"))), series_points=F.col("series_length"),
             )
         )
     out = parts[0]

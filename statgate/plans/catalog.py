@@ -7,16 +7,17 @@ over their whole extent; the oracle inlines the same view definitions.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statgate.operators import rules as R
 from statgate.operators import series as W
 from statgate.operators import stats as A
 from statgate.plans.default_rules import DEFAULT_RULES
-from statgate.session import cut
+from statgate.session import checkpoint_dir, cut
 from statgate.plans.sqlbits import SERIES, dlist, dpairs, dparse, dpct, dperiod_days, dpoints, dvar
 from statgate.sources import testviews as TV
 
@@ -34,6 +35,11 @@ def register(name: str, oracle: Callable[[], str] | str | None = None):
     return deco
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for what a query writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def this_year() -> int:
     return datetime.date.today().year
 
@@ -277,45 +283,41 @@ def q_gran(spark, sf):
 from statgate.operators import diff as D  # noqa: E402
 from statgate.operators import quality as Q  # noqa: E402
 
-LI_TRIM = ", ".join(f"coalesce(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')" for c in ["l_returnflag", "l_linestatus", "l_quantity"])
-LI_SUBSET = ["l_returnflag", "l_linestatus", "l_quantity"]
+def _trimmed(columns: list[str]) -> str:
+    return ", ".join(f"coalesce(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')" for c in columns)
 
 
-@register(
-    "quality_first_dup_documents",
-    lambda: TV.duckdb_with("csv_documents")
-    + """SELECT __file AS file, min(__row) AS row FROM (
-  SELECT __file, __row, row_number() OVER (PARTITION BY __file, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ''),
-         coalesce(regexp_replace(lang, '^\\s+|\\s+$', '', 'g'), '') ORDER BY __row) AS rn FROM csv_documents) WHERE rn = 2 GROUP BY 1""",
-)
+def _first_dup_sql(view: str, columns: list[str]) -> str:
+    return f"""SELECT __file AS file, min(__row) AS row FROM (
+  SELECT __file, __row, row_number() OVER (PARTITION BY __file, {_trimmed(columns)} ORDER BY __row) AS rn FROM {view}) WHERE rn = 2 GROUP BY 1"""
+
+
+FLAWED_COLUMNS = [*TV.LINEITEM_COLUMNS, "no_value"]
+
+
+@register("quality_first_dup_documents", lambda: TV.duckdb_with("csv_documents") + _first_dup_sql("csv_documents", TV.DOCUMENT_COLUMNS))
 def q_dup_docs(spark, sf):
-    return Q.first_duplicate_row(TV.csv_documents(spark, sf).drop("dataset_id"))
+    return Q.first_duplicate_row(TV.csv_documents(spark, sf))
 
 
-@register(
-    "quality_first_dup_lineitem",
-    lambda: TV.duckdb_with("csv_lineitem")
-    + f"""SELECT __file AS file, min(__row) AS row FROM (
-  SELECT __file, __row, row_number() OVER (PARTITION BY __file, {LI_TRIM} ORDER BY __row) AS rn FROM csv_lineitem) WHERE rn = 2 GROUP BY 1""",
-)
+@register("quality_first_dup_lineitem", lambda: TV.duckdb_with("csv_lineitem_flawed") + _first_dup_sql("csv_lineitem_flawed", FLAWED_COLUMNS))
 def q_dup_lineitem(spark, sf):
-    # a CSV holding three of lineitem's columns, in lineitem's file order
-    return Q.first_duplicate_row(TV.csv_lineitem(spark, sf).select("__file", "__row", *LI_SUBSET))
+    return Q.first_duplicate_row(TV.csv_lineitem(spark, sf, numbered=False, flawed=True), order="__order")
+
+
+def _seen_list(columns: list[str]) -> str:
+    each = ", ".join(f"{{'ord': {i + 1}, 'column': '{c}', 'seen': max(CASE WHEN regexp_matches({c}, '\\S') THEN 1 ELSE 0 END)}}" for i, c in enumerate(columns))
+    return f"unnest([{each}], recursive := true)"
 
 
 @register(
     "quality_empty_columns",
-    lambda: TV.duckdb_with("csv_lineitem")
-    + """SELECT file, "column", ord FROM (
-  SELECT __file AS file, unnest([{'ord': 1, 'column': 'l_orderkey', 'seen': max(CASE WHEN regexp_matches(l_orderkey, '\\S') THEN 1 ELSE 0 END)},
-                                 {'ord': 9, 'column': 'l_returnflag', 'seen': max(CASE WHEN regexp_matches(l_returnflag, '\\S') THEN 1 ELSE 0 END)},
-                                 {'ord': 12, 'column': 'no_value', 'seen': max(0)}], recursive := true) FROM csv_lineitem GROUP BY 1)
-WHERE seen = 0""",
+    lambda: TV.duckdb_with("csv_lineitem_flawed")
+    + f"""SELECT file, "column", ord FROM (SELECT __file AS file, {_seen_list(FLAWED_COLUMNS)} FROM csv_lineitem_flawed GROUP BY 1) WHERE seen = 0""",
 )
 def q_empty_cols(spark, sf):
-    # lineitem CSV with an extra column that is blank in every record
-    li = TV.csv_lineitem(spark, sf).withColumn("no_value", F.lit(" "))
-    return Q.empty_columns(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "no_value"])
+    # the check needs no record numbers, so none are made
+    return Q.empty_columns(TV.csv_lineitem(spark, sf, numbered=False, flawed=True), FLAWED_COLUMNS)
 
 
 @register(
@@ -329,35 +331,122 @@ def q_non_numeric(spark, sf):
     return Q.non_numeric_rows(TV.csv_lineitem(spark, sf), "l_linestatus")
 
 
+#: the header of the flawed CSV names a column twice
+FLAWED_HEADER = [*FLAWED_COLUMNS, "l_tax"]
+
+
+def _quality_facts_sql() -> str:
+    """CTEs of the four checks over the flawed CSV: bad, sample (first five and total), dup, empty."""
+    return (
+        TV.duckdb_with("csv_lineitem_flawed")
+        + f""", bad AS (SELECT __file AS file, __row AS row FROM csv_lineitem_flawed WHERE NOT regexp_matches(l_returnflag, '^\\s*[+-]?[0-9]+\\s*$')),
+sample AS (SELECT file, list(row ORDER BY row)[1:5] AS sample, count(*) AS total FROM bad GROUP BY file),
+dup AS ({_first_dup_sql('csv_lineitem_flawed', FLAWED_COLUMNS)}),
+empty AS (SELECT file, "column" FROM (SELECT __file AS file, {_seen_list(FLAWED_COLUMNS)} FROM csv_lineitem_flawed GROUP BY 1) WHERE seen = 0)
+"""
+    )
+
+
 def _verdict_sql() -> str:
     return (
-        TV.duckdb_with("csv_lineitem")
-        + """, bad AS (SELECT __file AS file, __row AS row FROM csv_lineitem WHERE NOT regexp_matches(l_returnflag, '^\\s*[+-]?[0-9]+\\s*$')),
-s AS (SELECT file, list(row ORDER BY row)[1:5] AS sample, count(*) AS total FROM bad GROUP BY file)
-SELECT file, 'non_numeric_rows' AS "check",
+        _quality_facts_sql()
+        + """SELECT file, 'non_numeric_rows' AS "check",
        'Non-numeric value(s) in column ''l_returnflag'' at row(s) [' || array_to_string(sample, ', ') || ']' ||
        CASE WHEN total > 5 THEN ' (and ' || (total - 5) || ' more)' ELSE '' END AS message, true AS fatal
-FROM s"""
+FROM sample
+UNION ALL SELECT file, 'duplicate_rows', 'Duplicate row at 1-based row ' || row || ' (header is row 1)', true FROM dup
+UNION ALL SELECT file, 'empty_columns', 'Column is entirely empty: ' || chr(39) || "column" || chr(39), false FROM empty
+UNION ALL SELECT 'lineitem.csv', 'duplicate_columns', 'Duplicate column name(s): ' || chr(39) || 'l_tax' || chr(39), true
+UNION ALL SELECT 'nothing.csv', 'header', 'CSV has no header row', true"""
     )
 
 
+def _flawed_header(spark):
+    rows = [("lineitem.csv", i + 1, c) for i, c in enumerate(FLAWED_HEADER)] + [("nothing.csv", None, None)]
+    return spark.createDataFrame(rows, "file string, ord int, name string")
+
+
 @register("quality_verdict_lineitem", _verdict_sql)
 def q_verdict_lineitem(spark, sf):
-    li = TV.csv_lineitem(spark, sf)
-    header = TV.csv_header(li, "lineitem", "lineitem.csv", TV.LINEITEM_COLUMNS)
-    return Q.quality_verdict(li.drop("dataset_id"), header, value_column="l_returnflag", columns=TV.LINEITEM_COLUMNS)
+    li = TV.csv_lineitem(spark, sf, numbered=False, flawed=True)
+    return Q.quality_verdict(li, _flawed_header(spark), value_column="l_returnflag", columns=FLAWED_COLUMNS, order="__order")
+
+
+@register("quality_duplicate_columns", "SELECT 'l_tax' AS name, 8 AS ord FROM (SELECT count(*) FROM lineitem)")
+def q_duplicate_columns(spark, sf):
+    # lineitem written as CSV files whose header names a column twice but for a space
+    folder = scratch(spark, "named-twice")
+    li = TV.table(spark, sf, "lineitem").select(*TV.LINEITEM_COLUMNS, F.col("l_tax").alias(" l_tax"))
+    li.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(folder)
+    return Q.duplicate_columns(SR.csv_header_table(spark, folder)).select("name", "ord").distinct()
+
+
+def _manifest_sql(view: str, size: int) -> str:
+    """S10 rows of a view without a failed check."""
+    return f"""SELECT dataset_id, __file AS original_csv, 'done' AS status,
+       list_transform(range(CAST(ceil(count(*) / {size}) AS BIGINT)), lambda k: 'shards/dataset_id=' || dataset_id || '/file=' || __file || '/shard=' || k) AS shard_paths,
+       list_transform(range(CAST(ceil(count(*) / {size}) AS BIGINT)), lambda k: least({size}, count(*) - k * {size})) AS shard_rows,
+       count(*) AS total_rows, CAST(ceil(count(*) / {size}) AS BIGINT) AS shard_count, CAST({size} AS BIGINT) AS rows_per_shard, CAST(1000 AS BIGINT) AS threshold_rows
+FROM {view} GROUP BY dataset_id, __file"""
+
+
+@register("shard_manifest_lineitem", lambda: TV.duckdb_with("csv_lineitem") + _manifest_sql("csv_lineitem", 10000))
+def q_shards(spark, sf):
+    # the manifest follows from counts, so no record is numbered
+    return Q.shard_manifest(TV.csv_lineitem(spark, sf, numbered=False), rows_per_shard=10000, threshold_rows=1000, out_dir="shards")
 
 
 @register(
-    "shard_manifest_lineitem",
+    "shards_round_trip_lineitem",
     lambda: TV.duckdb_with("csv_lineitem")
-    + """, per AS (SELECT dataset_id, CAST(floor((__row - 2) / 10000) AS BIGINT) AS shard, count(*) AS rows FROM csv_lineitem GROUP BY ALL)
-SELECT dataset_id, 'done' AS status, list(shard ORDER BY shard) AS shards, list(CAST(rows AS BIGINT) ORDER BY shard) AS shard_rows, CAST(sum(rows) AS BIGINT) AS total_rows,
-       CAST(count(*) AS BIGINT) AS shard_count, CAST(10000 AS BIGINT) AS rows_per_shard, CAST(1000 AS BIGINT) AS threshold_rows
-FROM per GROUP BY dataset_id""",
+    + f"""SELECT dataset_id, __file AS file, CAST(floor((__row - 2) / 7000) AS BIGINT) AS shard, count(*) AS rows, count(DISTINCT ({', '.join(TV.LINEITEM_COLUMNS)})) AS records,
+       min(CAST(l_orderkey AS BIGINT)) AS first_order, max(CAST(l_orderkey AS BIGINT)) AS last_order, true AS in_order FROM csv_lineitem GROUP BY ALL""",
 )
-def q_shards(spark, sf):
-    return Q.shard_manifest(TV.csv_lineitem(spark, sf), rows_per_shard=10000, threshold_rows=1000)
+def q_shards_round_trip(spark, sf):
+    from statgate.sources.writers import write_shards
+
+    folder = scratch(spark, "shards")
+    write_shards(TV.csv_lineitem(spark, sf), folder, 7000)
+    back = spark.read.option("header", True).csv(folder).withColumn("at", F.monotonically_increasing_id())
+    order = F.col("l_orderkey").cast("bigint")
+    # a shard is one file of few bytes: its orders rise along the file
+    falls = order < F.lag(order).over(Window.partitionBy("dataset_id", "file", "shard").orderBy("at"))
+    return back.withColumn("falls", falls).groupBy("dataset_id", "file", F.col("shard").cast("bigint").alias("shard")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(*TV.LINEITEM_COLUMNS).alias("records"), F.min(order).alias("first_order"),
+        F.max(order).alias("last_order"), (F.count_if("falls") == 0).alias("in_order"),
+    )
+
+
+@register(
+    "quality_details_lineitem",
+    lambda: _quality_facts_sql()
+    + """SELECT s.file, (SELECT list("column") FROM empty) AS empty_columns, ['l_tax'] AS duplicate_columns, [dup.row] AS duplicate_rows,
+       s.total AS non_numeric_count, s.sample AS non_numeric_sample FROM sample s JOIN dup USING (file)
+UNION ALL SELECT 'nothing.csv', [], [], [], 0, []""",
+)
+def q_quality_details(spark, sf):
+    # Written and read back
+    from statgate.sources.writers import write_quality
+
+    folder = scratch(spark, "quality")
+    li = TV.csv_lineitem(spark, sf, flawed=True)
+    write_quality(Q.quality_details(li, _flawed_header(spark), "l_returnflag", FLAWED_COLUMNS), folder)
+    schema = "file string, empty_columns array<string>, duplicate_columns array<string>, duplicate_rows array<bigint>, non_numeric_count bigint, non_numeric_sample array<bigint>"
+    return spark.read.schema(schema).json(folder)
+
+
+@register(
+    "csv_round_trip_documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars, (SELECT count(*) + 1 FROM documents) AS last_row FROM documents",
+)
+def q_csv_round_trip(spark, sf):
+    # Texts with quotes, commas and newlines written as one CSV file and read by its splits
+    docs = TV.table(spark, sf, "documents").drop("__src")
+    folder = scratch(spark, "documents-csv")
+    docs.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+    back = SR.read_csv(spark, folder)
+    last = back.groupBy("__file").agg(F.max("__row").alias("last_row"))
+    return back.join(last, "__file").select(*docs.columns, "last_row")
 
 
 # ---------------------------------------------------------------------------
@@ -439,7 +528,7 @@ def q_top_changed(spark, sf):
 
 
 def orders_tables(spark, sf) -> dict[str, DataFrame]:
-    from statgate.session import cut
+    from statgate.session import checkpoint_dir, cut
 
     cur = TV.obs_orders(spark, sf, "current")
     counts = cut(D.diff_counts(D.diff_observations(cur, TV.obs_orders(spark, sf, "baseline"))))
@@ -1114,17 +1203,28 @@ def q_stale(spark, sf):
     return P.stale_runs(st.join(ts, "last_seq"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
-@register(
-    "quality_and_shards_documents",
-    lambda: TV.duckdb_with("csv_documents")
-    + """SELECT 'documents' AS dataset_id, 'skipped' AS status, []::BIGINT[] AS shards, []::BIGINT[] AS shard_rows, CAST(count(*) AS BIGINT) AS total_rows,
-       CAST(0 AS BIGINT) AS shard_count, CAST(100 AS BIGINT) AS rows_per_shard, CAST(10 AS BIGINT) AS threshold_rows FROM csv_documents""",
-)
+def _quality_and_shards_sql() -> str:
+    dup = _first_dup_sql("csv_documents", TV.DOCUMENT_COLUMNS)
+    return (
+        TV.duckdb_with("csv_documents", "csv_lineitem")
+        + f""", m AS ({_manifest_sql('csv_documents', 700)} UNION ALL {_manifest_sql('csv_lineitem', 7000).replace('CAST(1000 AS', 'CAST(10 AS')}),
+dup AS ({dup}),
+q AS (SELECT m.* REPLACE (CAST(10 AS BIGINT) AS threshold_rows), original_csv IN (SELECT file FROM dup) AS failed FROM m)
+SELECT dataset_id, original_csv, CASE WHEN failed THEN 'skipped' ELSE status END AS status, CASE WHEN failed THEN [] ELSE shard_paths END AS shard_paths,
+       CASE WHEN failed THEN [] ELSE shard_rows END AS shard_rows, total_rows, CASE WHEN failed THEN 0 ELSE shard_count END AS shard_count, rows_per_shard, threshold_rows FROM q"""
+    )
+
+
+@register("quality_and_shards", _quality_and_shards_sql)
 def q_quality_shards(spark, sf):
-    docs = TV.csv_documents(spark, sf)
-    header = TV.csv_header(docs, "documents", "documents.csv", ["text", "lang"])
-    _, manifest = Q.quality_and_shards(docs, header.drop("dataset_id"), rows_per_shard=100, threshold_rows=10, value_column=None, columns=["text", "lang"])
-    return manifest
+    # documents hold repeated rows, so they are not cut into shards; lineitem passes
+    def manifest(csv, columns, size, order):
+        header = spark.createDataFrame([(f"{csv[0]}.csv", i + 1, c) for i, c in enumerate(columns)], "file string, ord int, name string")
+        made = Q.quality_and_shards(csv[1], header, size, 10, None, columns=columns, order=order)[1]
+        return made.withColumn("shard_paths", F.transform("shard_paths", lambda p: F.concat(F.lit("shards"), p)))
+
+    docs = manifest(("documents", TV.csv_documents(spark, sf)), TV.DOCUMENT_COLUMNS, 700, None)
+    return docs.unionByName(manifest(("lineitem", TV.csv_lineitem(spark, sf, numbered=False)), TV.LINEITEM_COLUMNS, 7000, "__order"))
 
 
 @register(
@@ -1154,40 +1254,52 @@ def q_value_not_mapped(spark, sf):
 
 def _advisory_sql() -> str:
     ev = _events_results_sql()  # WITH ... res AS (...)
-    fl = _fluct_sql().replace("\nSELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", ",\nfl AS (SELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", 1)
-    fl_ctes = fl[len("WITH "):]
-    # rename the fluctuation CTEs' obs view (already defined by name) and merge the WITH lists
+    fl_ctes = _report_points_sql()[len("WITH ") :]
     t12 = TV.DUCKDB_VIEWS["nodes_parts"]
+    empty = ", ".join(f"'' AS {c}" for c in ("expected_from_source", "notes"))
     return (
         ev.rstrip()
         + ",\n"
         + fl_ctes
-        + f"""),
+        + f""",
+w5 AS (SELECT dataset_id, statVarDcid AS statVar, placeDcid AS location, list(struct_pack(date, value) ORDER BY date, value) AS pts,
+              max(percentDifference) AS pct, count(*) AS n FROM rp GROUP BY dataset_id, statVarDcid, placeDcid, observationPeriod, counterKey),
 nodes_parts AS ({t12})
 {_t1_t2_sql()}
-SELECT dataset_id, 'validation' AS source, CASE WHEN status = 'FAILED' THEN 'blocker' ELSE 'warning' END AS severity, validation_name AS rule_id,
-       status, CAST(NULL AS VARCHAR) AS stat_var, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS value,
-       CAST(NULL AS VARCHAR) AS expected, message, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS line,
-       CAST(NULL AS VARCHAR) AS issue_type, CAST(NULL AS VARCHAR) AS suggestion, CAST(NULL AS VARCHAR) AS counter_key,
-       CAST(NULL AS VARCHAR) AS prev_date, CAST(NULL AS VARCHAR) AS curr_date, CAST(NULL AS DOUBLE) AS percent
+SELECT 'validation_warning' AS type, lower(status) AS severity, validation_name AS rule_id, '' AS file, '' AS line, '' AS statvar, '' AS place_id, '' AS period,
+       '' AS previous_value, '' AS current_value, '' AS percent_change, '' AS series_points, message, '(any)' AS details,
+       'events.csv' AS source_file, dataset_id AS dataset, 'run-1' AS run_id, {empty}
 FROM res WHERE status IN ('FAILED', 'WARNING')
 UNION ALL
-SELECT dataset_id, 'deterministic', severity, NULL, NULL, NULL, NULL, NULL, NULL, NULL, message, NULL, NULL, type,
-       CASE WHEN type = 'schema' THEN 'Use a column ID from the header or fix the typo.'
+SELECT 'ai_advisory', lower(severity), '', '', '', '', '', '', '', '', '', '', message,
+       'Suggestion: ' || CASE WHEN type = 'schema' THEN 'Use a column ID from the header or fix the typo.'
             WHEN ord = 11 THEN 'Ensure all CSV columns are mapped in the TMCF or remove unused columns.'
-            ELSE 'Remove the column from the CSV or add a mapping in the TMCF if it is needed.' END, NULL, NULL, NULL, NULL
+            ELSE 'Remove the column from the CSV or add a mapping in the TMCF if it is needed.' END, 'events.csv', dataset_id, 'run-1', '', ''
 FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
 UNION ALL
-SELECT dataset_id, 'fluctuation', 'advisory', NULL, NULL, StatVar, observationAbout, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-       counter_key, prev_date, curr_date, pct FROM fl"""
+SELECT 'statistical_fluctuation', 'advisory', '', 'events.csv', '', statVar, location,
+       CASE WHEN n >= 2 THEN pts[n-1].date || ' → ' || pts[n].date ELSE '' END,
+       CASE WHEN n >= 2 THEN pts[n-1].value || '.0' ELSE '' END, CASE WHEN n >= 2 THEN pts[n].value || '.0' ELSE '' END,
+       coalesce(printf('%.2f', pct), ''), CAST(n AS VARCHAR), 'Large fluctuation (>100%) between consecutive points', '', 'events.csv', dataset_id, 'run-1', '', ''
+FROM w5"""
     )
 
 
 @register("advisory_export", _advisory_sql)
 def q_advisory(spark, sf):
+    # Written as the export's CSV and read back
+    from statgate.sources import writers as SW
+
     n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
     issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr))
-    return S.advisory_export(events_results(spark, sf), issues, W.fluctuations(TV.obs_orders(spark, sf)))
+    made = events_outcome(spark, sf)
+    folder = scratch(spark, "advisories")
+    SW.write_advisories(
+        S.advisory_export(made.results, issues, W.report_fluctuations(_report_points(spark, sf)), made.violations, "events.csv", "run-1"), folder
+    )
+    # details of results are the engine's own JSON
+    told = F.when(F.col("type") == "validation_warning", F.lit("(any)")).otherwise(F.col("details"))
+    return SW.read_advisories(spark, folder).withColumn("details", told)
 
 
 def _review_summary_sql() -> str:
@@ -1319,3 +1431,79 @@ SELECT 'lineitem', l_partkey, l_shipdate, 'dcid:Amount_LineItem_Price', l_extend
 def q_observations(spark, sf):
     template = spark.createDataFrame(LINEITEM_TEMPLATE, "file string, node_line bigint, prop string, value string")
     return SR.observations(TV.csv_lineitem(spark, sf), template, dataset_id="lineitem")
+
+
+# ---------------------------------------------------------------------------
+# sinks and states written and read back
+# ---------------------------------------------------------------------------
+
+
+@register("results_round_trip_events", lambda: _events_results_sql() + "SELECT dataset_id, validation_name, status, message FROM res")
+def q_results_round_trip(spark, sf):
+    from statgate.sources.writers import write_results
+
+    folder = scratch(spark, "results")
+    write_results(events_results(spark, sf), folder)
+    return spark.read.json(folder).select("dataset_id", "validation_name", "status", "message")
+
+
+@register(
+    "accepted_baseline_orders",
+    lambda: _diff_sql_body() + "SELECT 'v2' AS newest, differ.* FROM differ",
+)
+def q_accepted_baseline(spark, sf):
+    # A blocked run, two accepted ones and a repeated one; the diff is against the newest
+    root = scratch(spark, "baselines")
+    baseline, current = TV.obs_orders(spark, sf, "baseline"), cut(TV.obs_orders(spark, sf, "current"))
+    D.accept_baseline(current, root, "orders", "run-0", blocked=True)
+    D.accept_baseline(current, root, "orders", "run-1", blocked=False)
+    D.accept_baseline(baseline, root, "orders", "run-2", blocked=False)
+    D.accept_baseline(current, root, "orders", "run-2", blocked=False)  # already the newest
+    differ, _ = D.diff_or_first_run(current, root, "orders")
+    versions = D.baseline_versions(spark, root, "orders").limit(1).select("dataset_id", F.col("version").alias("newest"))
+    return differ.join(versions, "dataset_id")
+
+
+@register(
+    "first_run_orders",
+    lambda: TV.duckdb_with("obs_orders")
+    + """SELECT DISTINCT dataset_id, CAST(NULL AS BIGINT) AS previous_obs_size, CAST(NULL AS BIGINT) AS current_obs_size, CAST(NULL AS BIGINT) AS obs_diff_size,
+       true AS first_run FROM obs_orders""",
+)
+def q_first_run(spark, sf):
+    # Nothing was accepted yet
+    return D.diff_or_first_run(TV.obs_orders(spark, sf), scratch(spark, "no-baselines"), "orders")[1]
+
+
+def _status_stream(spark, sf) -> DataFrame:
+    """The updates of all runs, streamed from envelope files in several batches and kept by a sink."""
+    folder = scratch(spark, "run-events")
+    lines = TV.run_lines(spark, sf).select("run_id", "seq", "line")
+    lines.repartition(3, F.pmod("seq", F.lit(3))).write.json(f"{folder}/in")
+    events = P.parse_events(spark.readStream.schema(P.ENVELOPE_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/in"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+
+    with P.state_store(spark):
+        updates = P.project_status_stream(events, timers=False)
+        updates.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@register("run_status_stream", lambda: ORACLES["run_status_replay"]())
+def q_status_stream(spark, sf):
+    # Late lines too, as the files of a run come in any order; P4's advances never fall
+    updates = _status_stream(spark, sf)
+    return P.normalize_status(P.latest_status(updates)).select(
+        "run_id", "status", "step_index", "substep_id", "exit_code", "failure_code", "failure_message", "failure_step_index", "last_seq"
+    )
+
+
+@register(
+    "run_step_advances",
+    lambda: "SELECT run_id, max(step_index) AS step_index FROM (" + ORACLES["run_status_replay"]() + ") GROUP BY run_id HAVING max(step_index) IS NOT NULL",
+)
+def q_step_advances(spark, sf):
+    # The last advance of a run is its step
+    return P.step_advances(_status_stream(spark, sf)).groupBy("run_id").agg(F.max("step_index").alias("step_index"))

@@ -111,31 +111,38 @@ def obs_orders(spark: SparkSession, sf_dir: str, version: str | None = None) ->
     )
 
 
-def csv_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csv_lineitem(spark: SparkSession, sf_dir: str, numbered: bool = True, flawed: bool = False) -> DataFrame:
     """lineitem as a raw CSV: every cell a string, file order = sort by all columns.
 
-    Row numbers come from counts per range of order keys and the position
-    inside a range (``with_row_index``), never from a single-partition window.
+    ``numbered`` records carry their number, from counts per range of order
+    keys and the position inside a range (``with_row_index``), never from a
+    single-partition window; others carry their place in the order as
+    ``__order``. ``flawed`` repeats the records of some orders and adds a
+    column that is blank in every record.
     """
     li = table(spark, sf_dir, "lineitem").select("__src", *LINEITEM_COLUMNS)
-    ordered = with_row_index(li, LINEITEM_COLUMNS, F.floor(F.col("l_orderkey") / 1024), start=2)
-    return ordered.select(
-        F.col("__src").alias("dataset_id"),
-        F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),
-        F.col("__row"),
-        *[F.col(c).cast("string").alias(c) for c in LINEITEM_COLUMNS],
-    )
+    if flawed:
+        times = F.when(F.col("l_orderkey") % 997 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        li = li.withColumn("__time", F.explode(times)).drop("__time")
+    cells = [F.col(c).cast("string").alias(c) for c in LINEITEM_COLUMNS] + ([F.lit(" ").alias("no_value")] if flawed else [])
+    if numbered:
+        li, place = with_row_index(li, LINEITEM_COLUMNS, F.floor(F.col("l_orderkey") / 1024), start=2), F.col("__row")
+    else:
+        place = F.struct(*LINEITEM_COLUMNS).alias("__order")
+    return li.select(F.col("__src").alias("dataset_id"), F.concat(F.col("__src"), F.lit(".csv")).alias("__file"), place, *cells)
+
+
+DOCUMENT_COLUMNS = ["text", "lang", "source", "n_chars"]
 
 
 def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a raw CSV of (text, lang); record number = doc_id + 2."""
+    """documents as a raw CSV of all columns but the id, which is the record number less 2."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("__src").alias("dataset_id"),
         F.concat(F.col("__src"), F.lit(".csv")).alias("__file"),
         (F.col("doc_id") + 2).alias("__row"),
-        F.col("text"),
-        F.col("lang"),
+        *[F.col(c).cast("string").alias(c) for c in DOCUMENT_COLUMNS],
     )
 
 
@@ -344,8 +351,19 @@ SELECT 'lineitem' AS dataset_id, 'lineitem.csv' AS __file,
        CAST(l_discount AS VARCHAR) AS l_discount, CAST(l_tax AS VARCHAR) AS l_tax,
        l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS l_shipdate
 FROM lineitem""",
+    "csv_lineitem_flawed": """
+SELECT 'lineitem' AS dataset_id, 'lineitem.csv' AS __file,
+       1 + row_number() OVER (ORDER BY l_orderkey NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST,
+            l_linenumber NULLS FIRST, l_quantity NULLS FIRST, l_extendedprice NULLS FIRST, l_discount NULLS FIRST,
+            l_tax NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST, l_shipdate NULLS FIRST) AS __row,
+       CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey,
+       CAST(l_suppkey AS VARCHAR) AS l_suppkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+       CAST(l_quantity AS VARCHAR) AS l_quantity, CAST(l_extendedprice AS VARCHAR) AS l_extendedprice,
+       CAST(l_discount AS VARCHAR) AS l_discount, CAST(l_tax AS VARCHAR) AS l_tax,
+       l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS l_shipdate, ' ' AS no_value
+FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 997 = 1)""",
     "csv_documents": """
-SELECT 'documents' AS dataset_id, 'documents.csv' AS __file, doc_id + 2 AS __row, text, lang FROM documents""",
+SELECT 'documents' AS dataset_id, 'documents.csv' AS __file, doc_id + 2 AS __row, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
     "lint_entries": """
 SELECT 'events' AS dataset_id,
        CASE WHEN event_id % 3 = 0 THEN 'LEVEL_ERROR' WHEN event_id % 3 = 1 THEN 'LEVEL_WARNING' ELSE 'LEVEL_INFO' END AS level,

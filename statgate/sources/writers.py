@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statgate.operators.quality import META, shard_assign
+from statgate.operators.quality import META, shard_assign, source_key
+from statgate.session import cut
 
 
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,32 +21,54 @@ def write_quality(details: DataFrame, path: str, non_numeric: DataFrame | None =
         non_numeric.write.mode(mode).json(f"{path}/non_numeric_rows")
 
 
-def write_shards(csv: DataFrame, out_dir: str, rows_per_shard: int, columns: list[str] | None = None, mode: str = "overwrite") -> None:
+def write_shards(
+    csv: DataFrame, out_dir: str, rows_per_shard: int, columns: list[str] | None = None, mode: str = "overwrite", root: str = ""
+) -> None:
     """Size-bounded CSV shards, each with its header, one directory per dataset, source file and shard number.
 
-    Each shard goes to one task (so one file per shard); rows keep their
-    record order inside the shard.
+    A source is named by its path below ``root``, so files of one base name in
+    several folders keep apart. Every shard has a task, and so a file, of its
+    own: its number among all shards, from the row counts of the files before
+    it, is the id of its partition, and rows keep their order inside it.
     """
     cols = columns or [c for c in csv.columns if c not in META]
-    keys = ["dataset_id", "file", "shard"]
-    s = shard_assign(csv, rows_per_shard).withColumn("file", F.regexp_extract("__file", r"([^/]*)$", 1))
-    (
-        s.repartition(*keys)
-        .sortWithinPartitions(*keys, "__row")
-        .select(*keys, *[F.col(f"`{c}`") for c in cols])
-        .write.mode(mode)
-        .partitionBy(*keys)
-        .option("header", True)
-        .csv(out_dir)
+    sizes = csv.groupBy("dataset_id", "__file").agg(F.count(F.lit(1)).alias("n"))  # one row per file
+    sizes = cut(sizes.withColumn("shards", F.ceil(F.col("n") / rows_per_shard)))
+    total = sizes.agg(F.sum("shards")).first()[0]
+    if not total:
+        return
+    # files by the thousand are summed first, so that no window holds more
+    group = F.pmod(F.xxhash64("dataset_id", "__file"), F.lit(4096))
+    of_group = sizes.withColumn("g", group).groupBy("g").agg(F.sum("shards").alias("s"))
+    running = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    of_group = of_group.select("g", F.coalesce(F.sum("s").over(running), F.lit(0)).alias("g_first"))
+    inside = Window.partitionBy("g").orderBy("dataset_id", "__file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.withColumn("g", group).withColumn("first", F.coalesce(F.sum("shards").over(inside), F.lit(0))).join(of_group, "g")
+    firsts = firsts.select("dataset_id", "__file", (F.col("first") + F.col("g_first")).alias("__first"))
+    s = shard_assign(csv, rows_per_shard).join(firsts, ["dataset_id", "__file"])
+    # names as the manifest writes them; 'source' keys would clash with the columns of the file
+    d, f = source_key(F.col("dataset_id")).alias("__d"), source_key(F.col("__file"), root).alias("__f")
+    place = (F.col("__first") + F.col("shard")).cast("int").alias("__place")
+    rows = s.select(d, f, F.col("shard").alias("__s"), "__row", place, *[F.col(f"`{c}`").alias(f"c_{c}") for c in cols])
+    rows = rows.repartitionById(int(total), "__place").sortWithinPartitions("__d", "__f", "__s", "__row")
+    named = rows.select(
+        *[F.col(f"`c_{c}`").alias(c) for c in cols], F.col("__d").alias("dataset_id"), F.col("__f").alias("file"), F.col("__s").alias("shard")
     )
+    named.write.mode(mode).partitionBy("dataset_id", "file", "shard").option("header", True).option("escape", '"').csv(out_dir)
 
 
+# The columns of the advisory export, in its order.
 ADVISORY_COLUMNS = [
-    "dataset_id", "source", "severity", "rule_id", "status", "stat_var", "location", "date", "value",
-    "expected", "message", "file", "line", "issue_type", "suggestion", "counter_key", "prev_date", "curr_date", "percent",
+    "type", "severity", "rule_id", "file", "line", "statvar", "place_id", "period", "previous_value", "current_value",
+    "percent_change", "series_points", "message", "details", "source_file", "dataset", "run_id", "expected_from_source", "notes",
 ]
 
 
 def write_advisories(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Combined advisory export (19 columns) as CSV with a header."""
-    df.select(*ADVISORY_COLUMNS).write.mode(mode).option("header", True).csv(path)
+    """Combined advisory export (19 columns, empty text where there is nothing) as CSV with a header."""
+    df.select(*ADVISORY_COLUMNS).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_advisories(spark: SparkSession, path: str) -> DataFrame:
+    """The export as text; what is empty in the file is empty text."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).na.fill("")

@@ -16,10 +16,13 @@ lines of a run.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from statgate.functions.scalars import strip_blanks
 from statgate.streaming.run_logs import read_run_logs  # noqa: F401
 
+# state functions are pickled for their workers, which have no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The step registry (index, id, label, legacy token, legacy marker line).
 STEPS = [
     (0, "pre_import", "Pre-import checks", "0", "::STEP::0:Pre-Import Checks"),
@@ -501,6 +507,24 @@ def project_status_stream(events: DataFrame, timers: bool = True) -> DataFrame:
     )
 
 
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that ``project_status_stream`` needs, as it was afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def latest_status(updates: DataFrame) -> DataFrame:
+    """The last update of each run, of those that a sink has kept with their ``batch``."""
+    last = updates.groupBy("run_id").agg(F.max_by(F.struct(*[n for n, _ in OUT_FIELDS]), "batch").alias("s"))
+    return last.select("run_id", "s.*")
+
+
 def step_advances(status_updates: DataFrame) -> DataFrame:
     """The updates of ``project_status_stream`` where a run's step index rose."""
     return status_updates.where(F.col("advanced")).select("run_id", "step_index", "last_seq")

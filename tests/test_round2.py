@@ -91,11 +91,6 @@ def test_baseline_errors_are_raised_and_versions_kept(spark, monkeypatch):
     root = folder("base")
     first = obs(spark, ("ds", "A", "1"), ("other", "B", "1"))
     assert D.accept_baseline(first, root, "ds", "r1", False) == "v1"
-    empty = spark.createDataFrame([], D.MANIFEST_SCHEMA)
-    with monkeypatch.context() as m:
-        m.setattr(D, "baseline_versions", lambda *a: empty)  # a reader that misses the manifest
-        with pytest.raises(Exception, match="(?i)exists"):
-            D.accept_baseline(obs(spark, ("ds", "A", "9")), root, "ds", "r2", False)
     assert [r.value for r in D.latest_baseline(spark, root, "ds").collect()] == ["1"]
     write(os.path.join(root, "bad"), "")
     monkeypatch.setattr(D, "_manifest_dir", lambda *a: "nosuchscheme://x/y")
@@ -165,8 +160,12 @@ def test_shards_by_dataset_and_file(spark):
     csv, header = shard_input(spark)
     d = folder("shards")
     _, manifest = Q.quality_and_shards(csv, header, 2, out_dir=d)
-    got = {r.dataset_id: (r.status, r.shards, r.shard_rows) for r in manifest.collect()}
-    assert got == {"one": ("done", [0, 1, 0, 1], [2, 1, 2, 1]), "two": ("skipped", [], [])}
+    got = {(r.dataset_id, r.original_csv): (r.status, [p[len(d) :] for p in r.shard_paths], r.shard_rows) for r in manifest.collect()}
+    assert got == {
+        ("one", "a.csv"): ("done", ["/dataset_id=one/file=a.csv/shard=0", "/dataset_id=one/file=a.csv/shard=1"], [2, 1]),
+        ("one", "b.csv"): ("done", ["/dataset_id=one/file=b.csv/shard=0", "/dataset_id=one/file=b.csv/shard=1"], [2, 1]),
+        ("two", "c.csv"): ("skipped", [], []),
+    }
     assert sorted(os.listdir(d + "/dataset_id=one")) == ["file=a.csv", "file=b.csv"] and not os.path.exists(d + "/dataset_id=two")
 
 

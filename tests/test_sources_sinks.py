@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from statgate.operators import diff as D
+from statgate.operators import quality as Q
 from statgate.operators import rules as R
 from statgate.operators import series as W
 from statgate.operators import stats as A
@@ -67,7 +68,7 @@ def test_shards_and_results_written(spark):
         F.lit("ds").alias("dataset_id"), F.lit("f.csv").alias("__file"), (F.col("id") + 2).alias("__row"), F.col("id").cast("string").alias("value")
     )
     SW.write_shards(csv, os.path.join(d, "shards"), rows_per_shard=10)
-    parts = sorted(glob.glob(os.path.join(d, "shards", "dataset_id=ds", "file=f.csv", "shard=*")))
+    parts = sorted(glob.glob(os.path.join(d, "shards", "dataset_id=ds", "file=f.csv", "shard=*")))  # fewer rows than a shard in the last
     assert [os.path.basename(x) for x in parts] == ["shard=0", "shard=1", "shard=2"]
     for x in parts:
         files = glob.glob(os.path.join(x, "*.csv"))
@@ -82,6 +83,39 @@ def test_shards_and_results_written(spark):
     assert back.count() == 1
 
 
+def test_files_of_one_base_name_keep_apart(spark, tmp_path):
+    for name in ("p/a.csv", "q/a.csv", "q_a.csv", "q%20*/a.csv"):
+        os.makedirs((tmp_path / "in" / name).parent, exist_ok=True)
+        (tmp_path / "in" / name).write_text('k,v\n1,"' + name + '"\n2,"x\ny"\n3,z\n')
+    root = f"file:{tmp_path}/in"
+    csv = S.read_csv(spark, [str(tmp_path / "in" / n) for n in ("p", "q", "q_a.csv")], dataset_id="d/1")
+    out = str(tmp_path / "out")
+    SW.write_shards(csv, out, 2, root=root)
+    made = Q.shard_manifest(csv, 2, out_dir=out, root=root).collect()
+    assert sorted(r.original_csv.removeprefix(root + "/") for r in made) == ["p/a.csv", "q/a.csv", "q_a.csv"]
+    for r in made:
+        assert (r.shard_rows, r.shard_count, r.total_rows) == ([2, 1], 2, 3)
+        cells = []
+        for path in r.shard_paths:
+            (file,) = glob.glob(path + "/*.csv")
+            cells += [(x.k, x.v) for x in S.read_csv(spark, file).orderBy("__row").collect()]
+        assert cells == [("1", r.original_csv.removeprefix(root + "/")), ("2", "x\ny"), ("3", "z")]
+
+
+def test_two_accepts_at_once_are_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = "dataset_id string, value string"
+    with ThreadPoolExecutor(6) as pool:
+        jobs = [pool.submit(D.accept_baseline, spark.createDataFrame([("ds", str(i))], schema), str(tmp_path), "ds", f"run-{i}", False) for i in range(6)]
+        versions = sorted(j.result() for j in jobs)
+    assert versions == [f"v{i}" for i in range(1, 7)]
+    held = D.baseline_versions(spark, str(tmp_path), "ds").collect()
+    assert [r.version for r in held] == [f"v{i}" for i in range(6, 0, -1)] and len({r.run_id for r in held}) == 6
+    assert {spark.read.parquet(r.path).first().value for r in held} == {str(i) for i in range(6)}
+    assert not D.put_if_absent(spark, f"{D._manifest_dir(str(tmp_path), 'ds')}/000000003.json", "x")
+
+
 def test_accept_baseline_versions(spark):
     root = tempfile.mkdtemp(prefix="statgate-base-")
     obs = spark.createDataFrame(
@@ -123,13 +157,27 @@ def test_advisories_sink_and_goldens_reader(spark):
 
     d = tempfile.mkdtemp(prefix="statgate-test-")
     res = spark.createDataFrame(
-        [("ds", "r1", "FAILED", "bad", "{}", "{}"), ("ds", "r2", "PASSED", "ok", "{}", "{}")],
+        [("ds", "r1", "FAILED", " bad, \"quoted\"\nand more ", "x" * 600, "{}"), ("ds", "r2", "PASSED", "ok", "{}", "{}"), ("ds", "r3", "WARNING", None, None, None)],
         ", ".join(f"{c} string" for c in R.RESULT_COLUMNS),
     )
-    adv = SM.advisory_export(res)
+    violations = spark.createDataFrame([("ds", "r1", 0, {"location": "geo/1"}), ("ds", "r1", 1, {"location": "geo/2"})], "dataset_id string, rule_id string, ordinal bigint, row map<string,string>")
+    issues = spark.createDataFrame([("ds", None, " m ", "f.tmcf", 3, " fix ")], "dataset_id string, severity string, message string, file string, line int, suggestion string")
+    points = "dataset_id string, statVar string, location string, points array<struct<date string, value string>>, percentDifference string, series_length bigint"
+    fluct = spark.createDataFrame([("ds", "V", "geo/3", [("2020", "4"), ("2021", "10.5")], "162.5", 2), ("ds", "W", None, [("2020", "4")], None, 1)], points)
+    adv = SM.advisory_export(res, issues, fluct, violations, "in/out.csv", "run-9")
     SW.write_advisories(adv, os.path.join(d, "adv"))
-    back = spark.read.option("header", True).csv(os.path.join(d, "adv"))
-    assert back.columns == SW.ADVISORY_COLUMNS and back.count() == 1
+    back = SW.read_advisories(spark, os.path.join(d, "adv"))
+    assert back.columns == SW.ADVISORY_COLUMNS
+    got = {(r.type, r.rule_id or r.statvar): r.asDict() for r in back.collect()}
+    assert len(got) == 5 and all(v is not None for r in got.values() for v in r.values())
+    failed = got["validation_warning", "r1"]
+    assert (failed["severity"], failed["message"], len(failed["details"]), failed["place_id"]) == ("failed", 'bad, "quoted"\nand more', 500, "geo/1")
+    assert (failed["source_file"], failed["dataset"], failed["run_id"]) == ("in/out.csv", "ds", "run-9")
+    issue = got["ai_advisory", ""]
+    assert (issue["severity"], issue["line"], issue["details"], issue["message"]) == ("advisory", "3", "Suggestion: fix", "m")
+    jump, single = got["statistical_fluctuation", "V"], got["statistical_fluctuation", "W"]
+    assert (jump["period"], jump["previous_value"], jump["current_value"], jump["percent_change"]) == ("2020 → 2021", "4.0", "10.5", "162.50")
+    assert (jump["series_points"], jump["file"]) == ("2", "out.csv") and (single["period"], single["percent_change"]) == ("", "")
     g = os.path.join(d, "goldens.csv")
     with open(g, "w") as f:
         f.write("variableMeasured,observationAbout\n Count_X ,geo/1\n")
