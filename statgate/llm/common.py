@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,18 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def kept_names(keep: Sequence[str], results: Sequence[str]) -> dict[str, str]:
+    """Names of kept columns beside ``results``: one that a result has gets underscores before it."""
+    taken, out = {r.lower() for r in results}, {}
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out[c] = name
+    return out
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores before it until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

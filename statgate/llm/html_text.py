@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statgate.llm.common import kept_names
+
 LABELLED_PAGES, LABELLED_CHARS = 2000, 1 << 16  # pages that weights are counted on, at most, and their length
 
 #: HTML elements by their role.
@@ -33,8 +35,16 @@ INLINE = {
 }
 TEXT = {*INLINE, "p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt"}
 BOILERPLATE = {
-    "head", "title", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "svg",
-    "object", "canvas", "audio", "video", *RAW,
+    "head", "title", "nav", "menu", "header", "footer", "aside", "button", "select", "option", "svg", "canvas", "audio", "video", *RAW,
+}
+#: Boilerplate too, unless the page's prose stands inside, as where one form is put around the whole page.
+WRAPPING = {"form", "fieldset", "dialog", "object"}
+#: Elements whose words are prose.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd"}
+#: Elements that text is laid out in; where no labelled page has them, they weigh as little as those of text.
+LAYOUT = {
+    "table", "caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "hr", "figure", "figcaption", "picture",
+    "source", "details", "summary", "div", "section", "main", "article", "address", "hgroup", "center",
 }
 #: Words of a class or id that mark boilerplate.
 BOILERPLATE_NAMES = {
@@ -96,29 +106,41 @@ class Elements:
     """The elements of a page in order, parents first; number 0 is the page itself."""
 
     def __init__(self):
-        self.parent, self.main, self.marked, self.words = [0], [False], [0.0], [0]
+        self.parent, self.main, self.marked, self.words, self.prose = [0], [False], [0.0], [0], [0]
         self.fixed = [False]  # boilerplate by element, its own or an ancestor's
+        self.wrapping = [False]
 
     def add(self, parent: int, name: str, attributes: str) -> int:
         self.parent.append(parent)
         self.fixed.append(self.fixed[parent] or name in BOILERPLATE)
         self.main.append(name in ("article", "main"))
         self.marked.append(_marked(name, attributes))
+        self.wrapping.append(name in WRAPPING)
         self.words.append(0)
+        self.prose.append(0)
         return len(self.parent) - 1
 
+    def _within(self, own: list[int]) -> list[int]:
+        """Per element, the words of it and all it holds, without those of boilerplate elements."""
+        words = [0 if fixed else n for n, fixed in zip(own, self.fixed, strict=True)]
+        for i in range(len(words) - 1, 0, -1):
+            words[self.parent[i]] += words[i]
+        return words
+
     def boilerplate(self) -> list[bool]:
         """Per element, whether it is boilerplate, itself or by an ancestor.
 
-        A mark does not hold for an element with nearly all words of the page.
-        Where all <article> and <main> lie in marked elements, they end the mark.
+        A mark does not hold for an element with nearly all words of the page,
+        nor is a form boilerplate that has nearly all of its prose. Where all
+        <article> and <main> lie in marked elements, they end the mark.
         """
-        if not any(self.marked):
+        if not any(self.marked) and not any(self.wrapping):
             return self.fixed
-        words = [0 if fixed else n for n, fixed in zip(self.words, self.fixed, strict=True)]
-        for i in range(len(words) - 1, 0, -1):
-            words[self.parent[i]] += words[i]
+        words, prose = self._within(self.words), self._within(self.prose)
         marked = [m > 0 and (n == 0 or n < m * words[0]) for m, n in zip(self.marked, words, strict=True)]
+        for i, wrapping in enumerate(self.wrapping):
+            if wrapping and (prose[i] == 0 or prose[i] < WRAPPER_SHARE * prose[0]):
+                marked[i] = True
 
         def spread(ended: bool) -> list[bool]:
             out = [False]
@@ -148,7 +170,9 @@ def _items(page: str, elements: Elements) -> Iterator[tuple[int, str, str, int]]
 
     def words(text: str) -> tuple[int, str, str, int]:
         number, key = stack[-1][1:] if stack else (0, "")
-        elements.words[number] += len(text.split())
+        n = len(text.split())
+        elements.words[number] += n
+        elements.prose[number] += n * (key in PROSE)
         return WORD, key, text, number
 
     while (m := TOKEN.search(page, at)) is not None:
@@ -245,6 +269,11 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most:
     return weights(Counter({r["key"]: r["inside"] for r in rows}), Counter({r["key"]: r["outside"] for r in rows}))
 
 
+def _unseen(tag: str) -> float:
+    """The weight of a tag that no labelled page has, by its kind."""
+    return DEFAULT_TEXT_TAG if tag.lstrip("/") in TEXT | LAYOUT else DEFAULT_TAG
+
+
 def best_region(scores: Iterable[float]) -> tuple[int, int]:
     """[start, end) of the contiguous run with the highest positive sum, the first of equals; (0, 0) if no score is positive."""
     best, region, sum_, start = 0.0, (0, 0), 0.0, 0
@@ -260,10 +289,9 @@ def best_region(scores: Iterable[float]) -> tuple[int, int]:
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The main text: blocks joined by line ends, references decoded, white space within a block as single spaces."""
     sequence = list(items(page or ""))
+    # what is boilerplate counts for nothing, so neither a menu nor a block of adverts amid the text parts it
     scores = [
-        (0.0 if boilerplate else len(text.split()) * weight.get(key, DEFAULT_WORD))
-        if kind == WORD
-        else weight.get(f"<{key}", DEFAULT_TEXT_TAG if key.lstrip("/") in TEXT else DEFAULT_TAG)
+        0.0 if boilerplate else len(text.split()) * weight.get(key, DEFAULT_WORD) if kind == WORD else weight.get(f"<{key}", _unseen(key))
         for kind, key, text, boilerplate in sequence
     ]
     start, end = best_region(scores)
@@ -286,9 +314,12 @@ def extract(
     """Per row of ``pages``: the columns ``keep`` and the main text of the whole page.
 
     Null or empty html, and pages without words, give an empty text. Repeated
-    rows are extracted each; an empty table gives an empty result.
+    rows are extracted each; an empty table gives an empty result. A long page
+    is read whole, in time linear in its length. A kept column named like the
+    text gets underscores before it.
     """
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string"))
+    names = kept_names(keep, [text_col])
+    rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{html_col}`").cast("string"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(text_col, T.StringType())])
 
     def run(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statgate.llm.common import cut, text_of
+from statgate.llm.common import cut, kept_names, text_of
 
 THRESHOLD = 0.6
 FILE_SHARE = 0.25
@@ -129,12 +129,14 @@ def scan(
     ``none``. Of a directory's licence files the highest score counts, then
     the first license by name. Null text is empty; a null path lies in the
     root; repeated rows are rows of their own; an empty table gives an empty
-    result.
+    result. A kept column with the name of a result gets underscores before it.
     """
+    names = kept_names(keep, ["path", "license", "how", "score", "from_dir"])
+    held = [f"keep_{i}" for i in range(len(keep))]  # beside this function's own columns
     frequency, documents = document_frequencies(files, text_col, {t for x in templates.values() for t in terms(x)})
     matcher = Matcher(templates, frequency, documents)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    rows = files.select(*[F.col(f"`{c}`") for c in keep], path.alias("path"), text_of(text_col).alias("text"))
+    rows = files.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held, strict=True)], path.alias("path"), text_of(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -170,7 +172,7 @@ def scan(
     out = marked.join(nearest, "dir", "left")
     own = F.col("own").isNotNull()
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(h).alias(n) for h, n in zip(held, names.values(), strict=True)],
         "path",
         F.coalesce("own", "license").alias("license"),
         F.when(own, "own").when(F.col("license").isNotNull(), "inherited").otherwise("none").alias("how"),

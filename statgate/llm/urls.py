@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statgate.llm.common import cut
+from statgate.llm.common import cut, kept_names
 
 KEYS_PER_BLOCK = 24  # 512 bits for 24 keys
 MAX_BLOCKS = 1 << 20
@@ -96,7 +96,12 @@ def judge(
     the longer host, then ``block``. ``rule`` is its host and path, null where
     no rule fits and the verdict is ``default``. Repeated rows are judged each;
     repeated rules count once; rules with a null host, path or verdict are none.
+    Without rules every row has the default, an empty table gives no rows, and
+    a long url is read whole. A kept column with the name of a result gets
+    underscores before it.
     """
+    names = kept_names(keep, ["host", "path", "rule", "verdict"])
+    held = [f"keep_{i}" for i in range(len(keep))]  # beside this function's own columns
     listed = cut(
         rules.where("host is not null and host <> '' and path is not null and verdict is not null")
         .groupBy(F.concat_ws("\t", "host", "path").alias("key"))
@@ -107,7 +112,7 @@ def judge(
     dots = sorted(r[0] for r in listed.select(F.regexp_count(listed_host, F.lit("[.]"))).distinct().collect())
     words = urls.sparkSession.sparkContext.broadcast(build_filter(listed))
     host, path = parts(F.col(url_col))
-    rows = urls.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
+    rows = urls.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held, strict=True)], host.alias("host"), path.alias("path"))
     hits = "hits"
     schema = T.StructType([*rows.schema.fields, T.StructField(hits, T.ArrayType(T.StringType()))])
 
@@ -123,7 +128,7 @@ def judge(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(possible, pa.list_(pa.string()))], names=schema.names)
 
     tested = rows.mapInArrow(run, schema)
-    columns = [*[F.col(f"`{c}`") for c in keep], F.col("host"), F.col("path")]
+    columns = [*[F.col(h) for h in held], F.col("host"), F.col("path")]
     passed = tested.where(F.size(hits) == 0).select(
         *columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
     )
@@ -136,4 +141,4 @@ def judge(
         .agg(F.max(F.when(F.col("rule_verdict").isNotNull(), order)).alias("best"))
         .select(*columns, F.replace(F.col("best.key"), F.lit("\t"), F.lit("")).alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
     )
-    return passed.unionByName(best)
+    return passed.unionByName(best).withColumnsRenamed(dict(zip(held, names.values(), strict=True)))
