@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statgate.llm.common import cut, text_of
+from statgate.llm.merkle import numbered
 
 BUCKETS = 2048
 DRIVER_ROWS = 1 << 16  # sums that reach the driver in one pass
@@ -30,10 +31,16 @@ DIMENSIONS = ("size", "source_code", "lang_code")
 TIES = ("text_crc32", "id_hash", "row")
 
 
-def _code(col: str) -> Column:
-    """The first seven bytes of a string as a number, in the string's order; null comes first."""
-    digits = F.rpad(F.hex(F.substring(F.col(col).cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def _with_code(base: DataFrame, value: str, code: str) -> DataFrame:
+    """``base`` with the rank of the string ``value`` among its distinct values as ``code``, null first; ``value`` goes.
+
+    Ranks come from the whole strings, however long they agree, and from as
+    many tasks as the values fill (``numbered``).
+    """
+    values = base.where(F.col(value).isNotNull()).select(F.lit("").alias("tree"), F.col(value).alias("value")).distinct()
+    ranks = numbered(values, ["value"]).select("value", F.col("pos").alias("rank"))
+    ranked = base.join(ranks, F.col(value) == F.col("value"), "left")
+    return ranked.withColumn(code, F.coalesce("rank", F.lit(-1).cast("long"))).drop("value", "rank", value)
 
 
 @dataclass
@@ -192,11 +199,12 @@ def shard(
 
     Either the number of shards or their target size in bytes is given. Size:
     UTF-8 bytes of the text (null: none) plus 16. Shards differ in size by
-    little more than a row; slots are gapless from 0, in order of id hash and
-    row. Null ids and metadata are values like any other, repeated rows are
-    rows of their own, and an empty table gives an empty result. The law is
-    ``bytes``: what another shard would change is not fixed, so grown_shard is
-    null. Other columns are ignored.
+    little more than a row; slots are gapless from 0, in no order that means
+    anything. Null ids and metadata are values like any other, repeated rows
+    are rows of their own, and an empty table gives an empty result. A long
+    text counts by its bytes; where one is larger than a shard, its shard is.
+    The law is ``bytes``: what another shard would change is not fixed, so
+    grown_shard is null. Other columns are ignored, whatever their names.
     """
     text = text_of(text_col).cast("binary")
     base = cut(
@@ -204,12 +212,13 @@ def shard(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            _code(source_col).alias("source_code"),
-            _code(lang_col).alias("lang_code"),
+            F.col(source_col).cast("string").alias("source_value"),
+            F.col(lang_col).cast("string").alias("lang_value"),
             F.shiftrightunsigned(F.xxhash64(id_col), 2).alias("id_hash"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
+    base = _with_code(_with_code(base, "source_value", "source_code"), "lang_value", "lang_code")
     if shards is None:
         total = base.agg(F.sum("size")).first()[0] or 0
         shards = max(1, round(total / target_bytes))
@@ -222,7 +231,7 @@ def shard(
     placed = base.withColumn("shard", F.get(F.lit(shard_of).cast("array<int>"), F.col("node")))
     placed = placed.select(
         "doc_id", "size", "text_crc32", "id_hash", "row", "shard",
-        F.expr(f"id_hash div {2**62 // groups + 1}L").cast("int").alias("part"),
+        F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("part"),  # not by id: a third of all rows may share one
     )
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
