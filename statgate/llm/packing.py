@@ -3,11 +3,11 @@
 Pieces stream past a packer that holds a fixed number of open bins in a bitset
 keyed by free space: one shift and one lowest-set-bit find the tightest bin
 that takes the next piece. When all bins are open and none fits, the fullest
-closes first. Tasks take equal random shares of the pieces, longest first, and
-pack them on their own. Longest first, all long pieces open bins before any
-short one comes, so a task may hold as many bins open as its share has pieces
-and none closes early; a share holds enough pieces for the loss at its end, a
-few partly filled bins, not to matter.
+closes first. Tasks take equal random shares of the pieces, in the order of a
+hash, and pack them on their own as they come: in a random order short pieces
+are always about to come, so the fullest of many open bins has little left to
+gain and closing it costs little. A share holds enough pieces for the loss at
+its end, a few partly filled bins, not to matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from statgate.llm import bpe
 from statgate.llm.common import cut, free_name
 
 SHARE = 32_768  # pieces a task packs
-OPEN_BINS = SHARE
+OPEN_BINS = 1024
 
 
 class Packer:
@@ -116,7 +116,7 @@ def pack(items: DataFrame, capacity: int, length_col: str = "length", open_bins:
         .repartition(tasks, F.xxhash64(number))
         .withColumn("sequence_id", F.spark_partition_id().cast("long") * F.lit(1 << 32))
         .withColumn("offset", F.lit(0).cast("long"))
-        .sortWithinPartitions(F.desc(length_col), number)
+        .sortWithinPartitions(F.xxhash64(number))
         .drop(number)
     )
     length_at = shares.columns.index(length_col)
