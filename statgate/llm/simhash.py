@@ -27,6 +27,7 @@ from statgate.llm.components import components
 BITS = 64
 SEED = 42
 PIECE = 1 << 16  # shingles hashed at a time
+HOT = 4096  # a fingerprint of more than this part of all rows is hot
 SMALL = 24  # buckets up to this size are compared by shifted copies, all at once
 
 _OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -174,14 +175,22 @@ def near_groups(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc
     marked = cut(fingerprints(docs, shingle, id_col, text_col))
     # A number of partitions that adaptive execution does not lower: every row becomes 64 below.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cut(marked.repartition(parts, "fp").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    combined = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    distinct = cut(combined.repartition(parts, "fp"))
     roots = cut(components(near_links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root"))
     least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("linked"))
     of_fp = roots.join(least, "root").select("fp", "root", "linked")
-    component = distinct.join(of_fp, "fp", "left").select(
-        "fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    component = cut(
+        distinct.join(of_fp, "fp", "left").select(
+            "fp", "n", F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
+        )
     )
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id", "root")
+    # Fewer than HOT fingerprints have more than a share of 1 / HOT of the rows: they go to the rows, which stay where they are.
+    rows = component.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(component.where(F.col("n") * HOT > rows).drop("n"))
+    cold = component.where(F.col("n") * HOT <= rows).drop("n")
+    rest = marked.join(hot.select("fp"), "fp", "left_anti")
+    return marked.join(hot, "fp").unionByName(rest.join(cold, "fp")).select("doc_id", "fp", "component_id", "root")
 
 
 def hex_of(fp: str = "fp"):
