@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from statgate.operators import rules as R
 from statgate.operators import series as W
@@ -231,6 +232,41 @@ def q_signals(spark, sf):
     return W.series_signals(TV.obs_orders(spark, sf))
 
 
+def _varied(sql: str) -> str:
+    """An oracle over obs_orders, over the varied orders instead."""
+    head = TV.duckdb_with("obs_orders")
+    assert sql.startswith(head)
+    return head.rstrip() + ",\nobs_orders_varied AS (" + TV.DUCKDB_VIEWS["obs_orders_varied"] + ")\n" + sql[len(head) :].replace("obs_orders", "obs_orders_varied")
+
+
+@register("series_signals_varied", lambda: _varied(_signals_sql()))
+def q_signals_varied(spark, sf):
+    return W.series_signals(TV.obs_orders_varied(spark, sf))
+
+
+def _holes_varied_sql() -> str:
+    h = "datediff('day', from_d, d)"
+    months = "((year(d) - year(from_d)) * 12 + month(d) - month(from_d))"
+    body = (
+        TV.duckdb_with("obs_orders")
+        + f""", pts AS ({dpoints('obs_orders')}),
+p AS (SELECT {SERIES}, date, {dparse('date')} AS d FROM pts),
+l AS (SELECT *, lag(date) OVER w AS from_date, lag(d) OVER w AS from_d FROM p WHERE d IS NOT NULL
+      WINDOW w AS (PARTITION BY {SERIES} ORDER BY d, date)),
+g AS (SELECT *, quantile_cont({h}, 0.5) OVER s AS med, count(*) OVER s AS n FROM l WHERE from_d IS NOT NULL WINDOW s AS (PARTITION BY {SERIES})),
+h AS (SELECT {SERIES}, from_date, date AS to_date,
+         CAST(CASE observationPeriod WHEN 'P1M' THEN {months} - 1 WHEN 'P3M' THEN ceil({months} / 3.0) - 1 WHEN 'P30D' THEN ceil({h} / 30.0) - 1
+              WHEN '' THEN CASE WHEN n >= 2 AND med > 0 THEN ceil({h} / med) - 1 END END AS BIGINT) AS missing FROM g)
+SELECT * FROM h WHERE missing > 0"""
+    )
+    return _varied(body)
+
+
+@register("data_holes_varied", _holes_varied_sql)
+def q_holes_varied(spark, sf):
+    return W.data_holes(TV.obs_orders_varied(spark, sf))
+
+
 def _holes_sql() -> str:
     return (
         TV.duckdb_with("obs_orders")
@@ -618,25 +654,34 @@ def q_lint_errors(spark, sf):
     return A.lint_errors(TV.lint_counters(spark, sf))
 
 
+def _by_type(spark, sf) -> DataFrame:
+    """The variable summary of events with each event type as a dataset."""
+    e = TV.obs_events(spark, sf)
+    return A.variable_summary(e.withColumn("dataset_id", F.lower(F.regexp_extract("variableMeasured", "([^_]*)$", 1))))
+
+
 @register(
     "counters_match",
-    lambda: TV.duckdb_with(*_LINT)
-    + f""", stats AS ({_stats_sql('obs_events')})
-SELECT dataset_id, true AS ok, 'SKIPPED' AS status, CAST(sum(NumObservations) AS BIGINT) AS actual, CAST(NULL AS BIGINT) AS expected
-FROM stats GROUP BY ALL""",
+    lambda: TV.duckdb_with("success_counters")
+    + """SELECT e.event_type AS dataset_id, any_value(c.count) IS NULL OR (TRY_CAST(any_value(c.count) AS BIGINT) IS NOT NULL AND TRY_CAST(any_value(c.count) AS BIGINT) = count(*)) AS ok,
+       CASE WHEN any_value(c.count) IS NULL THEN 'SKIPPED' WHEN TRY_CAST(any_value(c.count) AS BIGINT) IS NULL THEN 'ERROR'
+            WHEN TRY_CAST(any_value(c.count) AS BIGINT) = count(*) THEN 'OK' ELSE 'MISMATCH' END AS status,
+       count(*) AS actual, TRY_CAST(any_value(c.count) AS BIGINT) AS expected
+FROM events e LEFT JOIN success_counters c ON c.dataset_id = e.event_type AND c.counterKey = 'NumNodeSuccesses' AND c.count IS NOT NULL GROUP BY 1""",
 )
 def q_counters_match(spark, sf):
-    return A.counters_match(A.variable_summary(TV.obs_events(spark, sf)), TV.lint_counters(spark, sf))
+    return A.counters_match(_by_type(spark, sf), TV.success_counters(spark, sf))
 
 
 @register(
     "key_counters",
-    lambda: TV.duckdb_with(*_LINT)
-    + f""", stats AS ({_stats_sql('obs_events')})
-SELECT dataset_id, 'TotalObservations' AS name, CAST(sum(NumObservations) AS BIGINT) AS value FROM stats GROUP BY ALL""",
+    lambda: TV.duckdb_with("success_counters")
+    + """SELECT event_type AS dataset_id, 'TotalObservations' AS name, count(*) AS value FROM events GROUP BY 1
+UNION ALL SELECT dataset_id, counterKey, CAST(sum(CASE WHEN regexp_matches(count, '^[0-9]+$') THEN CAST(count AS BIGINT) END) AS BIGINT)
+FROM success_counters WHERE counterKey <> 'NumOther' AND count IS NOT NULL GROUP BY ALL""",
 )
 def q_key_counters(spark, sf):
-    return A.key_counters(A.variable_summary(TV.obs_events(spark, sf)), TV.lint_counters(spark, sf))
+    return A.key_counters(_by_type(spark, sf), TV.success_counters(spark, sf))
 
 
 @register(
@@ -1308,6 +1353,8 @@ def _review_summary_sql() -> str:
     head = head.rstrip().rstrip(",")
     res = _events_results_sql()
     res_cte = res[res.index("r AS (") :].rstrip()
+    fl = _fluct_sql().replace("\nSELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", ",\nfl AS (SELECT " + SERIES + ",\n       CASE WHEN pct > 500.0", 1)
+    issues = f"WITH nodes_parts AS ({TV.DUCKDB_VIEWS['nodes_parts']}) {_t1_t2_sql()} SELECT count(*) FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)"
     return (
         head
         + ",\nds AS (SELECT DISTINCT dataset_id FROM stats),\ngran AS (SELECT dataset_id, 0 AS n, NULL AS fmts FROM ds WHERE false),\n"
@@ -1315,9 +1362,9 @@ def _review_summary_sql() -> str:
         + """,
 smp AS (SELECT dataset_id FROM units UNION ALL SELECT dataset_id FROM latest UNION ALL SELECT dataset_id FROM refs UNION ALL SELECT dataset_id FROM lint)
 SELECT dataset_id, CAST(count(*) FILTER (WHERE status = 'FAILED') AS BIGINT) AS blockers, CAST(count(*) FILTER (WHERE status = 'WARNING') AS BIGINT) AS warnings,
-       CAST(count(*) FILTER (WHERE status = 'PASSED') AS BIGINT) AS passed, CAST(0 AS BIGINT) AS review_issues, CAST(0 AS BIGINT) AS fluctuation_anomalies,
+       CAST(count(*) FILTER (WHERE status = 'PASSED') AS BIGINT) AS passed, (@ISSUES) AS review_issues, (@JUMPS) AS fluctuation_anomalies,
        (SELECT CAST(count(*) AS BIGINT) FROM smp) AS rule_failures
-FROM res GROUP BY dataset_id"""
+FROM res GROUP BY dataset_id""".replace("@ISSUES", issues).replace("@JUMPS", fl + ") SELECT count(*) FROM fl")
     )
 
 
@@ -1326,7 +1373,10 @@ def q_review_summary(spark, sf):
     tables = events_tables(spark, sf)
     made = events_outcome(spark, sf, tables=tables)
     samples = S.expand_units(S.failure_samples(made.results, made.violations), tables["stats"])  # F2 fills samples, it adds none
-    return S.review_summary(made.results, None, None, samples)
+    n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
+    issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr)).withColumn("dataset_id", F.lit("events"))
+    jumps = W.fluctuations(TV.obs_orders(spark, sf)).withColumn("dataset_id", F.lit("events"))  # of one run, as its review shows them
+    return S.review_summary(made.results, issues, jumps, samples)
 
 
 def _validate_many_sql() -> str:
@@ -1507,3 +1557,94 @@ def q_status_stream(spark, sf):
 def q_step_advances(spark, sf):
     # The last advance of a run is its step
     return P.step_advances(_status_stream(spark, sf)).groupBy("run_id").agg(F.max("step_index").alias("step_index"))
+
+
+#: rules whose bounds some variables break, one of them scoped by name
+BOUND_RULES = [
+    {"rule_id": "low", "validator": "MIN_VALUE_CHECK", "params": {"minimum": 0.5}},
+    {"rule_id": "high", "validator": "MAX_VALUE_CHECK", "params": {"maximum": 100}, "scope": {"variables": {"contains_all": ["Event", "i"]}}},
+    {"rule_id": "few", "validator": "NUM_OBSERVATIONS_CHECK", "params": {"minimum": 2000}},
+    {"rule_id": "few_places", "validator": "NUM_PLACES_COUNT", "params": {"minimum": 1000000}},
+    {"rule_id": "never", "validator": "MAX_VALUE_CHECK", "params": {"maximum": 0}, "scope": {"variables": {"contains_all": ["Nowhere"]}}},
+]
+
+
+def _bounds_sql() -> str:
+    found = [("low", "actual_min_value", "MinValue", "MinValue < 0.5"), ("high", "actual_max_value", "MaxValue", "MaxValue > 100 AND contains(StatVar, 'Event') AND contains(StatVar, 'i')"),
+             ("few", "actual_num_observations", "NumObservations", "NumObservations < 2000"), ("few_places", "actual_num_places", "NumPlaces", "NumPlaces < 1000000")]
+    return (
+        TV.duckdb_with("obs_events")
+        + f", stats AS ({_stats_sql('obs_events')}),\nv AS ("
+        + " UNION ALL ".join(f"SELECT dataset_id, '{r}' AS rule_id, StatVar AS stat_var, '{n}' AS cell, CAST({c} AS DOUBLE) AS value FROM stats WHERE {w}" for r, n, c, w in found)
+        + """)
+"""
+    )
+
+
+@register(
+    "rule_violations_events",
+    lambda: _bounds_sql() + "SELECT *, row_number() OVER (PARTITION BY dataset_id, rule_id ORDER BY stat_var) - 1 AS ordinal FROM v",
+)
+def q_violations(spark, sf):
+    found = R.evaluate(events_tables(spark, sf), BOUND_RULES).violations
+    other = F.map_filter("row", lambda k, v: k != "stat_var")
+    return found.select(
+        "dataset_id", "rule_id", F.col("row")["stat_var"].alias("stat_var"), F.map_keys(other)[0].alias("cell"),
+        F.map_values(other)[0].cast("double").alias("value"), "ordinal",
+    )
+
+
+@register(
+    "rule_bounds_events",
+    lambda: _bounds_sql()
+    + """, c AS (SELECT d.dataset_id, r.rule_id, words, (SELECT count(*) FROM v WHERE v.rule_id = r.rule_id) AS n FROM (SELECT DISTINCT dataset_id FROM stats) d,
+     (VALUES ('low', 'with MinValue below 0.5'), ('high', 'with MaxValue above 100'), ('few', 'with fewer than 2000 observations'),
+             ('few_places', 'with fewer than 1000000 places'), ('never', 'with MaxValue above 0')) r(rule_id, words))
+SELECT dataset_id, rule_id AS validation_name, CASE WHEN n > 0 THEN 'FAILED' ELSE 'PASSED' END AS status,
+       CASE WHEN n = 0 THEN 'No StatVar ' || words || '.' ELSE 'Found ' || n || CASE WHEN n = 1 THEN ' StatVar ' ELSE ' StatVars ' END || words || '.' END AS message,
+       '{"violations":' || n || ',"violations_of":"' || rule_id || '"}' AS details FROM c""",
+)
+def q_rule_bounds(spark, sf):
+    return R.run_rules(events_tables(spark, sf), BOUND_RULES).select("dataset_id", "validation_name", "status", "message", "details")
+
+
+def _span_rule():
+    """V1's kin as a user would write it: fails a dataset whose values span more than a limit."""
+
+    class Span:
+        @staticmethod
+        def analyze(table, params):
+            from pyspark.sql.types import StringType, StructField, StructType
+            from pyspark.sql.udtf import AnalyzeResult
+
+            return AnalyzeResult(StructType([StructField(c, StringType()) for c in ("dataset_id", "status", "message", "details")]))
+
+        def __init__(self):
+            self.of, self.low, self.high, self.limit = None, None, None, 0.0
+
+        def eval(self, row, params):
+            import json
+
+            self.of, self.limit = row["dataset_id"], json.loads(params)["limit"]
+            self.low = row["MinValue"] if self.low is None else min(self.low, row["MinValue"])
+            self.high = row["MaxValue"] if self.high is None else max(self.high, row["MaxValue"])
+
+        def terminate(self):
+            yield self.of, "FAILED" if self.high - self.low > self.limit else "PASSED", f"{self.low} to {self.high}", None
+
+    return udtf(Span)
+
+
+@register(
+    "user_rule_events",
+    lambda: TV.duckdb_with("obs_events")
+    + f""", stats AS ({_stats_sql('obs_events')})
+SELECT dataset_id, 'span' AS validation_name, CASE WHEN max(MaxValue) - min(MinValue) > 10 THEN 'FAILED' ELSE 'PASSED' END AS status,
+       min(MinValue) || ' to ' || max(MaxValue) AS message FROM stats GROUP BY 1
+UNION ALL SELECT DISTINCT dataset_id, 'other', 'WARNING', 'Unknown custom validator: statgate_no_such_rule' FROM stats""",
+)
+def q_user_rule(spark, sf):
+    # a validator registered in the session as a table function, called by its name, and one that nobody registered
+    spark.udtf.register("statgate_span_rule", _span_rule())
+    rules = [{"rule_id": "span", "validator": "statgate_span_rule", "params": {"limit": 10}}, {"rule_id": "other", "validator": "statgate_no_such_rule", "params": {}}]
+    return R.run_rules(events_tables(spark, sf), rules).select("dataset_id", "validation_name", "status", "message")

@@ -111,6 +111,44 @@ def obs_orders(spark: SparkSession, sf_dir: str, version: str | None = None) ->
     )
 
 
+#: observationPeriod of the varied orders, by the last letter of the variable: months, days, none (the median gap), as it is
+VARIED_PERIODS = {"T": "P3M", "H": "P30D", "M": "", "W": "P1M"}
+
+
+def obs_orders_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obs_orders with other periods, a change of unit and scale, and placeholders of zero or less, so every signal occurs.
+
+    A series lacks the months that are divisible by 3 in even years, reports
+    in another unit in odd months, and by nation starts from 0 or -1.
+    """
+    o = obs_orders(spark, sf_dir)
+    month, year = F.substring("observationDate", 6, 2).cast("int"), F.substring("observationDate", 1, 4).cast("int")
+    last = F.upper(F.substring("variableMeasured", -1, 1))
+    period = F.coalesce(*[F.when(last == k, F.lit(v)) for k, v in VARIED_PERIODS.items()], F.col("observationPeriod"))
+    odd = month % 2 == 1
+    by_nation = F.length("observationAbout") % 3
+    value = F.when(odd & (by_nation == 1), F.lit("0")).when(~odd & (by_nation == 2), F.lit("-1")).otherwise(F.col("value"))
+    return o.where(~((month % 3 == 0) & (year % 2 == 0))).withColumns(
+        {
+            "observationPeriod": period, "value": value, "unit": F.when(odd, F.lit("Thousand")).otherwise(F.lit("One")),
+            "scalingFactor": F.when(odd, F.lit("1000")).otherwise(F.lit("1")),
+        }
+    )
+
+
+def success_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success counters of a run per event type, each another dataset: right, one off, no number, missing, twice."""
+    n = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n"))
+    told = F.when(F.col("dataset_id") == "purchase", F.col("n").cast("string")).when(F.col("dataset_id") == "click", (F.col("n") + 1).cast("string"))
+    told = told.when(F.col("dataset_id") == "view", F.lit("n/a")).when(F.col("dataset_id") == "signup", F.col("n").cast("string"))
+    listed = [
+        ("LEVEL_INFO", "NumNodeSuccesses", told), ("LEVEL_INFO", "NumRowSuccesses", F.col("n").cast("string")),
+        ("LEVEL_WARNING", "NumRowSuccesses", F.lit("7")), ("LEVEL_INFO", "NumPVSuccesses", F.lit("x")), ("LEVEL_INFO", "NumOther", F.lit("1")),
+    ]
+    rows = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(k).alias("counterKey"), c.alias("count")) for a, k, c in listed])
+    return n.select("dataset_id", F.inline(rows)).where("count IS NOT NULL")
+
+
 def csv_lineitem(spark: SparkSession, sf_dir: str, numbered: bool = True, flawed: bool = False) -> DataFrame:
     """lineitem as a raw CSV: every cell a string, file order = sort by all columns.
 
@@ -415,6 +453,18 @@ SELECT 'run-' || user_id AS run_id, event_id AS seq,
   CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 AND event_id % 8 <> 0 THEN ['succeeded', 'failed', 'cancelled'][event_id % 3 + 1] END AS status,
   CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 AND event_id % 8 <> 0 THEN event_id % 3 END AS exit_code
 FROM events""",
+    "obs_orders_varied": """
+SELECT * REPLACE (CASE upper(right(variableMeasured, 1)) WHEN 'T' THEN 'P3M' WHEN 'H' THEN 'P30D' WHEN 'M' THEN '' WHEN 'W' THEN 'P1M' ELSE observationPeriod END AS observationPeriod,
+  CASE WHEN m % 2 = 1 AND length(observationAbout) % 3 = 1 THEN '0' WHEN m % 2 = 0 AND length(observationAbout) % 3 = 2 THEN '-1' ELSE value END AS value,
+  CASE WHEN m % 2 = 1 THEN 'Thousand' ELSE 'One' END AS unit, CASE WHEN m % 2 = 1 THEN '1000' ELSE '1' END AS scalingFactor)
+FROM (SELECT *, CAST(substr(observationDate, 6, 2) AS INTEGER) AS m FROM obs_orders)
+WHERE NOT (m % 3 = 0 AND CAST(substr(observationDate, 1, 4) AS INTEGER) % 2 = 0)""",
+    "success_counters": """
+SELECT dataset_id, unnest([{'level': 'LEVEL_INFO', 'counterKey': 'NumNodeSuccesses', 'count': CASE dataset_id WHEN 'purchase' THEN n::VARCHAR
+    WHEN 'click' THEN (n + 1)::VARCHAR WHEN 'view' THEN 'n/a' WHEN 'signup' THEN n::VARCHAR END},
+  {'level': 'LEVEL_INFO', 'counterKey': 'NumRowSuccesses', 'count': n::VARCHAR}, {'level': 'LEVEL_WARNING', 'counterKey': 'NumRowSuccesses', 'count': '7'},
+  {'level': 'LEVEL_INFO', 'counterKey': 'NumPVSuccesses', 'count': 'x'}, {'level': 'LEVEL_INFO', 'counterKey': 'NumOther', 'count': '1'}], recursive := true)
+FROM (SELECT event_type AS dataset_id, count(*) AS n FROM events GROUP BY 1)""",
     "lint_counters": """
 SELECT dataset_id, level, counterKey, CAST(count(*) AS VARCHAR) AS count FROM lint_entries GROUP BY ALL""",
 }
