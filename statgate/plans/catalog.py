@@ -476,10 +476,10 @@ def q_quality_details(spark, sf):
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents",
 )
 def q_csv_round_trip(spark, sf):
-    # Texts with quotes, commas and newlines written as one CSV file and read by its splits
+    # Texts with quotes, commas and newlines written as CSV files and read by their splits
     docs = TV.table(spark, sf, "documents").drop("__src")
     folder = scratch(spark, "documents-csv")
-    docs.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+    docs.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
     return SR.read_csv(spark, folder).select(*docs.columns)
 
 

@@ -37,6 +37,7 @@ from statgate.session import cut
 
 MALFORMED = "__malformed"
 FILES_PER_TASK = 256
+BROADCAST_SPLITS = 100_000  # rows of a path and five numbers; beyond it lines and splits are joined by a shuffle
 CHUNK = 1 << 16
 OPENABLE = ("", "file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 
@@ -243,6 +244,8 @@ def records(spark: SparkSession, paths) -> DataFrame:
     lines = _lines(spark, paths)
     ddl = "value string, __file string, __block long, line long, before long, after long, ends0 long, ends1 long"
     starts = cut(_split_starts(lines))  # a row per split, computed once
+    if starts.count() <= BROADCAST_SPLITS:  # the lines stay where they were read
+        starts = F.broadcast(starts)
     placed = lines.mapInArrow(_numbered_lines, ddl).join(starts, ["__file", "__block"])
     at = F.when(F.col("odd") == 0, F.col("ends0")).otherwise(F.col("ends1")) + F.col("earlier")
     spans = (F.col("before") != F.col("odd")) | (F.col("after") != F.col("odd"))
