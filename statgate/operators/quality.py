@@ -76,11 +76,15 @@ def empty_columns(csv: DataFrame, columns: list[str] | None = None) -> DataFrame
     )
 
 
-def row_key(cols: list[str]) -> Column:
-    """128-bit digest of the trimmed cells (missing cell = empty) in an unambiguous encoding, 16 bytes."""
-    cells = [F.coalesce(strip_blanks(F.col(f"`{c}`")), F.lit("")) for c in cols]
-    sized = [x for c in cells for x in (F.char_length(c).cast("string"), c)]  # each cell after its length
-    return F.unhex(F.md5(F.concat_ws(":", *sized)))
+KEY = ["__file", "__k1", "__k2"]
+
+
+def _keyed(csv: DataFrame, cols: list[str], at: Column) -> DataFrame:
+    """(__file, __k1, __k2, at): a 128-bit digest of each record's trimmed cells (missing cell = empty), which keeps cells apart."""
+    names = [f"__c{i}" for i in range(len(cols))]
+    cells = [F.coalesce(strip_blanks(F.col(f"`{c}`")), F.lit("")).alias(n) for c, n in zip(cols, names, strict=True)]
+    trimmed = csv.select("__file", at.alias("at"), *cells)
+    return trimmed.select("__file", F.xxhash64(*names).alias("__k1"), F.xxhash64(F.lit(1), *names).alias("__k2"), "at")
 
 
 def _first_duplicate(csv: DataFrame, columns: list[str] | None, order: str | None) -> DataFrame:
@@ -91,10 +95,14 @@ def _first_duplicate(csv: DataFrame, columns: list[str] | None, order: str | Non
     before they are shuffled.
     """
     cols = [c for c in _data_columns(csv, columns) if c != order]
-    keyed = csv.select("__file", row_key(cols).alias("__key"), F.col(order or "__row").alias("at"))
-    repeated = keyed.groupBy("__file", "__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    two = smallest_k(keyed.join(repeated, ["__file", "__key"], "left_semi"), ["__file", "__key"], "at", 2)
-    seconds = two.groupBy("__file", "__key").agg(F.max("at").alias("at"), (F.max("at") == F.min("at")).cast("int").alias("later"))
+    keyed = _keyed(csv, cols, F.col(order or "__row"))
+    repeated = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    if (few := cut(repeated)).count() <= PICKS_BROADCAST:  # the records stay where they were read
+        repeated = F.broadcast(few)
+    else:
+        repeated = few
+    two = smallest_k(keyed.join(repeated, KEY, "left_semi"), KEY, "at", 2)
+    seconds = two.groupBy(*KEY).agg(F.max("at").alias("at"), (F.max("at") == F.min("at")).cast("int").alias("later"))
     first = seconds.groupBy(F.col("__file").alias("file")).agg(F.min(F.struct("at", "later")).alias("s"))
     return first.select("file", "s.at", "s.later")
 
