@@ -1372,8 +1372,9 @@ def q_review_summary(spark, sf):
     made = events_outcome(spark, sf, tables=tables)
     samples = S.expand_units(S.failure_samples(made.results, made.violations), tables["stats"])  # F2 fills samples, it adds none
     n, hdr = TV.nodes_parts(spark, sf), _parts_headers(spark, sf)
-    issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr)).withColumn("dataset_id", F.lit("events"))
-    jumps = W.fluctuations(TV.obs_orders(spark, sf)).withColumn("dataset_id", F.lit("events"))  # of one run, as its review shows them
+    run = F.concat(F.substring("dataset_id", 1, 0), F.lit("events"))  # no literal, which would make the join on it one of all pairs
+    issues = T.column_refs_missing(n, hdr).unionByName(T.unused_columns(n, hdr)).withColumn("dataset_id", run)
+    jumps = W.fluctuations(TV.obs_orders(spark, sf)).withColumn("dataset_id", run)  # of one run, as its review shows them
     return S.review_summary(made.results, issues, jumps, samples)
 
 
