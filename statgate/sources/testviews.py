@@ -50,8 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tasks = spark.conf.get("statgate.scanPartitions", None)
     if not tasks:
         return df
-    # dealt by row number: without a key Spark would sort the rows first
-    return df.withColumn("__dealt", F.monotonically_increasing_id()).repartition(int(tasks), "__dealt").drop("__dealt")
+    # dealt by a hash of the row: without a key Spark would sort the rows first, and row numbers are no function of the row
+    return df.repartition(int(tasks), F.xxhash64(*[c for c in df.columns if c != "__src"]))
 
 
 def _cap_first(c):
