@@ -1513,6 +1513,15 @@ def q_accepted_baseline(spark, sf):
     return differ.join(versions, "dataset_id")
 
 
+@register("incremental_diff_orders", lambda: _diff_sql_body() + f"SELECT {_DKEY}, status FROM diff")
+def q_incremental_diff(spark, sf):
+    # D1 against an accepted version: only the buckets whose digest differs are read
+    root = scratch(spark, "baselines")
+    D.accept_baseline(TV.obs_orders(spark, sf, "baseline"), root, "orders", "run-1", blocked=False)
+    diff = D.incremental_diff(TV.obs_orders(spark, sf, "current"), root, "orders")
+    return diff.drop("n_old", "n_new")
+
+
 @register(
     "first_run_orders",
     lambda: TV.duckdb_with("obs_orders")
