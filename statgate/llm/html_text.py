@@ -44,7 +44,7 @@ PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd
 #: Elements that text is laid out in; where no labelled page has them, they weigh as little as those of text.
 LAYOUT = {
     "table", "caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "hr", "figure", "figcaption", "picture",
-    "source", "details", "summary", "div", "section", "main", "article", "address", "hgroup", "center",
+    "source", "details", "summary", "hgroup",
 }
 #: Words of a class or id that mark boilerplate.
 BOILERPLATE_NAMES = {
