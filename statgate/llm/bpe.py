@@ -3,10 +3,12 @@
 A merge list has a *sufficient lookahead*: a number of symbols such that every
 token ending that far before the end of what has been read can no longer
 change, whatever follows (``sufficient_lookahead`` derives it). Text is read
-in segments; words of ordinary length are merged together in numpy, all words
-of a segment at once, and remembered; words beyond ``LONG_WORD`` symbols pass
-through a sliding window that emits tokens as soon as they are stable. Memory
-is bounded by a segment, a window and the word table, not by the text.
+in segments, cut inside a word where there is no white space, and its symbols
+pass through one window (``stream``): the tokens of words that are closed
+there leave it, and so do those of the open last word that lie the lookahead
+before its end. As words don't influence each other, the tokens of a chunk
+that met before are remembered instead of sent through again. Memory is
+bounded by a segment, the window and the table of chunks, not by the text.
 
 Decoding feeds the bytes of each token to an incremental UTF-8 automaton, so
 ids can arrive in any portions.
@@ -32,13 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = 1 << 19  # characters read at a time
-LONG_WORD = 256  # symbols from which a word goes through the window
+PORTION = 1 << 16  # symbols that enter the window at a time
+HEAP_FROM = 256  # symbols from which a word in the window is merged with a heap, not in rounds with the others: the same tokens, without a round per merge
 TABLE_CHARS = 6_000_000  # characters of remembered chunks before the table is emptied
 NO_RANK = np.int32(2**31 - 1)
 #: Separators that str.split() knows and the tokenizer's \s does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Characters that every Unicode version of the last decade classes alike: Latin, Greek, Cyrillic, common marks, CJK, Hangul.
 SURE = regex.compile("[\0-\u0529\u2010-\u2027\u2030-\u205e\u20a0-\u20bd\u2190-\u23fa\u3000-\u3096\u309b-\u30ff\u4e00-\u9fd5\uac00-\ud7a3]*")
+#: A place inside white-space-free text where it may be cut: no composition and no contraction reaches over it, and the classes on both sides are sure.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fd5\uac00-\ud7a3"
+SIGNS = r"!-&(-/:-@\[-`{-~"
+CUT = regex.compile(f"[^']{{3}}[{LETTERS}{SIGNS}0-9](?=[{LETTERS}{SIGNS}0-9])")
+SAME = regex.compile(f"[{LETTERS}]{{2}}|[{SIGNS}]{{2}}")
 #: Class of each byte in a lower-cased chunk: letters (a-z and the Latin-1 letters, C3 xx), marks, the chunk separator, anything else.
 LETTER, MARK, SEPARATOR, OTHER = 0, 1, 2, 3
 PLAIN = np.full(256, OTHER, dtype=np.int8)
@@ -120,6 +128,7 @@ class Bpe:
                 raise ValueError("the merge list must build every token once and from earlier tokens")
             length[m], left_of[m] = length[a] + length[b], a
         self.length = length
+        self._length = np.array(length, dtype=np.int64)
         self.lookahead = sufficient_lookahead(pairs, left_of, length)
         self._hash_pairs()
 
@@ -174,6 +183,12 @@ class Bpe:
         """Merge many words at once; returns all tokens in order and their number per word."""
         word = np.repeat(np.arange(lengths.size), lengths)
         done_tokens, done_words = [], []
+        for i in np.flatnonzero(lengths >= HEAP_FROM).tolist():
+            done_tokens.append(np.array(self.merge_symbols(symbols[word == i].tolist()), dtype=np.int32))
+            done_words.append(np.full(done_tokens[-1].size, i))
+        if done_tokens:
+            short = lengths[word] < HEAP_FROM
+            symbols, word = symbols[short], word[short]
         while symbols.size:
             rank = np.full(symbols.size, NO_RANK, dtype=np.int32)
             same = word[:-1] == word[1:]
@@ -228,38 +243,51 @@ class Bpe:
                 heapq.heappush(heap, (r, p))
         return [t for t in token if t >= 0]
 
-    def stream_word(self, portions: Iterable[np.ndarray]) -> Iterator[list[int]]:
-        """Tokens of one word of any length whose symbols come in portions, the closing symbol last.
+    def stream(self, portions: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Symbols of any number of words, in portions with a flag at the last symbol of each word, to tokens with such flags.
 
-        Holds one window: what was read beyond the last stable token, never
-        more than a portion plus the lookahead and one token.
+        Holds one window: a portion and, of the word that is open at its end,
+        what was read beyond the last stable token, that is never more than
+        the lookahead and one token. The last word has to be closed.
         """
-        held: list[int] = []
-        for portion in portions:
-            held.extend(portion.tolist())
-            stable, tokens, used = len(held) - self.lookahead, [], 0
-            if stable <= 0:
-                continue
-            for token in self.merge_symbols(held):
-                if used + self.length[token] > stable:
-                    break
-                tokens.append(token)
-                used += self.length[token]
-            held = held[used:]
-            yield tokens
-        yield self.merge_symbols(held)
-
-    def _long_word(self, data: bytes) -> list[int]:
-        symbols = self.inner[np.frombuffer(data, dtype=np.uint8)]
-        symbols[-1] = self.last[data[-1]]
-        step = max(LONG_WORD, 2 * self.lookahead)
-        return [t for part in self.stream_word(symbols[i : i + step] for i in range(0, symbols.size, step)) for t in part]
+        held = np.empty(0, dtype=np.int32)
+        for symbols, ends in portions:
+            symbols = np.concatenate([held, symbols])
+            last = held.size + np.flatnonzero(ends)
+            closed = int(last[-1]) + 1 if last.size else 0
+            tokens, counts = self._merge_words(symbols[:closed], np.diff(last, prepend=-1))
+            closes = np.zeros(tokens.size, dtype=bool)
+            closes[np.cumsum(counts) - 1] = True
+            held = symbols[closed:]
+            stable = held.size - self.lookahead
+            if stable > 0:
+                merged = np.array(self.merge_symbols(held.tolist()), dtype=np.int32)
+                until = np.cumsum(self._length[merged])
+                n = int(np.searchsorted(until, stable, side="right"))
+                tokens, closes = np.concatenate([tokens, merged[:n]]), np.concatenate([closes, np.zeros(n, dtype=bool)])
+                held = held[until[n - 1] if n else 0 :]
+            if tokens.size:
+                yield tokens, closes
+
+    def _symbols(self, words: Iterable[bytes], open_end: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words as portions for ``stream``; with ``open_end`` the last one goes on after them."""
+        words = list(words)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ends = np.zeros(raw.size, dtype=bool)
+        ends[np.cumsum([len(w) for w in words], dtype=np.int64) - 1] = True
+        if open_end:
+            ends[-1:] = False
+        yield from self._portions(raw, ends)
+
+    def _portions(self, raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, raw.size, PORTION):
+            byte, end = raw[at : at + PORTION], ends[at : at + PORTION]
+            yield np.where(end, self.last[byte], self.inner[byte]), end
 
     # ----- text to ids --------------------------------------------------
 
     def _forget(self) -> None:
         self._chunks = _Chunks()
-        self._odd_words: dict[bytes, list[int]] = {}
         self._known = self._chars = 0
         self._ids = np.empty(1 << 16, dtype=np.uint32)
         self._start = np.zeros(1 << 16, dtype=np.int64)  # of each chunk in _ids
@@ -285,24 +313,33 @@ class Bpe:
         kind[1:][(raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))] = OTHER  # multiplication and division signs
         ends = np.flatnonzero(kind == SEPARATOR)
         starts = np.concatenate(([0], ends[:-1] + 1))
-        odd = np.logical_or.reduceat(kind == OTHER, starts) | (ends - starts > LONG_WORD)
+        odd = np.logical_or.reduceat(kind == OTHER, starts)
         number = np.repeat(np.arange(len(new)), ends - starts + 1)
         keep = ~odd[number] & (kind != SEPARATOR)
         raw, kind, number = raw[keep], kind[keep], number[keep]
         if raw.size:
             edge = np.flatnonzero((np.diff(kind) != 0) | (np.diff(number) != 0))
             last = np.append(edge, raw.size - 1)
-            symbols = self.inner[raw]
-            symbols[last] = self.last[raw[last]]
-            tokens, counts = self._merge_words(symbols, np.diff(last, prepend=-1))
+            closed = np.zeros(raw.size, dtype=bool)
+            closed[last] = True
             plain = np.flatnonzero(~odd)
             words = np.bincount(number[last], minlength=len(new))[plain]
-            self._store(known + plain, tokens, np.diff(np.append(0, np.cumsum(counts))[np.cumsum(words)], prepend=0))
-        for i in np.flatnonzero(odd).tolist():
-            tokens = [t for w in self._words(new[i]) for t in self._one_word(w.encode("utf-8"))]
-            self._store(np.array([known + i]), np.array(tokens, dtype=np.uint32), np.array([len(tokens)]))
+            self._send(known + plain, words, self._portions(raw, closed))
+        at = np.flatnonzero(odd)
+        if at.size:
+            words = [[w.encode("utf-8") for w in self._words(new[i])] for i in at.tolist()]
+            self._send(known + at, np.array([len(w) for w in words]), self._symbols(w for some in words for w in some))
         self._known = n
 
+    def _send(self, numbers: np.ndarray, words: np.ndarray, portions: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Send chunks of so many words each through the window and remember what leaves it."""
+        parts = list(self.stream(portions))
+        if not parts:
+            return
+        tokens, closes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends = np.append(0, np.flatnonzero(closes) + 1)
+        self._store(numbers, tokens, np.diff(ends[np.cumsum(words)], prepend=0))
+
     def _store(self, numbers: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
         while self._used + tokens.size > self._ids.size:
             self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
@@ -311,16 +348,6 @@ class Bpe:
         self._count[numbers] = counts
         self._used += tokens.size
 
-    def _one_word(self, data: bytes) -> list[int]:
-        if len(data) > LONG_WORD:
-            return self._long_word(data)
-        known = self._odd_words.get(data)
-        if known is None:
-            symbols = self.inner[np.frombuffer(data, dtype=np.uint8)].tolist()
-            symbols[-1] = int(self.last[data[-1]])
-            known = self._odd_words[data] = self.merge_symbols(symbols)
-        return known
-
     def _words(self, text: str) -> list[str]:
         """Pre-tokens of normalised text.
 
@@ -345,8 +372,8 @@ class Bpe:
             return self.word.findall(text)
         return text.split()
 
-    def _pieces_of(self, text: str) -> Iterator[str | int]:
-        """Text segments, cut before white space, and the ids of special tokens."""
+    def _pieces_of(self, text: str) -> Iterator[str | int | tuple[int, int]]:
+        """Text segments, cut before white space, ids of special tokens, and (start, end) of longer stretches without a place to cut."""
         spans = [(0, len(text), None)]
         if self.special is not None and any(s in text for s in self.specials):
             spans, at = [], 0
@@ -363,20 +390,30 @@ class Bpe:
                     cut = max(text.rfind(" ", start + 1, stop), text.rfind("\n", start + 1, stop))
                     if cut < 0:
                         after = [c for c in (text.find(" ", stop, end), text.find("\n", stop, end)) if c >= 0]
-                        cut = min(after, default=end)
+                        stop = min(after, default=end)
+                        yield start, stop
+                        start = stop
+                        continue
                     stop = cut
                 yield text[start:stop]
                 start = stop
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids (uint32) of each text. Texts are taken together in portions of about a segment."""
-        out: list[np.ndarray] = []
+    def _stretch(self, text: str, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A long stretch as portions for ``stream``, read in segments that may end inside a word."""
+        while start < end:
+            found = CUT.search(text, start + SEGMENT - 4, end) if start + SEGMENT < end else None
+            stop = found.end() if found else end
+            words = [w.encode("utf-8") for chunk in self._chunk_list(text[start:stop]) for w in self._words(chunk)]
+            yield from self._symbols(words, open_end=bool(found and SAME.match(text, stop - 1)))
+            start = stop
+
+    def encode_stream(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """Ids (uint32) in portions, each with the number of its text, in order. Texts are taken together to about a segment."""
         chunks: list[str] = []
         owner: list[tuple[int, int]] = []  # (text, number of chunks), in order
-        parts: dict[int, list[np.ndarray]] = {}
         held = 0
 
-        def flush() -> None:
+        def flush() -> Iterator[tuple[int, np.ndarray]]:
             nonlocal chunks, owner, held
             if self._chars > TABLE_CHARS:
                 self._forget()
@@ -387,27 +424,35 @@ class Bpe:
             ends = np.concatenate(([0], np.cumsum(counts)))
             at = 0
             for text, n in owner:
-                parts[text].append(ids[ends[at] : ends[at + n]])
+                yield text, ids[ends[at] : ends[at + n]]
                 at += n
             chunks, owner, held = [], [], 0
 
         for i, text in enumerate(texts):
-            parts[i] = []
             for piece in self._pieces_of(text):
                 if isinstance(piece, int):
-                    flush()
-                    parts[i].append(np.array([piece], dtype=np.uint32))
+                    yield from flush()
+                    yield i, np.array([piece], dtype=np.uint32)
+                    continue
+                if isinstance(piece, tuple):
+                    yield from flush()
+                    for tokens, _ in self.stream(self._stretch(text, *piece)):
+                        yield i, tokens.astype(np.uint32)
                     continue
                 found = self._chunk_list(piece)
                 owner.append((i, len(found)))
                 chunks += found
                 held += len(piece)
                 if held > SEGMENT:
-                    flush()
-        flush()
-        for i in range(len(texts)):
-            out.append(parts[i][0] if len(parts[i]) == 1 else np.concatenate(parts[i]) if parts[i] else np.empty(0, np.uint32))
-        return out
+                    yield from flush()
+        yield from flush()
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (uint32) of each text."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, ids in self.encode_stream(texts):
+            parts[i].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.uint32) for x in parts]
 
     def decoder(self) -> Decoder:
         return Decoder(self.pieces, b" ")
@@ -508,7 +553,10 @@ def _decoded(bpe: Bpe, ids: np.ndarray, step: int = 1 << 16) -> str:
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the ids (little-endian 32 bit) and of the decoded text (UTF-8).
 
-    The decoded text is hashed as it comes, portion by portion. Null text is empty; ids may be null or repeat.
+    Ids and decoded text are hashed as they come, portion by portion, so a text
+    of any length needs no memory beside itself and a window. Null text is
+    empty; ids may be null or repeat; an empty table gives an empty result; of
+    other columns none is kept, whatever their names.
     """
     import hashlib
 
@@ -517,13 +565,17 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             at = 0
             for texts in portions(batch.column(1)):
-                rows = []
-                for ids in bpe.encode_many(texts):
-                    text_hash, decoder = hashlib.sha256(), bpe.decoder()
-                    for i in range(0, ids.size, 1 << 16):
-                        text_hash.update(decoder.feed(ids[i : i + (1 << 16)].tolist()).encode("utf-8"))
+                sizes = [0] * len(texts)
+                states = [(hashlib.sha256(), hashlib.sha256(), bpe.decoder()) for _ in texts]
+                for i, ids in bpe.encode_stream(texts):
+                    sizes[i] += ids.size
+                    ids_hash, text_hash, decoder = states[i]
+                    ids_hash.update(ids.astype("<u4").tobytes())
+                    for k in range(0, ids.size, 1 << 16):
+                        text_hash.update(decoder.feed(ids[k : k + (1 << 16)].tolist()).encode("utf-8"))
+                for _, text_hash, decoder in states:
                     text_hash.update(decoder.close().encode("utf-8"))
-                    rows.append((ids.size, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), text_hash.hexdigest()))
+                rows = [(n, a.hexdigest(), b.hexdigest()) for n, (a, b, _) in zip(sizes, states, strict=True)]
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],

@@ -59,8 +59,64 @@ def test_long_words_stream_with_bounded_lookahead(encoder):
         symbols = encoder.inner[np.frombuffer(data, dtype=np.uint8)]
         symbols[-1] = encoder.last[data[-1]]
         cuts = sorted(rng.sample(range(symbols.size), min(5, symbols.size)))
-        parts = [p for p in np.split(symbols, cuts) if p.size]
-        assert [t for some in encoder.stream_word(parts) for t in some] == encoder.merge_symbols(symbols.tolist())
+        ends = np.zeros(symbols.size, dtype=bool)
+        ends[-1] = True
+        parts = list(zip(np.split(symbols, cuts), np.split(ends, cuts), strict=True))
+        assert [t for some, _ in encoder.stream(parts) for t in some.tolist()] == encoder.merge_symbols(symbols.tolist())
+
+
+def _counted(monkeypatch):
+    """The tokens that leave the window from now on, and the most symbols that it held."""
+    seen, plain = {"tokens": 0, "held": 0}, bpe.Bpe.stream
+
+    def stream(self, portions):
+        def noted():
+            for symbols, ends in portions:
+                seen["held"] = max(seen["held"], symbols.size)
+                yield symbols, ends
+
+        for tokens, closes in plain(self, noted()):
+            seen["tokens"] += tokens.size
+            yield tokens, closes
+
+    monkeypatch.setattr(bpe.Bpe, "stream", stream)
+    return seen
+
+
+def test_every_token_leaves_the_window(library, monkeypatch):
+    seen, encoder = _counted(monkeypatch), bpe.Bpe(PATH)
+    words = [f"{a}{b}{c}" for a in ("bra", "Kö", "新", "don't") for b in ("ing", "tion", "é") for c in ("", "!", "42", "x" * 700)]
+    text = " ".join(words)  # no chunk comes twice
+    assert encoder.encode_many([text])[0].tolist() == ids_of(library, text)
+    assert seen["tokens"] == len(ids_of(library, text)) and seen["held"] <= bpe.PORTION
+
+
+@pytest.mark.parametrize("segment", [8, 61, 500])
+def test_text_without_spaces_is_cut_inside_words(library, monkeypatch, segment):
+    monkeypatch.setattr(bpe, "SEGMENT", segment)
+    monkeypatch.setattr(bpe, "PORTION", 37)
+    encoder, rng = bpe.Bpe(PATH), random.Random(segment)
+    odd = ["abcdefgh" * 4, "it's", "'story", "!!'s", "''re", "日本語" * 5, "한국어", "привет" * 3, "e\u0301\u0327", "\u0130stanbul", "ΟΔΟΣ", "12345", "#$%&" * 5, "กขค", "\t", "q\u0301", "<|endoftext|>", "ſ'K"]
+    for _ in range(150):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(1, 40)))
+        assert encoder.encode_many([text])[0].tolist() == ids_of(library, text), text
+
+
+def test_one_long_word_needs_no_memory_of_its_length(library, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "SEGMENT", 1 << 13)
+    monkeypatch.setattr(bpe, "PORTION", 1 << 12)
+    encoder, rng, peaks = bpe.Bpe(PATH), random.Random(1), []
+    for size in (50_000, 200_000):
+        text = "".join(rng.choices("etaoinshr", k=size))
+        tracemalloc.start()
+        total = sum(ids.size for _, ids in encoder.encode_stream([text]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if size == 50_000:
+            assert total == len(ids_of(library, text))
+    assert peaks[1] < 1.1 * peaks[0], peaks
 
 
 def test_boundaries_beyond_the_lookahead_are_stable():
@@ -187,8 +243,8 @@ def test_pack_keeps_columns_and_few_sequences(spark):
 
 
 def test_long_pieces_leave_room_for_the_short_ones():
-    """Longest first, of more long pieces than 4096: none of their bins closes before the pieces that fill it come."""
-    packer = packing.Packer(2048)
+    """Longest first, with as many open bins as long pieces: none of their bins closes before the pieces that fill it come."""
+    packer = packing.Packer(2048, open_bins=10_000)
     for n in [1200] * 10_000 + [848] * 10_000:
         packer.put(n)
     assert packer.made == 10_000
