@@ -7,7 +7,7 @@ lines of a run.
 
 * ``parse_events`` (P1, P2, P5) is a stateless projection, usable on batch
   and streaming frames alike.
-* ``project_status_stream`` (P3, P4, P7) keeps a map of fields per run with
+* ``project_status_stream`` (P3, P4, P7) keeps a struct of fields per run with
   ``transformWithState`` and ends lost and finished runs by event timers.
 * ``replay_status`` (P9) computes the same final state as a grouped
   aggregate (``max_by`` per field), so a run with a huge log is still
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -348,7 +348,7 @@ STATE_FIELDS = [
     ("msg_seq", T.LongType()), ("failure_message", T.StringType()),
     ("f_seq", T.LongType()), ("failure_limit", T.LongType()), ("failure_details", T.StringType()),
     ("fstep_seq", T.LongType()), ("failure_step_index", T.IntegerType()),
-    ("lost", T.BooleanType()),
+    ("lost", T.BooleanType()), ("at_ms", T.LongType()),
 ]
 STATE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in STATE_FIELDS])
 STREAM_OUT_SCHEMA = T.StructType(
@@ -362,42 +362,54 @@ def _none(x):
     return None if x is None or x is pd.NA or (isinstance(x, float) and pd.isna(x)) else x
 
 
-def _latest(state: dict, rows: pd.DataFrame, order: pd.Series, seq_name: str, values: dict[str, str], first: bool = False) -> None:
-    """Take ``values`` (state name -> column) from the row of the highest (or lowest) order, unless the state's is beyond it."""
-    if rows.empty:
+def _latest(state: dict, seq_name: str, order: int, values: dict, first: bool = False) -> None:
+    """Take ``values`` from an event if its order is the highest (or lowest) so far; of equals the first stays."""
+    old = state.get(seq_name)
+    if old is None or (order < old if first else order > old):
+        state[seq_name] = order
+        state.update(values)
+
+
+def _int(x) -> int | None:
+    return None if (x := _none(x)) is None else int(x)
+
+
+def apply_event(state: dict, row: dict) -> None:
+    """Merge one event (what it lacks is null) into a run's state; events may come in any order."""
+    kind = row["kind"]
+    if kind in ("rejected", "ignored"):
         return
-    at = order.loc[rows.index].idxmin() if first else order.loc[rows.index].idxmax()
-    new, old = int(order.loc[at]), state.get(seq_name)
-    if old is None or (new < old if first else new > old):
-        state[seq_name] = new
-        for name, column in values.items():
-            state[name] = _none(rows.at[at, column])
+    seq, step = int(row["seq"]), _int(row.get("step_index"))
+    is_step, fin, fail = kind in ("progress", "legacy_step"), kind == "run_finished", kind in ("failure", "legacy_failure")
+    if is_step:
+        _latest(state, "first_step_seq", seq, {}, first=True)
+        at = step or 0
+        if state.get("max_step") is None or at > state["max_step"]:
+            state["max_step"] = at
+        _latest(state, "sub_order", at * 2**56 + seq, {"substep_id": _none(row.get("substep_id")), "substep_label": _none(row.get("substep_label"))})
+    if fin:
+        if step is not None:
+            _latest(state, "rf_seq", seq, {"rf_step": step}, first=True)
+        _latest(state, "fin_seq", seq, {"fin_status": _none(row.get("status")), "exit_code": _int(row.get("exit_code"))})
+    if fail or fin:
+        code, message = _none(row.get("failure_code")), _none(row.get("message"))
+        if fail or code is not None:
+            _latest(state, "code_seq", seq, {"failure_code": code})
+        if fail or message is not None:
+            _latest(state, "msg_seq", seq, {"failure_message": message})
+        if fail:
+            _latest(state, "f_seq", seq, {"failure_limit": _int(row.get("failure_limit")), "failure_details": _none(row.get("failure_details"))})
+        if step is not None:
+            _latest(state, "fstep_seq", seq, {"failure_step_index": step})
+    state["active"] = bool(state.get("active")) or is_step or fail
+    if state.get("last_seq") is None or seq > state["last_seq"]:
+        state["last_seq"] = seq
 
 
 def apply_events(state: dict, rows: pd.DataFrame) -> dict:
-    """Merge events, in any order and any portions, into a run's state: one masked reduction per field."""
-    rows = rows[~rows["kind"].isin(["rejected", "ignored"])].reset_index(drop=True)
-    if rows.empty:
-        return state
-    kind, seq = rows["kind"], rows["seq"].astype("int64")
-    is_step, fin, fail = kind.isin(["progress", "legacy_step"]), kind == "run_finished", kind.isin(["failure", "legacy_failure"])
-    has_step = rows["step_index"].notna()
-    step = pd.to_numeric(rows["step_index"]).fillna(0).astype("int64")
-    _latest(state, rows[is_step], seq, "first_step_seq", {}, first=True)
-    if is_step.any():
-        state["max_step"] = max(int(step[is_step].max()), -1 if state.get("max_step") is None else state["max_step"])
-    _latest(state, rows[is_step], step * 2**56 + seq, "sub_order", {"substep_id": "substep_id", "substep_label": "substep_label"})
-    _latest(state, rows[fin & has_step], seq, "rf_seq", {"rf_step": "step_index"}, first=True)
-    _latest(state, rows[fin], seq, "fin_seq", {"fin_status": "status", "exit_code": "exit_code"})
-    _latest(state, rows[fail | (fin & rows["failure_code"].notna())], seq, "code_seq", {"failure_code": "failure_code"})
-    _latest(state, rows[fail | (fin & rows["message"].notna())], seq, "msg_seq", {"failure_message": "message"})
-    _latest(state, rows[fail], seq, "f_seq", {"failure_limit": "failure_limit", "failure_details": "failure_details"})
-    _latest(state, rows[(fail | fin) & has_step], seq, "fstep_seq", {"failure_step_index": "step_index"})
-    state["active"] = bool(state.get("active")) or bool((is_step | fail).any())
-    state["last_seq"] = max(int(seq.max()), -1 if state.get("last_seq") is None else state["last_seq"])
-    for name in ("rf_step", "failure_step_index", "exit_code", "failure_limit"):
-        if state.get(name) is not None:
-            state[name] = int(state[name])
+    """Merge a portion of events into a run's state."""
+    for row in rows.to_dict("records"):
+        apply_event(state, row)
     return state
 
 
@@ -416,20 +428,21 @@ def project_state(state: dict) -> dict:
     return out
 
 
-def _row(run_id: str, state: dict, before: int | None) -> pd.DataFrame:
+def _row(run_id: str, state: dict, before: int | None) -> Row:
     out = project_state(state)
     after = out["step_index"]
     advanced = after is not None and (before is None or after > before)
-    return pd.DataFrame([{"run_id": run_id, **out, "advanced": advanced}])
+    return Row(run_id=run_id, **out, advanced=advanced)
 
 
 class RunStatus(StatefulProcessor):
-    """P3 + P7: one map entry per field of a run, and one event timer per run.
+    """P3 + P7: one struct of fields per run, read and written once a batch, and one event timer per run.
 
-    Only the fields that an event sets are written. The timer of a run that has
-    not finished stands ``STALE_SECONDS`` after its last news and reports it
-    lost; that of a finished or lost run ends its state ``FINISHED_SECONDS``
-    after.
+    A run's fields are few whatever the length of its log, and its events pass
+    by one at a time, so a run costs two calls of the state store and a loop
+    over its rows. The timer of a run that has not finished stands
+    ``STALE_SECONDS`` after its last news and reports it lost; that of a
+    finished or lost run ends its state ``FINISHED_SECONDS`` after.
     """
 
     def __init__(self, timers: bool):
@@ -437,42 +450,43 @@ class RunStatus(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.fields = handle.getMapState("fields", "name string", "value string")
+        self.fields = handle.getValueState("fields", STATE_SCHEMA)
 
     def _held(self) -> dict:
-        return {k[0]: json.loads(v[0]) for k, v in self.fields.iterator()}
+        held = self.fields.get()
+        return {} if held is None else {n: v for (n, _), v in zip(STATE_FIELDS, held, strict=True) if v is not None}
 
     def _write(self, held: dict, new: dict) -> None:
-        for name, value in new.items():
-            if value is not None and (name not in held or held[name] != value):
-                self.fields.updateValue((name,), (json.dumps(value),))
+        if new != held:
+            self.fields.update(tuple(new.get(n) for n, _ in STATE_FIELDS))
 
     def _arm(self, at_ms: int) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(at_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self._held()
         new = dict(held)
         before = project_state(held)["step_index"] if held else None
         last = new.get("at_ms") or 0
-        for part in rows:
-            new = apply_events(new, part)
+        for row in rows:
+            event = json.loads(row["event"])
+            apply_event(new, event)
             if self.timers:
-                last = max(last, int(part["at"].max().timestamp() * 1000))
+                last = max(last, event["at_ms"])
         if self.timers:
             new["at_ms"], new["lost"] = last, False  # it speaks again
             self._arm(last + 1000 * (STALE_SECONDS if new.get("fin_status") is None else FINISHED_SECONDS))
         self._write(held, new)
         yield _row(key[0], new, before)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self._held()
         if held.get("fin_status") is not None or held.get("lost"):
             self.fields.clear()
             return
-        self._write(held, {"lost": True})
+        self._write(held, {**held, "lost": True})
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + FINISHED_SECONDS * 1000)
         yield _row(key[0], {**held, "lost": True}, project_state(held)["step_index"])
 
@@ -491,18 +505,20 @@ def project_status_stream(events: DataFrame, timers: bool = True) -> DataFrame:
     Spark runs a batch without data only when the watermark moved. Without
     ``timers`` lost runs are left to ``stale_runs`` and all state is kept.
 
-    State lives in RocksDB, which keeps map entries apart: set
+    State lives in RocksDB, outside the heap of the executors: set
     ``spark.sql.streaming.stateStore.providerClass`` to ``STATE_STORE``.
     """
     if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
     # rejected and ignored lines are skipped inside the state function: a row
     # filter on ``kind`` here would be pushed below the parse and repeat it
-    e = events.select(
-        "run_id", "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message",
-        "failure_limit", "failure_details", "status", "exit_code", *(["at"] if timers else []),
-    )
-    return e.groupBy("run_id").transformWithStateInPandas(
+    fields = [
+        "seq", "kind", "step_index", "substep_id", "substep_label", "failure_code", "message", "failure_limit", "failure_details",
+        "status", "exit_code", *([F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms")] if timers else []),
+    ]
+    # an event goes to Python as one cell: there every cell of a row is an object of its own
+    e = events.select("run_id", F.to_json(F.struct(*fields)).alias("event"), *(["at"] if timers else []))
+    return e.groupBy("run_id").transformWithState(
         statefulProcessor=RunStatus(timers), outputStructType=STREAM_OUT_SCHEMA, outputMode="Update", timeMode="EventTime" if timers else "None"
     )
 

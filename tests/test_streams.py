@@ -132,6 +132,44 @@ def test_late_events_of_a_stream_equal_the_replay(spark, tmp_path):
         assert {k: latest[run][k] for k in row if k in latest[run]} == {k: v for k, v in row.items() if k in latest[run]}
 
 
+def test_a_later_step_without_a_substep_ends_the_substep_for_all_later_batches(spark, tmp_path):
+    sub = '{"v":1,"t":"progress","step_id":"schema_review","step_index":1,"step_label":"x","substep_id":"s"}'
+    events = [("a", 1, sub), ("a", 3, PROGRESS % ("results", 5)), ("a", 2, PROGRESS % ("pre_import", 0))]
+    runs = Runs(spark, str(tmp_path))
+    try:
+        seen = []
+        for i, (run, seq, line) in enumerate(events):
+            runs.send((run, seq, line, i / 60))
+            seen += [(r["substep_id"], r["step_index"]) for r in runs.seen]
+    finally:
+        runs.query.stop()
+    assert seen == [("s", 1), (None, 5), (None, 5)]
+
+
+def test_a_run_reads_and_writes_its_state_once_a_batch():
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            self.state = Value()
+            return self.state
+
+    handle, status = Handle(), P.RunStatus(timers=False)
+    status.init(handle)
+    rows = [{"event": json.dumps({"seq": i, "kind": "progress", "step_index": i % 6})} for i in range(100)]
+    for part in (rows[50:], rows[:50]):
+        (out,) = status.handleInputRows(("a",), iter(part), None)
+    assert handle.state.calls == 4 and (out.run_id, out.step_index, out.last_seq, out.advanced) == ("a", 5, 99, False)
+
+
 def test_the_state_store_must_keep_map_entries(spark):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
