@@ -1536,9 +1536,13 @@ def q_first_run(spark, sf):
 def _status_stream(spark, sf) -> DataFrame:
     """The updates of all runs, streamed from envelope files in several batches and kept by a sink."""
     folder = scratch(spark, "run-events")
-    lines = TV.run_lines(spark, sf).select("run_id", "seq", "line")
-    lines.repartition(3, F.pmod("seq", F.lit(3))).write.json(f"{folder}/in")
-    events = P.parse_events(spark.readStream.schema(P.ENVELOPE_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/in"))
+    lines = TV.run_lines(spark, sf).select("run_id", "seq", "line", F.pmod("seq", F.lit(3)).alias("portion"))
+    # as many tasks as the lines need, each with a file of every portion
+    lines.repartition("seq").write.partitionBy("portion").json(f"{folder}/in")
+    schema = f"{P.ENVELOPE_SCHEMA}, portion bigint"
+    files = len(spark.read.schema(schema).json(f"{folder}/in").inputFiles())
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).json(f"{folder}/in")
+    events = P.parse_events(stream.drop("portion"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
