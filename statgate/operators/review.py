@@ -36,6 +36,7 @@ RATE_OF_CHANGE_STAT_TYPES = ["growthrate", "growth_rate", "changerate", "change_
 BLOCKER_TYPES = ["typo", "schema", "unknown_statvar", "duplicate", "required", "namespace"]
 SOFT_TYPES = ["naming", "unused_column", "format"]
 COLUMN_REF_PATTERN = r"C:[^>]+->(.+)$"
+TASK_TRIPLES = 300_000
 
 
 def _issue(df: DataFrame, file, line, type_, message, suggestion, severity, ord_: Column | None = None, source="deterministic") -> DataFrame:
@@ -290,7 +291,14 @@ def undefined_variables(variables: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def structural_node_lint(nodes: DataFrame) -> DataFrame:
     """Duplicate single-valued property, missing/duplicate typeOf, non-standard property on
-    observation nodes, schema type without the dcs: prefix."""
+    observation nodes, schema type without the dcs: prefix.
+
+    Triples are counted and dealt out by their node first, ``TASK_TRIPLES`` a
+    task: nearly every triple is a group of its own, so an aggregate would keep
+    what its task reads in memory, be that a scan or partitions put together
+    by their compressed size.
+    """
+    nodes = nodes.repartition(max(1, -(-nodes.count() // TASK_TRIPLES)), "dataset_id", "file", "node_line")
     per = nodes.groupBy("dataset_id", "file", "node_line", "node", "prop").agg(F.count(F.lit(1)).alias("n"))
     node_info = per.groupBy("dataset_id", "file", "node_line", "node").agg(
         F.coalesce(F.sum(F.when(F.col("prop") == "typeOf", F.col("n"))), F.lit(0)).alias("n_type")

@@ -206,3 +206,16 @@ def test_date_granularity_mix_with_template_literals(spark):
     )
     got = {r.source: (list(r.formats), r.status) for r in W.date_granularity_mix(obs, nodes).collect()}
     assert got == {"column": (["YYYY-MM"], "PASSED"), "template": (["YYYY"], "PASSED"), "all": (["YYYY", "YYYY-MM"], "WARNING")}
+
+
+def test_structural_lint_deals_triples_out_by_node(spark, monkeypatch):
+    from statgate.operators import review as T
+
+    rows = [("d", "f", line, f"n{line}", prop, "StatVarObservation") for line in range(20) for prop in ("typeOf", "unit", "unit", "extra")] + [("d", "f", None, None, "unit", "x")] * 3
+    nodes = spark.createDataFrame(rows, "dataset_id string, file string, node_line bigint, node string, prop string, value string")
+    whole = sorted(map(tuple, T.structural_node_lint(nodes).select("line", "type", "message").collect()), key=str)
+    monkeypatch.setattr(T, "TASK_TRIPLES", 10)
+    dealt = T.structural_node_lint(nodes)
+    assert "hashpartitioning(dataset_id" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 9), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, dealt.select("line", "type", "message").collect()), key=str) == whole
+    assert len(whole) == 20 * 3 + 2  # duplicate, naming and namespace; the node without a line has a duplicate and no type
