@@ -83,6 +83,26 @@ def test_shards_and_results_written(spark):
     assert back.count() == 1
 
 
+def test_many_small_shards_share_tasks_and_keep_files_and_order(spark, tmp_path):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    assert (SW.shard_tasks(86, 7000, 200), SW.shard_tasks(5143, 7000, 200), SW.shard_tasks(30858, 7000, 200)) == (86, 200, 433)
+    csv = spark.range(0, 1000).select(
+        F.lit("ds").alias("dataset_id"), F.concat(F.lit("f"), F.col("id") % 2).alias("__file"), (F.floor(F.col("id") / 2) + 2).alias("__row"), F.col("id").cast("string").alias("value")
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        SW.write_shards(csv.orderBy(F.xxhash64("value")), str(tmp_path / "out"), 10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    writers = set()
+    for f in range(2):
+        for shard in range(50):
+            (file,) = glob.glob(str(tmp_path / f"out/dataset_id=ds/file=f{f}/shard={shard}/*.csv"))
+            assert open(file).read().split() == ["value", *(str(2 * i + f) for i in range(shard * 10, shard * 10 + 10))]
+            writers.add(os.path.basename(file).split("-")[1])
+    assert len(writers) == 3  # tasks, not one for each of 100 shards
+
+
 def test_files_of_one_base_name_keep_apart(spark, tmp_path):
     for name in ("p/a.csv", "q/a.csv", "q_a.csv", "q%20*/a.csv"):
         os.makedirs((tmp_path / "in" / name).parent, exist_ok=True)
